@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.text import ascii_lower
+from docsift.session import spread
 from docsift.schema import NORM_EPS, TOKEN_LIMIT
 
 TOKEN_PATTERN = "[a-z0-9]+"
@@ -42,27 +43,55 @@ def hashing_buckets(tokens: Column, dim: int) -> Column:
     )
 
 
+def _bucket_unit_vectors(dim: int):
+    @F.pandas_udf("array<float>")
+    def unit(b: pd.Series) -> pd.Series:
+        import numpy as np
+
+        lens = b.map(len).to_numpy(dtype=np.int64)
+        flat = np.concatenate(b.to_numpy()).astype(np.int64) if lens.sum() else np.empty(0, np.int64)
+        rows = np.repeat(np.arange(len(b)), lens)
+        m = np.zeros((len(b), dim), dtype=np.float64)
+        np.add.at(m, (rows, flat), 1.0)
+        n = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+        u = (m / (n + NORM_EPS)).astype(np.float32)
+        return pd.Series(list(u))
+
+    return unit
+
+
 class HashingEmbedder:
     """Feature-hashing embedder (deterministic, SQL-native)."""
 
     name = "hashing"
 
-    def __init__(self, dim: int = 64, max_tokens: int = TOKEN_LIMIT):
+    def __init__(self, dim: int = 64, max_tokens: int = TOKEN_LIMIT, engine: str = "numpy"):
+        if engine not in ("numpy", "sql"):
+            raise ValueError("engine is 'numpy' or 'sql'")
         self.dim = int(dim)
         self.max_tokens = int(max_tokens)
+        self.engine = engine
 
     @property
     def model(self) -> str:
         return f"hashing-{self.dim}-{self.max_tokens}"
 
     def counts(self, text_col) -> Column:
+        """Bucket counts in one pass over the token buckets (the tokenizer
+        and md5 run once per token, not once per bucket)."""
         b = hashing_buckets(hashing_tokens(text_col, self.max_tokens), self.dim)
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(self.dim - 1)),
-            lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"),
+        zero = F.array_repeat(F.lit(0.0).cast("double"), self.dim)
+        return F.aggregate(
+            b, zero, lambda acc, x: F.transform(acc, lambda c, i: F.when(i == x, c + F.lit(1.0)).otherwise(c))
         )
 
     def embed(self, df: DataFrame, key: str = "id", text: str = "text", keep=()) -> DataFrame:
+        df = spread(df)
+        if self.engine == "numpy":
+            # Tokens and md5 buckets in the JVM; the histogram + normalisation
+            # of a whole Arrow batch in numpy (O(tokens + dim) per row).
+            b = hashing_buckets(hashing_tokens(text, self.max_tokens), self.dim)
+            return df.select(F.col(key), *keep, _bucket_unit_vectors(self.dim)(b).alias("embedding"))
         counted = df.select(F.col(key), *keep, self.counts(text).alias("_c"))
         normed = counted.withColumn(
             "_n", F.sqrt(F.aggregate("_c", F.lit(0.0).cast("double"), lambda a, x: a + x * x))
@@ -107,6 +136,7 @@ class OnnxEmbedder:
         self.model = f"onnx:{model_path}"
 
     def embed(self, df: DataFrame, key: str = "id", text: str = "text", keep=()) -> DataFrame:
+        df = spread(df)
         model_path, tok_path = self.model_path, self.tokenizer_path
         max_tokens, batch = self.max_tokens, self.batch_size
 

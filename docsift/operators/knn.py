@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.schema import check_k
+from docsift.session import spread
 
 RANK_DECIMALS = 9
 # Rows of the distance matrix computed at once (corpus rows x queries).
@@ -231,7 +232,7 @@ def knn_broadcast_arrays(
             ),
         )
 
-    partial = corpus.select("id", "embedding").mapInArrow(run, schema)
+    partial = spread(corpus.select("id", "embedding")).mapInArrow(run, schema)
     return _final_rank(partial, k, threshold, metric)
 
 

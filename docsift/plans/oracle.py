@@ -117,3 +117,104 @@ SELECT id, 1.0 AS score FROM (SELECT id FROM docs WHERE {fold('text')} LIKE '%th
 """
 SQL["text_search_wildcard"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%th_n%ou%'"
 SQL["text_search_non_ascii"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%É%'"
+
+PAIRS = (
+    "pairs AS (SELECT CAST(a.vec_id AS VARCHAR) AS id_a, CAST(b.vec_id AS VARCHAR) AS id_b, "
+    "a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id)"
+)
+SQL["l2_distance"] = f"WITH {PAIRS} SELECT id_a, id_b, round({sq_l2('a', 'b')}, 6) AS dist FROM pairs"
+SQL["score"] = f"WITH {PAIRS} SELECT id_a, id_b, round(1.0 / (1.0 + {sq_l2('a', 'b')}), 6) AS score FROM pairs"
+SQL["cosine_similarity"] = f"""
+WITH {PAIRS}
+SELECT id_a, id_b, round(CASE WHEN {norm('a')} * {norm('b')} > 0
+       THEN {dot('a', 'b')} / ({norm('a')} * {norm('b')}) END, 6) AS cosine FROM pairs
+"""
+SQL["l2_normalize"] = f"""
+WITH {PAIRS},
+diff AS (SELECT id_a, list_transform(list_zip(b::DOUBLE[], a::DOUBLE[]), lambda p: p[1] - p[2]) AS v FROM pairs),
+n AS (SELECT id_a, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM diff)
+SELECT id_a, generate_subscripts(v, 1) - 1 AS pos,
+       round(((unnest(v) / (nrm + 1e-12))::FLOAT)::DOUBLE, 6) + 0.0 AS value FROM n
+"""
+SQL["mean_pool"] = """
+WITH t AS (SELECT label, vec_id % 3 <> 0 AS m, embedding FROM embeddings),
+u AS (SELECT label, m, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS x FROM t),
+s AS (SELECT label, pos, sum(CASE WHEN m THEN x ELSE 0 END) / greatest(sum(CASE WHEN m THEN 1 ELSE 0 END), 1) AS mean
+      FROM u GROUP BY label, pos),
+n AS (SELECT label, sqrt(sum(mean * mean)) + 1e-12 AS nrm FROM s GROUP BY label)
+SELECT label, pos, round(((mean / nrm)::FLOAT)::DOUBLE, 6) AS value FROM s JOIN n USING (label)
+"""
+SQL["similarity_pairs"] = f"""
+WITH {VECS},
+p AS (SELECT a.id AS id_a, b.id AS id_b, {dot('a.embedding', 'b.embedding')} AS sim FROM vecs a, vecs b)
+SELECT id_a, id_b, round(sim, 6) AS sim FROM p WHERE sim >= 0.3
+"""
+SQL["similarity_topk"] = f"""
+WITH {VECS},
+p AS (SELECT a.id AS id_a, b.id AS id_b, {dot('a.embedding', 'b.embedding')} AS sim FROM vecs a, vecs b),
+r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY round(sim, 9) DESC, id_b) AS rk FROM p)
+SELECT id_a, id_b, round(sim, 6) AS sim FROM r WHERE rk <= 3
+"""
+
+
+def hashing_sql(src: str, key: str, text: str, dim: int = 64) -> str:
+    """CTEs hb_<src> (key, bucket, value) of the hashing embedder, sparse form,
+    plus hn_<src> (key, nrm) with a row for every key (zero vectors too)."""
+    return f"""
+ht_{src} AS (SELECT {key} AS key, list_slice(regexp_extract_all({fold(text)}, '[a-z0-9]+'), 1, 256) AS t FROM {src}),
+hc_{src} AS (SELECT key, bucket, count(*)::DOUBLE AS cnt FROM (
+    SELECT key, unnest(list_transform(t, lambda x: (('0x' || substr(md5(x), 1, 4))::INTEGER) % {dim})) AS bucket
+    FROM ht_{src}) GROUP BY key, bucket),
+hs_{src} AS (SELECT key, sqrt(sum(cnt * cnt)) AS nrm FROM hc_{src} GROUP BY key),
+hb_{src} AS (SELECT key, bucket, ((cnt / (nrm + 1e-12))::FLOAT)::DOUBLE AS value FROM hc_{src} JOIN hs_{src} USING (key)),
+hn_{src} AS (SELECT t.key, coalesce((SELECT sum(value * value) FROM hb_{src} b WHERE b.key = t.key), 0) AS sq
+             FROM ht_{src} t)"""
+
+
+HASH_DOCS = hashing_sql("documents", "CAST(doc_id AS VARCHAR)", "text")
+HASH_BENCH = hashing_sql("benchmark", "CAST(item_id AS VARCHAR)", "text")
+
+SQL["embed_hashing"] = f"""
+WITH {HASH_DOCS}
+SELECT key AS id, bucket AS pos, round(value, 6) AS value FROM hb_documents WHERE value <> 0
+"""
+
+# Squared L2 between every benchmark query and every document, sparse form.
+QD_DIST = f"""
+{HASH_DOCS}, {HASH_BENCH},
+dots AS (SELECT q.key AS query_id, d.key AS id, sum(q.value * d.value) AS dt
+         FROM hb_benchmark q JOIN hb_documents d USING (bucket) GROUP BY q.key, d.key),
+qd AS (SELECT q.key AS query_id, d.key AS id, q.sq AS qq, d.sq AS xx FROM hn_benchmark q, hn_documents d),
+dist AS (SELECT qd.query_id, qd.id, greatest(qd.xx + qd.qq - 2 * coalesce(dots.dt, 0), 0) AS dist,
+                CASE WHEN qd.xx > 0 AND qd.qq > 0 THEN coalesce(dots.dt, 0) / (sqrt(qd.xx) * sqrt(qd.qq)) ELSE 0 END AS cos
+         FROM qd LEFT JOIN dots USING (query_id, id))"""
+
+SQL["semantic_search_text"] = f"""
+WITH {QD_DIST},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rank FROM dist)
+SELECT query_id, rank, id, round(1.0 / (1.0 + dist), 6) AS score FROM r WHERE rank <= 10
+"""
+SQL["best_match"] = f"""
+WITH {QD_DIST},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - cos, 9), id) AS rank FROM dist)
+SELECT query_id, id, round(cos, 6) AS similarity FROM r WHERE rank = 1
+"""
+SQL["retrieval_eval"] = f"""
+WITH {QD_DIST},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - cos, 9), id) AS rank FROM dist)
+SELECT r.query_id, r.id, round(r.cos, 6) AS similarity, strpos(d.text, b.text) > 0 AS hit
+FROM r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id
+JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = r.query_id WHERE r.rank = 1
+"""
+
+SQL["metadata_normalise"] = """
+WITH src AS (
+  SELECT event_id, '{"type": "' || event_type || '", "user": ' || CAST(user_id AS VARCHAR) || ', "big": '
+         || CASE WHEN value > 25 THEN 'true' ELSE 'false' END || ', "props": ' || props || ', "none": null}' AS j
+  FROM events),
+k AS (SELECT event_id, j, unnest(json_keys(j)) AS key FROM src)
+SELECT event_id, key,
+       CASE WHEN json_type(j, '$."' || key || '"') = 'VARCHAR' THEN json_extract_string(j, '$."' || key || '"')
+            ELSE json_extract(j, '$."' || key || '"')::VARCHAR END AS value
+FROM k
+"""

@@ -239,3 +239,180 @@ def q_text_search_wildcard(spark, d):
 def q_text_search_non_ascii(spark, d):
     """'É' folds to nothing: only documents containing 'É' literally."""
     return _text_hits(spark, d, "É")
+
+
+# --------------------------------------------------------------- vector functions
+
+
+def _consecutive_pairs(spark, d) -> DataFrame:
+    """Each vector with the next one by id: an equi-join over the whole table."""
+    e = read_table(spark, d, "embeddings")
+    a = e.select(F.col("vec_id").alias("ia"), F.col("embedding").alias("a"))
+    b = e.select(F.col("vec_id").alias("ib"), F.col("embedding").alias("b"))
+    pairs = a.join(b, F.col("ia") + F.lit(1) == F.col("ib"))
+    return pairs.select(
+        F.col("ia").cast("string").alias("id_a"), F.col("ib").cast("string").alias("id_b"), "a", "b"
+    )
+
+
+@register("l2_distance")
+def q_l2_distance(spark, d):
+    from docsift.functions.vectors import squared_l2
+
+    p = _consecutive_pairs(spark, d)
+    return p.select("id_a", "id_b", r6(squared_l2("a", "b")).alias("dist"))
+
+
+@register("score")
+def q_score(spark, d):
+    from docsift.functions.vectors import score_from_distance, squared_l2
+
+    p = _consecutive_pairs(spark, d)
+    return p.select("id_a", "id_b", r6(score_from_distance(squared_l2("a", "b"))).alias("score"))
+
+
+@register("cosine_similarity")
+def q_cosine_similarity(spark, d):
+    from docsift.functions.vectors import cosine_similarity
+
+    p = _consecutive_pairs(spark, d)
+    return p.select("id_a", "id_b", r6(cosine_similarity("a", "b")).alias("cosine"))
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, d):
+    """V3 on the difference of consecutive vectors (not unit length)."""
+    from docsift.functions.vectors import l2_normalize
+
+    p = _consecutive_pairs(spark, d)
+    diff = p.select(
+        "id_a", F.zip_with("b", "a", lambda x, y: x.cast("double") - y.cast("double")).alias("v")
+    )
+    normed = diff.select("id_a", l2_normalize("v").alias("u"))
+    return normed.select("id_a", F.posexplode("u").alias("pos", "value")).select(
+        "id_a", "pos", r6(F.col("value").cast("double")).alias("value")
+    )
+
+
+@register("mean_pool")
+def q_mean_pool(spark, d):
+    """A6 + V5: ``label`` as the document, its vectors as tokens,
+    mask = (vec_id % 3 <> 0)."""
+    from docsift.operators.pooling import mean_pool
+
+    e = read_table(spark, d, "embeddings")
+    tokens = e.select(
+        F.col("label").alias("id"),
+        (F.col("vec_id") % 3 != 0).cast("int").alias("mask"),
+        F.col("embedding").alias("vec"),
+    )
+    pooled = mean_pool(tokens, dim=64)
+    return pooled.select("id", F.posexplode("embedding").alias("pos", "value")).select(
+        F.col("id").alias("label"), "pos", r6(F.col("value").cast("double")).alias("value")
+    )
+
+
+@register("similarity_pairs")
+def q_similarity_pairs(spark, d):
+    """Every pair of vectors (diagonal included) with dot >= 0.3."""
+    from docsift.operators.similarity import similarity_pairs
+
+    v = vecs_of(spark, d)
+    return similarity_pairs(v, min_sim=0.3).select("id_a", "id_b", r6("sim").alias("sim"))
+
+
+@register("similarity_topk")
+def q_similarity_topk(spark, d):
+    """The 3 most similar vectors of every vector (itself included)."""
+    from docsift.operators.similarity import similarity_pairs
+
+    v = vecs_of(spark, d)
+    return similarity_pairs(v, k=3).select("id_a", "id_b", r6("sim").alias("sim"))
+
+
+# --------------------------------------------------------------- embedding and text queries
+
+
+def hashing_vectors(spark, d, dim: int = 64) -> DataFrame:
+    """K1 with the hashing embedder over every document."""
+    from docsift.operators.embed import HashingEmbedder, embed_documents
+
+    return embed_documents(docs_of(spark, d), HashingEmbedder(dim))
+
+
+def benchmark_queries(spark, d) -> DataFrame:
+    b = read_table(spark, d, "benchmark")
+    return b.select(b.item_id.cast("string").alias("query_id"), b.text.alias("query"))
+
+
+@register("embed_hashing")
+def q_embed_hashing(spark, d):
+    """V6 (hashing): non-zero coordinates of every document's vector."""
+    v = hashing_vectors(spark, d)
+    return (
+        v.select("id", F.posexplode("embedding").alias("pos", "value"))
+        .filter(F.col("value") != 0)
+        .select("id", "pos", r6(F.col("value").cast("double")).alias("value"))
+    )
+
+
+@register("semantic_search_text")
+def q_semantic_search_text(spark, d):
+    """Q1: every ``benchmark`` text as a query over all documents, k = 10."""
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.plans.search import search_texts
+
+    docs = docs_of(spark, d)
+    res = search_texts(docs, hashing_vectors(spark, d), benchmark_queries(spark, d), HashingEmbedder(64), k=10)
+    return res.select("query_id", "rank", "id", r6("score").alias("score"))
+
+
+@register("best_match")
+def q_best_match(spark, d):
+    """A5: the most similar document (cosine) of every benchmark text."""
+    from docsift.operators.embed import HashingEmbedder, embed_queries
+    from docsift.operators.knn import best_match
+
+    q = embed_queries(benchmark_queries(spark, d), HashingEmbedder(64))
+    res = best_match(hashing_vectors(spark, d), q)
+    return res.select("query_id", "id", r6("similarity").alias("similarity"))
+
+
+@register("retrieval_eval")
+def q_retrieval_eval(spark, d):
+    """Q4: top hit per benchmark text, its similarity, and whether the hit
+    contains the query text verbatim (the passage was planted there)."""
+    from docsift.plans.evaluate import retrieval_eval
+    from docsift.operators.embed import HashingEmbedder
+
+    res = retrieval_eval(docs_of(spark, d), hashing_vectors(spark, d), benchmark_queries(spark, d), HashingEmbedder(64))
+    return res.select("query_id", "id", r6("similarity").alias("similarity"), "hit")
+
+
+# --------------------------------------------------------------- JSON metadata
+
+
+def events_json(spark, d) -> DataFrame:
+    """A JSON object per event: string, number, boolean, object and null values."""
+    e = read_table(spark, d, "events")
+    j = F.concat(
+        F.lit('{"type": "'),
+        e.event_type,
+        F.lit('", "user": '),
+        e.user_id.cast("string"),
+        F.lit(', "big": '),
+        F.when(e.value > 25, F.lit("true")).otherwise(F.lit("false")),
+        F.lit(', "props": '),
+        e.props,
+        F.lit(', "none": null}'),
+    )
+    return e.select(e.event_id, j.alias("json"))
+
+
+@register("metadata_normalise")
+def q_metadata_normalise(spark, d):
+    """JSON metadata -> map<string,string> (non-strings as compact JSON)."""
+    from docsift.functions.json import normalise_metadata_json
+
+    m = events_json(spark, d).select("event_id", normalise_metadata_json("json").alias("m"))
+    return m.select("event_id", F.explode("m").alias("key", "value"))

@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", app: str = "docsift") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -51,3 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(base, "docsift", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Spread a CPU-heavy stage over the cluster when its input has fewer
+    splits than task slots (e.g. one small file); a no-op on large inputs,
+    which already arrive in many partitions."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
