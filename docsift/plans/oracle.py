@@ -218,3 +218,142 @@ SELECT event_id, key,
             ELSE json_extract(j, '$."' || key || '"')::VARCHAR END AS value
 FROM k
 """
+
+# ------------------------------------------------------------------ mutations
+T0 = "'2024-01-01 00:00:00'"
+T1 = "'2024-06-01 00:00:00'"
+CH = (
+    "ch AS (SELECT CASE WHEN role = 'assistant' THEN CAST(conv_id AS VARCHAR) ELSE 'c' || CAST(conv_id AS VARCHAR) END AS id, "
+    "text, 'role=' || role || ',turn=' || CAST(turn AS VARCHAR) AS meta, turn AS ordinal FROM conversations)"
+)
+LAST = "last AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal DESC) = 1)"
+UPSERTED = f"""
+upserted AS (
+  SELECT d.id, coalesce(l.text, d.text) AS text, CASE WHEN l.id IS NULL THEN d.meta ELSE l.meta END AS meta,
+         {T0} AS created_at, CASE WHEN l.id IS NULL THEN {T0} ELSE {T1} END AS updated_at
+  FROM docs d LEFT JOIN last l USING (id)
+  UNION ALL
+  SELECT id, text, meta, {T1}, {T1} FROM last WHERE id NOT IN (SELECT id FROM docs))"""
+TOXIC = (
+    "gone AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE toxic = 1 "
+    "UNION ALL SELECT 'conv-' || CAST(conv_id AS VARCHAR) FROM conversations)"
+)
+EDITED = f"{UPSERTED}, {TOXIC}, edited AS (SELECT * FROM upserted WHERE id NOT IN (SELECT id FROM gone))"
+
+
+def table_sql(src: str) -> str:
+    return f"SELECT id, text, meta AS metadata, created_at, updated_at FROM {src}"
+
+
+SQL["insert"] = f"""
+WITH {DOCS}, {CH},
+firsts AS (SELECT id, min(ordinal) AS f FROM ch GROUP BY id),
+ins AS (SELECT ch.* FROM ch JOIN firsts USING (id) WHERE ch.ordinal = firsts.f AND ch.id NOT IN (SELECT id FROM docs))
+SELECT id, text, meta AS metadata, {T0} AS created_at, {T0} AS updated_at FROM docs
+UNION ALL SELECT id, text, meta, {T1}, {T1} FROM ins
+"""
+SQL["insert_report"] = f"""
+WITH {DOCS}, {CH},
+firsts AS (SELECT id, min(ordinal) AS f FROM ch GROUP BY id)
+SELECT ch.id, ch.ordinal,
+       CASE WHEN ch.id IN (SELECT id FROM docs) THEN 'exists' WHEN ch.ordinal <> firsts.f THEN 'duplicate'
+            ELSE 'inserted' END AS status
+FROM ch JOIN firsts USING (id)
+"""
+SQL["insert_batch_ok"] = f"""
+WITH {DOCS}
+SELECT id, text, meta AS metadata, {T0} AS created_at, {T0} AS updated_at FROM docs
+UNION ALL
+SELECT 'b' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), text, 'role=' || role, {T1}, {T1} FROM conversations
+"""
+SQL["insert_batch_rejected"] = f"""
+WITH {DOCS}, {CH},
+n AS (SELECT id, count(*) AS c FROM ch GROUP BY id)
+SELECT ch.id, 'rolled_back' AS status,
+       CASE WHEN ch.id IN (SELECT id FROM docs) THEN 'exists' WHEN n.c > 1 THEN 'duplicate in batch' END AS reason
+FROM ch JOIN n USING (id)
+"""
+SQL["update"] = f"""
+WITH {DOCS}, {CH}, {LAST}
+SELECT d.id, coalesce(l.text, d.text) AS text, CASE WHEN l.id IS NULL THEN d.meta ELSE l.meta END AS metadata,
+       {T0} AS created_at, CASE WHEN l.id IS NULL THEN {T0} ELSE {T1} END AS updated_at
+FROM docs d LEFT JOIN last l USING (id)
+"""
+SQL["upsert"] = f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED} {table_sql('upserted')}"
+SQL["upsert_batch"] = SQL["upsert"]
+SQL["stamps"] = f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED} SELECT id, created_at, updated_at FROM upserted"
+SQL["delete"] = f"WITH {DOCS}, {TOXIC} SELECT id FROM docs WHERE id NOT IN (SELECT id FROM gone)"
+SQL["delete_report"] = f"""
+WITH {DOCS}, {TOXIC}
+SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM docs) THEN 'deleted' ELSE 'not_found' END AS status FROM gone
+"""
+SQL["metadata_put"] = f"""
+WITH {DOCS}
+SELECT id AS document_id, 'lang' AS key, lang AS value FROM docs
+UNION ALL SELECT id, 'source', source FROM docs
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'quality', CAST(quality AS VARCHAR) FROM labels
+"""
+SQL["metadata_delete"] = f"""
+WITH {DOCS}
+SELECT id AS document_id, 'lang' AS key, lang AS value FROM docs
+UNION ALL SELECT id, 'source', source FROM docs
+  WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)
+"""
+SQL["metadata_delete_report"] = """
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN toxic = 1 THEN 'source' ELSE 'quality' END AS key,
+       toxic = 1 AS deleted
+FROM labels
+"""
+SQL["validate_split"] = """
+WITH r AS (
+  SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error' THEN event_type END AS text, event_type
+  FROM events)
+SELECT id, CASE WHEN text IS NULL THEN 'Missing ''text'' field'
+                WHEN event_type IN ('click', 'signup') THEN 'Invalid ''metadata'': must be a JSON object of unique keys'
+           END AS error
+FROM r
+"""
+SQL["assign_ids"] = """
+SELECT count(*) AS n, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)::BIGINT AS n_given,
+       sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END)::BIGINT AS n_generated, count(*) AS n_distinct
+FROM conversations
+"""
+SQL["snapshot_roundtrip"] = f"WITH {DOCS} SELECT id, text, meta AS metadata, {T0} AS created_at, {T0} AS updated_at FROM docs"
+
+
+def hashing_from(cte: str, key: str, text: str, dim: int = 64) -> str:
+    """Sparse hashing vectors of any CTE (see hashing_sql)."""
+    return hashing_sql(cte, key, text, dim)
+
+
+VEC_DIGEST = """
+SELECT t.key AS id, 'hashing-64-256' AS model, t.h AS text_hash,
+       round(coalesce((SELECT sum((b.bucket + 1) * b.value) FROM hb_{src} b WHERE b.key = t.key), 0), 6) AS checksum
+FROM (SELECT {key} AS key, sha256({text}) AS h FROM {src}) t
+"""
+SQL["vector_rebuild"] = (
+    f"WITH {HASH_DOCS} "
+    + VEC_DIGEST.format(src="documents", key="CAST(doc_id AS VARCHAR)", text="text")
+)
+SQL["vector_sync"] = (
+    f"WITH {DOCS}, {CH}, {LAST}, {EDITED}, {hashing_from('edited', 'id', 'text')} "
+    + VEC_DIGEST.format(src="edited", key="id", text="text")
+)
+SQL["index_drift"] = f"""
+WITH {DOCS}, {CH}, {LAST}, {EDITED},
+old AS (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS h FROM documents),
+new AS (SELECT id, sha256(text) AS h FROM edited)
+SELECT coalesce(n.id, o.id) AS id,
+       CASE WHEN o.id IS NULL THEN 'missing' WHEN n.id IS NULL THEN 'orphan'
+            WHEN n.h <> o.h THEN 'stale' ELSE 'ok' END AS status
+FROM new n FULL OUTER JOIN old o USING (id)
+"""
+SQL["health"] = f"""
+WITH d AS ({SQL['index_drift']})
+SELECT sum(CASE WHEN status <> 'orphan' THEN 1 ELSE 0 END)::BIGINT AS documents,
+       sum(CASE WHEN status <> 'missing' THEN 1 ELSE 0 END)::BIGINT AS vectors,
+       sum(CASE WHEN status = 'missing' THEN 1 ELSE 0 END)::BIGINT AS missing,
+       sum(CASE WHEN status = 'orphan' THEN 1 ELSE 0 END)::BIGINT AS orphans,
+       sum(CASE WHEN status = 'stale' THEN 1 ELSE 0 END)::BIGINT AS stale
+FROM d
+"""

@@ -416,3 +416,285 @@ def q_metadata_normalise(spark, d):
 
     m = events_json(spark, d).select("event_id", normalise_metadata_json("json").alias("m"))
     return m.select("event_id", F.explode("m").alias("key", "value"))
+
+
+# --------------------------------------------------------------- mutations
+
+MUT_AS_OF = "2024-06-01 00:00:00"
+
+
+def ts_str(c) -> Column:
+    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss")
+
+
+def show_table(t: DataFrame) -> DataFrame:
+    return t.select(
+        "id", "text", meta_str().alias("metadata"), ts_str("created_at").alias("created_at"),
+        ts_str("updated_at").alias("updated_at"),
+    )
+
+
+def conversation_changes(spark, d) -> DataFrame:
+    """Ordered changes from ``conversations``: assistant turns edit document
+    ``conv_id``, other turns a new document ``c<conv_id>``; ordinal = turn."""
+    c = read_table(spark, d, "conversations")
+    cid = c.conv_id.cast("string")
+    return c.select(
+        F.when(c.role == "assistant", cid).otherwise(F.concat(F.lit("c"), cid)).alias("id"),
+        c.text,
+        F.create_map(F.lit("role"), c.role, F.lit("turn"), c.turn.cast("string")).alias("metadata"),
+        c.turn.alias("ordinal"),
+    )
+
+
+def _latest_changes(spark, d) -> DataFrame:
+    from docsift.operators.mutate import latest_per_id
+
+    return latest_per_id(conversation_changes(spark, d)).drop("ordinal")
+
+
+@register("insert")
+def q_insert(spark, d):
+    """M1 + J3 + P7: conversation rows inserted one by one (existing ids and
+    later rows of a new id refused)."""
+    from docsift.operators.mutate import insert
+
+    table, _ = insert(docs_of(spark, d), conversation_changes(spark, d), MUT_AS_OF)
+    return show_table(table)
+
+
+@register("insert_report")
+def q_insert_report(spark, d):
+    from docsift.operators.mutate import insert
+
+    _, report = insert(docs_of(spark, d), conversation_changes(spark, d), MUT_AS_OF)
+    return report
+
+
+@register("insert_batch_ok")
+def q_insert_batch_ok(spark, d):
+    """M2: a batch of fresh unique ids is inserted whole."""
+    from docsift.operators.mutate import insert_batch
+
+    c = read_table(spark, d, "conversations")
+    batch = c.select(
+        F.concat(F.lit("b"), c.conv_id.cast("string"), F.lit("-"), c.turn.cast("string")).alias("id"),
+        "text",
+        F.create_map(F.lit("role"), c.role).alias("metadata"),
+    )
+    table, _ = insert_batch(docs_of(spark, d), batch, MUT_AS_OF)
+    return show_table(table)
+
+
+@register("insert_batch_rejected")
+def q_insert_batch_rejected(spark, d):
+    """M2: existing ids and repeated ids roll the whole batch back."""
+    from docsift.operators.mutate import insert_batch
+
+    table, report = insert_batch(docs_of(spark, d), conversation_changes(spark, d).drop("ordinal"), MUT_AS_OF)
+    return report
+
+
+@register("update")
+def q_update(spark, d):
+    """M3: the last change per id, applied to existing documents only."""
+    from docsift.operators.mutate import update
+
+    table, _ = update(docs_of(spark, d), _latest_changes(spark, d), MUT_AS_OF)
+    return show_table(table)
+
+
+@register("upsert")
+def q_upsert(spark, d):
+    """M4: the last change per id; existing ids updated, others inserted."""
+    from docsift.operators.mutate import upsert
+
+    table, _ = upsert(docs_of(spark, d), _latest_changes(spark, d), MUT_AS_OF)
+    return show_table(table)
+
+
+@register("upsert_batch")
+def q_upsert_batch(spark, d):
+    """M5: ordered changes, last ordinal per id wins, then upsert."""
+    from docsift.operators.mutate import upsert_batch
+
+    table, _ = upsert_batch(docs_of(spark, d), conversation_changes(spark, d), MUT_AS_OF)
+    return show_table(table)
+
+
+@register("stamps")
+def q_stamps(spark, d):
+    """created_at kept on edit, both stamps set on insert."""
+    from docsift.operators.mutate import upsert_batch
+
+    table, _ = upsert_batch(docs_of(spark, d), conversation_changes(spark, d), MUT_AS_OF)
+    return table.select("id", ts_str("created_at").alias("created_at"), ts_str("updated_at").alias("updated_at"))
+
+
+def _toxic_and_missing_ids(spark, d) -> DataFrame:
+    lab = read_table(spark, d, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").cast("string").alias("id"))
+    conv = read_table(spark, d, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("id"))
+    return lab.unionByName(conv)
+
+
+@register("delete")
+def q_delete(spark, d):
+    """M6 + J4: documents labelled toxic deleted (plus ids never present)."""
+    from docsift.operators.mutate import delete
+
+    table, _ = delete(docs_of(spark, d), _toxic_and_missing_ids(spark, d))
+    return table.select("id")
+
+
+@register("delete_report")
+def q_delete_report(spark, d):
+    from docsift.operators.mutate import delete
+
+    _, report = delete(docs_of(spark, d), _toxic_and_missing_ids(spark, d))
+    return report
+
+
+@register("metadata_put")
+def q_metadata_put(spark, d):
+    """M7: key 'quality' set from ``labels``; other keys kept."""
+    from docsift.operators.metadata import explode_metadata, put_metadata
+
+    lab = read_table(spark, d, "labels")
+    edits = lab.select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("quality").alias("key"),
+        F.col("quality").cast("string").alias("value"),
+    )
+    return explode_metadata(put_metadata(docs_of(spark, d), edits))
+
+
+@register("metadata_delete")
+def q_metadata_delete(spark, d):
+    """M8: key 'source' removed from documents labelled toxic."""
+    from docsift.operators.metadata import explode_metadata, delete_metadata
+
+    lab = read_table(spark, d, "labels").filter(F.col("toxic") == 1)
+    edits = lab.select(F.col("doc_id").cast("string").alias("id"), F.lit("source").alias("key"))
+    return explode_metadata(delete_metadata(docs_of(spark, d), edits))
+
+
+@register("metadata_delete_report")
+def q_metadata_delete_report(spark, d):
+    from docsift.operators.metadata import delete_metadata_report
+
+    lab = read_table(spark, d, "labels")
+    edits = lab.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("toxic") == 1, F.lit("source")).otherwise(F.lit("quality")).alias("key"),
+    )
+    return delete_metadata_report(docs_of(spark, d), edits)
+
+
+def event_requests(spark, d) -> DataFrame:
+    """Insert requests from ``events``: errors carry no text; clicks carry a
+    JSON array as metadata; signups an object with a repeated key."""
+    e = read_table(spark, d, "events")
+    meta = (
+        F.when(e.event_type == "click", F.concat(F.lit("["), e.props, F.lit("]")))
+        .when(e.event_type == "signup", F.concat(F.lit('{"k": 0, '), F.substring(e.props, 2, 1000)))
+        .otherwise(e.props)
+    )
+    return e.select(
+        e.event_id.cast("string").alias("id"),
+        F.when(e.event_type != "error", e.event_type).alias("text"),
+        meta.alias("metadata_json"),
+    )
+
+
+@register("validate_split")
+def q_validate_split(spark, d):
+    """one error per rejected request (valid rows have none)."""
+    from docsift.operators.mutate import validate
+
+    return validate(event_requests(spark, d)).select("id", "error")
+
+
+@register("assign_ids")
+def q_assign_ids(spark, d):
+    """Assistant turns keep their id, the others get a generated one."""
+    from docsift.operators.mutate import assign_ids
+
+    c = read_table(spark, d, "conversations")
+    rows = c.select(
+        F.when(c.role == "assistant", F.concat(F.lit("a"), c.conv_id.cast("string"), F.lit("-"), c.turn.cast("string")))
+        .otherwise(F.lit(""))
+        .alias("id"),
+        "text",
+    )
+    out = assign_ids(rows, tag="q")
+    return out.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(~F.col("id_generated"), 1).otherwise(0)).alias("n_given"),
+        F.sum(F.when(F.col("id_generated"), 1).otherwise(0)).alias("n_generated"),
+        F.countDistinct("id").alias("n_distinct"),
+    )
+
+
+@register("snapshot_roundtrip")
+def q_snapshot_roundtrip(spark, d):
+    """S5 + S6: publish both tables to a new store, read the head back."""
+    from docsift.session import scratch_path
+    from docsift.sources.store import Store
+
+    store = Store(spark, scratch_path(spark, "store"))
+    docs = docs_of(spark, d)
+    vecs = vecs_of(spark, d).drop("label")
+    store.publish(docs, vecs)
+    back = store.documents()
+    return show_table(back)
+
+
+# --------------------------------------------------------------- vector table upkeep
+
+
+def edited_docs(spark, d) -> DataFrame:
+    """Documents after the upsert batch and the delete of toxic ones."""
+    from docsift.operators.mutate import delete, upsert_batch
+
+    t, _ = upsert_batch(docs_of(spark, d), conversation_changes(spark, d), MUT_AS_OF)
+    t, _ = delete(t, _toxic_and_missing_ids(spark, d))
+    return t
+
+
+def _vec_digest(v: DataFrame) -> DataFrame:
+    chk = F.aggregate(
+        F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0).cast("double"), lambda a, x: a + x
+    )
+    return v.select("id", "model", "text_hash", r6(chk).alias("checksum"))
+
+
+@register("vector_rebuild")
+def q_vector_rebuild(spark, d):
+    """K1: hashing vectors of every document, with model and text hash."""
+    return _vec_digest(hashing_vectors(spark, d))
+
+
+@register("vector_sync")
+def q_vector_sync(spark, d):
+    """K2: vectors of the original documents synced to the edited ones
+    (only changed and new documents embedded); equals a rebuild."""
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.operators.index import sync
+
+    old = hashing_vectors(spark, d)
+    return _vec_digest(sync(edited_docs(spark, d), old, HashingEmbedder(64)))
+
+
+@register("index_drift")
+def q_index_drift(spark, d):
+    """Edited documents against the vectors of the original ones."""
+    from docsift.operators.index import drift
+
+    return drift(edited_docs(spark, d), hashing_vectors(spark, d), "hashing-64-256")
+
+
+@register("health")
+def q_health(spark, d):
+    """A4: counts of documents, vectors and drift."""
+    from docsift.operators.index import health
+
+    return health(edited_docs(spark, d), hashing_vectors(spark, d), "hashing-64-256")
