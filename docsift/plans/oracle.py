@@ -357,3 +357,26 @@ SELECT sum(CASE WHEN status <> 'orphan' THEN 1 ELSE 0 END)::BIGINT AS documents,
        sum(CASE WHEN status = 'stale' THEN 1 ELSE 0 END)::BIGINT AS stale
 FROM d
 """
+
+SQL["semantic_search_grid"] = knn_all_sql(10)
+SQL["ann_full_probe"] = knn_all_sql(10)
+SQL["search_dispatch_metadata"] = f"""
+WITH {DOCS}
+SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0 AS score, meta AS metadata
+FROM (SELECT * FROM docs WHERE source = 'src7' ORDER BY id LIMIT 10)
+"""
+SQL["search_dispatch_text"] = f"""
+WITH {DOCS}
+SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0 AS score, meta AS metadata
+FROM (SELECT * FROM docs WHERE {fold('text')} LIKE '%eau%' ORDER BY id LIMIT 10)
+"""
+QTEXT = "qtext AS (SELECT 'q' AS qid, 'the and of in' AS text)"
+SQL["search_dispatch_unknown_type"] = f"""
+WITH {DOCS}, {QTEXT}, {HASH_DOCS}, {hashing_sql('qtext', 'qid', 'text')},
+dots AS (SELECT d.key AS id, sum(q.value * d.value) AS dt FROM hb_qtext q JOIN hb_documents d USING (bucket) GROUP BY d.key),
+dist AS (SELECT d.key AS id, greatest(d.sq + q.sq - 2 * coalesce(dots.dt, 0), 0) AS dist
+         FROM hn_documents d CROSS JOIN hn_qtext q LEFT JOIN dots ON dots.id = d.key),
+r AS (SELECT *, row_number() OVER (ORDER BY round(dist, 9), id) AS rank FROM dist)
+SELECT r.rank, r.id, docs.text, round(1.0 / (1.0 + r.dist), 6) AS score, docs.meta AS metadata
+FROM r JOIN docs USING (id) WHERE r.rank <= 10 AND 1.0 / (1.0 + r.dist) >= 0.6
+"""

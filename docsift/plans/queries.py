@@ -698,3 +698,92 @@ def q_health(spark, d):
     from docsift.operators.index import health
 
     return health(edited_docs(spark, d), hashing_vectors(spark, d), "hashing-64-256")
+
+
+# --------------------------------------------------------------- approximate search and dispatch
+
+
+@register("semantic_search_grid")
+def q_semantic_search_grid(spark, d):
+    """T2 through the bounded grid (query side too big to broadcast): small
+    blocks force many (corpus block x query block) cells."""
+    from docsift.operators.knn import knn_grid
+    from docsift.plans.search import drop_orphans
+
+    docs, vecs = docs_of(spark, d), vecs_of(spark, d)
+    corpus = drop_orphans(vecs, docs).select("id", "embedding")
+    queries = vecs.select(F.col("id").alias("query_id"), "embedding")
+    hits = knn_grid(corpus, queries, 10, max_block_rows=128, max_query_rows=96)
+    return hits.select("query_id", "rank", "id", r6("dist").alias("dist"), r6("score").alias("score"))
+
+
+def _ivf(spark, d, nlist=8):
+    from docsift.operators.ann import build_ivf
+    from docsift.plans.search import drop_orphans
+
+    docs, vecs = docs_of(spark, d), vecs_of(spark, d)
+    return build_ivf(drop_orphans(vecs, docs).select("id", "embedding"), nlist=nlist, seed=7)
+
+
+@register("ann_full_probe")
+def q_ann_full_probe(spark, d):
+    """K3 + K4 + J7 with nprobe = nlist: must equal the exact search."""
+    from docsift.operators.ann import ann_search
+
+    idx = _ivf(spark, d)
+    queries = vecs_of(spark, d).select(F.col("id").alias("query_id"), "embedding")
+    hits = ann_search(idx, queries, 10, nprobe=idx.nlist)
+    return hits.select("query_id", "rank", "id", r6("dist").alias("dist"), r6("score").alias("score"))
+
+
+@register("ann_recall")
+def q_ann_recall(spark, d):
+    """Q4 for K4: recall@10 against the exact search at nprobe 1, 2, 4, 8."""
+    from docsift.operators.ann import ann_search
+    from docsift.operators.knn import knn
+    from docsift.plans.evaluate import recall_at_k
+
+    idx = _ivf(spark, d)
+    queries = vecs_of(spark, d).select(F.col("id").alias("query_id"), "embedding")
+    exact = knn(idx.vectors.select("id", "embedding"), queries, 10)
+    out = None
+    for p in (1, 2, 4, 8):
+        r = recall_at_k(ann_search(idx, queries, 10, nprobe=p), exact, 10).select(
+            F.lit(p).alias("nprobe"), r6("recall").alias("recall")
+        )
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("search_dispatch_metadata")
+def q_search_dispatch_metadata(spark, d):
+    """Q3: a metadata filter replaces the query, type and threshold."""
+    from docsift.plans.search import search
+
+    res = search(
+        docs_of(spark, d), None, "population of portugal", k=10, type="semantic",
+        metadata={"key": "source", "value": "src7"}, threshold=0.99,
+    )
+    return _show_results(res, with_query=False)
+
+
+@register("search_dispatch_text")
+def q_search_dispatch_text(spark, d):
+    """Q3: type 'fulltext' -> substring search, first 10 in id order."""
+    from docsift.plans.search import search
+
+    res = search(docs_of(spark, d), None, "Eau", k=10, type="fulltext")
+    return _show_results(res, with_query=False)
+
+
+@register("search_dispatch_unknown_type")
+def q_search_dispatch_unknown_type(spark, d):
+    """Q3: an unknown type is semantic (hashing embedder), threshold 0.6."""
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.plans.search import search
+
+    res = search(
+        docs_of(spark, d), hashing_vectors(spark, d), "the and of in", k=10, type="bogus",
+        threshold=0.6, embedder=HashingEmbedder(64),
+    )
+    return _show_results(res, with_query=False)
