@@ -58,11 +58,13 @@ def validate(changes: DataFrame, require_id: bool = False) -> DataFrame:
         bad_meta = F.lit(False)
     if "id" not in df.columns:
         df = df.withColumn("id", F.lit(None).cast("string"))
-    err = F.when(F.col("text").isNull(), F.lit("Missing 'text' field"))
+    malformed = F.col("_malformed") if "_malformed" in df.columns else F.lit(False)
+    err = F.when(malformed, F.lit("Malformed JSON")).when(F.col("text").isNull(), F.lit("Missing 'text' field"))
     if require_id:
         err = err.when(F.col("id").isNull() | (F.col("id") == ""), F.lit("Missing 'id' field"))
     err = err.when(bad_meta, F.lit("Invalid 'metadata': must be a JSON object of unique keys"))
-    return df.withColumn("error", err)
+    out = df.withColumn("error", err)
+    return out.drop("_malformed") if "_malformed" in out.columns else out
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

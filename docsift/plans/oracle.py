@@ -380,3 +380,12 @@ r AS (SELECT *, row_number() OVER (ORDER BY round(dist, 9), id) AS rank FROM dis
 SELECT r.rank, r.id, docs.text, round(1.0 / (1.0 + r.dist), 6) AS score, docs.meta AS metadata
 FROM r JOIN docs USING (id) WHERE r.rank <= 10 AND 1.0 / (1.0 + r.dist) >= 0.6
 """
+
+SQL["text_files"] = "SELECT CAST(doc_id AS VARCHAR) AS name, text FROM documents"
+SQL["json_documents"] = """
+SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error' THEN event_type END AS text,
+       'k=' || CAST(json_extract(props, '$.k') AS VARCHAR) AS metadata,
+       CASE WHEN event_type = 'error' THEN 'Missing ''text'' field' END AS error
+FROM events
+"""
+SQL["ingest_stream"] = SQL["upsert_batch"]

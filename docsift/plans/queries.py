@@ -787,3 +787,70 @@ def q_search_dispatch_unknown_type(spark, d):
         threshold=0.6, embedder=HashingEmbedder(64),
     )
     return _show_results(res, with_query=False)
+
+
+# --------------------------------------------------------------- sources and streaming
+
+
+@register("text_files")
+def q_text_files(spark, d):
+    """Every document written as ``<doc_id>.txt``, read back whole."""
+    from docsift.session import scratch_path
+    from docsift.sources.files import read_text_files, write_text_files
+
+    path = scratch_path(spark, "text-files")
+    src = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), "text")
+    write_text_files(src, path)
+    return read_text_files(spark, path).select("name", "text")
+
+
+def conversation_json_lines(spark, d) -> DataFrame:
+    """The conversation changes as JSON lines (one object per change)."""
+    ch = conversation_changes(spark, d)
+    meta = F.to_json(F.col("metadata"))
+    return ch.select(
+        F.col("ordinal").alias("turn"),
+        F.concat(
+            F.lit('{"id": '), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2),
+            F.lit(', "text": '), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2),
+            F.lit(', "metadata": '), meta,
+            F.lit(', "ordinal": '), F.col("ordinal").cast("string"), F.lit("}"),
+        ).alias("value"),
+    )
+
+
+@register("json_documents")
+def q_json_documents(spark, d):
+    """S2 + F6 + P3: event requests written as JSON lines and read back."""
+    from docsift.operators.mutate import validate
+    from docsift.session import scratch_path
+    from docsift.sources.json_docs import read_json_documents
+
+    e = read_table(spark, d, "events")
+    text = F.when(e.event_type != "error", F.concat(F.lit(', "text": "'), e.event_type, F.lit('"'))).otherwise(F.lit(""))
+    line = F.concat(F.lit('{"id": "'), e.event_id.cast("string"), F.lit('"'), text, F.lit(', "metadata": '), e.props, F.lit("}"))
+    path = scratch_path(spark, "json-docs")
+    e.select(line.alias("value")).write.text(path)
+    checked = validate(read_json_documents(spark, path))
+    return checked.select("id", "text", meta_str().alias("metadata"), "error")
+
+
+@register("ingest_stream")
+def q_ingest_stream(spark, d):
+    """Conversation changes arrive as one JSON-lines file per turn and are
+    ingested by a stream (one file per micro-batch); the final table equals
+    the upsert batch of all changes."""
+    from docsift.session import scratch_path
+    from docsift.sources.store import Store
+    from docsift.streaming.ingest import ingest
+
+    root = scratch_path(spark, "ingest")
+    src = f"{root}/incoming"
+    lines = conversation_json_lines(spark, d)
+    turns = sorted(r["turn"] for r in lines.select("turn").distinct().collect())
+    for t in turns:  # one file per turn, in order: the arrival order of changes
+        lines.filter(F.col("turn") == t).select("value").coalesce(1).write.text(f"{src}/turn={t:04d}")
+    store = Store(spark, f"{root}/store")
+    store.publish(docs_of(spark, d), None)
+    ingest(spark, src, store, f"{root}/checkpoint", MUT_AS_OF, files_per_batch=1)
+    return show_table(store.documents())
