@@ -259,17 +259,19 @@ def _grid_cells(
     )
     # One row per key: bounded by the number of coarse lists (or 1).
     plan = F.broadcast(plan)
+    # Cell keys must have the same types on both sides of the cogroup, or
+    # equal cells hash to different partitions: all int.
     c = corpus.join(plan, "_key").select(
-        "_key",
-        F.pmod(F.xxhash64("id"), F.col("cs")).alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"),
+        F.col("_key").cast("int").alias("_key"),
+        F.pmod(F.xxhash64("id"), F.col("cs")).cast("int").alias("cb"),
+        F.explode(F.sequence(F.lit(0), F.col("qs").cast("int") - 1)).alias("qb"),
         "id",
         "embedding",
     )
     q = queries.join(plan, "_key").select(
-        "_key",
-        F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("cb"),
-        F.pmod(F.xxhash64("query_id"), F.col("qs")).alias("qb"),
+        F.col("_key").cast("int").alias("_key"),
+        F.explode(F.sequence(F.lit(0), F.col("cs").cast("int") - 1)).alias("cb"),
+        F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("qb"),
         "query_id",
         F.col("embedding").alias("q_embedding"),
     )
@@ -303,7 +305,14 @@ def knn_grid(
 
     def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"query_id": [], "id": [], "dist": [], "key": []})
+            return pd.DataFrame(
+                {
+                    "query_id": pd.Series([], dtype=object),
+                    "id": pd.Series([], dtype=object),
+                    "dist": pd.Series([], dtype="float64"),
+                    "key": pd.Series([], dtype="float64"),
+                }
+            )
         Q = np.stack(qpdf["q_embedding"].to_numpy()).astype(np.float64)
         X = np.stack(cpdf["embedding"].to_numpy()).astype(np.float64)
         qids = qpdf["query_id"].to_numpy()

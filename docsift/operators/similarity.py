@@ -87,7 +87,9 @@ def similarity_pairs(
         left = pdf[pdf["_blk"] == ci]
         right = pdf[pdf["_blk"] == cj] if ci != cj else left
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"id_a": [], "id_b": [], "sim": []})
+            return pd.DataFrame(
+                {"id_a": pd.Series([], dtype=object), "id_b": pd.Series([], dtype=object), "sim": pd.Series([], dtype="float64")}
+            )
         A = np.stack(left["embedding"].to_numpy()).astype(np.float64)
         Bm = np.stack(right["embedding"].to_numpy()).astype(np.float64)
         a, b, s = _cell_pairs(
