@@ -19,7 +19,10 @@ from docsift.schema import DOC_COLUMNS, META_TYPE
 
 MAX_BROADCAST_CHANGES = 1_000_000
 
-EMPTY_META = F.create_map().cast(META_TYPE)
+
+
+def _empty_meta():
+    return F.create_map().cast(META_TYPE)
 
 
 def _is_small(df: DataFrame, n: int = MAX_BROADCAST_CHANGES) -> bool:
@@ -98,7 +101,7 @@ def _as_docs(rows: DataFrame, as_of) -> DataFrame:
     return rows.select(
         "id",
         "text",
-        F.coalesce(F.col("metadata"), EMPTY_META).alias("metadata"),
+        F.coalesce(F.col("metadata"), _empty_meta()).alias("metadata"),
         _ts(as_of).alias("created_at"),
         _ts(as_of).alias("updated_at"),
     )
@@ -176,7 +179,7 @@ def _apply(docs: DataFrame, changes: DataFrame, as_of, insert_missing: bool) ->
     ch = changes.select(
         "id",
         F.col("text").alias("_text"),
-        F.coalesce(F.col("metadata"), EMPTY_META).alias("_meta"),
+        F.coalesce(F.col("metadata"), _empty_meta()).alias("_meta"),
         F.lit(True).alias("_hit"),
     )
     small = _is_small(ch)
