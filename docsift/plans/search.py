@@ -83,6 +83,9 @@ def search_vectors(
     return _results(fetch_documents(docs, hits), True)
 
 
+MAX_DEEPENING = 100_000
+
+
 def search_vector(
     docs: DataFrame,
     vectors: DataFrame,
@@ -91,11 +94,38 @@ def search_vector(
     threshold: float = 0.0,
     check_orphans: bool = True,
 ) -> DataFrame:
-    """Q2: one query vector -> [rank, id, text, score, metadata], best first."""
+    """Q2: one query vector -> [rank, id, text, score, metadata], best first.
+
+    Orphan vectors (no document) are skipped exactly without joining the two
+    tables: take the top ``kk`` over all vectors (kk = k, 4k, 16k, ...), look
+    up only those ids in the documents (an ``id IN (...)`` the scan can
+    use), and keep the first k that have a document. Any live vector outside
+    the top ``kk`` ranks below all of them, so the answer is exact. Usually
+    one round; past ``MAX_DEEPENING`` candidates it falls back to the id join
+    of ``drop_orphans``.
+    """
     k = check_k(k)
-    corpus = drop_orphans(vectors, docs) if check_orphans else vectors
-    hits = knn_ops.knn_vector(corpus, np.asarray(vector, dtype=np.float64), k, threshold)
-    return _results(fetch_documents(docs, hits), False).orderBy("rank")
+    q = np.asarray(vector, dtype=np.float64)
+    spark = docs.sparkSession
+    doc_schema = docs.select("id", "text", "metadata").schema
+    kk = k
+    while True:
+        if kk > MAX_DEEPENING:
+            corpus = drop_orphans(vectors, docs)
+            hits = knn_ops.knn_vector(corpus, q, k, threshold)
+            return _results(fetch_documents(docs, hits), False).orderBy("rank")
+        hits = knn_ops.knn_vector(vectors, q, kk, threshold)
+        rows = sorted(hits.collect(), key=lambda r: r["rank"])  # at most kk rows
+        ids = [r["id"] for r in rows]
+        fetched = docs.filter(F.col("id").isin(ids)).select("id", "text", "metadata").collect() if ids else []
+        live = {r["id"] for r in fetched}
+        kept = [r for r in rows if (r["id"] in live or not check_orphans)][:k]
+        if len(kept) == k or len(rows) < kk or not check_orphans:
+            ranked = [(r["query_id"], r["id"], r["dist"], r["score"], i + 1) for i, r in enumerate(kept)]
+            hit_df = spark.createDataFrame(ranked, hits.schema)
+            doc_df = spark.createDataFrame(fetched, doc_schema)
+            return _results(hit_df.join(doc_df, "id"), False).orderBy("rank")
+        kk *= 4
 
 
 def search_texts(
