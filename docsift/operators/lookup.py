@@ -37,11 +37,23 @@ def get_by_ids(docs: DataFrame, ids: DataFrame | Iterable[str]) -> DataFrame:
     return docs.join(_ids_frame(docs, ids), "id", "left_semi").select("id", "text", "metadata")
 
 
+MAX_BROADCAST_IDS = 1_000_000
+
+
 def exists_flags(docs: DataFrame, ids: DataFrame | Iterable[str]) -> DataFrame:
-    """[id, exists] for each distinct requested id."""
+    """[id, exists] for each distinct requested id.
+
+    A bounded id set (checked) is broadcast against a scan of the document
+    ids, so the table is not shuffled; a large one uses a shuffle join.
+    """
     want = _ids_frame(docs, ids).distinct()
-    have = docs.select("id", F.lit(True).alias("exists"))
-    return want.join(have, "id", "left").select("id", F.coalesce("exists", F.lit(False)).alias("exists"))
+    small = want.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    if small:
+        found = docs.select("id").join(F.broadcast(want), "id", "left_semi").withColumn("exists", F.lit(True))
+        joined = want.join(F.broadcast(found), "id", "left")
+    else:
+        joined = want.join(docs.select("id", F.lit(True).alias("exists")), "id", "left")
+    return joined.select("id", F.coalesce("exists", F.lit(False)).alias("exists"))
 
 
 def first_k_by_id(df: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from docsift.schema import LIST_CAP, META_TYPE
 
+MAX_BROADCAST_EDITS = 1_000_000
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """Broadcast a per-document edit frame when it is bounded (checked), so
+    the document table is scanned rather than shuffled."""
+    small = df.limit(MAX_BROADCAST_EDITS + 1).count() <= MAX_BROADCAST_EDITS
+    return F.broadcast(df) if small else df
+
 
 def explode_metadata(docs: DataFrame) -> DataFrame:
     """Map form -> long rows [document_id, key, value]."""
@@ -78,7 +87,7 @@ def put_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
     not defined: at most one value per (id, key) is accepted).
     """
     per_doc = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_new"))
-    joined = docs.join(per_doc, "id", "left")
+    joined = docs.join(_side(per_doc), "id", "left")
     merged = F.when(
         F.col("_new").isNull(), F.col("metadata")
     ).otherwise(
@@ -92,8 +101,9 @@ def put_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 def put_metadata_report(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """[id, key, status]: ``ok`` or ``not_found`` for each edit row."""
-    have = docs.select("id", F.lit(True).alias("_has"))
-    return edits.join(have, "id", "left").select(
+    want = edits.select("id").distinct()
+    have = docs.select("id").join(_side(want), "id", "left_semi").withColumn("_has", F.lit(True))
+    return edits.join(_side(have), "id", "left").select(
         "id", "key", F.when(F.col("_has"), F.lit("ok")).otherwise(F.lit("not_found")).alias("status")
     )
 
@@ -101,7 +111,7 @@ def put_metadata_report(docs: DataFrame, edits: DataFrame) -> DataFrame:
 def delete_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """M8: remove keys given as rows [id, key]; other keys kept."""
     per_doc = edits.groupBy("id").agg(F.collect_set("key").alias("_drop"))
-    joined = docs.join(per_doc, "id", "left")
+    joined = docs.join(_side(per_doc), "id", "left")
     kept = F.when(F.col("_drop").isNull(), F.col("metadata")).otherwise(
         F.map_filter("metadata", lambda k, v: ~F.array_contains(F.col("_drop"), k))
     )
@@ -110,7 +120,8 @@ def delete_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 def delete_metadata_report(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """[id, key, deleted]: whether the key existed on that document."""
-    have = docs.select("id", "metadata")
-    return edits.join(have, "id", "left").select(
+    want = edits.select("id").distinct()
+    have = docs.select("id", "metadata").join(_side(want), "id", "left_semi")
+    return edits.join(_side(have), "id", "left").select(
         "id", "key", F.coalesce(F.map_contains_key("metadata", F.col("key")), F.lit(False)).alias("deleted")
     )
