@@ -57,7 +57,10 @@ def sync(docs: DataFrame, vectors: DataFrame, embedder) -> DataFrame:
     dr = drift(docs, vectors, embedder.model)
     bad = dr.filter(F.col("status").isin("orphan", "stale")).select("id")
     todo = dr.filter(F.col("status").isin("missing", "stale")).select("id")
-    n_bad = bad.limit(MAX_BROADCAST_IDS + 1).count()
+    # One action for both sizes: at most four rows come back.
+    per_status = {r["status"]: r["n"] for r in dr.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_bad = per_status.get("orphan", 0) + per_status.get("stale", 0)
+    n_todo = per_status.get("missing", 0) + per_status.get("stale", 0)
     v = vectors.select(*VEC_COLUMNS)
     if n_bad == 0:
         kept = v
@@ -65,7 +68,6 @@ def sync(docs: DataFrame, vectors: DataFrame, embedder) -> DataFrame:
         kept = v.join(F.broadcast(bad), "id", "left_anti")
     else:
         kept = v.join(bad, "id", "left_anti")
-    n_todo = todo.limit(MAX_BROADCAST_IDS + 1).count()
     if n_todo == 0:
         return kept
     side = F.broadcast(todo) if n_todo <= MAX_BROADCAST_IDS else todo
@@ -84,3 +86,19 @@ def health(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> Dat
         F.sum(F.when(F.col("status") == "stale", 1).otherwise(0)).alias("stale"),
     )
     return counts.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts.columns])
+
+
+def load_or_build(store, embedder, publish: bool = True) -> DataFrame:
+    """The vectors of the store's head, synced to its documents (a full
+    build when there are none yet); optionally published as a new version."""
+    head = store.head()
+    docs = store.documents(head)
+    vectors = store.vectors(head)
+    if vectors.limit(1).count() == 0:
+        out = rebuild(docs, embedder)
+    else:
+        out = sync(docs, vectors, embedder)
+    if publish:
+        c = store.publish(None, out, parent=head)
+        return store.vectors(c)
+    return out

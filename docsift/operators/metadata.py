@@ -83,10 +83,13 @@ def put_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
     Other keys are kept. Edits for unknown ids do nothing (the reference's
     foreign key refuses them); see ``put_metadata_report`` for the refused.
-    Several edits for one document are applied together (last key wins is
-    not defined: at most one value per (id, key) is accepted).
+    Several edits of one (id, key) apply in ``ordinal`` order (last wins).
     """
-    per_doc = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_new"))
+    # One value per (id, key): the edit with the largest ``ordinal`` (or the
+    # largest value when no order is given), reduced map-side by ``max_by``.
+    order = F.col("ordinal") if "ordinal" in edits.columns else F.col("value")
+    last = edits.groupBy("id", "key").agg(F.max_by("value", order).alias("value"))
+    per_doc = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_new"))
     joined = docs.join(_side(per_doc), "id", "left")
     merged = F.when(
         F.col("_new").isNull(), F.col("metadata")

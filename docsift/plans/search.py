@@ -83,7 +83,7 @@ def search_vectors(
     return _results(fetch_documents(docs, hits), True)
 
 
-MAX_DEEPENING = 100_000
+MAX_DEEPENING = 10_000
 
 
 def search_vector(

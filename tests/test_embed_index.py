@@ -132,3 +132,17 @@ def test_embed_documents_carries_hash(spark):
     docs = documents_from_testdata(spark, SF01).limit(20)
     v = embed_documents(docs, HashingEmbedder(16))
     assert v.columns == ["id", "embedding", "model", "text_hash"] and v.count() == 20
+
+
+def test_load_or_build(spark, tmp_path):
+    from docsift.operators.index import load_or_build
+    from docsift.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    docs = documents_from_testdata(spark, SF01).limit(50)
+    store.publish(docs, None)
+    emb = HashingEmbedder(16)
+    v1 = load_or_build(store, emb)
+    assert v1.count() == 50
+    v2 = load_or_build(store, emb)  # nothing changed: same vectors
+    assert vec_map(v1).keys() == vec_map(v2).keys()

@@ -134,3 +134,11 @@ def test_metadata_wins_and_half_filter(docs_factory):
     assert search(docs, None, "q", metadata={"key": "k"}).count() == 0
     assert json.dumps(1)  # keep json imported for fixtures
     assert F.lit(1) is not None
+
+
+def test_metadata_put_repeated_key_last_wins(spark, docs_factory):
+    docs = docs_factory([("a", "x", {"k": "v"})])
+    edits = spark.createDataFrame(
+        [("a", "k", "first", 1), ("a", "k", "second", 2), ("a", "j", "w", 3)], "id string, key string, value string, ordinal long"
+    )
+    assert table(put_metadata(docs, edits)) == {"a": ("x", {"k": "second", "j": "w"})}
