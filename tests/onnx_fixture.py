@@ -1,0 +1,80 @@
+"""A tiny ONNX model and tokenizer for testing the ONNX embedder.
+
+The model is one ``Gather`` from a [vocab, H] table: last_hidden[b, s] =
+table[input_ids[b, s]]. It is encoded by hand (protobuf wire format), since
+the ``onnx`` package is not available; onnxruntime loads it from the file.
+"""
+
+from __future__ import annotations
+
+
+import numpy as np
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while True:
+        b = n & 0x7F
+        n >>= 7
+        if n:
+            out.append(b | 0x80)
+        else:
+            out.append(b)
+            return bytes(out)
+
+
+def _key(field: int, wire: int) -> bytes:
+    return _varint((field << 3) | wire)
+
+
+def _int(field: int, v: int) -> bytes:
+    return _key(field, 0) + _varint(v)
+
+
+def _bytes(field: int, v: bytes) -> bytes:
+    return _key(field, 2) + _varint(len(v)) + v
+
+
+def _str(field: int, v: str) -> bytes:
+    return _bytes(field, v.encode())
+
+
+def _value_info(name: str, elem_type: int, dims: list) -> bytes:
+    shape = b"".join(_bytes(1, _str(2, d) if isinstance(d, str) else _int(1, d)) for d in dims)
+    tensor_type = _int(1, elem_type) + _bytes(2, shape)
+    return _str(1, name) + _bytes(2, _bytes(1, tensor_type))
+
+
+def gather_model(table: np.ndarray) -> bytes:
+    FLOAT, INT64 = 1, 7
+    vocab, hidden = table.shape
+    init = (
+        _int(1, vocab) + _int(1, hidden) + _int(2, FLOAT) + _str(8, "table")
+        + _bytes(9, np.ascontiguousarray(table, dtype="<f4").tobytes())
+    )
+    node = _str(1, "table") + _str(1, "input_ids") + _str(2, "last_hidden") + _str(3, "g") + _str(4, "Gather")
+    graph = (
+        _bytes(1, node)
+        + _str(2, "tiny")
+        + _bytes(5, init)
+        + _bytes(11, _value_info("input_ids", INT64, ["B", "S"]))
+        + _bytes(11, _value_info("attention_mask", INT64, ["B", "S"]))
+        + _bytes(12, _value_info("last_hidden", FLOAT, ["B", "S", hidden]))
+    )
+    opset = _str(1, "") + _int(2, 13)
+    return _int(1, 8) + _str(2, "docsift-test") + _bytes(7, graph) + _bytes(8, opset)
+
+
+def word_tokenizer_json(words: list[str]) -> str:
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    vocab = {"[PAD]": 0, "[UNK]": 1}
+    for w in words:
+        vocab.setdefault(w, len(vocab))
+    tok = Tokenizer(WordLevel(vocab, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    return tok.to_str()
+
+

@@ -1,0 +1,32 @@
+"""V6 onnx: tokenise, cut, run the model, masked mean pool, normalise."""
+
+import numpy as np
+import pytest
+
+from tests.onnx_fixture import gather_model, word_tokenizer_json
+
+ort = pytest.importorskip("onnxruntime")
+
+
+def test_onnx_embedder_matches_numpy(spark, tmp_path):
+    from docsift.operators.embed import OnnxEmbedder
+
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    rng = np.random.default_rng(0)
+    table = rng.normal(size=(len(words) + 2, 6)).astype(np.float32)
+    table[0] = 1e6  # the padding row must not leak into the mean
+    model = tmp_path / "m.onnx"
+    model.write_bytes(gather_model(table))
+    tok = tmp_path / "tok.json"
+    tok.write_text(word_tokenizer_json(words))
+
+    texts = [("a", "alpha beta"), ("b", "gamma gamma delta unknownword"), ("c", "alpha beta gamma delta eps alpha")]
+    df = spark.createDataFrame(texts, "id string, text string")
+    out = {r["id"]: np.asarray(r["embedding"]) for r in OnnxEmbedder(str(model), str(tok), max_tokens=4).embed(df).collect()}
+
+    ids = {"[PAD]": 0, "[UNK]": 1, **{w: i + 2 for i, w in enumerate(words)}}
+    for key, text in texts:
+        toks = [ids.get(w, 1) for w in text.split()][:4]  # cut at max_tokens
+        mean = table[toks].astype(np.float64).mean(axis=0)
+        want = mean / (np.sqrt((mean ** 2).sum()) + 1e-12)
+        assert out[key] == pytest.approx(want, abs=1e-6)
