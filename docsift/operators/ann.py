@@ -102,7 +102,15 @@ class IvfIndex:
 
     def write(self, path: str) -> None:
         """Vectors partitioned by list: a search reads only probed lists."""
-        self.vectors.write.mode("overwrite").partitionBy("list_id").parquet(path)
+        # Rebalance by list: a hot list is split over several tasks/files
+        # instead of landing in one; small lists share no file with others.
+        self.vectors.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+    @staticmethod
+    def read(spark, path: str, centroids: np.ndarray, n_rows: int) -> "IvfIndex":
+        """Vectors written by ``write``; a probe's ``list_id IN (...)`` prunes
+        whole list folders."""
+        return IvfIndex(centroids, spark.read.parquet(path), n_rows)
 
 
 def build_ivf(vectors: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20) -> IvfIndex:

@@ -88,15 +88,13 @@ class Store:
     # ------------------------------------------------------------ writing
 
     def _write(self, df: DataFrame, table: str, version: int) -> None:
-        n = self.files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # Hash by id into files, sorted inside each file: a point lookup's
-        # id filter then skips row groups by their min/max statistics.
-        (
-            df.repartition(n, "id")
-            .sortWithinPartitions("id")
-            .write.mode("overwrite")
-            .parquet(self._table_path(table, version))
-        )
+        # Hash by id into files, sorted inside each file: a point lookup's id
+        # filter then skips row groups by their min/max statistics. The
+        # rebalance hint lets AQE size the files to the advisory partition
+        # size (and split skewed ones), so file size does not grow with the
+        # table; ``files`` pins the count instead.
+        spread = df.repartition(self.files, "id") if self.files else df.hint("rebalance", "id")
+        spread.sortWithinPartitions("id").write.mode("overwrite").parquet(self._table_path(table, version))
 
     def publish(
         self,

@@ -106,3 +106,18 @@ def test_ann_full_probe_equals_exact(spark):
     # the grid path of the approximate search (query side over the bound)
     assert _rows(ann_search(idx, queries, 10, nprobe=idx.nlist, max_broadcast_bytes=1)) == exact
     assert idx.nprobe_for(1) == 1 and idx.nprobe_for(10**9) == idx.nlist
+
+
+def test_ann_written_index_prunes_lists(spark, tmp_path):
+    from docsift.operators.ann import IvfIndex, ann_search, build_ivf
+    from docsift.sources.testdata import vectors_from_testdata
+
+    vecs = vectors_from_testdata(spark, SF01).select("id", "embedding")
+    idx = build_ivf(vecs, nlist=4, seed=1)
+    idx.write(str(tmp_path / "ivf"))
+    back = IvfIndex.read(spark, str(tmp_path / "ivf"), idx.centroids, idx.n_rows)
+    queries = vecs.limit(20).select(F.col("id").alias("query_id"), "embedding")
+    assert _rows(ann_search(back, queries, 5, nprobe=2)) == _rows(ann_search(idx, queries, 5, nprobe=2))
+    probe = back.vectors.filter(F.col("list_id").isin([0]))
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "list_id" in plan
