@@ -1,100 +1,148 @@
-"""Versioned snapshots of the document and vector tables.
+"""Versioned snapshots of the document and vector tables,
+copy-on-write per id bucket.
 
 Layout under ``root`` (any Hadoop file system path):
 
-    documents/v=N/   parquet, hash-partitioned by id, sorted by id in a file
-    vectors/v=N/     parquet, same layout
-    _commits/N/      one JSON row: version, both table versions, batch id,
-                     the version it was built from
-
-A publish writes the new table versions first and the commit row last. The
-commit row is written by a Spark job, and a job's files become visible only
-when it commits, so a reader never sees half a publish. The current state
-is the commit with the largest N. Every mutation writes a new version (a
-plan cannot overwrite the files it reads), which also cuts the lineage.
+    documents/v=N/bucket=B/   parquet rows of version N whose id hashes to B
+    vectors/v=N/bucket=B/     the same for vectors (same bucket function)
+    _commits/N/               one JSON row: version, batch id, parent, and for
+                              each table the map bucket -> version holding it
+
+``bucket = pmod(xxhash64(id), buckets)``. A mutation only concerns the ids
+it names, so it reads the buckets those ids hash to, rewrites just those as
+version N, and the commit inherits every other bucket from its parent: an
+edit costs the size of its buckets, not of the table. A full publish writes
+all buckets. Rows are sorted by id inside each file, so an ``id IN (...)``
+lookup skips row groups by their statistics.
+
+The commit row is written last by its own Spark job, and a job's files become
+visible only when it commits, so a reader never sees half a publish; an
+unfinished publish leaves files no commit names. The head is the commit with
+the largest version. Every version is new files (a plan never overwrites what
+it reads), which also cuts the lineage of the mutation plans.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from docsift.schema import DOCUMENTS, VECTORS
 
-COMMIT_SCHEMA = "version long, documents long, vectors long, batch_id long, parent long"
+TABLES = {"documents": DOCUMENTS, "vectors": VECTORS}
+DEFAULT_BUCKETS = 64
 
 
 @dataclass
 class Commit:
     version: int
-    documents: int
-    vectors: int
-    batch_id: int | None
-    parent: int | None
+    batch_id: int | None = None
+    parent: int | None = None
+    documents: dict[int, int] = field(default_factory=dict)
+    vectors: dict[int, int] = field(default_factory=dict)
+
+    @staticmethod
+    def from_json(text: str) -> "Commit":
+        d = json.loads(text)
+        return Commit(
+            d["version"],
+            d.get("batch_id"),
+            d.get("parent"),
+            {int(k): int(v) for k, v in d.get("documents", {}).items()},
+            {int(k): int(v) for k, v in d.get("vectors", {}).items()},
+        )
+
+    def to_json(self) -> str:
+        return json.dumps(
+            {
+                "version": self.version,
+                "batch_id": self.batch_id,
+                "parent": self.parent,
+                "documents": {str(k): v for k, v in self.documents.items()},
+                "vectors": {str(k): v for k, v in self.vectors.items()},
+            }
+        )
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, files: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.files = files
+        self.buckets = int(buckets)
+
+    def bucket_of(self, id_col="id") -> Column:
+        c = F.col(id_col) if isinstance(id_col, str) else id_col
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
-    # ------------------------------------------------------------ paths
+    def buckets_of(self, ids: DataFrame, id_col: str = "id") -> list[int]:
+        """Distinct buckets of some ids: at most ``buckets`` values come back."""
+        rows = ids.select(self.bucket_of(id_col).alias("b")).distinct().collect()
+        return sorted(r["b"] for r in rows)
 
-    def _table_path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/v={version}"
+    # ------------------------------------------------------------ commits
 
     def _commit_path(self, version: int) -> str:
         return f"{self.root}/_commits/{version:012d}"
 
-    # ------------------------------------------------------------ reading
-
-    def commits(self) -> DataFrame:
+    def head(self) -> Commit | None:
         try:
-            return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/_commits/*")
+            raw = self.spark.read.text(f"{self.root}/_commits/*")
         except AnalysisException:
-            return self.spark.createDataFrame([], COMMIT_SCHEMA)
-
-    def head(self) -> Commit | None:
-        row = self.commits().orderBy(F.col("version").desc()).limit(1).collect()
-        if not row:
             return None
-        r = row[0]
-        return Commit(r["version"], r["documents"], r["vectors"], r["batch_id"], r["parent"])
+        v = F.get_json_object("value", "$.version").cast("long")
+        row = raw.orderBy(v.desc()).limit(1).collect()
+        return Commit.from_json(row[0]["value"]) if row else None
 
     def commit(self, version: int) -> Commit | None:
-        row = self.commits().filter(F.col("version") == version).collect()
-        if not row:
+        try:
+            row = self.spark.read.text(self._commit_path(version)).collect()
+        except AnalysisException:
             return None
-        r = row[0]
-        return Commit(r["version"], r["documents"], r["vectors"], r["batch_id"], r["parent"])
+        return Commit.from_json(row[0]["value"]) if row else None
 
-    def documents(self, commit: Commit | None = None) -> DataFrame:
-        commit = commit or self.head()
-        if commit is None:
-            return self.spark.createDataFrame([], DOCUMENTS)
-        return self.spark.read.schema(DOCUMENTS).parquet(self._table_path("documents", commit.documents))
+    # ------------------------------------------------------------ reading
 
-    def vectors(self, commit: Commit | None = None) -> DataFrame:
-        commit = commit or self.head()
+    def _read(self, table: str, commit: Commit | None, buckets) -> DataFrame:
+        schema = TABLES[table]
         if commit is None:
-            return self.spark.createDataFrame([], VECTORS)
-        return self.spark.read.schema(VECTORS).parquet(self._table_path("vectors", commit.vectors))
+            return self.spark.createDataFrame([], schema)
+        manifest = getattr(commit, table)
+        want = manifest if buckets is None else {b: manifest[b] for b in buckets if b in manifest}
+        paths = [f"{self.root}/{table}/v={v}/bucket={b}" for b, v in sorted(want.items())]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def documents(self, commit: Commit | None = None, buckets=None) -> DataFrame:
+        return self._read("documents", commit or self.head(), buckets)
+
+    def vectors(self, commit: Commit | None = None, buckets=None) -> DataFrame:
+        return self._read("vectors", commit or self.head(), buckets)
 
     # ------------------------------------------------------------ writing
 
-    def _write(self, df: DataFrame, table: str, version: int) -> None:
-        # Hash by id into files, sorted inside each file: a point lookup's id
-        # filter then skips row groups by their min/max statistics. The
-        # rebalance hint lets AQE size the files to the advisory partition
-        # size (and split skewed ones), so file size does not grow with the
-        # table; ``files`` pins the count instead.
-        spread = df.repartition(self.files, "id") if self.files else df.hint("rebalance", "id")
-        spread.sortWithinPartitions("id").write.mode("overwrite").parquet(self._table_path(table, version))
+    def _write(self, df: DataFrame, table: str, version: int) -> set[int]:
+        """Write one version of (some buckets of) a table; return the
+        buckets that got files."""
+        path = f"{self.root}/{table}/v={version}"
+        cols = [f.name for f in TABLES[table].fields]
+        # Rebalance by bucket: AQE cuts a large bucket into several files of
+        # the advisory size and packs small ones, so file size does not grow
+        # with the table. Sorted by id inside each file.
+        out = df.select(*cols, self.bucket_of("id").alias("bucket"))
+        out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy(
+            "bucket"
+        ).parquet(path)
+        try:
+            files = self.spark.read.parquet(path).inputFiles()
+        except AnalysisException:  # nothing written: every bucket is empty
+            return set()
+        return {int(m.group(1)) for m in (re.search(r"/bucket=(\d+)/", f) for f in files) if m}
 
     def publish(
         self,
@@ -102,30 +150,40 @@ class Store:
         vectors: DataFrame | None = None,
         batch_id: int | None = None,
         parent: Commit | None = None,
+        buckets=None,
     ) -> Commit:
-        """Write the given tables as new versions and commit. A table not
-        given keeps its version from ``parent`` (default: the head)."""
+        """Write the given tables as version N and commit.
+
+        ``buckets=None``: the given tables are whole and replace all buckets.
+        ``buckets=[...]``: the given tables hold exactly the rows of those
+        buckets (e.g. a mutation of rows read with the same buckets); other
+        buckets are inherited from ``parent`` (default: the head). A table
+        not given is inherited whole.
+        """
         head = self.head()
         base = parent if parent is not None else head
         version = (head.version + 1) if head else 0
-        docs_v = base.documents if (base and documents is None) else version
-        vecs_v = base.vectors if (base and vectors is None) else version
-        if documents is not None or base is None:
-            d = documents if documents is not None else self.spark.createDataFrame([], DOCUMENTS)
-            self._write(d.select(*[f.name for f in DOCUMENTS.fields]), "documents", version)
-        if vectors is not None or base is None:
-            v = vectors if vectors is not None else self.spark.createDataFrame([], VECTORS)
-            self._write(v.select(*[f.name for f in VECTORS.fields]), "vectors", version)
-        c = Commit(version, docs_v, vecs_v, batch_id, base.version if base else None)
-        row = json.dumps(c.__dict__)
-        self.spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(
+        c = Commit(version, batch_id, base.version if base else None)
+        for table, df in (("documents", documents), ("vectors", vectors)):
+            old = dict(getattr(base, table)) if base else {}
+            if df is None:
+                setattr(c, table, old)
+                continue
+            written = self._write(df, table, version)
+            if buckets is None:
+                new = {b: version for b in written}
+            else:
+                touched = set(int(b) for b in buckets)
+                new = {b: v for b, v in old.items() if b not in touched}
+                new.update({b: version for b in written if b in touched})
+            setattr(c, table, new)
+        self.spark.createDataFrame([(c.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(
             self._commit_path(version)
         )
         return c
 
     def new_db(self) -> Commit:
         """S5 ``--new-db``: publish an empty version."""
-        head = self.head()
         empty_d = self.spark.createDataFrame([], DOCUMENTS)
         empty_v = self.spark.createDataFrame([], VECTORS)
-        return self.publish(empty_d, empty_v, parent=head)
+        return self.publish(empty_d, empty_v)

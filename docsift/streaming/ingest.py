@@ -10,6 +10,7 @@ replayed batch changes nothing (the publish is atomic: commit row last).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docsift.operators.index import sync
 from docsift.operators.mutate import upsert_batch
@@ -18,15 +19,25 @@ from docsift.sources.store import Store
 
 
 def apply_batch(store: Store, batch: DataFrame, batch_id: int, as_of, embedder=None) -> bool:
-    """Apply one micro-batch of raw JSON lines; False when already applied."""
+    """Apply one micro-batch of raw JSON lines; False when already applied.
+
+    Only the id buckets the batch names are read, upserted, re-synced and
+    rewritten; the new version inherits every other bucket.
+    """
     head = store.head()
     if head is not None and head.batch_id is not None and batch_id <= head.batch_id:
         return False
-    changes = parse_json_documents(batch)
-    docs = store.documents(head)
-    table, _ = upsert_batch(docs, changes, as_of)
-    vectors = sync(table, store.vectors(head), embedder) if embedder is not None else None
-    store.publish(table, vectors, batch_id=batch_id, parent=head)
+    batch = batch.persist()
+    try:
+        changes = parse_json_documents(batch)
+        ids = changes.filter(F.col("id").isNotNull() & (F.col("id") != ""))
+        touched = store.buckets_of(ids)
+        docs = store.documents(head, buckets=touched)
+        table, _ = upsert_batch(docs, changes, as_of)
+        vectors = sync(table, store.vectors(head, buckets=touched), embedder) if embedder is not None else None
+        store.publish(table, vectors, batch_id=batch_id, parent=head, buckets=touched)
+    finally:
+        batch.unpersist()
     return True
 
 

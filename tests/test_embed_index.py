@@ -102,9 +102,12 @@ def test_stream_equals_batch_and_replay_is_noop(spark, tmp_path, docs_factory):
     src = tmp_path / "in"
     for i, lines in enumerate(files):
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(src / f"batch={i}"))
-    store = Store(spark, str(tmp_path / "store"))
+    from docsift.operators.index import load_or_build
+
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
     store.publish(docs, None)
     emb = HashingEmbedder(16)
+    load_or_build(store, emb)  # vectors for the initial load; ingest keeps them in sync
     ingest(spark, str(src), store, str(tmp_path / "ckpt"), "2024-06-01 00:00:00", embedder=emb, files_per_batch=1)
     got = {r["id"]: (r["text"], dict(r["metadata"])) for r in store.documents().collect()}
     assert got == {"a": ("a2", {}), "b": ("keep", {}), "c": ("c2", {"n": "1"})}
@@ -116,8 +119,11 @@ def test_stream_equals_batch_and_replay_is_noop(spark, tmp_path, docs_factory):
     # a restarted stream adds no batch
     ingest(spark, str(src), store, str(tmp_path / "ckpt"), "2024-06-01 00:00:00", embedder=emb, files_per_batch=1)
     assert store.head().version == head.version
-    # vectors were synced with the table
+    # vectors were synced with the table, bucket by bucket
     assert sorted(r["id"] for r in store.vectors().collect()) == ["a", "b", "c"]
+    want = vec_map(rebuild(store.documents(), emb))
+    have = vec_map(store.vectors())
+    assert all(np.array_equal(want[k], have[k]) for k in want)
     # equals the batch upsert of the union, in order
     allrows = [(x,) for f in files for x in f]
     from docsift.sources.json_docs import parse_json_documents
@@ -146,3 +152,21 @@ def test_load_or_build(spark, tmp_path):
     assert v1.count() == 50
     v2 = load_or_build(store, emb)  # nothing changed: same vectors
     assert vec_map(v1).keys() == vec_map(v2).keys()
+
+
+def test_bucket_local_publish_rewrites_only_touched(spark, tmp_path, docs_factory):
+    from docsift.operators import mutate as M
+    from docsift.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "b"), buckets=8)
+    docs = docs_factory([(str(i), f"t{i}", None) for i in range(40)])
+    c0 = store.publish(docs, None)
+    assert len(c0.documents) == 8
+    ch = spark.createDataFrame([("3", "new", None), ("x", "ins", None)], "id string, text string, metadata map<string,string>")
+    touched = store.buckets_of(ch)
+    part = store.documents(c0, buckets=touched)
+    table, _ = M.upsert(part, ch, "2024-06-01 00:00:00")
+    c1 = store.publish(table, None, buckets=touched, parent=c0)
+    assert {b for b, v in c1.documents.items() if v == c1.version} == set(touched)
+    got = {r["id"]: r["text"] for r in store.documents().collect()}
+    assert len(got) == 41 and got["3"] == "new" and got["x"] == "ins" and got["7"] == "t7"
