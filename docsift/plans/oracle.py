@@ -103,7 +103,7 @@ WHERE m.key = 'lang' AND m.value = 'fr'
 """
 SQL["metadata_search"] = f"""
 WITH {DOCS}
-SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0 AS score, meta AS metadata
+SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0::DOUBLE AS score, meta AS metadata
 FROM (SELECT * FROM docs WHERE lang = 'fr' ORDER BY id LIMIT 10)
 """
 SQL["list_by_metadata"] = f"""
@@ -113,7 +113,7 @@ SELECT id, text, meta AS metadata FROM (SELECT * FROM docs WHERE source = 'src3'
 
 SQL["text_search"] = f"""
 WITH {DOCS}
-SELECT id, 1.0 AS score FROM (SELECT id FROM docs WHERE {fold('text')} LIKE '%the%' ORDER BY id LIMIT 10)
+SELECT id, 1.0::DOUBLE AS score FROM (SELECT id FROM docs WHERE {fold('text')} LIKE '%the%' ORDER BY id LIMIT 10)
 """
 SQL["text_search_wildcard"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%th_n%ou%'"
 SQL["text_search_non_ascii"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%É%'"
@@ -362,12 +362,12 @@ SQL["semantic_search_grid"] = knn_all_sql(10)
 SQL["ann_full_probe"] = knn_all_sql(10)
 SQL["search_dispatch_metadata"] = f"""
 WITH {DOCS}
-SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0 AS score, meta AS metadata
+SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0::DOUBLE AS score, meta AS metadata
 FROM (SELECT * FROM docs WHERE source = 'src7' ORDER BY id LIMIT 10)
 """
 SQL["search_dispatch_text"] = f"""
 WITH {DOCS}
-SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0 AS score, meta AS metadata
+SELECT row_number() OVER (ORDER BY id) AS rank, id, text, 1.0::DOUBLE AS score, meta AS metadata
 FROM (SELECT * FROM docs WHERE {fold('text')} LIKE '%eau%' ORDER BY id LIMIT 10)
 """
 QTEXT = "qtext AS (SELECT 'q' AS qid, 'the and of in' AS text)"

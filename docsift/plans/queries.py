@@ -54,7 +54,7 @@ def vecs_of(spark, d):
 
 def _show_results(df: DataFrame, with_query: bool = True) -> DataFrame:
     cols = (["query_id"] if with_query else []) + [
-        "rank",
+        F.col("rank").cast("long").alias("rank"),
         "id",
         "text",
         r6("score").alias("score"),
@@ -86,7 +86,7 @@ def q_semantic_search_batch(spark, d):
     corpus = drop_orphans(vecs, docs)
     queries = vecs.select(F.col("id").alias("query_id"), "embedding")
     hits = knn(corpus, queries, 10)
-    return hits.select("query_id", "rank", "id", r6("dist").alias("dist"), r6("score").alias("score"))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
 
 
 @register("semantic_search_threshold")
@@ -97,7 +97,7 @@ def q_semantic_search_threshold(spark, d):
     docs, vecs = docs_of(spark, d), vecs_of(spark, d)
     queries = vecs.select(F.col("id").alias("query_id"), "embedding")
     res = search_vectors(docs, vecs, queries, k=10, threshold=0.6)
-    return res.select("query_id", "rank", "id", r6("score").alias("score"))
+    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("score").alias("score"))
 
 
 # --------------------------------------------------------------- scans and lookups
@@ -290,7 +290,7 @@ def q_l2_normalize(spark, d):
     )
     normed = diff.select("id_a", l2_normalize("v").alias("u"))
     return normed.select("id_a", F.posexplode("u").alias("pos", "value")).select(
-        "id_a", "pos", r6(F.col("value").cast("double")).alias("value")
+        "id_a", F.col("pos").cast("long").alias("pos"), r6(F.col("value").cast("double")).alias("value")
     )
 
 
@@ -308,7 +308,7 @@ def q_mean_pool(spark, d):
     )
     pooled = mean_pool(tokens, dim=64)
     return pooled.select("id", F.posexplode("embedding").alias("pos", "value")).select(
-        F.col("id").alias("label"), "pos", r6(F.col("value").cast("double")).alias("value")
+        F.col("id").alias("label"), F.col("pos").cast("long").alias("pos"), r6(F.col("value").cast("double")).alias("value")
     )
 
 
@@ -364,7 +364,7 @@ def q_semantic_search_text(spark, d):
 
     docs = docs_of(spark, d)
     res = search_texts(docs, hashing_vectors(spark, d), benchmark_queries(spark, d), HashingEmbedder(64), k=10)
-    return res.select("query_id", "rank", "id", r6("score").alias("score"))
+    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("score").alias("score"))
 
 
 @register("best_match")
@@ -714,7 +714,7 @@ def q_semantic_search_grid(spark, d):
     corpus = drop_orphans(vecs, docs).select("id", "embedding")
     queries = vecs.select(F.col("id").alias("query_id"), "embedding")
     hits = knn_grid(corpus, queries, 10, max_block_rows=128, max_query_rows=96)
-    return hits.select("query_id", "rank", "id", r6("dist").alias("dist"), r6("score").alias("score"))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
 
 
 def _ivf(spark, d, nlist=8):
@@ -733,7 +733,7 @@ def q_ann_full_probe(spark, d):
     idx = _ivf(spark, d)
     queries = vecs_of(spark, d).select(F.col("id").alias("query_id"), "embedding")
     hits = ann_search(idx, queries, 10, nprobe=idx.nlist)
-    return hits.select("query_id", "rank", "id", r6("dist").alias("dist"), r6("score").alias("score"))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
 
 
 @register("ann_recall")
