@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docsift.functions.text import text_hash
 from docsift.operators.embed import embed_documents
 from docsift.schema import VEC_COLUMNS
+from docsift.session import ensure_checkpoint_dir
 
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -54,10 +55,14 @@ def sync(docs: DataFrame, vectors: DataFrame, embedder) -> DataFrame:
     big vector table is scanned, not shuffled. Documents to embed are found
     the same way.
     """
-    dr = drift(docs, vectors, embedder.model)
+    # The drift hashes every document's text; its non-ok rows (few after an
+    # edit) are checkpointed to the shared folder once, so the three uses
+    # below read them instead of hashing all texts again.
+    ensure_checkpoint_dir(docs.sparkSession)
+    dr = drift(docs, vectors, embedder.model).filter(F.col("status") != "ok").checkpoint(eager=True)
     bad = dr.filter(F.col("status").isin("orphan", "stale")).select("id")
     todo = dr.filter(F.col("status").isin("missing", "stale")).select("id")
-    # One action for both sizes: at most four rows come back.
+    # One action for both sizes: at most three rows come back.
     per_status = {r["status"]: r["n"] for r in dr.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_bad = per_status.get("orphan", 0) + per_status.get("stale", 0)
     n_todo = per_status.get("missing", 0) + per_status.get("stale", 0)
