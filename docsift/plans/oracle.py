@@ -389,3 +389,10 @@ SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error' THEN eve
 FROM events
 """
 SQL["ingest_stream"] = SQL["upsert_batch"]
+
+SQL["result_preview"] = f"""
+WITH {QD_DIST},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - cos, 9), id) AS rank FROM dist)
+SELECT r.query_id, r.id, round(r.cos, 4) AS score, substr(d.text, 1, 200) AS text
+FROM r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id WHERE r.rank = 1
+"""

@@ -854,3 +854,17 @@ def q_ingest_stream(spark, d):
     store.publish(docs_of(spark, d), None)
     ingest(spark, src, store, f"{root}/checkpoint", MUT_AS_OF, files_per_batch=1)
     return show_table(store.documents())
+
+
+@register("result_preview")
+def q_result_preview(spark, d):
+    """P5: the best document per benchmark text as the reference's scripts
+    print it: score at 4 decimals and the first 200 characters."""
+    from docsift.operators.embed import HashingEmbedder, embed_queries
+    from docsift.operators.knn import best_match
+    from docsift.plans.search import preview
+
+    q = embed_queries(benchmark_queries(spark, d), HashingEmbedder(64))
+    top = best_match(hashing_vectors(spark, d), q).withColumnRenamed("similarity", "score")
+    shown = preview(top.join(docs_of(spark, d).select("id", "text"), "id"))
+    return shown.select("query_id", "id", "score", "text")
