@@ -168,3 +168,14 @@ def test_bucket_local_publish_rewrites_only_touched(spark, tmp_path, docs_factor
     assert {b for b, v in c1.documents.items() if v == c1.version} == set(touched)
     got = {r["id"]: r["text"] for r in store.documents().collect()}
     assert len(got) == 41 and got["3"] == "new" and got["x"] == "ins" and got["7"] == "t7"
+
+
+def test_store_lookup_pushes_id_filter(spark, tmp_path):
+    from docsift.operators.lookup import get_by_id
+    from docsift.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "p"), buckets=4)
+    store.publish(documents_from_testdata(spark, SF01), None)
+    plan = get_by_id(store.documents(), "42")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,42)" in plan
+    assert get_by_id(store.documents(), "42").count() == 1
