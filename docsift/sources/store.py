@@ -89,7 +89,7 @@ class Store:
     def _commit_path(self, version: int) -> str:
         return f"{self.root}/_commits/{version:012d}"
 
-    def head(self) -> Commit | None:
+    def _scan_head(self) -> Commit | None:
         try:
             raw = self.spark.read.text(f"{self.root}/_commits/*")
         except AnalysisException:
@@ -98,6 +98,24 @@ class Store:
         row = raw.orderBy(v.desc()).limit(1).collect()
         return Commit.from_json(row[0]["value"]) if row else None
 
+    def head(self) -> Commit | None:
+        """The latest commit. The ``_head`` hint (rewritten after each commit)
+        names a recent version; commits written after it are found by probing
+        forward, so the cost does not grow with the number of versions. With
+        no readable hint the commit log is scanned."""
+        try:
+            hint = self.spark.read.text(f"{self.root}/_head").collect()
+            c = self.commit(int(hint[0]["value"])) if hint else None
+        except (AnalysisException, ValueError):
+            c = None
+        if c is None:
+            return self._scan_head()
+        while True:
+            nxt = self.commit(c.version + 1)
+            if nxt is None:
+                return c
+            c = nxt
+
     def commit(self, version: int) -> Commit | None:
         try:
             row = self.spark.read.text(self._commit_path(version)).collect()
@@ -180,6 +198,11 @@ class Store:
         self.spark.createDataFrame([(c.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(
             self._commit_path(version)
         )
+        # Only a hint: a reader that finds it missing, stale or half-written
+        # still reaches the true head (see ``head``).
+        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(
+            f"{self.root}/_head"
+        )
         return c
 
     def new_db(self) -> Commit:

@@ -179,3 +179,19 @@ def test_store_lookup_pushes_id_filter(spark, tmp_path):
     plan = get_by_id(store.documents(), "42")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(id,42)" in plan
     assert get_by_id(store.documents(), "42").count() == 1
+
+
+def test_head_hint_stale_or_missing(spark, tmp_path, docs_factory):
+    from docsift.sources.store import Store
+
+    root = str(tmp_path / "h")
+    store = Store(spark, root, buckets=2)
+    for i in range(3):
+        store.publish(docs_factory([(str(i), "t", None)]), None)
+    assert store.head().version == 2
+    # a stale hint (as after a crash between commit and hint) still finds the head
+    spark.createDataFrame([("0",)], "value string").coalesce(1).write.mode("overwrite").text(root + "/_head")
+    assert store.head().version == 2
+    # an unreadable hint falls back to the log
+    spark.createDataFrame([("junk",)], "value string").coalesce(1).write.mode("overwrite").text(root + "/_head")
+    assert store.head().version == 2
