@@ -28,8 +28,12 @@ def like_contains(text_col, query: str) -> Column:
     """``text LIKE '%query%'`` with ASCII case folding and no escape char."""
     if NO_ESCAPE in query:
         raise ValueError("query contains the reserved character U+0001")
-    pattern = "%" + ascii_lower_py(query) + "%"
-    return F.like(ascii_lower(text_col), F.lit(pattern), F.lit(NO_ESCAPE))
+    q = ascii_lower_py(query)
+    if "%" not in q and "_" not in q:
+        # No wildcard: a plain substring test (codegen'd, no regex). Spark
+        # only rewrites LIKE to this itself for the default escape character.
+        return ascii_lower(text_col).contains(F.lit(q))
+    return F.like(ascii_lower(text_col), F.lit("%" + q + "%"), F.lit(NO_ESCAPE))
 
 
 def text_hash(text_col) -> Column:
