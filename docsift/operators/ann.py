@@ -42,7 +42,7 @@ from docsift.operators.knn import (
     knn_grid,
 )
 from docsift.schema import check_k
-from docsift.session import spread
+from docsift.session import ship_package, spread
 
 
 def _nearest_lists(X: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
@@ -58,6 +58,7 @@ def _nearest_lists(X: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
 def assign_lists(df: DataFrame, centroids: np.ndarray, nprobe: int = 1, key: str = "id") -> DataFrame:
     """Rows [key, embedding, ...] -> one row per probed list, with ``list_id``."""
     spark = df.sparkSession
+    ship_package(spark)
     C = np.ascontiguousarray(centroids, dtype=np.float64)
     bc = spark.sparkContext.broadcast(C)
     dim = C.shape[1]
@@ -134,6 +135,7 @@ def build_ivf(vectors: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20
 
 def _ann_broadcast(index: IvfIndex, qids: list, Q: np.ndarray, k: int, threshold: float, nprobe: int, qid_type):
     spark = index.vectors.sparkSession
+    ship_package(spark)
     probes = _nearest_lists(Q, index.centroids, nprobe)  # [m, nprobe]
     by_list: dict[int, np.ndarray] = {}
     for lid in np.unique(probes):

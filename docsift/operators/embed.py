@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.text import ascii_lower
-from docsift.session import spread
+from docsift.session import ship_package, spread
 from docsift.schema import NORM_EPS, TOKEN_LIMIT
 
 TOKEN_PATTERN = "[a-z0-9]+"
@@ -88,6 +88,7 @@ class HashingEmbedder:
     def embed(self, df: DataFrame, key: str = "id", text: str = "text", keep=()) -> DataFrame:
         df = spread(df)
         if self.engine == "numpy":
+            ship_package(df.sparkSession)
             # Tokens and md5 buckets in the JVM; the histogram + normalisation
             # of a whole Arrow batch in numpy (O(tokens + dim) per row).
             b = hashing_buckets(hashing_tokens(text, self.max_tokens), self.dim)
@@ -137,6 +138,7 @@ class OnnxEmbedder:
 
     def embed(self, df: DataFrame, key: str = "id", text: str = "text", keep=()) -> DataFrame:
         df = spread(df)
+        ship_package(df.sparkSession)
         model_path, tok_path = self.model_path, self.tokenizer_path
         max_tokens, batch = self.max_tokens, self.batch_size
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.schema import check_k
-from docsift.session import spread
+from docsift.session import ship_package, spread
 
 RANK_DECIMALS = 9
 # Rows of the distance matrix computed at once (corpus rows x queries).
@@ -199,6 +199,7 @@ def knn_broadcast_arrays(
     """Top-k of a driver-side query block (already bounded) over ``corpus``."""
     k = check_k(k)
     spark = corpus.sparkSession
+    ship_package(spark)
     Q = np.ascontiguousarray(Q, dtype=np.float64)
     dim = Q.shape[1]
     bq = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), Q))
@@ -294,6 +295,7 @@ def knn_grid(
     same key (J7, the probe join of the approximate search).
     """
     k = check_k(k)
+    ship_package(corpus.sparkSession)
     if "_key" not in corpus.columns:
         corpus = corpus.withColumn("_key", F.lit(0))
     if "_key" not in queries.columns:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.session import ship_package
+
 DEFAULT_MAX_BLOCK_ROWS = 20_000
 
 _OUT = T.StructType(
@@ -67,6 +69,7 @@ def similarity_pairs(
         raise ValueError("give min_sim and/or k: the full N x N matrix is not produced")
     if k is not None and int(k) < 1:
         raise ValueError("k must be >= 1")
+    ship_package(vectors.sparkSession)
     v = vectors.select("id", "embedding")
     if blocks is None:
         n = v.count()

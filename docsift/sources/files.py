@@ -29,6 +29,9 @@ def write_text_files(df: DataFrame, path: str, name: str = "name", text: str = "
     writer for S1; any file system pyarrow can open, e.g. a shared folder)."""
     import pandas as pd
 
+    from docsift.session import ship_package
+
+    ship_package(df.sparkSession)
     out = path.rstrip("/")
 
     def write(batches):
