@@ -46,17 +46,27 @@ class SearchEngine:
         t = self.clock() if self.clock else _dt.datetime.now(_dt.timezone.utc)
         return t.strftime("%Y-%m-%d %H:%M:%S")
 
+    def _materialise_ivf(self, index, version: int):
+        """Write the list assignment partitioned by list and read it back, so
+        a search reads only the lists it probes."""
+        from docsift.operators.ann import IvfIndex
+
+        path = f"{self.store.root}/ivf/v={version}"
+        index.write(path)
+        return IvfIndex.read(self.spark, path, index.centroids, index.n_rows)
+
     def current_ivf(self):
-        """The coarse lists, re-assigned (same centroids, one scan) when the
-        vectors changed since they were built or last assigned."""
+        """The coarse lists. When the store changed since they were written,
+        the vectors are re-assigned to the same centroids (one scan) and
+        written again: once per store version, not once per search."""
         if self.ivf is None:
             return None
         head = self.store.head()
         if head is not None and head.version != self.ivf_version:
             from docsift.operators.ann import IvfIndex, assign_lists
 
-            assigned = assign_lists(self.vectors().select("id", "embedding"), self.ivf.centroids, 1)
-            self.ivf = IvfIndex(self.ivf.centroids, assigned, self.ivf.n_rows)
+            assigned = assign_lists(self.store.vectors(head).select("id", "embedding"), self.ivf.centroids, 1)
+            self.ivf = self._materialise_ivf(IvfIndex(self.ivf.centroids, assigned, self.ivf.n_rows), head.version)
             self.ivf_version = head.version
         return self.ivf
 
@@ -186,8 +196,11 @@ class Search:
     ) -> DataFrame:
         """Q3: [rank, id, text, score, metadata]."""
         e = self.eng
+        # Every publish syncs the vectors of the buckets it rewrites, so no
+        # per-search orphan check (an id scan of both tables) is needed.
         return search_ops.search(
-            e.docs(), e.vectors(), query, k, type, metadata, threshold, ef_search, e.embedder, e.current_ivf()
+            e.docs(), e.vectors(), query, k, type, metadata, threshold, ef_search, e.embedder, e.current_ivf(),
+            check_orphans=False,
         )
 
     def semantic(self, query: str, k: int = DEFAULT_K, threshold: float = 0.0, ef_search: int = 350) -> DataFrame:
@@ -219,6 +232,8 @@ class Index:
         from docsift.operators.ann import build_ivf
 
         head = self.eng.store.head()
-        self.eng.ivf = build_ivf(self.eng.store.vectors(head), nlist, seed)
-        self.eng.ivf_version = head.version if head else None
+        built = build_ivf(self.eng.store.vectors(head), nlist, seed)
+        version = head.version if head else 0
+        self.eng.ivf = self.eng._materialise_ivf(built, version)
+        self.eng.ivf_version = version
         return self.eng.ivf

@@ -203,10 +203,14 @@ def search(
     ef_search: int = DEFAULT_EF_SEARCH,
     embedder=None,
     index=None,
+    check_orphans: bool = True,
 ) -> DataFrame:
     """Q3: the dispatcher. A metadata filter replaces the search (query,
     type and threshold ignored); then ``text``/``fulltext``; any other type
-    is semantic. Returns [rank, id, text, score, metadata]."""
+    is semantic. Returns [rank, id, text, score, metadata].
+
+    ``check_orphans=False`` when the vectors are known to be in sync with the
+    documents (the engine's store keeps them so at every publish)."""
     if query is None:
         raise ValueError("Missing 'query' field")
     k = check_k(k)
@@ -216,7 +220,7 @@ def search(
         return _with_rank(text_search(docs, query, k, threshold))
     if embedder is None:
         raise ValueError("semantic search needs an embedder")
-    return semantic_search(docs, vectors, query, embedder, k, threshold, ef_search, index)
+    return semantic_search(docs, vectors, query, embedder, k, threshold, ef_search, index, check_orphans)
 
 
 def preview(results: DataFrame, chars: int = 200, decimals: int = 4) -> DataFrame:
