@@ -396,3 +396,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - cos,
 SELECT r.query_id, r.id, round(r.cos, 4) AS score, substr(d.text, 1, 200) AS text
 FROM r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id WHERE r.rank = 1
 """
+
+SQL["store_upsert_batch"] = SQL["upsert_batch"]
+SQL["store_vectors"] = (
+    f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED}, {hashing_from('upserted', 'id', 'text')} "
+    + VEC_DIGEST.format(src="upserted", key="id", text="text")
+)

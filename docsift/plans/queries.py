@@ -868,3 +868,35 @@ def q_result_preview(spark, d):
     top = best_match(hashing_vectors(spark, d), q).withColumnRenamed("similarity", "score")
     shown = preview(top.join(docs_of(spark, d).select("id", "text"), "id"))
     return shown.select("query_id", "id", "score", "text")
+
+
+def _engine_after_upsert(spark, d):
+    """Documents loaded into a bucketed store with vectors built, then the
+    conversation changes applied through the engine (bucket-local
+    copy-on-write: only the buckets of changed ids are rewritten)."""
+    import datetime as dt
+
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.operators.index import load_or_build
+    from docsift.plans.api import SearchEngine
+    from docsift.session import scratch_path
+
+    clock = lambda: dt.datetime.strptime(MUT_AS_OF, "%Y-%m-%d %H:%M:%S")
+    eng = SearchEngine(spark, scratch_path(spark, "engine"), HashingEmbedder(64), buckets=16, clock=clock)
+    eng.store.publish(docs_of(spark, d), None)
+    load_or_build(eng.store, eng.embedder)
+    eng.documents.upsert_batch(conversation_changes(spark, d))
+    return eng
+
+
+@register("store_upsert_batch")
+def q_store_upsert_batch(spark, d):
+    """S5 + M5 through the engine: the stored table after the changes."""
+    return show_table(_engine_after_upsert(spark, d).docs())
+
+
+@register("store_vectors")
+def q_store_vectors(spark, d):
+    """K1 + K2 through the engine: stored vectors after the changes equal a
+    rebuild over the changed table."""
+    return _vec_digest(_engine_after_upsert(spark, d).vectors())
