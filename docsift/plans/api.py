@@ -93,12 +93,15 @@ class SearchEngine:
 
     def mutate(self, changes: DataFrame, fn) -> DataFrame:
         """Run ``fn(documents of the touched buckets) -> (table, report)`` and
-        publish the touched buckets of both tables."""
+        publish the touched buckets of both tables (``table=None``: no change,
+        nothing published)."""
         head = self.store.head()
         ids = changes.filter(F.col("id").isNotNull() & (F.col("id") != ""))
         touched = self.store.buckets_of(ids)
         docs = self.store.documents(head, buckets=touched)
         table, report = fn(docs)
+        if table is None:  # nothing changed (e.g. a rolled-back batch)
+            return report
         vecs = sync(table, self.store.vectors(head, buckets=touched), self.embedder)
         self.store.publish(table, vecs, parent=head, buckets=touched)
         return report
@@ -155,7 +158,13 @@ class Documents:
         """M2: all or nothing; [id, status, reason]."""
         req = mutate.assign_ids(self.eng.requests(documents), tag=self.eng.now())
         checked = mutate.validate(req)
-        return self.eng.mutate(checked, lambda docs: mutate.insert_batch(docs, checked, self.eng.now()))
+
+        def fn(docs):
+            table, report = mutate.insert_batch(docs, checked, self.eng.now())
+            rolled_back = report.filter(F.col("status") == "rolled_back").limit(1).count() > 0
+            return (None if rolled_back else table), report
+
+        return self.eng.mutate(checked, fn)
 
     def upsert_batch(self, documents) -> DataFrame:
         """M5: rows without id rejected; the last row per id wins."""

@@ -20,6 +20,10 @@ def test_client_surface(spark, tmp_path):
     assert {r["status"] for r in rep.collect()} == {"inserted"}
     assert eng.documents.total_count() == 3
     assert {r["status"] for r in eng.documents.create("dup", id="pt").collect()} == {"exists"}
+    v = eng.store.head().version
+    rep = eng.documents.create_batch([{"id": "pt", "text": "again"}, {"id": "new", "text": "n"}])
+    assert {r["status"] for r in rep.collect()} == {"rolled_back"}
+    assert eng.store.head().version == v  # nothing published
     new = eng.documents.create("A text without an id").collect()
     assert new[0]["status"] == "inserted" and new[0]["id"].startswith("doc_")
     assert eng.documents.count("region", "asia") == 2 and eng.documents.count("region") == 4
