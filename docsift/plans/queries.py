@@ -807,16 +807,7 @@ def q_text_files(spark, d):
 def conversation_json_lines(spark, d) -> DataFrame:
     """The conversation changes as JSON lines (one object per change)."""
     ch = conversation_changes(spark, d)
-    meta = F.to_json(F.col("metadata"))
-    return ch.select(
-        F.col("ordinal").alias("turn"),
-        F.concat(
-            F.lit('{"id": '), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2),
-            F.lit(', "text": '), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2),
-            F.lit(', "metadata": '), meta,
-            F.lit(', "ordinal": '), F.col("ordinal").cast("string"), F.lit("}"),
-        ).alias("value"),
-    )
+    return ch.select(F.col("ordinal").alias("turn"), F.to_json(F.struct("id", "text", "metadata", "ordinal")).alias("value"))
 
 
 @register("json_documents")

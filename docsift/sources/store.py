@@ -110,6 +110,10 @@ class Store:
             c = None
         if c is None:
             return self._scan_head()
+        return self._advance(c)
+
+    def _advance(self, c: Commit) -> Commit:
+        """The newest commit at or after ``c`` (one probe when ``c`` is it)."""
         while True:
             nxt = self.commit(c.version + 1)
             if nxt is None:
@@ -178,7 +182,7 @@ class Store:
         buckets are inherited from ``parent`` (default: the head). A table
         not given is inherited whole.
         """
-        head = self.head()
+        head = self._advance(parent) if parent is not None else self.head()
         base = parent if parent is not None else head
         version = (head.version + 1) if head else 0
         c = Commit(version, batch_id, base.version if base else None)
