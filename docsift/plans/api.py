@@ -36,8 +36,6 @@ class SearchEngine:
         self.store = Store(spark, root, buckets)
         self.embedder = embedder
         self.clock = clock
-        self.ivf = None
-        self.ivf_version = None
         self.documents = Documents(self)
         self.search = Search(self)
         self.index = Index(self)
@@ -46,29 +44,16 @@ class SearchEngine:
         t = self.clock() if self.clock else _dt.datetime.now(_dt.timezone.utc)
         return t.strftime("%Y-%m-%d %H:%M:%S")
 
-    def _materialise_ivf(self, index, version: int):
-        """Write the list assignment partitioned by list and read it back, so
-        a search reads only the lists it probes."""
-        from docsift.operators.ann import IvfIndex
-
-        path = f"{self.store.root}/ivf/v={version}"
-        index.write(path)
-        return IvfIndex.read(self.spark, path, index.centroids, index.n_rows)
-
     def current_ivf(self):
-        """The coarse lists. When the store changed since they were written,
-        the vectors are re-assigned to the same centroids (one scan) and
-        written again: once per store version, not once per search."""
-        if self.ivf is None:
-            return None
+        """The coarse lists kept in the store (None until ``index.build_ivf``):
+        centroids plus the list-partitioned ``ivf`` table, which every
+        publish keeps in step with the vectors of the buckets it rewrites."""
         head = self.store.head()
-        if head is not None and head.version != self.ivf_version:
-            from docsift.operators.ann import IvfIndex, assign_lists
+        if head is None or head.centroids is None:
+            return None
+        from docsift.operators.ann import IvfIndex
 
-            assigned = assign_lists(self.store.vectors(head).select("id", "embedding"), self.ivf.centroids, 1)
-            self.ivf = self._materialise_ivf(IvfIndex(self.ivf.centroids, assigned, self.ivf.n_rows), head.version)
-            self.ivf_version = head.version
-        return self.ivf
+        return IvfIndex(self.store.centroids(head), self.store.ivf(head), head.ivf_rows or 0)
 
     def docs(self) -> DataFrame:
         return self.store.documents()
@@ -103,7 +88,14 @@ class SearchEngine:
         if table is None:  # nothing changed (e.g. a rolled-back batch)
             return report
         vecs = sync(table, self.store.vectors(head, buckets=touched), self.embedder)
-        self.store.publish(table, vecs, parent=head, buckets=touched)
+        ivf = None
+        if head is not None and head.centroids is not None:
+            # The lists of the rewritten buckets follow their vectors, in the
+            # same publish (same centroids; one pass over the touched rows).
+            from docsift.operators.ann import assign_lists
+
+            ivf = assign_lists(vecs.select("id", "embedding"), self.store.centroids(head), 1)
+        self.store.publish(table, vecs, parent=head, buckets=touched, ivf=ivf)
         return report
 
 
@@ -230,7 +222,13 @@ class Index:
         """K1: embed every document and publish the vectors."""
         e = self.eng
         head = e.store.head()
-        return e.store.publish(None, rebuild_op(e.store.documents(head), e.embedder), parent=head)
+        vecs = rebuild_op(e.store.documents(head), e.embedder)
+        ivf = None
+        if head is not None and head.centroids is not None:
+            from docsift.operators.ann import assign_lists
+
+            ivf = assign_lists(vecs.select("id", "embedding"), e.store.centroids(head), 1)
+        return e.store.publish(None, vecs, parent=head, ivf=ivf)
 
     def save(self):
         """Every mutation is already published; returns the head commit."""
@@ -240,9 +238,8 @@ class Index:
         """K3: coarse lists for approximate semantic search (K4)."""
         from docsift.operators.ann import build_ivf
 
-        head = self.eng.store.head()
-        built = build_ivf(self.eng.store.vectors(head), nlist, seed)
-        version = head.version if head else 0
-        self.eng.ivf = self.eng._materialise_ivf(built, version)
-        self.eng.ivf_version = version
-        return self.eng.ivf
+        store = self.eng.store
+        head = store.head()
+        built = build_ivf(store.vectors(head), nlist, seed)
+        store.publish(None, None, parent=head, ivf=built.vectors, centroids=built.centroids, ivf_rows=built.n_rows)
+        return self.eng.current_ivf()

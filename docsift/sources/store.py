@@ -5,6 +5,9 @@ Layout under ``root`` (any Hadoop file system path):
 
     documents/v=N/bucket=B/   parquet rows of version N whose id hashes to B
     vectors/v=N/bucket=B/     the same for vectors (same bucket function)
+    ivf/v=N/bucket=B/list_id=L/   optional: vectors with their coarse list, so
+                              an approximate search reads only probed lists
+    ivf_centroids/v=N/        the coarse-list centroids (nlist rows)
     _commits/N/               one JSON row: version, batch id, parent, and for
                               each table the map bucket -> version holding it
 
@@ -32,9 +35,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from docsift.schema import DOCUMENTS, VECTORS
+from pyspark.sql import types as T
 
-TABLES = {"documents": DOCUMENTS, "vectors": VECTORS}
+from docsift.schema import DOCUMENTS, VECTOR_TYPE, VECTORS
+
+IVF = T.StructType(
+    [
+        T.StructField("id", T.StringType(), False),
+        T.StructField("embedding", VECTOR_TYPE, False),
+        T.StructField("list_id", T.IntegerType(), False),
+    ]
+)
+TABLES = {"documents": DOCUMENTS, "vectors": VECTORS, "ivf": IVF}
 DEFAULT_BUCKETS = 64
 
 
@@ -45,6 +57,9 @@ class Commit:
     parent: int | None = None
     documents: dict[int, int] = field(default_factory=dict)
     vectors: dict[int, int] = field(default_factory=dict)
+    ivf: dict[int, int] = field(default_factory=dict)
+    centroids: int | None = None  # version holding the IVF centroids
+    ivf_rows: int | None = None  # vectors the lists were trained on
 
     @staticmethod
     def from_json(text: str) -> "Commit":
@@ -55,6 +70,9 @@ class Commit:
             d.get("parent"),
             {int(k): int(v) for k, v in d.get("documents", {}).items()},
             {int(k): int(v) for k, v in d.get("vectors", {}).items()},
+            {int(k): int(v) for k, v in d.get("ivf", {}).items()},
+            d.get("centroids"),
+            d.get("ivf_rows"),
         )
 
     def to_json(self) -> str:
@@ -65,6 +83,9 @@ class Commit:
                 "parent": self.parent,
                 "documents": {str(k): v for k, v in self.documents.items()},
                 "vectors": {str(k): v for k, v in self.vectors.items()},
+                "ivf": {str(k): v for k, v in self.ivf.items()},
+                "centroids": self.centroids,
+                "ivf_rows": self.ivf_rows,
             }
         )
 
@@ -138,6 +159,10 @@ class Store:
         paths = [f"{self.root}/{table}/v={v}/bucket={b}" for b, v in sorted(want.items())]
         if not paths:
             return self.spark.createDataFrame([], schema)
+        if table == "ivf":
+            # list_id is a partition folder: a filter on it prunes files.
+            base = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*paths)
+            return base.select(*[f.name for f in schema.fields])
         return self.spark.read.schema(schema).parquet(*paths)
 
     def documents(self, commit: Commit | None = None, buckets=None) -> DataFrame:
@@ -146,6 +171,19 @@ class Store:
     def vectors(self, commit: Commit | None = None, buckets=None) -> DataFrame:
         return self._read("vectors", commit or self.head(), buckets)
 
+    def ivf(self, commit: Commit | None = None, buckets=None) -> DataFrame:
+        return self._read("ivf", commit or self.head(), buckets)
+
+    def centroids(self, commit: Commit | None = None):
+        """The IVF centroids (nlist x d, bounded by nlist) or None."""
+        import numpy as np
+
+        commit = commit or self.head()
+        if commit is None or commit.centroids is None:
+            return None
+        rows = self.spark.read.parquet(f"{self.root}/ivf_centroids/v={commit.centroids}").orderBy("list_id").collect()
+        return np.asarray([r["centroid"] for r in rows], dtype=np.float64)
+
     # ------------------------------------------------------------ writing
 
     def _write(self, df: DataFrame, table: str, version: int) -> set[int]:
@@ -156,9 +194,11 @@ class Store:
         # Rebalance by bucket: AQE cuts a large bucket into several files of
         # the advisory size and packs small ones, so file size does not grow
         # with the table. Sorted by id inside each file.
-        out = df.select(*cols, self.bucket_of("id").alias("bucket"))
+        parts = ["bucket", "list_id"] if table == "ivf" else ["bucket"]
+        out = df.select(*[c for c in cols if c not in parts], *[c for c in parts if c != "bucket"],
+                        self.bucket_of("id").alias("bucket"))
         out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy(
-            "bucket"
+            *parts
         ).parquet(path)
         try:
             files = self.spark.read.parquet(path).inputFiles()
@@ -173,6 +213,9 @@ class Store:
         batch_id: int | None = None,
         parent: Commit | None = None,
         buckets=None,
+        ivf: DataFrame | None = None,
+        centroids=None,
+        ivf_rows: int | None = None,
     ) -> Commit:
         """Write the given tables as version N and commit.
 
@@ -186,7 +229,15 @@ class Store:
         base = parent if parent is not None else head
         version = (head.version + 1) if head else 0
         c = Commit(version, batch_id, base.version if base else None)
-        for table, df in (("documents", documents), ("vectors", vectors)):
+        c.centroids = base.centroids if base else None
+        c.ivf_rows = base.ivf_rows if base else None
+        if centroids is not None:
+            rows = [(i, [float(x) for x in row]) for i, row in enumerate(centroids)]
+            self.spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode(
+                "overwrite"
+            ).parquet(f"{self.root}/ivf_centroids/v={version}")
+            c.centroids, c.ivf_rows = version, ivf_rows
+        for table, df in (("documents", documents), ("vectors", vectors), ("ivf", ivf)):
             old = dict(getattr(base, table)) if base else {}
             if df is None:
                 setattr(c, table, old)
