@@ -107,7 +107,6 @@ def search_vector(
     k = check_k(k)
     q = np.asarray(vector, dtype=np.float64)
     spark = docs.sparkSession
-    doc_schema = docs.select("id", "text", "metadata").schema
     kk = k
     while True:
         if kk > MAX_DEEPENING:
@@ -117,14 +116,18 @@ def search_vector(
         hits = knn_ops.knn_vector(vectors, q, kk, threshold)
         rows = sorted(hits.collect(), key=lambda r: r["rank"])  # at most kk rows
         ids = [r["id"] for r in rows]
-        fetched = docs.filter(F.col("id").isin(ids)).select("id", "text", "metadata").collect() if ids else []
-        live = {r["id"] for r in fetched}
-        kept = [r for r in rows if (r["id"] in live or not check_orphans)][:k]
+        if check_orphans and ids:
+            # Only the ids come back: texts stay in the lazy plan below.
+            live = {r["id"] for r in docs.filter(F.col("id").isin(ids)).select("id").collect()}
+        else:
+            live = set(ids)
+        kept = [r for r in rows if r["id"] in live][:k]
         if len(kept) == k or len(rows) < kk or not check_orphans:
             ranked = [(r["query_id"], r["id"], r["dist"], r["score"], i + 1) for i, r in enumerate(kept)]
             hit_df = spark.createDataFrame(ranked, hits.schema)
-            doc_df = spark.createDataFrame(fetched, doc_schema)
-            return _results(hit_df.join(doc_df, "id"), False).orderBy("rank")
+            wanted = [r[1] for r in ranked]
+            found = docs.filter(F.col("id").isin(wanted)).select("id", "text", "metadata")
+            return _results(F.broadcast(hit_df).join(found, "id"), False).orderBy("rank")
         kk *= 4
 
 
