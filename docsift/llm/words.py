@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from .common import U64, chain, mix, seed
 
 CHUNK_BYTES = 4_000_000
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U64)
 
 
@@ -30,6 +30,8 @@ class Words:
     row: np.ndarray  # row within the chunk, for each word
     hash: np.ndarray  # 64-bit hash of each word's bytes
     at: np.ndarray  # first word of each row, and the number of words
+    offsets: np.ndarray  # first byte of each row, and the number of bytes
+    data: np.ndarray  # the rows' UTF-8 bytes
 
     def spans(self, n: int) -> np.ndarray:
         """True where ``n`` consecutive words, from this one, are in one row."""
@@ -86,7 +88,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def word_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Words]:
     for first, offsets, data in chunks(texts, limit):
         rows = len(offsets) - 1
-        word = ~_SPACE[data]
+        word = ~SPACE[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty_like(word)
@@ -99,7 +101,7 @@ def word_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Words]:
         ends = np.flatnonzero(word & (~after | edge[1:])) + 1
         at = np.searchsorted(starts, offsets)
         row = np.repeat(np.arange(rows), np.diff(at))
-        yield Words(first, rows, row, hash_spans(data, starts, ends), at)
+        yield Words(first, rows, row, hash_spans(data, starts, ends), at, offsets, data)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
