@@ -10,11 +10,12 @@ copies cost one row each and are never paired.
    that share the token make the same choice. Two sets at the threshold share about
    one child a level, dissimilar sets fewer at every level. The choices are hashes,
    so the first ``depth`` levels need no shuffle; nodes with one set are dropped.
-   Nodes of more than ``limit`` sets are split further, level by level. The number
-   of runs follows from the target recall at the threshold (``runs_for``).
+   Nodes of more than ``limit`` sets are split further, level by level, unless the
+   sets resemble the node's first one on average: splitting can't part them. The
+   number of runs follows from the target recall at the threshold (``runs_for``).
 3. Sets in a small node are compared by their tokens, all with all, in one task's
-   numpy; the result is a forest of likely links, one row a set. A node that is
-   still large after ``max_depth`` levels is joined whole, unseen.
+   numpy; the result is a forest of likely links, one row a set. A large node of
+   alike sets, or one still large after ``max_depth`` levels, is joined whole.
 4. Connected components of these links bound where links can be. Each component is
    cut into blocks of ``block`` sets, and every pair of blocks is one cell in which
    exact intersections decide. A pair of sets meets in one cell only, so counts add
@@ -154,6 +155,14 @@ def _deeper(tokens: int, lam: float):
     return run
 
 
+def _resemblance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        one, two = (
+            np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(-1, TOKENS) for c in ("sketch", "first_sketch")
+        )
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array((one == two).mean(axis=1))], ["path", "share"])
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups, many groups each, from rows sorted by ``keys``."""
     rest = None
@@ -314,7 +323,7 @@ def _candidates(classes: DataFrame, runs: int, lam: float, least: float, depth:
     spark = classes.sparkSession
     sketches = classes.select("node", "sketch")
     level = sketches.mapInArrow(_start(runs, depth, TOKENS, lam), "path long, node long")
-    small, paths, edges = [], [], None
+    small, paths, edges = [], [], []
     while True:
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         members, at = written(level.join(sizes, "path"), "paths")
@@ -323,18 +332,29 @@ def _candidates(classes: DataFrame, runs: int, lam: float, least: float, depth:
         large = members.where(f"n > {limit}").select("path", "node")
         if large.isEmpty():
             break
+        firsts = large.groupBy("path").agg(F.min("node").alias("b"))
+        if depth < max_depth:
+            first_sketch = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("first_sketch"))
+            share = (
+                large.join(sketches, "node").join(firsts.join(first_sketch, "b"), "path")
+                .select("path", "sketch", "first_sketch").mapInArrow(_resemblance, "path long, share double")
+            )
+            alike = share.groupBy("path").agg(F.avg("share").alias("share")).where(F.col("share") >= least).select("path")
+            firsts = checkpointed(firsts.join(alike, "path"))
+        edges.append(large.join(firsts, "path").select(F.col("node").alias("a"), "b").distinct())
         if depth == max_depth:
-            low = large.groupBy("path").agg(F.min("node").alias("b"))
-            edges = large.join(low, "path").select(F.col("node").alias("a"), "b").distinct()
             break
         depth += 1
-        level = large.join(sketches, "node").select("path", "node", "sketch").mapInArrow(_deeper(TOKENS, lam), "path long, node long")
+        split = large.join(firsts, "path", "left_anti").join(sketches, "node").select("path", "node", "sketch")
+        level = split.mapInArrow(_deeper(TOKENS, lam), "path long, node long")
     every = small[0]
     for s in small[1:]:
         every = every.unionByName(s)
     seen = _in_groups(every.join(sketches, "node").select("path", "node", "sketch"), ["path"])
     likely = seen.mapInArrow(_likely(TOKENS, least), "a long, b long").distinct()
-    out = checkpointed(likely if edges is None else likely.unionByName(edges))
+    for e in edges:
+        likely = likely.unionByName(e)
+    out = checkpointed(likely)
     remove(spark, *paths)
     return out
 
