@@ -202,6 +202,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     sources = seen.where("not copy and doc_id is not null and size(anchors) > 0")
     binned = sources.select("doc_id", "key", F.posexplode("anchors").alias("run", "anchor"))
     shared = binned.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared, shared_at = written(shared, "shared")  # a join of two plain sides, which AQE can split
     runs = binned.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("run").alias("runs"))
     paths, paths_at = written(
         base.join(runs, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(_paths(window, gram), _PATHS),
@@ -228,7 +229,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     spans = checkpointed(
         hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "offs")).alias("spans"))
     )
-    remove(spark, seen_at, paths_at, distinct_at)
+    remove(spark, seen_at, shared_at, paths_at, distinct_at)
     return narrow, spans
 
 
