@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -77,6 +77,26 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def text_key() -> Column:
+    """Hash of the column ``text``; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, hash of text) is in ``keys (doc_id, tkey)``
+    (``how`` = left_semi) or isn't (left_anti); a null id equals a null id."""
+    mine = F.struct(F.col("d.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("d.text", F.lit(""))).alias("t"))
+    theirs = F.struct(F.col("k.doc_id").alias("id"), F.col("k.tkey").alias("t"))
+    return docs.alias("d").join(keys.alias("k"), mine.eqNullSafe(theirs), how)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with underscores until it clashes with none of ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a, b)``: ``(node, root)`` with the least
     node of each component as root, for every node that has an edge.

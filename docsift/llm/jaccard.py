@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chain, checkpointed, components, mix, remove, seed, written
+from .common import U64, chain, checkpointed, components, mix, remove, seed, text_key, written
 from .words import grams, texts_of, word_chunks
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     lam = threshold if lam is None else lam
     runs = runs_for(recall, depth, threshold, TOKENS, lam)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "tkey", F.xxhash64(F.coalesce("text", F.lit("")))
+        "tkey", text_key()
     )
     seen, seen_at = written(
         base.mapInArrow(_embed(n, TOKENS), "doc_id long, tkey long, node long, n_shingles long, sketch binary"), "sketches"
@@ -427,8 +427,7 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     stays, and of rows that repeat it one. Rows without id or words stay."""
     found = near_duplicates(docs, **options)
     kept = found.where("doc_id is not null and doc_id = group_id").groupBy("doc_id", "tkey").agg(F.min("n_copies").alias("n_copies"))
-    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
-    mine = docs.withColumn("__tkey", text_key).withColumn("__id", F.col("doc_id").cast("long"))
+    mine = docs.withColumn("__tkey", text_key()).withColumn("__id", F.col("doc_id").cast("long"))
     ided = mine.join(kept.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey")), ["__id", "__tkey"])
     ided = ided.dropDuplicates(["__id", "__tkey"])
     rest = mine.where("doc_id is null")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, mix
+from .common import U64, checkpointed, matching, mix, text_key
 from .words import SPACE, grams, hash_spans, texts_of, word_chunks
 
 BITS = 16
@@ -179,7 +179,7 @@ def quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, tail: float =
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     weights = ratio_weights(base, trusted.where(fold == 0), bits)
     measures = checkpointed(
-        base.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(_measure(weights, bits), _MEASURES)
+        base.withColumn("tkey", text_key()).mapInArrow(_measure(weights, bits), _MEASURES)
     ).withColumn("score", F.when(F.col("n_grams") > 0, F.floor(F.col("total") / F.col("n_grams"))).otherwise(F.lit(0)))
     threshold = tail_threshold(measures.where("n_grams > 0").join(trusted.where(fold == 1), "doc_id"), tail)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -193,7 +193,4 @@ def quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, tail: float =
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that ``quality`` rejects, columns unchanged."""
     kept = quality(docs, labels, **options).where("kept").select("doc_id", "tkey").distinct()
-    same = F.col("k.doc_id").eqNullSafe(F.col("d.doc_id").cast("long")) & (
-        F.col("k.tkey") == F.xxhash64(F.coalesce("d.text", F.lit("")))
-    )
-    return docs.alias("d").join(kept.alias("k"), same, "left_semi")
+    return matching(docs, kept, "left_semi")

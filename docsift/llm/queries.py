@@ -9,12 +9,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixture import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("shard")
+
+
 def op2_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("tkey")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import benchmark_leaks
+
+    return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tkey")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch
+    from .token_files import read_tokens, write_tokens
+
+    path = scratch(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return read_tokens(spark, path, with_ids=False)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
@@ -28,7 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixture": op1_source_mixture,
     "op2_quality_ratio": op2_quality_ratio,
+    "op5_decontamination": op5_decontamination,
+    "op6_token_files": op6_token_files,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }

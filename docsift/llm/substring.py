@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, chain, checkpointed, remove, written
+from .common import U64, chain, checkpointed, remove, text_key, written
 from .words import grams, texts_of, word_chunks
 
 WINDOW = 50
@@ -193,7 +193,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     source nor shortened. Rows that repeat an id aren't sources for each other."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "key", F.xxhash64(F.coalesce("text", F.lit("")))
+        "key", text_key()
     )
     seen, seen_at = written(base.mapInArrow(_scan(window, gram), _SEEN), "seen")
     least = seen.where("doc_id is not null and n_words > 0").groupBy("content").agg(F.min("doc_id").alias("least"))
@@ -235,7 +235,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
 
 def _shortened(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "key", F.xxhash64(F.coalesce("text", F.lit("")))
+        "key", text_key()
     )
     return (
         base.join(spans, ["doc_id", "key"]).select("doc_id", "text", "spans")
