@@ -64,50 +64,11 @@ def spread(df, min_partitions: int | None = None):
     return df
 
 
-_SHIPPED: set[str] = set()
-
-
 def ship_package(spark) -> None:
-    """Make ``docsift`` importable in the executors' Python workers.
-
-    Python functions in plans (mapInArrow, pandas UDFs) refer to docsift's
-    module-level helpers, so workers must import the package. A one-task
-    probe checks that; if they cannot (the driver found docsift through its
-    own sys.path only), the package is zipped into the checkpoint folder and
-    added with ``addPyFile`` — the runtime form of ``--py-files``. Once per
-    application. With a remote checkpoint folder, ship it with --py-files.
-    """
-    sc = spark.sparkContext
-    app = sc.applicationId
-    if app in _SHIPPED:
-        return
-
-    def probe(_):
-        import importlib.util
-
-        return importlib.util.find_spec("docsift") is not None
-
-    if not all(sc.parallelize([0], 1).map(probe).collect()):
-        import io
-        import uuid
-        import zipfile
-
-        base = ensure_checkpoint_dir(spark)
-        if "://" in base and not base.startswith("file:"):
-            raise RuntimeError("executors cannot import docsift: pass it with --py-files")
-        local = base[len("file:"):] if base.startswith("file:") else base
-        pkg = os.path.dirname(os.path.abspath(__file__))
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            for root, _, files in os.walk(pkg):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-        out_dir = os.path.join(local, "docsift-pkg")
-        os.makedirs(out_dir, exist_ok=True)
-        path = os.path.join(out_dir, f"docsift-{uuid.uuid4().hex[:8]}.zip")
-        with open(path, "wb") as fh:
-            fh.write(buf.getvalue())
-        sc.addPyFile(path)
-    _SHIPPED.add(app)
+    """Let Python workers import this package from where the driver found it, as
+    functions in plans refer to its modules. On a cluster whose nodes don't share
+    that folder, pass the package with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
