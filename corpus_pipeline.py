@@ -6,9 +6,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docsift.llm.common import remove, scratch
+from docsift.llm.decontam import decontaminate
+from docsift.llm.jaccard import one_of_each_group
+from docsift.llm.mixture import mix_sources
+from docsift.llm.quality import keep_good
+from docsift.llm.queries import tokenizer_file
+from docsift.llm.token_files import read_tokens, write_tokens
 
-STAGES: list = []
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the least doc_id."""
+    return one_of_each_group(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that all sources weigh alike, in shuffled order."""
+    return mix_sources(docs).select(docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's token files, read back: a row a document, in order of doc_id."""
+    path = scratch(spark, "token-files")
+    write_tokens(docs, path, tokenizer_file())
+    return read_tokens(spark, path, with_ids=False)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixture", source_mixture),
+    ("token_files", token_files),
+]
+
+# Chosen paths and byte-pair encoding have no SQL form; tests/llm holds the run against brute force.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,6 @@ together from the units' ids. The ids equal those of encoding each text whole.""
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +16,8 @@ import pyarrow as pa
 from .common import U64
 from .words import chunks, hash_spans
 
-CHUNK_BYTES = 2_000_000
-CACHE_UNITS, CACHE_IDS = 1_000_000, 16_000_000  # memory only: a full cache is begun anew
-_PLAIN = re.compile(r" ?\S+")
+CHUNK_BYTES = 3_000_000
+CACHE_UNITS, CACHE_IDS = 2_000_000, 32_000_000  # memory only: a full cache is begun anew
 
 _VISIBLE = np.zeros(256, dtype=bool)  # bytes that may stand before a cut
 _VISIBLE[0x21:0x7F] = True
@@ -32,6 +30,9 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?")] = True
+_ODD_BYTE = np.zeros(256, dtype=bool)  # white space, or a lead byte of a block with some
+_ODD_BYTE[:0x21] = True
+_ODD_BYTE[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,21 +80,41 @@ class Encoder:
         self.size = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=self.dtype)
 
-    def _encode(self, units: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(units)
-        easy = [i for i, u in enumerate(units) if _PLAIN.fullmatch(u)] if self.feed is not None else []
-        for k in range(0, len(easy), 2000):
-            part = easy[k : k + 2000]
-            got = self.lib.encode_batch_fast(["\n".join(units[i] for i in part)], add_special_tokens=False)[0].ids
-            pieces = np.split(np.array(got, dtype=self.dtype), np.flatnonzero(np.array(got) == self.feed))
-            if len(pieces) != len(part):
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each unit, place of its first). Units without white space but a space
+        before them go to the library as lines of one text; the others one by one."""
+        odd = _ODD_BYTE[data]
+        odd[starts[data[starts] == 0x20]] = False
+        sums = np.append(0, np.cumsum(odd))
+        plain = (sums[ends] == sums[starts]) & ((ends - starts > 1) | (data[starts] != 0x20)) & (self.feed is not None)
+        size = np.zeros(len(starts), dtype=np.int64)
+        easy, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        texts = []
+        for k in range(0, len(easy), 4000):
+            part = easy[k : k + 4000]
+            length = ends[part] - starts[part] + 1  # with a line feed
+            at = np.repeat(starts[part] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            line = data[np.minimum(at, len(data) - 1)]
+            line[np.cumsum(length) - 1] = 0x0A
+            texts.append(line[:-1].tobytes().decode())
+        flat = []
+        for k, e in zip(range(0, len(easy), 4000), self.lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            got = np.array(e.ids, dtype=self.dtype)
+            feeds = np.flatnonzero(got == self.feed)
+            part = easy[k : k + 4000]
+            if len(feeds) != len(part) - 1:
                 raise RuntimeError("the tokenizer joins a line feed with other characters")
-            for j, i in enumerate(part):
-                out[i] = pieces[j][1:] if j else pieces[j]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.lib.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype=self.dtype)
-        return out
+            size[part] = np.diff(np.concatenate([[-1], feeds, [len(got)]])) - 1
+            flat.append(got[got != self.feed])
+        raw = [data[starts[i] : ends[i]].tobytes().decode() for i in rest]
+        for i, e in zip(rest, self.lib.encode_batch_fast(raw, add_special_tokens=False), strict=True):
+            size[i] = len(e.ids)
+            flat.append(np.array(e.ids, dtype=self.dtype))
+        order = np.concatenate([easy, rest])
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(size[order]) - size[order]
+        ids = np.concatenate(flat) if flat else np.zeros(0, dtype=self.dtype)
+        return ids, size, place
 
     def chunk_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row)."""
@@ -112,16 +133,14 @@ class Encoder:
             if len(self.hash) > CACHE_UNITS or len(self.pool) > CACHE_IDS:
                 self._clear()
                 known[:] = False
+                at[:] = 0
             new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            got = self._encode([raw[starts[i] : ends[i]].decode() for i in sample[new]])
-            size = np.array([len(g) for g in got])
-            hashes = np.concatenate([self.hash, unique[new]])
-            order = np.argsort(hashes, kind="stable")
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])[order]
-            self.size = np.concatenate([self.size, size])[order]
-            self.pool = np.concatenate([self.pool, *got])
-            self.hash = hashes[order]
+            ids, size, place = self._encode(data, starts[sample[new]], ends[sample[new]])
+            where = at[new]
+            self.start = np.insert(self.start, where, len(self.pool) + place)
+            self.size = np.insert(self.size, where, size)
+            self.hash = np.insert(self.hash, where, unique[new])
+            self.pool = np.concatenate([self.pool, ids])
             at = np.searchsorted(self.hash, unique)
         unit = at[of]
         size = self.size[unit]

@@ -257,7 +257,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).alias("n"), F.lit(None).cast("array<int>").alias("offs")))
     # A whole copy is marked by null spans.
     marks = spans.unionByName(
-        rest.select("doc_id", "key", F.when("all", nothing).otherwise(F.slice(whole, 1, 0)).alias("spans"))
+        rest.select("doc_id", "key", F.when(F.col("all"), nothing).otherwise(F.slice(whole, 1, 0)).alias("spans"))
     )
     return _shortened(docs, marks, window)
 
