@@ -237,8 +237,9 @@ def _shortened(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "key", text_key()
     )
+    marks = spans.select(F.struct("doc_id", "key").alias("mark"), "spans")
     return (
-        base.join(spans, ["doc_id", "key"]).select("doc_id", "text", "spans")
+        base.join(marks, F.struct("doc_id", "key").eqNullSafe(F.col("mark"))).select("doc_id", "text", "spans")
         .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
     )
 
