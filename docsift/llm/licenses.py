@@ -20,6 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .spans import quoted
 
 LEAST = 0.5
@@ -79,7 +80,7 @@ def match_templates(files: DataFrame, templates: dict[str, str] | None = None, l
     """``files (path, text, ...)`` without its text, with ``is_file``, ``own`` (name of the best
     template, or null) and ``score`` (its cosine, 0 without a header)."""
     vectors = _vectors(files.sparkSession, TEMPLATES if templates is None else templates)
-    found = headers(files)
+    found = checkpointed(headers(files))  # narrow; texts are read once
     known = sorted({t for v in vectors.values() for t in v})
     part = found.select(F.explode("parts").alias("terms"))
     term = part.select(F.explode(F.array_distinct("terms")).alias("term")).where(F.col("term").isin(known))
@@ -129,8 +130,6 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, lea
     directory and all below it, if no nearer one does; of several in a directory the best score
     counts, then the first name. A null path has no directory and inherits nothing; a null text is
     empty. Repeated rows get equal results."""
-    from .common import checkpointed
-
     own = match_templates(files, templates, least).withColumn(
         "__dir", F.expr("CASE WHEN path IS NULL THEN NULL WHEN instr(path, '/') = 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END")
     )
