@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .bpe import Encoder
 from .common import U64, remove, text_key, written
 
-SCALE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 20, 512, 128, 1 << 18
+SCALE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 20, 1024, 128, 1 << 18
 LOW = U64(1) << U64(31)
 VERSION = 1
 
