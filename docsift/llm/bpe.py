@@ -16,8 +16,8 @@ import pyarrow as pa
 from .common import U64
 from .words import chunks, hash_spans
 
-CHUNK_BYTES = 3_000_000
-CACHE_UNITS, CACHE_IDS = 2_000_000, 32_000_000  # memory only: a full cache is begun anew
+CHUNK_BYTES = 2_000_000
+CACHE_UNITS, CACHE_IDS = 1_500_000, 16_000_000  # memory only: a full cache is begun anew
 
 _VISIBLE = np.zeros(256, dtype=bool)  # bytes that may stand before a cut
 _VISIBLE[0x21:0x7F] = True
