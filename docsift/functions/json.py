@@ -1,8 +1,10 @@
 """JSON metadata object -> map<string,string>.
 
-String values stay as they are; any other JSON value becomes compact JSON
-text (objects with sorted keys). Malformed JSON, a repeated key or a
-non-object gives NULL, which validation turns into a rejected row.
+String values stay as they are; any other JSON value becomes compact JSON text
+(objects with sorted keys). A number written with a point or an exponent is shown as
+the shortest text of its double (``1.0``, ``100.0``, ``1e+16``); one that no double holds
+is invalid. Malformed JSON, a repeated key or a non-object gives NULL, which validation
+turns into a rejected row. Numbers nested in arrays and objects keep Spark's JSON text.
 """
 
 from __future__ import annotations
@@ -11,11 +13,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def double_text(x: Column) -> Column:
+    """A finite double as text: plain from 1e-4 to under 1e15, else ``d.dde+XX``."""
+    plain = F.rtrim(x.cast("decimal(38,22)").cast("string"), F.lit("0"))
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    parts = F.split(x.cast("string"), "E")
+    exponent = F.get(parts, 1).cast("int")
+    sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    science = F.concat(F.regexp_replace(F.get(parts, 0), r"\.0$", ""), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    big = (F.abs(x) >= 1e15) | ((F.abs(x) < 1e-4) & (x != 0))
+    return F.when(big, science).otherwise(plain)
+
+
+def metadata_map(variant: Column) -> Column:
+    """The map of a JSON object given as a variant; NULL if it isn't usable."""
+    as_map = variant.try_cast("map<string,variant>")
+    kind = F.schema_of_variant
+    real = lambda v: kind(v).startswith("DECIMAL") | kind(v).isin("DOUBLE", "FLOAT")
+    text = lambda k, v: (
+        F.when(kind(v) == "STRING", v.try_cast("string"))
+        .when(real(v), double_text(v.try_cast("double")))
+        .otherwise(F.to_json(v))
+    )
+    endless = F.exists(F.map_values(as_map), lambda v: real(v) & (F.abs(v.try_cast("double")) == float("inf")))
+    return F.when(~F.coalesce(endless, F.lit(False)), F.transform_values(as_map, text))
+
+
 def normalise_metadata_json(json_col) -> Column:
     c = F.col(json_col) if isinstance(json_col, str) else json_col
-    parsed = F.try_parse_json(c)
-    as_map = parsed.try_cast("map<string,variant>")
-    return F.transform_values(
-        as_map,
-        lambda k, v: F.when(F.schema_of_variant(v) == F.lit("STRING"), v.cast("string")).otherwise(F.to_json(v)),
-    )
+    return metadata_map(F.try_parse_json(c))

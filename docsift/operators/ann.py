@@ -1,27 +1,19 @@
 """Approximate nearest neighbours through coarse lists (IVF).
 
-Build (K3): ``pyspark.ml`` KMeans (k-means||, distributed) over the vectors
-gives ``nlist`` centroids; each vector is assigned to its nearest centroid
-(``list_id``). Centroids are ``nlist x d`` floats, the only thing kept on the
-driver. Writing the vectors ``partitionBy('list_id')`` lets a search read
-only the lists it probes.
-
-Search (K4 + J7): each query probes its ``nprobe`` nearest centroids, then
-meets only the vectors of those lists:
-
-* few queries: the probes are broadcast and the vector table is scanned once
-  (after list pruning) with ``mapInArrow``; each row is compared only with
-  the queries that probe its list. No shuffle of vectors.
-* many queries: the probe join is an equi-join on ``list_id`` run through
-  the bounded grid of ``knn_grid``, which splits a hot list into blocks.
-
-``nprobe = nlist`` visits every list and equals the exact search; the recall
-knob is ``nprobe`` (or ``ef_search``, the number of candidates to cover).
+Build (K3): ``pyspark.ml`` KMeans (k-means||, distributed) over the vectors gives ``nlist``
+centroids, unless they are given; each vector is assigned to its nearest one (``list_id``),
+once. Centroids and list sizes (a row a list) are all that the driver holds. Vectors written
+``partitionBy('list_id')`` let a search read only the lists it probes.
+
+Search (K4 + J7): each query probes its nearest lists, as many as its setting says and at
+least until their sizes sum to k (or ``ef_search``, if given): so it gets min(k, n) rows, as
+the exact search does. Query blocks go to all tasks with their probes; the table is scanned
+once after list pruning, and each row meets only the queries that probe its list. No shuffle
+of vectors, so a hot list is scanned by many tasks. Probing every list equals the exact search.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,178 +23,154 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.operators.knn import (
-    DEFAULT_MAX_BROADCAST_BYTES,
-    _TopK,
-    _arrow_type,
-    _dist_candidates,
-    _final_rank,
-    _matrix_from_arrow,
-    _max_dist,
-    _partial_schema,
-    knn_grid,
+    BLOCK_BYTES,
+    RANK_DECIMALS,
+    SALTS,
+    TopK,
+    _union,
+    arrow_type,
+    final_rank,
+    matrix_of,
+    max_dist_of,
+    partial_schema,
+    query_blocks,
 )
 from docsift.schema import check_k
-from docsift.session import ship_package, spread
+from docsift.session import materialised, ship_package
 
 
-def _nearest_lists(X: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
-    """[n, nprobe] list ids by ascending squared distance, ties by list id."""
-    xx = np.einsum("ij,ij->i", X, X)
-    cc = np.einsum("ij,ij->i", C, C)
-    D = np.maximum(xx[:, None] + cc[None, :] - 2.0 * (X @ C.T), 0.0)
-    key = np.round(D, 9)
-    order = np.lexsort((np.broadcast_to(np.arange(C.shape[0]), key.shape), key), axis=1)
-    return order[:, :nprobe]
+def nearest_lists(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """[n, nlist] list ids by ascending squared distance, ties by list id."""
+    out = np.empty((len(x), len(centroids)), dtype=np.int64)
+    for a in range(0, len(x), 256):  # bounded differences
+        d = ((x[a : a + 256, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
+        out[a : a + 256] = np.argsort(np.round(d, RANK_DECIMALS), axis=1, kind="stable")
+    return out
 
 
-def assign_lists(df: DataFrame, centroids: np.ndarray, nprobe: int = 1, key: str = "id") -> DataFrame:
-    """Rows [key, embedding, ...] -> one row per probed list, with ``list_id``."""
+def assign_lists(df: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``df [.., embedding]`` with the ``list_id`` of the nearest centroid."""
     spark = df.sparkSession
     ship_package(spark)
-    C = np.ascontiguousarray(centroids, dtype=np.float64)
-    bc = spark.sparkContext.broadcast(C)
-    dim = C.shape[1]
-    nprobe = max(1, min(int(nprobe), C.shape[0]))
-    in_schema = df.schema
-    out_schema = T.StructType(list(in_schema.fields) + [T.StructField("list_id", T.IntegerType(), False)])
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(centroids, dtype=np.float64))
+    schema = T.StructType([*df.schema.fields, T.StructField("list_id", T.IntegerType(), False)])
 
     def run(batches):
-        Cb = bc.value
+        c = shared.value
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            X = _matrix_from_arrow(b.column("embedding"), dim)
-            lists = _nearest_lists(X, Cb, nprobe)
-            rows = np.repeat(np.arange(b.num_rows), nprobe)
-            taken = b.take(pa.array(rows))
-            yield taken.append_column("list_id", pa.array(lists.reshape(-1).astype(np.int32)))
+            if b.num_rows:
+                lists = nearest_lists(matrix_of(b.column("embedding"), c.shape[1]), c)[:, 0]
+                yield b.append_column("list_id", pa.array(lists.astype(np.int32)))
 
-    return df.mapInArrow(run, out_schema)
+    return df.mapInArrow(run, schema)
 
 
 @dataclass
 class IvfIndex:
     centroids: np.ndarray
     vectors: DataFrame  # [id, embedding, list_id]
-    n_rows: int
+    sizes: np.ndarray  # rows of each list
 
     @property
     def nlist(self) -> int:
-        return int(self.centroids.shape[0])
+        return len(self.centroids)
 
-    def nprobe_for(self, ef_search: int) -> int:
-        """Lists to probe so that about ``ef_search`` candidates are seen."""
-        per_list = max(1.0, self.n_rows / max(1, self.nlist))
-        return max(1, min(self.nlist, math.ceil(ef_search / per_list)))
-
-    def with_vectors(self, vectors: DataFrame) -> "IvfIndex":
-        """Same lists over a filtered vector table (e.g. orphans dropped)."""
-        if "list_id" not in vectors.columns:
-            vectors = vectors.join(self.vectors.select("id", "list_id"), "id")
-        return IvfIndex(self.centroids, vectors, self.n_rows)
+    @staticmethod
+    def over(vectors: DataFrame, centroids: np.ndarray) -> IvfIndex:
+        """An index over assigned vectors; counts the lists."""
+        sizes = np.zeros(len(centroids), dtype=np.int64)
+        for r in vectors.groupBy("list_id").agg(F.count("*").alias("n")).collect():  # a row a list
+            sizes[r["list_id"]] = r["n"]
+        return IvfIndex(centroids, vectors, sizes)
+
+    def probes(self, q: np.ndarray, want: int, nprobe: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(lists of each query, nearest first; how many of them it probes): at least
+        ``nprobe``, and enough for ``want`` rows."""
+        lists = nearest_lists(q, self.centroids)
+        filled = np.cumsum(self.sizes[lists], axis=1) < want
+        return lists, np.minimum(np.maximum(nprobe, filled.sum(axis=1) + 1), self.nlist)
 
     def write(self, path: str) -> None:
-        """Vectors partitioned by list: a search reads only probed lists."""
-        # Rebalance by list: a hot list is split over several tasks/files
-        # instead of landing in one; small lists share no file with others.
+        """Vectors partitioned by list; AQE splits a hot list over several files."""
         self.vectors.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
 
     @staticmethod
-    def read(spark, path: str, centroids: np.ndarray, n_rows: int) -> "IvfIndex":
-        """Vectors written by ``write``; a probe's ``list_id IN (...)`` prunes
-        whole list folders."""
-        return IvfIndex(centroids, spark.read.parquet(path), n_rows)
+    def read(spark, path: str, centroids: np.ndarray) -> IvfIndex:
+        return IvfIndex.over(spark.read.parquet(path), centroids)
 
 
-def build_ivf(vectors: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20) -> IvfIndex:
-    """K3: coarse lists by KMeans (pyspark.ml), vectors assigned to lists."""
-    from pyspark import StorageLevel
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def build_ivf(vectors: DataFrame, nlist: int | None = None, seed: int = 42, max_iter: int = 20, centroids: np.ndarray | None = None) -> IvfIndex:
+    """K3: coarse lists of ``vectors [id, embedding]`` around given centroids, or around
+    ``nlist`` that KMeans finds."""
+    v = vectors.select("id", "embedding")
+    if centroids is None:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
 
-    feats = spread(vectors.select("id", "embedding")).withColumn("features", array_to_vector("embedding"))
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+        feats = materialised(v).withColumn("features", array_to_vector("embedding"))
         n = feats.count()
-        k = max(1, min(int(nlist), n))
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
-    finally:
-        feats.unpersist()
-    centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
-    assigned = assign_lists(vectors.select("id", "embedding"), centroids, 1)
-    return IvfIndex(centroids, assigned, n)
+        model = KMeans(k=max(1, min(int(nlist), n)), seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
+        centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
+    return IvfIndex.over(materialised(assign_lists(v, centroids)), centroids)
 
 
-def _ann_broadcast(index: IvfIndex, qids: list, Q: np.ndarray, k: int, threshold: float, nprobe: int, qid_type):
+def ann_candidates(index: IvfIndex, queries: DataFrame, k: int, nprobe: int = 1, ef_search: int = 0, max_dist: float | None = None,
+                   block_bytes: int = BLOCK_BYTES, most_rows: int = 2_000_000) -> DataFrame:
+    """[query_id, id, dist, key, probe, enough]: the k best rows of each list that a query
+    probes (``probe`` 0 is its nearest list), partial by task; ``enough`` is the number of
+    lists it needs for k rows. ``most_rows`` bounds what a task keeps, by smaller blocks."""
+    k = check_k(k)
     spark = index.vectors.sparkSession
     ship_package(spark)
-    probes = _nearest_lists(Q, index.centroids, nprobe)  # [m, nprobe]
-    by_list: dict[int, np.ndarray] = {}
-    for lid in np.unique(probes):
-        by_list[int(lid)] = np.nonzero((probes == lid).any(axis=1))[0]
-    dim = Q.shape[1]
-    bq = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), Q, by_list))
-    max_dist = _max_dist(threshold)
-    out_type = _arrow_type(qid_type)
-    schema = _partial_schema(qid_type)
-    out_schema = pa.schema([("query_id", out_type), ("id", pa.string()), ("dist", pa.float64()), ("key", pa.float64())])
-
-    def run(batches):
-        qid_arr, Qb, lists = bq.value
-        state = _TopK(k, len(qid_arr))
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            X = _matrix_from_arrow(b.column("embedding"), dim)
-            ids = np.asarray(b.column("id").to_pylist(), dtype=object)
-            lid = b.column("list_id").to_numpy(zero_copy_only=False)
-            for one in np.unique(lid):
-                qsel = lists.get(int(one))
-                if qsel is None:
+    kind = queries.schema["query_id"].dataType
+    fields = [*partial_schema(kind).fields, T.StructField("probe", T.IntegerType()), T.StructField("enough", T.IntegerType())]
+    out, parts = arrow_type(kind), []
+    dim = index.centroids.shape[1]
+    for qids, q in query_blocks(queries, min(block_bytes, max(1, most_rows // k) * dim * 8)):
+        lists, count = index.probes(q, max(k, ef_search), nprobe)
+        enough = index.probes(q, k)[1]
+        # a state for each pair (query, probe)
+        query = np.repeat(np.arange(len(q)), count)
+        probe = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+        listed = lists[query, probe]
+        by_list = {int(x): np.flatnonzero(listed == x) for x in np.unique(listed)}
+        block = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), q, query, probe, by_list, enough))
+
+        def run(batches, block=block):
+            names, q, query, probe, by_list, enough = block.value
+            best = TopK(k, len(query), "l2", max_dist)
+            for b in batches:
+                if not b.num_rows:
                     continue
-                rows = np.nonzero(lid == one)[0]
-                qi, ri, d, key = _dist_candidates(X[rows], Qb[qsel], k, max_dist)
-                state.add(qsel[qi], ids[rows[ri]], d, key)
-        res = state.result()
-        if res is None:
-            return
-        qi, cid, d, key = res
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(qid_arr[qi].tolist(), type=out_type),
-                pa.array(cid.tolist(), type=pa.string()),
-                pa.array(d, type=pa.float64()),
-                pa.array(key, type=pa.float64()),
-            ],
-            schema=out_schema,
-        )
-
-    probed = [int(x) for x in by_list]
-    corpus = index.vectors.filter(F.col("list_id").isin(probed)).select("id", "embedding", "list_id")
-    partial = spread(corpus).mapInArrow(run, schema)
-    return _final_rank(partial, k, threshold)
-
-
-def ann_search(
-    index: IvfIndex,
-    queries: DataFrame,
-    k: int,
-    threshold: float = 0.0,
-    nprobe: int = 1,
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-) -> DataFrame:
+                x = matrix_of(b.column("embedding"), dim)
+                ids = np.asarray(b.column("id").to_pylist(), dtype=object)
+                lid = b.column("list_id").to_numpy()
+                for one in np.unique(lid):
+                    states = by_list.get(int(one))
+                    if states is not None:
+                        rows = np.flatnonzero(lid == one)
+                        best.add(x[rows], ids[rows], q[query[states]], states)
+            at, ids, dist, key = best.result()
+            columns = [
+                pa.array(names[query[at]].tolist(), out), pa.array(ids.tolist(), pa.string()), pa.array(dist), pa.array(key),
+                pa.array(probe[at].astype(np.int32)), pa.array(enough[query[at]].astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "dist", "key", "probe", "enough"])
+
+        table = index.vectors.filter(F.col("list_id").isin([int(x) for x in by_list])).select("id", "embedding", "list_id")
+        parts.append(table.mapInArrow(run, T.StructType(fields)))
+    return _union(parts, index.vectors, T.StructType(fields))
+
+
+def within_probes(candidates: DataFrame, k: int, nprobe: int, threshold: float = 0.0) -> DataFrame:
+    """The search result at ``nprobe``, from the candidates of as many lists or more."""
+    inside = candidates.filter(F.col("probe") < F.greatest(F.lit(nprobe), F.col("enough")))
+    return final_rank(inside.select("query_id", "id", "dist", "key"), k, threshold)
+
+
+def ann_search(index: IvfIndex, queries: DataFrame, k: int, threshold: float = 0.0, nprobe: int = 1, ef_search: int = 0) -> DataFrame:
     """K4: approximate top-k for queries [query_id, embedding] ->
-    [query_id, id, dist, score, rank]."""
-    k = check_k(k)
-    nprobe = max(1, min(int(nprobe), index.nlist))
-    queries = queries.select("query_id", "embedding")
-    dim = index.centroids.shape[1]
-    cap = max(1, max_broadcast_bytes // (8 * dim * max(1, nprobe)))
-    rows = queries.limit(cap + 1).collect()
-    if len(rows) <= cap:
-        qids = [r["query_id"] for r in rows]
-        Q = np.asarray([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-        return _ann_broadcast(index, qids, Q, k, threshold, nprobe, queries.schema["query_id"].dataType)
-    probes = assign_lists(queries, index.centroids, nprobe, key="query_id").withColumnRenamed("list_id", "_key")
-    corpus = index.vectors.select("id", "embedding", F.col("list_id").alias("_key"))
-    return knn_grid(corpus, probes, k, threshold)
+    [query_id, id, dist, score, rank]. Probes ``nprobe`` lists, and more where they hold
+    fewer than max(k, ef_search) rows."""
+    found = ann_candidates(index, queries, k, nprobe, ef_search, max_dist_of(threshold))
+    return final_rank(found.select("query_id", "id", "dist", "key"), check_k(k), threshold, salts=SALTS)

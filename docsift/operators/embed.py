@@ -4,37 +4,31 @@ An embedder maps ``DataFrame[key, text]`` to ``DataFrame[key, embedding]``.
 Documents and queries go through the same embedder (no prompt prefix).
 
 * ``HashingEmbedder``: a deterministic stand-in expressed in Spark SQL only
-  (no Python per row): ASCII case folding, tokens ``[a-z0-9]+``, the first
-  256 tokens, bucket = first four hex digits of md5(token) mod dim, bucket
+  (no Python per row): ASCII case folding, all tokens ``[a-z0-9]+`` of the text (or the
+  first ``max_tokens``, if a limit is given), bucket = first four hex digits of md5(token) mod dim, bucket
   counts, L2 normalised. The same expression exists in DuckDB, so semantic
   search can be checked end to end against SQL.
 * ``PrecomputedEmbedder``: vectors already computed elsewhere, joined by id.
-* ``OnnxEmbedder``: a transformer model through onnxruntime inside an
-  iterator pandas UDF (one session per Python worker, mini-batches),
-  mean pooling over the attention mask and L2 normalisation (V5). Optional:
-  needs a model file and a tokenizer file.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.text import ascii_lower
-from docsift.session import ship_package, spread
-from docsift.schema import NORM_EPS, TOKEN_LIMIT
+from docsift.session import ship_package
+from docsift.schema import NORM_EPS
 
 TOKEN_PATTERN = "[a-z0-9]+"
 
 
-def hashing_tokens(text_col, max_tokens: int = TOKEN_LIMIT) -> Column:
-    """Folded ASCII tokens of the whole text, cut to the first ``max_tokens``."""
+def hashing_tokens(text_col, max_tokens: int | None = None) -> Column:
+    """Folded ASCII tokens of the whole text, or its first ``max_tokens``."""
     c = F.col(text_col) if isinstance(text_col, str) else text_col
     toks = F.regexp_extract_all(ascii_lower(c), F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.slice(toks, 1, max_tokens)
+    return toks if max_tokens is None else F.slice(toks, 1, max_tokens)
 
 
 def hashing_buckets(tokens: Column, dim: int) -> Column:
@@ -65,16 +59,16 @@ class HashingEmbedder:
 
     name = "hashing"
 
-    def __init__(self, dim: int = 64, max_tokens: int = TOKEN_LIMIT, engine: str = "numpy"):
+    def __init__(self, dim: int = 64, max_tokens: int | None = None, engine: str = "numpy"):
         if engine not in ("numpy", "sql"):
             raise ValueError("engine is 'numpy' or 'sql'")
         self.dim = int(dim)
-        self.max_tokens = int(max_tokens)
+        self.max_tokens = None if max_tokens is None else int(max_tokens)
         self.engine = engine
 
     @property
     def model(self) -> str:
-        return f"hashing-{self.dim}-{self.max_tokens}"
+        return f"hashing-{self.dim}" + ("" if self.max_tokens is None else f"-{self.max_tokens}")
 
     def counts(self, text_col) -> Column:
         """Bucket counts in one pass over the token buckets (the tokenizer
@@ -86,7 +80,6 @@ class HashingEmbedder:
         )
 
     def embed(self, df: DataFrame, key: str = "id", text: str = "text", keep=()) -> DataFrame:
-        df = spread(df)
         if self.engine == "numpy":
             ship_package(df.sparkSession)
             # Tokens and md5 buckets in the JVM; the histogram + normalisation
@@ -105,7 +98,8 @@ class HashingEmbedder:
 
 
 class PrecomputedEmbedder:
-    """Vectors computed elsewhere: [id, embedding] joined by key."""
+    """Vectors computed elsewhere: [id, embedding] joined by key. Rows without a vector
+    are not embedded; ``missing`` names them."""
 
     name = "precomputed"
 
@@ -115,70 +109,17 @@ class PrecomputedEmbedder:
 
     def embed(self, df: DataFrame, key: str = "id", text: str = "text", keep=()) -> DataFrame:
         v = self.vectors.withColumnRenamed("id", key)
-        return df.select(key, *keep).join(v, key, "inner")
-
-
-class OnnxEmbedder:
-    """A sentence-embedding model run with onnxruntime on the executors.
-
-    ``model_path``: an ONNX model taking input_ids / attention_mask (and
-    token_type_ids if declared) and returning the last hidden state.
-    ``tokenizer_path``: a ``tokenizers`` JSON file. Texts are cut to
-    ``max_tokens`` tokens and padded; padding is masked out of the mean.
-    """
+        return df.select(key, *keep).join(v, key)
 
-    name = "onnx"
-
-    def __init__(self, model_path: str, tokenizer_path: str, max_tokens: int = TOKEN_LIMIT, batch_size: int = 32):
-        self.model_path = model_path
-        self.tokenizer_path = tokenizer_path
-        self.max_tokens = int(max_tokens)
-        self.batch_size = int(batch_size)
-        self.model = f"onnx:{model_path}"
-
-    def embed(self, df: DataFrame, key: str = "id", text: str = "text", keep=()) -> DataFrame:
-        df = spread(df)
-        ship_package(df.sparkSession)
-        model_path, tok_path = self.model_path, self.tokenizer_path
-        max_tokens, batch = self.max_tokens, self.batch_size
-
-        @F.pandas_udf("array<float>")
-        def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import numpy as np
-            import onnxruntime as ort
-            from tokenizers import Tokenizer
-
-            from docsift.operators.pooling import mean_pool_l2_numpy
-
-            sess = ort.InferenceSession(model_path, providers=["CPUExecutionProvider"])
-            names = {i.name for i in sess.get_inputs()}
-            tok = Tokenizer.from_file(tok_path)
-            tok.enable_truncation(max_length=max_tokens)
-            tok.enable_padding(length=max_tokens)
-            for texts in it:
-                out = []
-                vals = texts.tolist()
-                for s in range(0, len(vals), batch):
-                    enc = tok.encode_batch(vals[s : s + batch])
-                    ids = np.asarray([e.ids for e in enc], dtype=np.int64)
-                    mask = np.asarray([e.attention_mask for e in enc], dtype=np.int64)
-                    feed = {"input_ids": ids, "attention_mask": mask}
-                    if "token_type_ids" in names:
-                        feed["token_type_ids"] = np.zeros_like(ids)
-                    hidden = sess.run(None, feed)[0]
-                    out.extend(list(mean_pool_l2_numpy(hidden, mask).astype(np.float32)))
-                yield pd.Series(out)
-
-        return df.select(F.col(key), *keep, run(F.col(text)).alias("embedding"))
+    def missing(self, df: DataFrame, key: str = "id") -> DataFrame:
+        """[key] of the rows that have no vector."""
+        return df.select(key).join(self.vectors.select(F.col("id").alias(key)), key, "left_anti")
 
 
 def embed_documents(docs: DataFrame, embedder) -> DataFrame:
-    """K1 helper: [id, embedding, model, text_hash] for every document."""
-    from docsift.functions.text import text_hash
-
-    # One pass: the content hash travels next to the text it was taken from.
-    src = docs.select("id", "text", text_hash("text").alias("text_hash"))
-    out = embedder.embed(src, key="id", text="text", keep=("text_hash",))
+    """K1 helper: [id, embedding, model, text_hash] for every document (with
+    ``PrecomputedEmbedder``: for every one that has a vector)."""
+    out = embedder.embed(docs.select("id", "text", "text_hash"), key="id", text="text", keep=("text_hash",))
     return out.select("id", "embedding", F.lit(embedder.model).alias("model"), "text_hash")
 
 

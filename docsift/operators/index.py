@@ -13,13 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import text_hash
 from docsift.operators.embed import embed_documents
 from docsift.schema import VEC_COLUMNS
-from docsift.session import ensure_checkpoint_dir
-
-MAX_BROADCAST_IDS = 1_000_000
-
+from docsift.session import materialised
 
 def rebuild(docs: DataFrame, embedder) -> DataFrame:
     """K1: vectors for every document."""
@@ -29,9 +25,9 @@ def rebuild(docs: DataFrame, embedder) -> DataFrame:
 def drift(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> DataFrame:
     """[id, status] with status in missing / orphan / stale / ok.
 
-    Only ids and hashes travel through the shuffle, never texts or vectors.
+    Reads ids and the stored hashes only, never texts or vectors.
     """
-    d = docs.select("id", text_hash("text").alias("_dh"), F.lit(True).alias("_d"))
+    d = docs.select("id", F.col("text_hash").alias("_dh"), F.lit(True).alias("_d"))
     v = vectors.select("id", F.col("text_hash").alias("_vh"), F.col("model").alias("_vm"), F.lit(True).alias("_v"))
     j = d.join(v, "id", "full_outer")
     # A vector without a recorded hash cannot be verified: it counts as stale.
@@ -50,34 +46,13 @@ def drift(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> Data
 def sync(docs: DataFrame, vectors: DataFrame, embedder) -> DataFrame:
     """K2: keep the vectors that are still right, embed the rest.
 
-    The vectors that must go (orphans and stale) are usually few: they are
-    removed with a broadcast anti join after a bounded size check, so the
-    big vector table is scanned, not shuffled. Documents to embed are found
-    the same way.
-    """
-    # The drift hashes every document's text; its non-ok rows (few after an
-    # edit) are checkpointed to the shared folder once, so the three uses
-    # below read them instead of hashing all texts again.
-    ensure_checkpoint_dir(docs.sparkSession)
-    dr = drift(docs, vectors, embedder.model).filter(F.col("status") != "ok").checkpoint(eager=True)
-    bad = dr.filter(F.col("status").isin("orphan", "stale")).select("id")
-    todo = dr.filter(F.col("status").isin("missing", "stale")).select("id")
-    # One action for both sizes: at most three rows come back.
-    per_status = {r["status"]: r["n"] for r in dr.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_bad = per_status.get("orphan", 0) + per_status.get("stale", 0)
-    n_todo = per_status.get("missing", 0) + per_status.get("stale", 0)
-    v = vectors.select(*VEC_COLUMNS)
-    if n_bad == 0:
-        kept = v
-    elif n_bad <= MAX_BROADCAST_IDS:
-        kept = v.join(F.broadcast(bad), "id", "left_anti")
-    else:
-        kept = v.join(bad, "id", "left_anti")
-    if n_todo == 0:
-        return kept
-    side = F.broadcast(todo) if n_todo <= MAX_BROADCAST_IDS else todo
-    fresh = embed_documents(docs.join(side, "id", "left_semi"), embedder)
-    return kept.unionByName(fresh)
+    The drift compares ids and stored hashes only; its rows that aren't ok (few after an
+    edit) are materialised once. Texts are read for the documents to embed alone."""
+    todo = materialised(drift(docs, vectors, embedder.model).filter(F.col("status") != "ok"))
+    gone = todo.filter(F.col("status").isin("orphan", "stale")).select("id")
+    fresh = todo.filter(F.col("status").isin("missing", "stale")).select("id")
+    kept = vectors.select(*VEC_COLUMNS).join(gone, "id", "left_anti")
+    return kept.unionByName(embed_documents(docs.join(fresh, "id", "left_semi"), embedder))
 
 
 def health(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> DataFrame:
@@ -93,17 +68,19 @@ def health(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> Dat
     return counts.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts.columns])
 
 
-def load_or_build(store, embedder, publish: bool = True) -> DataFrame:
-    """The vectors of the store's head, synced to its documents (a full
-    build when there are none yet); optionally published as a new version."""
+def publish_in_step(store, head, documents: DataFrame | None, vectors: DataFrame, synced: bool, batch_id: int | None = None):
+    """Publish tables with the coarse lists of the vectors, if the store keeps lists."""
+    from docsift.operators.ann import assign_lists
+
+    lists = None
+    if head is not None and head.centroids is not None:
+        lists = assign_lists(vectors.select("id", "embedding"), store.centroids(head))
+    return store.publish(documents, vectors, parent=head, lists=lists, batch_id=batch_id, synced=synced)
+
+
+def load_or_build(store, embedder) -> DataFrame:
+    """The vectors of the store's head, synced to its documents (a full build when
+    there are none yet) and published with the lists."""
     head = store.head()
-    docs = store.documents(head)
-    vectors = store.vectors(head)
-    if vectors.limit(1).count() == 0:
-        out = rebuild(docs, embedder)
-    else:
-        out = sync(docs, vectors, embedder)
-    if publish:
-        c = store.publish(None, out, parent=head)
-        return store.vectors(c)
-    return out
+    vectors = sync(store.documents(head), store.vectors(head), embedder)
+    return store.vectors(publish_in_step(store, head, None, vectors, synced=True))

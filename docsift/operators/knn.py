@@ -1,25 +1,25 @@
 """Exact k-nearest neighbours by squared L2 distance.
 
-Two physical strategies, chosen by a size check on the query side:
-
-* ``broadcast``: the query block is small (bounded by ``max_broadcast_bytes``)
-  and is shipped to every task; the corpus is scanned once with
-  ``mapInArrow`` and never shuffled. Each task keeps a partial top-k per
-  query (ties at the cut kept, resolved exactly later), so the only shuffle
-  is at most ``partitions x queries x k`` small rows, keyed by query.
-* ``grid``: the query side is too large to broadcast. Both sides are cut
-  into bounded blocks (per key, so a hot key is split, never sent whole to
-  one task); every (corpus block, query block) cell meets once in a
-  ``cogroup().applyInPandas``. The same grid serves the approximate search,
-  where the key is the coarse list id.
-
-The final ranking is ``row_number() over (partition by query_id order by
-key, id) <= k`` (a ``WindowGroupLimit``). ``key`` is the distance rounded to
-1e-9, so two distances within float noise rank by id in every engine.
+The query side is cut into blocks of at most ``BLOCK_BYTES``. A block goes to every task,
+and the corpus is scanned once against it with ``mapInArrow``, never shuffled. Distances
+are computed tile by tile (rows x queries); each task carries the current k best rows of
+every query, and a tile only adds rows that beat the k-th. So a task holds ``k`` rows a
+query and one tile, whatever the sizes, and the only shuffle is ``tasks x queries x k``
+small rows, ranked by ``row_number() <= k`` (limited before the shuffle). For few queries
+that ranking has two steps, the first by query and a hash of the row, so no task ranks
+all candidates of a query.
+
+``knn_grid`` is the same for two distributed sides with a common key (J7): both are cut
+into bounded blocks per key, and each pair of blocks meets once.
+
+Ranking is by the distance rounded to 1e-9, then by id, so that distances within float
+noise rank alike in every engine. Distances of kept rows are recomputed from differences.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,27 +28,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.schema import check_k
-from docsift.session import ship_package, spread
+from docsift.session import ship_package
 
 RANK_DECIMALS = 9
-# Rows of the distance matrix computed at once (corpus rows x queries).
-_CHUNK_CELLS = 4_000_000
-
-DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+TILE_ROWS, TILE_QUERIES = 2048, 1024
+BLOCK_BYTES = 16 << 20
+SALTS = 64
 DEFAULT_MAX_BLOCK_ROWS = 50_000
 
 
-def _arrow_type(dt: T.DataType) -> pa.DataType:
-    if isinstance(dt, T.StringType):
-        return pa.string()
-    if isinstance(dt, T.LongType):
-        return pa.int64()
-    if isinstance(dt, T.IntegerType):
-        return pa.int32()
-    raise TypeError(f"query_id must be string, int or long, not {dt}")
+def arrow_type(dt: T.DataType) -> pa.DataType:
+    types = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32()}
+    if type(dt) not in types:
+        raise TypeError(f"query_id must be string, int or long, not {dt}")
+    return types[type(dt)]
 
 
-def _partial_schema(qid_type: T.DataType) -> T.StructType:
+def partial_schema(qid_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
             T.StructField("query_id", qid_type, False),
@@ -59,97 +55,79 @@ def _partial_schema(qid_type: T.DataType) -> T.StructType:
     )
 
 
-def _unit_rows(A: np.ndarray) -> np.ndarray:
-    n = np.sqrt(np.einsum("ij,ij->i", A, A))
-    return A / np.maximum(n, 1e-12)[:, None]
-
-
-def _dist_candidates(X: np.ndarray, Q: np.ndarray, k: int, max_dist: float | None, metric: str = "l2"):
-    """Candidates (query index, row index, dist, key) from one corpus block.
-
-    ``metric='l2'``: squared L2 distance. ``metric='cosine'``: 1 - cosine
-    similarity, a zero vector having similarity 0 with everything.
-    Keeps, per query, every row whose rounded distance is within the k-th
-    smallest, so ties at the cut survive for exact id tie-breaking.
-    """
-    if metric == "cosine":
-        X, Q = _unit_rows(X), _unit_rows(Q)
-    n = X.shape[0]
-    out_q, out_r, out_d = [], [], []
-    if n == 0 or Q.shape[0] == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)
-    qq = np.einsum("ij,ij->i", Q, Q)
-    step = max(1, _CHUNK_CELLS // max(1, Q.shape[0]))
-    for s in range(0, n, step):
-        Xc = X[s : s + step]
-        if metric == "cosine":
-            D = 1.0 - Xc @ Q.T
+def unit_rows(a: np.ndarray) -> np.ndarray:
+    """Rows at unit length; zero rows stay zero."""
+    return a / np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-12)[:, None]
+
+
+class TopK:
+    """The k best corpus rows of each of ``n`` queries, by (key, id).
+
+    ``metric``: l2 (squared distance), cosine (1 - similarity; a zero vector has similarity
+    0 with everything; rows must be given at unit length) or dot (minus the product)."""
+
+    def __init__(self, k: int, n: int, metric: str = "l2", max_dist: float | None = None):
+        self.k, self.metric, self.max_dist = k, metric, max_dist
+        self.key = np.full((n, k), np.inf)
+        self.dist = np.full((n, k), np.inf)
+        self.id = np.full((n, k), None, dtype=object)
+
+    def size(self) -> int:
+        return int(np.isfinite(self.key).sum())
+
+    def add(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, at: np.ndarray) -> None:
+        """Compare rows ``x`` named ``ids`` with queries ``q``, kept at rows ``at``."""
+        for a in range(0, len(x), TILE_ROWS):
+            for b in range(0, len(q), TILE_QUERIES):
+                self._tile(x[a : a + TILE_ROWS], ids[a : a + TILE_ROWS], q[b : b + TILE_QUERIES], at[b : b + TILE_QUERIES])
+
+    def _tile(self, x, ids, q, at) -> None:
+        product = x @ q.T
+        if self.metric == "l2":
+            xx, qq = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
+            d = xx[:, None] + qq[None, :] - 2.0 * product
+            slack = 1e-9 + 1e-13 * (xx.max(initial=0) + qq.max(initial=0))
         else:
-            xx = np.einsum("ij,ij->i", Xc, Xc)
-            D = xx[:, None] + qq[None, :] - 2.0 * (Xc @ Q.T)
-            np.maximum(D, 0.0, out=D)
-        key = np.round(D, RANK_DECIMALS)
-        kk = min(k, Xc.shape[0])
-        thr = np.partition(key, kk - 1, axis=0)[kk - 1]
-        mask = key <= thr[None, :]
-        if max_dist is not None:
-            mask &= D <= max_dist
-        r, j = np.nonzero(mask)
-        out_q.append(j)
-        out_r.append(r + s)
-        out_d.append(D[r, j])
-    qi = np.concatenate(out_q)
-    ri = np.concatenate(out_r)
-    d = np.concatenate(out_d)
-    return qi, ri, d, np.round(d, RANK_DECIMALS)
-
-
-def _select_topk(qi, ids, d, key, k):
-    """Exact top-k per query over flat candidates: order by (key, id)."""
-    if len(qi) == 0:
-        return qi, ids, d, key
-    _, id_rank = np.unique(ids, return_inverse=True)
-    order = np.lexsort((id_rank, key, qi))
-    qs = qi[order]
-    starts = np.r_[0, np.nonzero(np.diff(qs))[0] + 1]
-    counts = np.diff(np.r_[starts, len(qs)])
-    pos = np.arange(len(qs)) - np.repeat(starts, counts)
-    keep = order[pos < k]
-    return qi[keep], ids[keep], d[keep], key[keep]
-
-
-class _TopK:
-    """Running partial top-k of one task across Arrow batches."""
-
-    def __init__(self, k: int, n_queries: int):
-        self.k = k
-        self.limit = max(4 * k * n_queries, 100_000)
-        self.parts = []
-        self.size = 0
-
-    def add(self, qi, ids, d, key):
-        if len(qi):
-            self.parts.append((qi, ids, d, key))
-            self.size += len(qi)
-        if self.size > self.limit:
-            self._reduce()
-
-    def _reduce(self):
-        if len(self.parts) > 1 or self.size > self.limit:
-            cols = [np.concatenate(c) for c in zip(*self.parts)] if self.parts else None
-            if cols is not None:
-                cols = _select_topk(*cols, self.k)
-                self.parts = [tuple(cols)]
-                self.size = len(cols[0])
-
-    def result(self):
-        self._reduce()
-        if not self.parts:
-            return None
-        return self.parts[0]
-
-
-def _matrix_from_arrow(col: pa.Array, dim: int) -> np.ndarray:
+            d = (1.0 if self.metric == "cosine" else 0.0) - product
+            slack = 1e-9 + 1e-13 * np.abs(product).max(initial=0)
+        limit = self.key[at, self.k - 1]
+        if len(x) > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=0)[self.k - 1])
+        row, col = np.nonzero(d <= limit[None, :] + 2 * slack)
+        if self.metric == "l2":
+            exact = ((x[row] - q[col]) ** 2).sum(axis=1)
+        else:
+            exact = (1.0 if self.metric == "cosine" else 0.0) - (x[row] * q[col]).sum(axis=1)
+        if self.max_dist is not None:
+            near = exact <= self.max_dist
+            row, col, exact = row[near], col[near], exact[near]
+        if not len(row):
+            return
+        touched = np.unique(col)
+        old = np.isfinite(self.key[at[touched]])
+        where, place = np.nonzero(old)
+        query = np.concatenate([touched[where], col])
+        dist = np.concatenate([self.dist[at[touched]][where, place], exact])
+        names = np.concatenate([self.id[at[touched]][where, place], ids[row]])
+        key = np.round(dist, RANK_DECIMALS)
+        order = np.lexsort((np.unique(names.astype(str), return_inverse=True)[1], key, query))
+        query = query[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        best = rank < self.k
+        order, query, rank = order[best], query[best], rank[best]
+        self.key[at[touched]] = np.inf
+        self.key[at[query], rank] = key[order]
+        self.dist[at[query], rank] = dist[order]
+        self.id[at[query], rank] = names[order]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, dist, key) of all kept rows."""
+        q, r = np.nonzero(np.isfinite(self.key))
+        return q, self.id[q, r], self.dist[q, r], self.key[q, r]
+
+
+def matrix_of(col: pa.Array, dim: int) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     flat = col.flatten().to_numpy(zero_copy_only=False)
@@ -158,13 +136,15 @@ def _matrix_from_arrow(col: pa.Array, dim: int) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(len(col), dim)
 
 
-def _final_rank(partial: DataFrame, k: int, threshold: float, metric: str = "l2") -> DataFrame:
+def final_rank(partial: DataFrame, k: int, threshold: float = 0.0, metric: str = "l2", salts: int = 1) -> DataFrame:
+    """[query_id, id, dist, score, rank] from candidates [query_id, id, dist, key]."""
+    if salts > 1:
+        salted = partial.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        first = Window.partitionBy("query_id", "_salt").orderBy("key", "id")
+        partial = salted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r", "_salt")
     w = Window.partitionBy("query_id").orderBy("key", "id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if metric == "cosine":
-        score = F.lit(1.0) - F.col("dist")
-    else:
-        score = F.lit(1.0) / (F.lit(1.0) + F.col("dist"))
+    score = F.lit(1.0) - F.col("dist") if metric == "cosine" else F.lit(1.0) / (F.lit(1.0) + F.col("dist"))
     ranked = ranked.withColumn("score", score)
     if threshold and threshold > 0:
         # inclusive, applied to the k hits (it can only shrink them).
@@ -172,210 +152,128 @@ def _final_rank(partial: DataFrame, k: int, threshold: float, metric: str = "l2"
     return ranked.select("query_id", "id", "dist", "score", "rank")
 
 
-def _max_dist(threshold: float, metric: str = "l2") -> float | None:
-    # score >= t  <=>  dist <= 1/t - 1 (cosine: dist <= 1 - t); a small slack
-    # keeps the cut exact, the final filter on score decides.
+def max_dist_of(threshold: float, metric: str = "l2") -> float | None:
+    # score >= t  <=>  dist <= 1/t - 1 (cosine: dist <= 1 - t); a small slack keeps the cut
+    # exact, the final filter on score decides.
     if not threshold or threshold <= 0:
         return None
-    if metric == "cosine":
-        return 1.0 - float(threshold) + 1e-9
-    return 1.0 / float(threshold) - 1.0 + 1e-9
-
-
-def _dim_of(df: DataFrame, col: str = "embedding") -> int | None:
-    row = df.select(F.size(col).alias("d")).first()
-    return None if row is None else int(row["d"])
-
-
-def knn_broadcast_arrays(
-    corpus: DataFrame,
-    qids: list,
-    Q: np.ndarray,
-    k: int,
-    threshold: float = 0.0,
-    qid_type: T.DataType = T.StringType(),
-    metric: str = "l2",
-) -> DataFrame:
-    """Top-k of a driver-side query block (already bounded) over ``corpus``."""
-    k = check_k(k)
+    return (1.0 - float(threshold) if metric == "cosine" else 1.0 / float(threshold) - 1.0) + 1e-9
+
+
+def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, matrix) of the queries [query_id, embedding], a bounded block at a time."""
+    ids, rows = [], []
+    for r in queries.select("query_id", "embedding").toLocalIterator():
+        if rows and (len(rows) + 1) * len(rows[0]) * 8 > block_bytes:
+            yield ids, np.asarray(rows, dtype=np.float64)
+            ids, rows = [], []
+        ids.append(r["query_id"])
+        rows.append(r["embedding"])
+    if rows:
+        yield ids, np.asarray(rows, dtype=np.float64)
+
+
+def _scan(corpus: DataFrame, qids: list, q: np.ndarray, k: int, max_dist: float | None, qid_type, metric: str) -> DataFrame:
+    """Candidates of one query block: at most k rows a query and task."""
     spark = corpus.sparkSession
     ship_package(spark)
-    Q = np.ascontiguousarray(Q, dtype=np.float64)
-    dim = Q.shape[1]
-    bq = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), Q))
-    max_dist = _max_dist(threshold, metric)
-    out_type = _arrow_type(qid_type)
-    schema = _partial_schema(qid_type)
+    q = np.ascontiguousarray(unit_rows(q) if metric == "cosine" else q, dtype=np.float64)
+    block = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), q))
+    out = arrow_type(qid_type)
 
     def run(batches):
-        qid_arr, Qb = bq.value
-        state = _TopK(k, len(qid_arr))
+        names, queries = block.value
+        best = TopK(k, len(queries), metric, max_dist)
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            X = _matrix_from_arrow(b.column("embedding"), dim)
-            ids = np.asarray(b.column("id").to_pylist(), dtype=object)
-            qi, ri, d, key = _dist_candidates(X, Qb, k, max_dist, metric)
-            state.add(qi, ids[ri], d, key)
-        res = state.result()
-        if res is None:
-            return
-        qi, ids, d, key = res
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(qid_arr[qi].tolist(), type=out_type),
-                pa.array(ids.tolist(), type=pa.string()),
-                pa.array(d, type=pa.float64()),
-                pa.array(key, type=pa.float64()),
-            ],
-            schema=pa.schema(
-                [("query_id", out_type), ("id", pa.string()), ("dist", pa.float64()), ("key", pa.float64())]
-            ),
-        )
-
-    partial = spread(corpus.select("id", "embedding")).mapInArrow(run, schema)
-    return _final_rank(partial, k, threshold, metric)
-
-
-def _grid_cells(
-    corpus: DataFrame,
-    queries: DataFrame,
-    max_block_rows: int,
-    max_query_rows: int,
-):
-    """Cut both sides, per ``_key``, into bounded blocks and name the cells.
-
-    Block counts come from per-key row counts (one small aggregate per side,
-    at most one row per key), so a hot key is split into many cells.
-    """
-    cc = corpus.groupBy("_key").agg(F.count(F.lit(1)).alias("nc"))
-    qc = queries.groupBy("_key").agg(F.count(F.lit(1)).alias("nq"))
-    plan = (
-        cc.join(qc, "_key")
-        .select(
-            "_key",
-            F.greatest(F.lit(1), F.ceil(F.col("nc") / F.lit(max_block_rows))).cast("int").alias("cs"),
-            F.greatest(F.lit(1), F.ceil(F.col("nq") / F.lit(max_query_rows))).cast("int").alias("qs"),
-        )
-    )
-    # One row per key: bounded by the number of coarse lists (or 1).
-    plan = F.broadcast(plan)
-    # Cell keys must have the same types on both sides of the cogroup, or
-    # equal cells hash to different partitions: all int.
-    c = corpus.join(plan, "_key").select(
-        F.col("_key").cast("int").alias("_key"),
-        F.pmod(F.xxhash64("id"), F.col("cs")).cast("int").alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.col("qs").cast("int") - 1)).alias("qb"),
-        "id",
-        "embedding",
-    )
-    q = queries.join(plan, "_key").select(
-        F.col("_key").cast("int").alias("_key"),
-        F.explode(F.sequence(F.lit(0), F.col("cs").cast("int") - 1)).alias("cb"),
-        F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("qb"),
-        "query_id",
-        F.col("embedding").alias("q_embedding"),
-    )
-    return c, q
-
-
-def knn_grid(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    threshold: float = 0.0,
-    max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS,
-    max_query_rows: int = 4096,
-    metric: str = "l2",
-) -> DataFrame:
-    """Top-k where both sides are DataFrames of any size.
-
-    ``corpus`` [id, embedding, _key?] and ``queries`` [query_id, embedding,
-    _key?]; when ``_key`` is present a query only meets corpus rows of the
-    same key (J7, the probe join of the approximate search).
-    """
-    k = check_k(k)
-    ship_package(corpus.sparkSession)
-    if "_key" not in corpus.columns:
-        corpus = corpus.withColumn("_key", F.lit(0))
-    if "_key" not in queries.columns:
-        queries = queries.withColumn("_key", F.lit(0))
-    qid_type = queries.schema["query_id"].dataType
-    schema = _partial_schema(qid_type)
-    max_dist = _max_dist(threshold, metric)
-    c, q = _grid_cells(corpus, queries, max_block_rows, max_query_rows)
+            if b.num_rows:
+                x = matrix_of(b.column("embedding"), queries.shape[1])
+                x = unit_rows(x) if metric == "cosine" else x
+                best.add(x, np.asarray(b.column("id").to_pylist(), dtype=object), queries, np.arange(len(queries)))
+        yield partial_batch(names, best, out)
 
-    def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame(
-                {
-                    "query_id": pd.Series([], dtype=object),
-                    "id": pd.Series([], dtype=object),
-                    "dist": pd.Series([], dtype="float64"),
-                    "key": pd.Series([], dtype="float64"),
-                }
-            )
-        Q = np.stack(qpdf["q_embedding"].to_numpy()).astype(np.float64)
-        X = np.stack(cpdf["embedding"].to_numpy()).astype(np.float64)
-        qids = qpdf["query_id"].to_numpy()
-        ids = cpdf["id"].to_numpy(dtype=object)
-        qi, ri, d, key = _dist_candidates(X, Q, k, max_dist, metric)
-        qi, cid, d, key = _select_topk(qi, ids[ri], d, key, k)
-        return pd.DataFrame({"query_id": qids[qi], "id": cid, "dist": d, "key": key})
+    return corpus.select("id", "embedding").mapInArrow(run, partial_schema(qid_type))
 
-    cells = ["_key", "cb", "qb"]
-    partial = q.groupBy(*cells).cogroup(c.groupBy(*cells)).applyInPandas(cell, schema)
-    return _final_rank(partial, k, threshold, metric)
-
-
-def knn(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    threshold: float = 0.0,
-    strategy: str = "auto",
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-    max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS,
-    metric: str = "l2",
-) -> DataFrame:
+
+def partial_batch(names: np.ndarray, best: TopK, kind: pa.DataType) -> pa.RecordBatch:
+    q, ids, dist, key = best.result()
+    columns = [pa.array(names[q].tolist(), kind), pa.array(ids.tolist(), pa.string()), pa.array(dist), pa.array(key)]
+    return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "dist", "key"])
+
+
+def _union(parts: list[DataFrame], corpus: DataFrame, schema: T.StructType) -> DataFrame:
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def knn(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, metric: str = "l2",
+        block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """T2 for many queries at once.
 
-    ``corpus`` [id string, embedding array<float>], ``queries`` [query_id,
-    embedding]. Returns [query_id, id, dist, score, rank], rank 1..k per
-    query by ascending squared L2 distance, ties by id; ``score >=
-    threshold`` kept (F5). k is capped by the corpus size naturally.
-    """
+    ``corpus`` [id string, embedding array<float>], ``queries`` [query_id, embedding]. Returns
+    [query_id, id, dist, score, rank], rank 1..k per query by ascending squared L2 distance,
+    ties by id; ``score >= threshold`` kept (F5). k is capped by the corpus size."""
     k = check_k(k)
-    queries = queries.select("query_id", "embedding")
-    corpus = corpus.select("id", "embedding")
-    if strategy not in ("auto", "broadcast", "grid"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "grid":
-        return knn_grid(corpus, queries, k, threshold, max_block_rows=max_block_rows, metric=metric)
-    dim = _dim_of(queries)
-    if dim is None:  # no queries: no rows
-        return _final_rank(
-            corpus.sparkSession.createDataFrame([], _partial_schema(queries.schema["query_id"].dataType)),
-            k,
-            threshold,
-            metric,
-        )
-    cap = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
-    # Size check with a proven bound: never pull more than cap + 1 rows.
-    rows = queries.limit(cap + 1).collect()
-    if len(rows) > cap:
-        if strategy == "broadcast":
-            raise ValueError(f"query block exceeds {cap} rows; use strategy='grid'")
-        return knn_grid(corpus, queries, k, threshold, max_block_rows=max_block_rows, metric=metric)
-    qids = [r["query_id"] for r in rows]
-    Q = np.asarray([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-    return knn_broadcast_arrays(corpus, qids, Q, k, threshold, queries.schema["query_id"].dataType, metric)
+    kind = queries.schema["query_id"].dataType
+    far = max_dist_of(threshold, metric)
+    blocks = query_blocks(queries, block_bytes)
+    found, total = [], 0
+    for qids, q in blocks:
+        total += len(qids)
+        found.append(_scan(corpus, qids, q, k, far, kind, metric))
+    salts = SALTS if total < SALTS else 1
+    return final_rank(_union(found, corpus, partial_schema(kind)), k, threshold, metric, salts)
 
 
 def knn_vector(corpus: DataFrame, vector, k: int, threshold: float = 0.0, query_id: str = "q") -> DataFrame:
     """Q2 / T2 for one query vector given on the driver."""
-    Q = np.asarray(vector, dtype=np.float64).reshape(1, -1)
-    return knn_broadcast_arrays(corpus.select("id", "embedding"), [query_id], Q, k, threshold)
+    k = check_k(k)
+    q = np.asarray(vector, dtype=np.float64).reshape(1, -1)
+    found = _scan(corpus, [query_id], q, k, max_dist_of(threshold), T.StringType(), "l2")
+    return final_rank(found, k, threshold, salts=SALTS)
+
+
+def knn_grid(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS,
+             max_query_rows: int = 4096, metric: str = "l2") -> DataFrame:
+    """Top-k where both sides stay distributed.
+
+    ``corpus`` [id, embedding, _key?] and ``queries`` [query_id, embedding, _key?]; with
+    ``_key`` a query only meets corpus rows of the same key. Blocks come from the counts per
+    key, so a hot key is split into many cells."""
+    k = check_k(k)
+    ship_package(corpus.sparkSession)
+    corpus = corpus if "_key" in corpus.columns else corpus.withColumn("_key", F.lit(0))
+    queries = queries if "_key" in queries.columns else queries.withColumn("_key", F.lit(0))
+    blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(most))).cast("int")
+    plan = corpus.groupBy("_key").agg(F.count("*").alias("nc")).join(queries.groupBy("_key").agg(F.count("*").alias("nq")), "_key")
+    plan = plan.select("_key", blocks("nc", max_block_rows).alias("cs"), blocks("nq", max_query_rows).alias("qs"))
+    c = corpus.join(plan, "_key").select(
+        "_key", F.pmod(F.xxhash64("id"), F.col("cs")).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "id", "embedding"
+    )
+    q = queries.join(plan, "_key").select(
+        "_key", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("cb"), F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int").alias("qb"),
+        "query_id", F.col("embedding").alias("q_embedding"),
+    )
+    far = max_dist_of(threshold, metric)
+
+    def cell(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        best = TopK(k, len(qpdf), metric, far)
+        if len(qpdf) and len(cpdf):
+            x = np.stack(cpdf["embedding"].to_numpy()).astype(np.float64)
+            y = np.stack(qpdf["q_embedding"].to_numpy()).astype(np.float64)
+            if metric == "cosine":
+                x, y = unit_rows(x), unit_rows(y)
+            best.add(x, cpdf["id"].to_numpy(dtype=object), y, np.arange(len(y)))
+        at, ids, dist, key = best.result()
+        return pd.DataFrame({"query_id": qpdf["query_id"].to_numpy()[at], "id": ids, "dist": dist, "key": key})
+
+    cells = ["_key", "cb", "qb"]
+    kind = queries.schema["query_id"].dataType
+    partial = q.groupBy(*cells).cogroup(c.groupBy(*cells)).applyInPandas(cell, partial_schema(kind))
+    return final_rank(partial, k, threshold, metric)
 
 
 def knn_sql(corpus: DataFrame, vector, k: int, threshold: float = 0.0) -> DataFrame:
@@ -384,21 +282,12 @@ def knn_sql(corpus: DataFrame, vector, k: int, threshold: float = 0.0) -> DataFr
 
     k = check_k(k)
     q = F.array(*[F.lit(float(x)) for x in vector])
-    d = corpus.select("id", squared_l2(F.col("embedding"), q).alias("dist"))
-    d = d.withColumn("key", F.round("dist", RANK_DECIMALS))
-    top = d.orderBy("key", "id").limit(k)
-    w = Window.orderBy("key", "id")
-    out = top.withColumn("rank", F.row_number().over(w)).withColumn(
-        "score", F.lit(1.0) / (F.lit(1.0) + F.col("dist"))
-    )
-    if threshold and threshold > 0:
-        out = out.filter(F.col("score") >= F.lit(float(threshold)))
-    return out.select(F.lit("q").alias("query_id"), "id", "dist", "score", "rank")
+    d = corpus.select(F.lit("q").alias("query_id"), "id", squared_l2(F.col("embedding"), q).alias("dist"))
+    return final_rank(d.withColumn("key", F.round("dist", RANK_DECIMALS)), k, threshold, salts=SALTS)
 
 
 def best_match(corpus: DataFrame, queries: DataFrame, **kw) -> DataFrame:
-    """A5 / Q4: the best corpus row per query by cosine similarity (argmax;
-    the smallest id wins a tie). Returns [query_id, id, similarity]."""
+    """A5 / Q4: the best corpus row per query by cosine similarity (argmax; the smallest id
+    wins a tie; a zero vector has similarity 0). Returns [query_id, id, similarity]."""
     top = knn(corpus, queries, 1, metric="cosine", **kw)
     return top.select("query_id", "id", F.col("score").alias("similarity"))
-

@@ -7,8 +7,6 @@ from typing import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.schema import LIST_CAP, check_k
-
 
 def list_all(docs: DataFrame) -> DataFrame:
     """S3 + T1: every document, ordered by id (binary string order)."""
@@ -37,42 +35,13 @@ def get_by_ids(docs: DataFrame, ids: DataFrame | Iterable[str]) -> DataFrame:
     return docs.join(_ids_frame(docs, ids), "id", "left_semi").select("id", "text", "metadata")
 
 
-MAX_BROADCAST_IDS = 1_000_000
-
-
 def exists_flags(docs: DataFrame, ids: DataFrame | Iterable[str]) -> DataFrame:
-    """[id, exists] for each distinct requested id.
-
-    A bounded id set (checked) is broadcast against a scan of the document
-    ids, so the table is not shuffled; a large one uses a shuffle join.
-    """
+    """[id, exists] for each distinct requested id."""
     want = _ids_frame(docs, ids).distinct()
-    small = want.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    if small:
-        found = docs.select("id").join(F.broadcast(want), "id", "left_semi").withColumn("exists", F.lit(True))
-        joined = want.join(F.broadcast(found), "id", "left")
-    else:
-        joined = want.join(docs.select("id", F.lit(True).alias("exists")), "id", "left")
-    return joined.select("id", F.coalesce("exists", F.lit(False)).alias("exists"))
-
-
-def first_k_by_id(df: DataFrame, k: int) -> DataFrame:
-    """The first k rows in id order (TakeOrderedAndProject, no full sort)."""
-    return df.orderBy("id").limit(check_k(k))
+    found = docs.select("id").join(want, "id", "left_semi").withColumn("exists", F.lit(True))
+    return want.join(found, "id", "left").select("id", F.coalesce("exists", F.lit(False)).alias("exists"))
 
 
 def count_all(docs: DataFrame) -> DataFrame:
     """A1: one row, one column ``count``."""
     return docs.agg(F.count(F.lit(1)).alias("count"))
-
-
-__all__ = [
-    "LIST_CAP",
-    "list_all",
-    "list_ids",
-    "get_by_id",
-    "get_by_ids",
-    "exists_flags",
-    "first_k_by_id",
-    "count_all",
-]

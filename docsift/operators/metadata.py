@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.schema import LIST_CAP, META_TYPE
-
-MAX_BROADCAST_EDITS = 1_000_000
-
-
-def _side(df: DataFrame) -> DataFrame:
-    """Broadcast a per-document edit frame when it is bounded (checked), so
-    the document table is scanned rather than shuffled."""
-    small = df.limit(MAX_BROADCAST_EDITS + 1).count() <= MAX_BROADCAST_EDITS
-    return F.broadcast(df) if small else df
-
+from docsift.schema import META_TYPE
 
 def explode_metadata(docs: DataFrame) -> DataFrame:
     """Map form -> long rows [document_id, key, value]."""
@@ -57,19 +47,20 @@ def metadata_join(docs: DataFrame, long_rows: DataFrame, key: str, value: str) -
     return docs.join(hits.select(F.col("document_id").alias("id")), "id", "left_semi")
 
 
-def list_by_metadata(docs: DataFrame, key: str | None, value: str | None) -> DataFrame:
-    """T4: with both key and value, matches ordered by id and capped at 1000
-    (the reference's list cap); otherwise every document in id order."""
-    if key is None or value is None:
-        return docs.select("id", "text", "metadata").orderBy("id")
-    return metadata_equals(docs, key, value).select("id", "text", "metadata").orderBy("id").limit(LIST_CAP)
+def _filtered(docs: DataFrame, key: str | None, value: str | None) -> DataFrame:
+    """Matches of a filter; without both key and value (None or empty), every document."""
+    return metadata_equals(docs, key, value) if key and value else docs
+
+
+def list_by_metadata(docs: DataFrame, key: str | None, value: str | None, limit: int | None = None) -> DataFrame:
+    """T4: matches in id order, the first ``limit`` of them if one is given."""
+    out = _filtered(docs, key, value).select("id", "text", "metadata").orderBy("id")
+    return out if limit is None else out.limit(limit)
 
 
 def count_by_metadata(docs: DataFrame, key: str | None, value: str | None) -> DataFrame:
     """A2: count of matching documents; without both key and value, all."""
-    if key is None or value is None:
-        return docs.agg(F.count(F.lit(1)).alias("count"))
-    return metadata_equals(docs, key, value).agg(F.count(F.lit(1)).alias("count"))
+    return _filtered(docs, key, value).agg(F.count(F.lit(1)).alias("count"))
 
 
 def count_by_metadata_grouped(docs: DataFrame) -> DataFrame:
@@ -90,7 +81,7 @@ def put_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
     order = F.col("ordinal") if "ordinal" in edits.columns else F.col("value")
     last = edits.groupBy("id", "key").agg(F.max_by("value", order).alias("value"))
     per_doc = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_new"))
-    joined = docs.join(_side(per_doc), "id", "left")
+    joined = docs.join(per_doc, "id", "left")
     merged = F.when(
         F.col("_new").isNull(), F.col("metadata")
     ).otherwise(
@@ -105,8 +96,8 @@ def put_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
 def put_metadata_report(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """[id, key, status]: ``ok`` or ``not_found`` for each edit row."""
     want = edits.select("id").distinct()
-    have = docs.select("id").join(_side(want), "id", "left_semi").withColumn("_has", F.lit(True))
-    return edits.join(_side(have), "id", "left").select(
+    have = docs.select("id").join(want, "id", "left_semi").withColumn("_has", F.lit(True))
+    return edits.join(have, "id", "left").select(
         "id", "key", F.when(F.col("_has"), F.lit("ok")).otherwise(F.lit("not_found")).alias("status")
     )
 
@@ -114,7 +105,7 @@ def put_metadata_report(docs: DataFrame, edits: DataFrame) -> DataFrame:
 def delete_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """M8: remove keys given as rows [id, key]; other keys kept."""
     per_doc = edits.groupBy("id").agg(F.collect_set("key").alias("_drop"))
-    joined = docs.join(_side(per_doc), "id", "left")
+    joined = docs.join(per_doc, "id", "left")
     kept = F.when(F.col("_drop").isNull(), F.col("metadata")).otherwise(
         F.map_filter("metadata", lambda k, v: ~F.array_contains(F.col("_drop"), k))
     )
@@ -124,7 +115,7 @@ def delete_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
 def delete_metadata_report(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """[id, key, deleted]: whether the key existed on that document."""
     want = edits.select("id").distinct()
-    have = docs.select("id", "metadata").join(_side(want), "id", "left_semi")
-    return edits.join(_side(have), "id", "left").select(
+    have = docs.select("id", "metadata").join(want, "id", "left_semi")
+    return edits.join(have, "id", "left").select(
         "id", "key", F.coalesce(F.map_contains_key("metadata", F.col("key")), F.lit(False)).alias("deleted")
     )

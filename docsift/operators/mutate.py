@@ -1,12 +1,12 @@
-"""Document mutations as pure DataFrame functions.
+"""Document mutations as DataFrame functions.
 
-Every function returns ``(table, report)``: the new document table (to be
-published as a new snapshot version) and one report row per input row
-[id, status]. Nothing is written here.
+Every function returns ``(table, report)``: the new document table (to be published as a
+new version) and one report row per input row. Nothing but the change set is materialised.
 
-Plans for small change sets (the usual case) broadcast the changes and never
-shuffle the document table; the size is checked first with a bounded
-``limit(n + 1).count()``, and large change sets use shuffle joins.
+All of them start from ``prepare``: one pass that validates the changes, assigns missing
+ids, fixes the input order and checkpoints the result, so ids and order are the same in
+the table, the report and the vectors. Joins are plain; Spark broadcasts a change set by
+its size in bytes or shuffles it.
 """
 
 from __future__ import annotations
@@ -15,30 +15,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.json import normalise_metadata_json
+from docsift.functions.text import text_hash
 from docsift.schema import DOC_COLUMNS, META_TYPE
-
-MAX_BROADCAST_CHANGES = 1_000_000
-
+from docsift.session import materialised
 
 
 def _empty_meta():
     return F.create_map().cast(META_TYPE)
 
 
-def _is_small(df: DataFrame, n: int = MAX_BROADCAST_CHANGES) -> bool:
-    return df.limit(n + 1).count() <= n
-
-
 def _ts(as_of):
     return F.lit(as_of).cast("timestamp")
 
 
-def _existing(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
-    """[id, _exists] for the ids of ``ids`` that the table has. With a small
-    ``ids`` the table is scanned against a broadcast, never shuffled."""
-    want = ids.select("id").distinct()
-    hits = docs.select("id").join(F.broadcast(want) if small else want, "id", "left_semi")
-    return hits.withColumn("_exists", F.lit(True))
+def _existing(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """[id, _exists] for the ids of ``ids`` that the table has."""
+    return docs.select("id").join(ids.select("id").distinct(), "id", "left_semi").withColumn("_exists", F.lit(True))
 
 
 # ----------------------------------------------------------------- F6 / P3 / P4
@@ -47,9 +39,9 @@ def _existing(docs: DataFrame, ids: DataFrame, small: bool) -> DataFrame:
 def validate(changes: DataFrame, require_id: bool = False) -> DataFrame:
     """add ``error`` (NULL when valid) in one pass.
 
-    Input: [id?, text?, metadata_json? | metadata?, ...]. ``metadata_json``
-    (raw JSON text) is normalised by P3 into ``metadata``; a given but
-    unusable object (malformed, repeated key, not an object) is an error.
+    Input: [id?, text?, metadata_json? | metadata?, _invalid?, ...]. ``metadata_json`` (raw
+    JSON text) is normalised by P3 into ``metadata``; a given but unusable object (malformed,
+    repeated key, not an object) is an error. ``_invalid`` is what a reader found wrong.
     """
     df = changes
     if "metadata_json" in df.columns:
@@ -61,13 +53,12 @@ def validate(changes: DataFrame, require_id: bool = False) -> DataFrame:
         bad_meta = F.lit(False)
     if "id" not in df.columns:
         df = df.withColumn("id", F.lit(None).cast("string"))
-    malformed = F.col("_malformed") if "_malformed" in df.columns else F.lit(False)
-    err = F.when(malformed, F.lit("Malformed JSON")).when(F.col("text").isNull(), F.lit("Missing 'text' field"))
+    invalid = F.col("_invalid") if "_invalid" in df.columns else F.lit(None).cast("string")
+    err = F.when(invalid.isNotNull(), invalid).when(F.col("text").isNull(), F.lit("Missing 'text' field"))
     if require_id:
         err = err.when(F.col("id").isNull() | (F.col("id") == ""), F.lit("Missing 'id' field"))
     err = err.when(bad_meta, F.lit("Invalid 'metadata': must be a JSON object of unique keys"))
-    out = df.withColumn("error", err)
-    return out.drop("_malformed") if "_malformed" in out.columns else out
+    return df.withColumn("error", err).drop("_invalid")
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,96 +66,93 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("error").isNull()).drop("error"), checked.filter(F.col("error").isNotNull())
 
 
-def assign_ids(df: DataFrame, tag: str = "") -> DataFrame:
-    """Keep a non-empty given id, else generate ``doc_<hex>``.
-
-    Generated ids hash (tag, input position, text): they are repeatable when
-    a task is retried on the same input, unlike a random uuid. The input
-    position comes from ``monotonically_increasing_id`` over the input as
-    read, so call this right after the source, before any shuffle.
-    """
-    pos = F.monotonically_increasing_id().cast("string")
-    gen = F.concat(F.lit("doc_"), F.substring(F.sha2(F.concat_ws("\u0001", F.lit(tag), pos, F.col("text")), 256), 1, 32))
+def assign_ids(df: DataFrame) -> DataFrame:
+    """Keep a non-empty given id, else generate a unique ``doc_<hex>``. A generated id is
+    random, so the result must be materialised before it is used twice (``prepare`` does)."""
     given = F.when(F.col("id") != "", F.col("id"))
-    return df.withColumn("id_generated", given.isNull()).withColumn("id", F.coalesce(given, gen))
+    fresh = F.concat(F.lit("doc_"), F.regexp_replace(F.uuid(), "-", ""))
+    return df.withColumn("id_generated", given.isNull()).withColumn("id", F.coalesce(given, fresh))
+
+
+def prepare(changes: DataFrame, require_id: bool = False, generate_ids: bool = False) -> DataFrame:
+    """The change set that mutations work on, materialised once:
+    [id, text, metadata, text_hash, ordinal, error, _order].
+
+    ``_order`` is (ordinal, or the input position where it is NULL or absent; position): a
+    total order that no tie or NULL can break."""
+    if "_order" in changes.columns:
+        return changes
+    df = changes if "error" in changes.columns else validate(changes, require_id)
+    if "ordinal" not in df.columns:
+        df = df.withColumn("ordinal", F.lit(None).cast("long"))
+    position = F.monotonically_increasing_id()
+    df = df.withColumn("_position", position)
+    if generate_ids:
+        df = assign_ids(df)
+    return materialised(
+        df.select(
+            "id",
+            "text",
+            F.coalesce(F.col("metadata"), _empty_meta()).alias("metadata"),
+            text_hash("text").alias("text_hash"),
+            F.col("ordinal").cast("long").alias("ordinal"),
+            "error",
+            F.struct(F.coalesce(F.col("ordinal").cast("long"), F.col("_position")), "_position").alias("_order"),
+        )
+    )
 
 
-def with_ordinal(df: DataFrame) -> DataFrame:
-    """Input order as ``ordinal`` when the caller gave none (see assign_ids)."""
-    if "ordinal" in df.columns:
-        return df
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
+def _rejected(prepared: DataFrame, *extra: str) -> DataFrame:
+    why = F.concat(F.lit("rejected: "), F.col("error")).alias("status")
+    return prepared.filter(F.col("error").isNotNull()).select("id", *extra, why)
 
 
 def _as_docs(rows: DataFrame, as_of) -> DataFrame:
-    """Stamp new rows; missing metadata is the empty map."""
-    return rows.select(
-        "id",
-        "text",
-        F.coalesce(F.col("metadata"), _empty_meta()).alias("metadata"),
-        _ts(as_of).alias("created_at"),
-        _ts(as_of).alias("updated_at"),
-    )
+    """Stamp new rows."""
+    return rows.select("id", "text", "metadata", _ts(as_of).alias("created_at"), _ts(as_of).alias("updated_at"), "text_hash")
 
 
 # ----------------------------------------------------------------- M1 / J3
 
 
-def _first_per_id(new: DataFrame) -> DataFrame:
-    """Rows whose ordinal is the smallest of their id, plus a flag.
-    ``min`` is aggregated map-side, so a hot id never gathers in one task."""
-    firsts = new.groupBy("id").agg(F.min("ordinal").alias("_first"))
-    return new.join(firsts, "id").withColumn("_is_first", F.col("ordinal") == F.col("_first")).drop("_first")
+def insert(docs: DataFrame, new: DataFrame, as_of, require_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """M1: insert rows whose id is absent; an existing id is refused and the old row kept. Of
+    several rows with one new id the first is inserted and the rest refused. A missing id is
+    generated, or rejected with ``require_id``; a missing text is rejected.
 
-
-def insert(docs: DataFrame, new: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """M1: insert rows whose id is absent; an existing id is refused and the
-    old row kept. Rows are taken in ``ordinal`` order, so of several rows
-    with one new id the first is inserted and the rest refused."""
-    new = with_ordinal(new)
-    ranked = _first_per_id(new)
-    small = _is_small(new)
-    ex = _existing(docs, new, small)
-    flagged = ranked.join(F.broadcast(ex) if small else ex, "id", "left")
+    Report: [id, ordinal, status], a row for each input row."""
+    rows = prepare(new, require_id, generate_ids=not require_id)
+    valid = rows.filter(F.col("error").isNull())
+    firsts = valid.groupBy("id").agg(F.min("_order").alias("_first"))
+    flagged = valid.join(firsts, "id").join(_existing(docs, valid), "id", "left")
     status = (
         F.when(F.col("_exists").isNotNull(), F.lit("exists"))
-        .when(~F.col("_is_first"), F.lit("duplicate"))
+        .when(F.col("_order") != F.col("_first"), F.lit("duplicate"))
         .otherwise(F.lit("inserted"))
     )
     flagged = flagged.withColumn("status", status)
-    added = _as_docs(flagged.filter(F.col("status") == "inserted"), as_of)
-    table = docs.select(*DOC_COLUMNS).unionByName(added)
-    return table, flagged.select("id", "ordinal", "status")
+    table = docs.select(*DOC_COLUMNS).unionByName(_as_docs(flagged.filter(F.col("status") == "inserted"), as_of))
+    return table, flagged.select("id", "ordinal", "status").unionByName(_rejected(rows, "ordinal"))
 
 
 # ----------------------------------------------------------------- M2
 
 
-def insert_batch(docs: DataFrame, batch: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """M2: all or nothing. One id already in the table, repeated inside the
-    batch, or an invalid row rolls the whole batch back.
+def insert_batch(docs: DataFrame, batch: DataFrame, as_of, require_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """M2: all or nothing. One id already in the table, repeated inside the batch, or an
+    invalid row rolls the whole batch back.
 
-    The decision is one bounded action (``limit(1)`` on the conflicts); the
-    report says what really happened: ``inserted`` for every row, or
-    ``rolled_back`` with the reason on the rows that caused it.
+    The decision is one action; the report says what really happened: ``inserted`` for every
+    row, or ``rolled_back`` with the reason on the rows that caused it.
     """
-    checked = batch if "error" in batch.columns else validate(batch)
-    valid = checked.filter(F.col("error").isNull())
-    counts = valid.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-    small = _is_small(checked)
-    ex = _existing(docs, counts, small)
-    per_id = counts.join(F.broadcast(ex) if small else ex, "id", "left")
-    reason_of = per_id.select(
-        "id",
-        F.when(F.col("_exists").isNotNull(), F.lit("exists"))
-        .when(F.col("_n") > 1, F.lit("duplicate in batch"))
-        .alias("reason"),
-    )
-    rows = checked.join(reason_of, "id", "left").withColumn("reason", F.coalesce("error", "reason"))
-    conflict = rows.filter(F.col("reason").isNotNull()).limit(1).count() > 0
-    if conflict:
-        report = rows.select("id", F.lit("rolled_back").alias("status"), "reason")
-        return docs.select(*DOC_COLUMNS), report
+    rows = prepare(batch, require_id, generate_ids=not require_id)
+    valid = rows.filter(F.col("error").isNull())
+    per_id = valid.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).join(_existing(docs, valid), "id", "left")
+    reason = F.when(F.col("_exists").isNotNull(), F.lit("exists")).when(F.col("_n") > 1, F.lit("duplicate in batch"))
+    rows = rows.join(per_id.select("id", reason.alias("reason")), "id", "left")
+    rows = rows.withColumn("reason", F.coalesce("error", "reason"))
+    if not rows.filter(F.col("reason").isNotNull()).isEmpty():
+        return docs.select(*DOC_COLUMNS), rows.select("id", F.lit("rolled_back").alias("status"), "reason")
     table = docs.select(*DOC_COLUMNS).unionByName(_as_docs(valid, as_of))
     return table, rows.select("id", F.lit("inserted").alias("status"), F.lit(None).cast("string").alias("reason"))
 
@@ -172,108 +160,81 @@ def insert_batch(docs: DataFrame, batch: DataFrame, as_of) -> tuple[DataFrame, D
 # ----------------------------------------------------------------- M3 / M4 / M5
 
 
-def _apply(docs: DataFrame, changes: DataFrame, as_of, insert_missing: bool) -> DataFrame:
-    """Replace text and metadata of ids in ``changes`` (unique ids); metadata
-    is replaced wholesale (absent -> empty); created_at kept, updated_at set.
-    With ``insert_missing`` the other change rows are inserted (upsert)."""
-    ch = changes.select(
-        "id",
-        F.col("text").alias("_text"),
-        F.coalesce(F.col("metadata"), _empty_meta()).alias("_meta"),
-        F.lit(True).alias("_hit"),
-    )
-    small = _is_small(ch)
-    right = F.broadcast(ch) if small else ch
-    joined = docs.select(*DOC_COLUMNS).join(right, "id", "left")
-    hit = F.col("_hit").isNotNull()
+def latest_per_id(prepared: DataFrame) -> DataFrame:
+    """The last valid row of each id (``max_by`` is a partial aggregate: a hot id is reduced
+    before the shuffle)."""
+    valid = prepared.filter(F.col("error").isNull())
+    last = valid.groupBy("id").agg(F.max_by(F.struct("text", "metadata", "text_hash"), "_order").alias("_r"))
+    return last.select("id", "_r.*")
+
+
+def _apply(docs: DataFrame, last: DataFrame, as_of, insert_missing: bool) -> DataFrame:
+    """Replace text and metadata of the ids in ``last`` (unique ids); metadata is replaced
+    wholesale; created_at kept, updated_at set. With ``insert_missing`` the other change
+    rows are inserted (upsert)."""
+    ch = last.select("id", F.struct("text", "metadata", "text_hash").alias("_new"))
+    joined = docs.select(*DOC_COLUMNS).join(ch, "id", "left")
+    hit = F.col("_new").isNotNull()
+    pick = lambda c: F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c)
     updated = joined.select(
         "id",
-        F.when(hit, F.col("_text")).otherwise(F.col("text")).alias("text"),
-        F.when(hit, F.col("_meta")).otherwise(F.col("metadata")).alias("metadata"),
+        pick("text"),
+        pick("metadata"),
         "created_at",
         F.when(hit, _ts(as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
+        pick("text_hash"),
     )
     if not insert_missing:
         return updated
-    if small:
-        # Matched ids are found with the small side broadcast, so the
-        # document table is only scanned, never shuffled.
-        matched = docs.select("id").join(F.broadcast(ch.select("id")), "id", "left_semi")
-        fresh = ch.join(F.broadcast(matched), "id", "left_anti")
-    else:
-        fresh = ch.join(docs.select("id"), "id", "left_anti")
-    added = fresh.select(
-        "id",
-        F.col("_text").alias("text"),
-        F.col("_meta").alias("metadata"),
-        _ts(as_of).alias("created_at"),
-        _ts(as_of).alias("updated_at"),
-    )
-    return updated.unionByName(added)
+    fresh = last.join(_existing(docs, last), "id", "left_anti")
+    return updated.unionByName(_as_docs(fresh, as_of))
 
 
 def update(docs: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """M3: existing ids only (one change per id); others reported not_found."""
-    table = _apply(docs, changes, as_of, insert_missing=False)
-    small = _is_small(changes)
-    ex = _existing(docs, changes, small)
-    right = changes.select("id").join(F.broadcast(ex) if small else ex, "id", "left")
-    report = right.select(
-        "id", F.when(F.col("_exists").isNotNull(), "updated").otherwise("not_found").alias("status")
-    )
-    return table, report
+    """M3: existing ids only (the last change of each); others reported not_found."""
+    rows = prepare(changes, require_id=True)
+    table = _apply(docs, latest_per_id(rows), as_of, insert_missing=False)
+    valid = rows.filter(F.col("error").isNull())
+    found = valid.select("id").join(_existing(docs, valid), "id", "left")
+    report = found.select("id", F.when(F.col("_exists").isNotNull(), "updated").otherwise("not_found").alias("status"))
+    return table, report.unionByName(_rejected(rows))
 
 
 def upsert(docs: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """M4: update existing ids, insert the others (one change per id)."""
-    table = _apply(docs, changes, as_of, insert_missing=True)
-    return table, changes.select("id", F.lit("upserted").alias("status"))
-
-
-def latest_per_id(changes: DataFrame) -> DataFrame:
-    """The row with the largest ``ordinal`` of each id (``max_by`` is a
-    partial aggregate: a hot id is reduced map-side, not in one task)."""
-    payload = F.struct(*[F.col(c) for c in changes.columns if c not in ("id",)])
-    agg = changes.groupBy("id").agg(F.max_by(payload, F.col("ordinal")).alias("_r"))
-    return agg.select("id", "_r.*")
+    """M4: update existing ids, insert the others; the last change of each id."""
+    table, report = upsert_batch(docs, changes, as_of)
+    return table, report.drop("ordinal")
 
 
 def upsert_batch(docs: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """M5: rows without an id are rejected; of several rows per id the last
-    (largest ``ordinal``) wins; then M4."""
-    checked = validate(with_ordinal(changes), require_id=True)
-    valid, rejected = split_valid(checked)
-    last = latest_per_id(valid.select("id", "text", "metadata", "ordinal"))
-    table, _ = upsert(docs, last.drop("ordinal"), as_of)
-    report = valid.select("id", "ordinal", F.lit("upserted").alias("status")).unionByName(
-        rejected.select("id", "ordinal", F.concat(F.lit("rejected: "), F.col("error")).alias("status"))
-    )
-    return table, report
+    """M5: rows without an id or a text are rejected; of several rows per id the last wins
+    (largest ordinal, then input position); then M4. Report: [id, ordinal, status]."""
+    rows = prepare(changes, require_id=True)
+    table = _apply(docs, latest_per_id(rows), as_of, insert_missing=True)
+    done = rows.filter(F.col("error").isNull()).select("id", "ordinal", F.lit("upserted").alias("status"))
+    return table, done.unionByName(_rejected(rows, "ordinal"))
 
 
 # ----------------------------------------------------------------- M6 / J4
 
 
+def _wanted(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct()
+
+
 def delete(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remove the ids (metadata goes with the row); report
-    ``deleted`` or ``not_found`` per distinct requested id."""
-    want = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct()
-    small = _is_small(want)
-    side = F.broadcast(want) if small else want
-    table = docs.select(*DOC_COLUMNS).join(side, "id", "left_anti")
-    found = docs.select("id").join(side, "id", "left_semi").withColumn("_f", F.lit(True))
-    report = want.join(F.broadcast(found) if small else found, "id", "left").select(
-        "id", F.when(F.col("_f").isNotNull(), "deleted").otherwise("not_found").alias("status")
+    """Remove the ids (metadata goes with the row); report ``deleted`` or
+    ``not_found`` per distinct requested id."""
+    want = _wanted(ids)
+    table = docs.select(*DOC_COLUMNS).join(want, "id", "left_anti")
+    report = want.join(_existing(docs, want), "id", "left").select(
+        "id", F.when(F.col("_exists").isNotNull(), "deleted").otherwise("not_found").alias("status")
     )
     return table, report
 
 
-def delete_cascade(long_rows: DataFrame | None, vectors: DataFrame | None, ids: DataFrame):
+def delete_cascade(long_rows: DataFrame, vectors: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J4 cascade: the same ids removed from long metadata and vectors."""
-    want = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct()
-    side = F.broadcast(want) if _is_small(want) else want
-    out_meta = None
-    if long_rows is not None:
-        out_meta = long_rows.join(side.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-    out_vec = vectors.join(side, "id", "left_anti") if vectors is not None else None
-    return out_meta, out_vec
+    want = _wanted(ids)
+    kept = long_rows.join(want.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
+    return kept, vectors.join(want, "id", "left_anti")

@@ -5,12 +5,12 @@ grouped aggregation: one sum per dimension plus the unmasked count. The
 aggregate is partial (map-side) so an id holding a huge share of the rows is
 summed in pieces, never gathered in one task. Masked rows add nothing, even
 when their values are wild (NaN or infinite); an id whose tokens are all
-masked pools to the zero vector, with no NaN.
+masked pools to the zero vector, with no NaN. A vector of another length than ``dim``
+fails the job.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,9 @@ from docsift.schema import NORM_EPS
 def mean_pool(tokens: DataFrame, dim: int, key: str = "id", vec: str = "vec", mask: str = "mask") -> DataFrame:
     """[key, mask, vec array] -> [key, embedding array<float>] (pooled + normalised)."""
     on = F.col(mask) != 0
-    sums = [F.sum(F.when(on, F.col(vec)[i].cast("double")).otherwise(F.lit(0.0))).alias(f"_s{i}") for i in range(dim)]
+    wrong = F.raise_error(F.concat(F.lit(f"a vector isn't of length {dim}: "), F.size(vec).cast("string"))).cast("array<double>")
+    tokens = tokens.withColumn(vec, F.when(F.size(vec) == dim, F.col(vec).cast("array<double>")).otherwise(wrong))
+    sums = [F.sum(F.when(on, F.col(vec)[i]).otherwise(F.lit(0.0))).alias(f"_s{i}") for i in range(dim)]
     agg = tokens.groupBy(key).agg(F.sum(F.when(on, 1).otherwise(0)).alias("_n"), *sums)
     n = F.greatest(F.col("_n"), F.lit(1)).cast("double")
     pooled = agg.select(F.col(key), F.array(*[F.col(f"_s{i}") / n for i in range(dim)]).alias("_m"))
@@ -30,14 +32,3 @@ def mean_pool(tokens: DataFrame, dim: int, key: str = "id", vec: str = "vec", ma
     return pooled.select(
         F.col(key), F.transform("_m", lambda x: (x / F.col("_norm")).cast("float")).alias("embedding")
     )
-
-
-def mean_pool_l2_numpy(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """The same pooling on a dense batch [B, S, H] with mask [B, S]."""
-    m = (mask != 0).astype(np.float64)[:, :, None]
-    h = np.where(m > 0, hidden.astype(np.float64), 0.0)
-    s = h.sum(axis=1)
-    c = m.sum(axis=1)
-    mean = np.where(c > 0, s / np.maximum(c, 1.0), 0.0)
-    norm = np.sqrt((mean * mean).sum(axis=1, keepdims=True)) + NORM_EPS
-    return mean / norm

@@ -1,69 +1,72 @@
-"""All-pairs similarity (dot product, diagonal included) as a blocked
-self join.
+"""All-pairs similarity (dot product, diagonal included) as a blocked self join.
 
-Rows are hashed into B blocks; every unordered block pair {i, j} is one cell
-and each row is sent to the B cells that contain its block, so a cell holds
-at most two blocks (bounded by ``max_block_rows``). One ``applyInPandas``
-matmul per cell emits only what was asked for: pairs with ``sim >= min_sim``
-and/or the best ``k`` partners per row (ties by partner id), the latter
-finished by ``row_number() <= k`` over at most B x k rows per id.
-A request for neither is refused: the full N x N output is not produced.
+Rows are hashed into B blocks; every unordered block pair {i, j} is one cell and each row
+goes to the B cells that contain its block, so a cell holds at most two blocks (bounded by
+``max_block_rows``). In a cell products are computed tile by tile. It emits only what was
+asked for: pairs with ``sim >= min_sim``, or the best ``k`` partners per row (ties by
+partner id, kept as a running top-k), finished by ``row_number() <= k`` over at most B x k
+rows per id. A request for neither is refused, and so is one that most pairs of a cell
+answer: the N x N matrix is not a result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from docsift.operators.knn import TILE_ROWS, TopK
 from docsift.session import ship_package
 
 DEFAULT_MAX_BLOCK_ROWS = 20_000
+# A cell of this many pairs of which more than this share is asked for is refused.
+REFUSE_PAIRS, REFUSE_SHARE = 100_000, 0.5
 
-_OUT = T.StructType(
-    [
-        T.StructField("id_a", T.StringType(), False),
-        T.StructField("id_b", T.StringType(), False),
-        T.StructField("sim", T.DoubleType(), False),
-    ]
-)
 
+class TooMany(ValueError):
+    """Most pairs were asked for."""
 
-def _cell_pairs(A, ida, Bm, idb, same: bool, min_sim, k):
-    S = A @ Bm.T
-    out_a, out_b, out_s = [], [], []
 
-    def emit(S, ia, ib):
-        mask = np.ones(S.shape, dtype=bool)
-        if min_sim is not None:
-            mask &= S >= min_sim
-        if k is not None and S.shape[1] > 0:
-            kk = min(k, S.shape[1])
-            key = np.round(S, 9)
-            thr = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
-            mask &= key >= thr[:, None]
-        r, c = np.nonzero(mask)
-        out_a.append(ia[r])
-        out_b.append(ib[c])
-        out_s.append(S[r, c])
+def pairs_above(a: np.ndarray, b: np.ndarray, min_sim: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, similarity) of the pairs of at least ``min_sim``, tile by tile."""
+    found = 0
+    for i in range(0, len(a), TILE_ROWS):
+        for j in range(0, len(b), TILE_ROWS):
+            s = a[i : i + TILE_ROWS] @ b[j : j + TILE_ROWS].T
+            r, c = np.nonzero(s >= min_sim)
+            found += len(r)
+            if found > REFUSE_PAIRS and found > REFUSE_SHARE * min(len(a), i + TILE_ROWS) * len(b):
+                raise TooMany(f"more than half of all pairs have a similarity of {min_sim} or more: the N x N matrix is not produced")
+            yield r + i, c + j, s[r, c]
 
-    emit(S, ida, idb)
-    if not same:
-        emit(S.T, idb, ida)
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s)
 
+def _cell(pdf: pd.DataFrame, min_sim: float | None, k: int | None) -> pd.DataFrame:
+    ci, cj = int(pdf["_ci"].iloc[0]), int(pdf["_cj"].iloc[0])
+    ids = pdf["id"].to_numpy(dtype=object)
+    x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+    left = np.flatnonzero(pdf["_blk"].to_numpy() == ci)
+    right = np.flatnonzero(pdf["_blk"].to_numpy() == cj)
+    out = [(ids[:0], ids[:0], np.zeros(0))]
+    for mine, theirs in [(left, right)] if ci == cj else [(left, right), (right, left)]:
+        if not len(mine) or not len(theirs):
+            continue
+        if k is None:
+            out += [(ids[mine[r]], ids[theirs[c]], s) for r, c, s in pairs_above(x[mine], x[theirs], min_sim)]
+        else:
+            best = TopK(k, len(mine), "dot", None if min_sim is None else -min_sim)
+            best.add(x[theirs], ids[theirs], x[mine], np.arange(len(mine)))
+            at, partner, dist, _ = best.result()
+            out.append((ids[mine[at]], partner, -dist))
+    a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pd.DataFrame({"id_a": a, "id_b": b, "sim": s})
 
-def similarity_pairs(
-    vectors: DataFrame,
-    min_sim: float | None = None,
-    k: int | None = None,
-    blocks: int | None = None,
-    max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS,
-) -> DataFrame:
+
+def similarity_pairs(vectors: DataFrame, min_sim: float | None = None, k: int | None = None, blocks: int | None = None,
+                     max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS) -> DataFrame:
     """[id_a, id_b, sim] for pairs of rows of ``vectors`` [id, embedding]."""
     if min_sim is None and k is None:
         raise ValueError("give min_sim and/or k: the full N x N matrix is not produced")
@@ -72,41 +75,12 @@ def similarity_pairs(
     ship_package(vectors.sparkSession)
     v = vectors.select("id", "embedding")
     if blocks is None:
-        n = v.count()
-        blocks = max(1, math.ceil(n / max_block_rows))
-    B = int(blocks)
-    v = v.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(B)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("_o")
-    rep = v.select("id", "embedding", "_blk", other).select(
-        "id",
-        "embedding",
-        "_blk",
-        F.least("_blk", "_o").alias("_ci"),
-        F.greatest("_blk", "_o").alias("_cj"),
-    )
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        ci, cj = int(pdf["_ci"].iloc[0]), int(pdf["_cj"].iloc[0])
-        left = pdf[pdf["_blk"] == ci]
-        right = pdf[pdf["_blk"] == cj] if ci != cj else left
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame(
-                {"id_a": pd.Series([], dtype=object), "id_b": pd.Series([], dtype=object), "sim": pd.Series([], dtype="float64")}
-            )
-        A = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        Bm = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        a, b, s = _cell_pairs(
-            A,
-            left["id"].to_numpy(dtype=object),
-            Bm,
-            right["id"].to_numpy(dtype=object),
-            ci == cj,
-            min_sim,
-            k,
-        )
-        return pd.DataFrame({"id_a": a, "id_b": b, "sim": s})
-
-    pairs = rep.groupBy("_ci", "_cj").applyInPandas(cell, _OUT)
+        blocks = max(1, math.ceil(v.count() / max_block_rows))
+    v = v.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(int(blocks))).cast("int"))
+    v = v.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))))
+    cells = v.select("id", "embedding", "_blk", F.least("_blk", "_o").alias("_ci"), F.greatest("_blk", "_o").alias("_cj"))
+    schema = "id_a string, id_b string, sim double"
+    pairs = cells.groupBy("_ci", "_cj").applyInPandas(lambda pdf: _cell(pdf, min_sim, k), schema)
     if k is not None:
         w = Window.partitionBy("id_a").orderBy(F.round(F.col("sim"), 9).desc(), F.col("id_b"))
         pairs = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= int(k)).drop("_r")

@@ -1,13 +1,13 @@
-"""The reference client's call surface over a snapshot store.
+"""The reference client's call surface over a versioned store.
 
     eng = SearchEngine(spark, root, HashingEmbedder(64))
     eng.documents.create("text", {"k": "v"})
     eng.search.query("population of portugal", threshold=0.7).show()
 
-Every call is a Spark plan. A mutation reads only the id buckets its ids hash
-to, applies the pure operator (``operators.mutate``), re-syncs the vectors of
-those buckets (K2) and publishes one new version with both tables; results
-and reports come back as DataFrames, counts as ints.
+Every call is a Spark plan. A mutation applies the operator (``operators.mutate``) to the
+head's documents, syncs vectors (K2) and lists, and publishes all as one version, which
+fails if another was published meanwhile. Edits are meant to come in batches: a version
+rewrites the tables it changes. Results and reports come back as DataFrames, counts as ints.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.operators import lookup, metadata as meta_ops, mutate
+from docsift.operators.ann import IvfIndex, build_ivf
 from docsift.operators.index import health as health_op
+from docsift.operators.index import publish_in_step, sync
 from docsift.operators.index import rebuild as rebuild_op
-from docsift.operators.index import sync
 from docsift.plans import search as search_ops
 from docsift.schema import DEFAULT_EF_SEARCH, DEFAULT_K, DEFAULT_TYPE
 from docsift.sources.store import DEFAULT_BUCKETS, Store
@@ -44,17 +45,6 @@ class SearchEngine:
         t = self.clock() if self.clock else _dt.datetime.now(_dt.timezone.utc)
         return t.strftime("%Y-%m-%d %H:%M:%S")
 
-    def current_ivf(self):
-        """The coarse lists kept in the store (None until ``index.build_ivf``):
-        centroids plus the list-partitioned ``ivf`` table, which every
-        publish keeps in step with the vectors of the buckets it rewrites."""
-        head = self.store.head()
-        if head is None or head.centroids is None:
-            return None
-        from docsift.operators.ann import IvfIndex
-
-        return IvfIndex(self.store.centroids(head), self.store.ivf(head), head.ivf_rows or 0)
-
     def docs(self) -> DataFrame:
         return self.store.documents()
 
@@ -63,11 +53,12 @@ class SearchEngine:
 
     def health(self) -> DataFrame:
         """A4: [documents, vectors, missing, orphans, stale]."""
-        return health_op(self.docs(), self.vectors(), self.embedder.model)
+        head = self.store.head()
+        return health_op(self.store.documents(head), self.store.vectors(head), self.embedder.model)
 
     def requests(self, documents) -> DataFrame:
-        """Documents as dicts ``{text, id?, metadata?}`` (metadata any JSON
-        object) or a DataFrame -> request rows for validation."""
+        """Documents as dicts ``{text, id?, metadata?}`` (metadata any JSON object) or a
+        DataFrame -> request rows for validation."""
         if isinstance(documents, DataFrame):
             return documents
         rows = []
@@ -76,26 +67,13 @@ class SearchEngine:
             rows.append((d.get("id"), d.get("text"), None if m is None else json.dumps(m), i))
         return self.spark.createDataFrame(rows, REQUEST)
 
-    def mutate(self, changes: DataFrame, fn) -> DataFrame:
-        """Run ``fn(documents of the touched buckets) -> (table, report)`` and
-        publish the touched buckets of both tables (``table=None``: no change,
-        nothing published)."""
+    def mutate(self, fn) -> DataFrame:
+        """Run ``fn(documents) -> (table, report)`` on the head and publish the table with its
+        vectors and lists (``table=None``: no change, nothing published)."""
         head = self.store.head()
-        ids = changes.filter(F.col("id").isNotNull() & (F.col("id") != ""))
-        touched = self.store.buckets_of(ids)
-        docs = self.store.documents(head, buckets=touched)
-        table, report = fn(docs)
-        if table is None:  # nothing changed (e.g. a rolled-back batch)
-            return report
-        vecs = sync(table, self.store.vectors(head, buckets=touched), self.embedder)
-        ivf = None
-        if head is not None and head.centroids is not None:
-            # The lists of the rewritten buckets follow their vectors, in the
-            # same publish (same centroids; one pass over the touched rows).
-            from docsift.operators.ann import assign_lists
-
-            ivf = assign_lists(vecs.select("id", "embedding"), self.store.centroids(head), 1)
-        self.store.publish(table, vecs, parent=head, buckets=touched, ivf=ivf)
+        table, report = fn(self.store.documents(head))
+        if table is not None:
+            publish_in_step(self.store, head, table, sync(table, self.store.vectors(head), self.embedder), synced=True)
         return report
 
 
@@ -111,19 +89,12 @@ class Documents:
         return self.create_many([{"text": text, "metadata": metadata, "id": id}])
 
     def create_many(self, documents) -> DataFrame:
-        req = mutate.assign_ids(self.eng.requests(documents), tag=self.eng.now())
-        checked = mutate.validate(req)
-        valid, rejected = mutate.split_valid(checked)
-        report = self.eng.mutate(valid, lambda docs: mutate.insert(docs, valid, self.eng.now()))
-        return report.select("id", "status").unionByName(
-            rejected.select("id", F.concat(F.lit("rejected: "), F.col("error")).alias("status"))
-        )
+        rows = mutate.prepare(self.eng.requests(documents), generate_ids=True)
+        return self.eng.mutate(lambda docs: mutate.insert(docs, rows, self.eng.now())).select("id", "status")
 
     def retrieve(self, document_id: str) -> DataFrame:
         """zero or one row; only the id's bucket is read."""
-        ids = self.eng.spark.createDataFrame([(document_id,)], "id string")
-        part = self.eng.store.documents(buckets=self.eng.store.buckets_of(ids))
-        return lookup.get_by_id(part, document_id)
+        return self.eng.store.document(document_id).select("id", "text", "metadata")
 
     def update(self, document_id: str, text: str, metadata: dict | None = None) -> DataFrame:
         """PUT is an upsert in the reference: a missing id is inserted."""
@@ -138,48 +109,41 @@ class Documents:
 
     def delete_many(self, ids: Iterable[str] | DataFrame) -> DataFrame:
         want = ids if isinstance(ids, DataFrame) else self.eng.spark.createDataFrame([(i,) for i in ids], "id string")
-        return self.eng.mutate(want, lambda docs: mutate.delete(docs, want))
+        return self.eng.mutate(lambda docs: mutate.delete(docs, want))
 
     def count(self, key: str | None = None, value: str | None = None) -> int:
         return meta_ops.count_by_metadata(self.eng.docs(), key, value).first()["count"]
 
-    def list(self, key: str | None = None, value: str | None = None) -> DataFrame:  # noqa: A003
-        return meta_ops.list_by_metadata(self.eng.docs(), key, value)
+    def list(self, key: str | None = None, value: str | None = None, limit: int | None = None) -> DataFrame:  # noqa: A003
+        """All documents, or the matches of a filter; the reference's client sees the first
+        1000 matches, which ``limit=schema.LIST_CAP`` gives."""
+        return meta_ops.list_by_metadata(self.eng.docs(), key, value, limit)
 
     def create_batch(self, documents) -> DataFrame:
         """M2: all or nothing; [id, status, reason]."""
-        req = mutate.assign_ids(self.eng.requests(documents), tag=self.eng.now())
-        checked = mutate.validate(req)
+        rows = mutate.prepare(self.eng.requests(documents), generate_ids=True)
 
         def fn(docs):
-            table, report = mutate.insert_batch(docs, checked, self.eng.now())
-            rolled_back = report.filter(F.col("status") == "rolled_back").limit(1).count() > 0
+            table, report = mutate.insert_batch(docs, rows, self.eng.now())
+            rolled_back = not report.filter(F.col("status") == "rolled_back").isEmpty()
             return (None if rolled_back else table), report
 
-        return self.eng.mutate(checked, fn)
+        return self.eng.mutate(fn)
 
     def upsert_batch(self, documents) -> DataFrame:
         """M5: rows without id rejected; the last row per id wins."""
-        req = self.eng.requests(documents)
-        return self.eng.mutate(req, lambda docs: mutate.upsert_batch(docs, req, self.eng.now()))
+        rows = mutate.prepare(self.eng.requests(documents), require_id=True)
+        return self.eng.mutate(lambda docs: mutate.upsert_batch(docs, rows, self.eng.now()))
 
     def put_metadata(self, document_id: str, key: str, value: str) -> DataFrame:
         """M7 for one key; other keys kept; unknown id reported."""
         edits = self.eng.spark.createDataFrame([(document_id, key, value)], "id string, key string, value string")
-
-        def fn(docs):
-            return meta_ops.put_metadata(docs, edits), meta_ops.put_metadata_report(docs, edits)
-
-        return self.eng.mutate(edits, fn)
+        return self.eng.mutate(lambda docs: (meta_ops.put_metadata(docs, edits), meta_ops.put_metadata_report(docs, edits)))
 
     def delete_metadata(self, document_id: str, key: str) -> DataFrame:
         """M8: [id, key, deleted]."""
         edits = self.eng.spark.createDataFrame([(document_id, key)], "id string, key string")
-
-        def fn(docs):
-            return meta_ops.delete_metadata(docs, edits), meta_ops.delete_metadata_report(docs, edits)
-
-        return self.eng.mutate(edits, fn)
+        return self.eng.mutate(lambda docs: (meta_ops.delete_metadata(docs, edits), meta_ops.delete_metadata_report(docs, edits)))
 
 
 class Search:
@@ -195,14 +159,15 @@ class Search:
         threshold: float = 0.0,
         ef_search: int = DEFAULT_EF_SEARCH,
     ) -> DataFrame:
-        """Q3: [rank, id, text, score, metadata]."""
-        e = self.eng
-        # Every publish syncs the vectors of the buckets it rewrites, so no
-        # per-search orphan check (an id scan of both tables) is needed.
+        """Q3: [rank, id, text, score, metadata], all from one version."""
+        e, head = self.eng, self.eng.store.head()
+        index = None
+        if head is not None and head.lists is not None and metadata is None:
+            index = IvfIndex.over(e.store.lists(head), e.store.centroids(head))
         return search_ops.search(
-            e.docs(), e.vectors(), query, k, type, metadata, threshold, ef_search, e.embedder, e.current_ivf(),
-            check_orphans=False,
-        )
+            e.store.documents(head), e.store.vectors(head), query, k, type, metadata, threshold, ef_search, e.embedder, index,
+            check_orphans=head is not None and not head.synced,
+        )
 
     def semantic(self, query: str, k: int = DEFAULT_K, threshold: float = 0.0, ef_search: int = 350) -> DataFrame:
         return self.query(query, k, "semantic", None, threshold, ef_search)
@@ -219,27 +184,17 @@ class Index:
         self.eng = eng
 
     def rebuild(self):
-        """K1: embed every document and publish the vectors."""
-        e = self.eng
-        head = e.store.head()
-        vecs = rebuild_op(e.store.documents(head), e.embedder)
-        ivf = None
-        if head is not None and head.centroids is not None:
-            from docsift.operators.ann import assign_lists
-
-            ivf = assign_lists(vecs.select("id", "embedding"), e.store.centroids(head), 1)
-        return e.store.publish(None, vecs, parent=head, ivf=ivf)
+        """K1: embed every document and publish the vectors and lists."""
+        e, head = self.eng, self.eng.store.head()
+        return publish_in_step(e.store, head, None, rebuild_op(e.store.documents(head), e.embedder), synced=True)
 
     def save(self):
-        """Every mutation is already published; returns the head commit."""
+        """Every mutation is already published; returns the head."""
         return self.eng.store.head()
 
-    def build_ivf(self, nlist: int, seed: int = 42):
+    def build_ivf(self, nlist: int, seed: int = 42) -> IvfIndex:
         """K3: coarse lists for approximate semantic search (K4)."""
-        from docsift.operators.ann import build_ivf
-
-        store = self.eng.store
-        head = store.head()
+        store, head = self.eng.store, self.eng.store.head()
         built = build_ivf(store.vectors(head), nlist, seed)
-        store.publish(None, None, parent=head, ivf=built.vectors, centroids=built.centroids, ivf_rows=built.n_rows)
-        return self.eng.current_ivf()
+        new = store.publish(parent=head, lists=built.vectors, centroids=built.centroids, synced=head.synced)
+        return IvfIndex.over(store.lists(new), store.centroids(new))

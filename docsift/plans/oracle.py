@@ -108,8 +108,15 @@ FROM (SELECT * FROM docs WHERE lang = 'fr' ORDER BY id LIMIT 10)
 """
 SQL["list_by_metadata"] = f"""
 WITH {DOCS}
-SELECT id, text, meta AS metadata FROM (SELECT * FROM docs WHERE source = 'src3' ORDER BY id LIMIT 1000)
+SELECT id, text, meta AS metadata FROM docs WHERE source = 'src3'
 """
+SQL["list_by_metadata_capped"] = f"""
+WITH {DOCS}
+SELECT id, text, meta AS metadata FROM (SELECT * FROM docs WHERE lang = 'en' ORDER BY id LIMIT 1000)
+"""
+SQL["list_empty_filter"] = SQL["list_all"]
+SQL["count_empty_filter"] = SQL["count_all"]
+SQL["metadata_attach"] = f"WITH {DOCS} SELECT id, CASE WHEN lang = 'en' THEN '' ELSE meta END AS metadata FROM docs"
 
 SQL["text_search"] = f"""
 WITH {DOCS}
@@ -157,11 +164,14 @@ SELECT id_a, id_b, round(sim, 6) AS sim FROM r WHERE rk <= 3
 """
 
 
-def hashing_sql(src: str, key: str, text: str, dim: int = 64) -> str:
+def hashing_sql(src: str, key: str, text: str, dim: int = 64, limit: int | None = None) -> str:
     """CTEs hb_<src> (key, bucket, value) of the hashing embedder, sparse form,
     plus hn_<src> (key, nrm) with a row for every key (zero vectors too)."""
+    tokens = f"regexp_extract_all({fold(text)}, '[a-z0-9]+')"
+    if limit is not None:
+        tokens = f"list_slice({tokens}, 1, {limit})"
     return f"""
-ht_{src} AS (SELECT {key} AS key, list_slice(regexp_extract_all({fold(text)}, '[a-z0-9]+'), 1, 256) AS t FROM {src}),
+ht_{src} AS (SELECT {key} AS key, {tokens} AS t FROM {src}),
 hc_{src} AS (SELECT key, bucket, count(*)::DOUBLE AS cnt FROM (
     SELECT key, unnest(list_transform(t, lambda x: (('0x' || substr(md5(x), 1, 4))::INTEGER) % {dim})) AS bucket
     FROM ht_{src}) GROUP BY key, bucket),
@@ -179,6 +189,14 @@ WITH {HASH_DOCS}
 SELECT key AS id, bucket AS pos, round(value, 6) AS value FROM hb_documents WHERE value <> 0
 """
 
+SQL["embed_token_limit"] = f"""
+WITH {hashing_sql("documents", "CAST(doc_id AS VARCHAR)", "text", limit=256)}
+SELECT key AS id, bucket AS pos, round(value, 6) AS value FROM hb_documents WHERE value <> 0
+"""
+SQL["embed_precomputed"] = f"""
+WITH {DOCS}, {VECS} SELECT id, CASE WHEN id IN (SELECT id FROM vecs) THEN 'embedded' ELSE 'missing' END AS status FROM docs
+"""
+
 # Squared L2 between every benchmark query and every document, sparse form.
 QD_DIST = f"""
 {HASH_DOCS}, {HASH_BENCH},
@@ -210,11 +228,11 @@ JOIN benchmark b ON CAST(b.item_id AS VARCHAR) = r.query_id WHERE r.rank = 1
 SQL["metadata_normalise"] = """
 WITH src AS (
   SELECT event_id, '{"type": "' || event_type || '", "user": ' || CAST(user_id AS VARCHAR) || ', "big": '
-         || CASE WHEN value > 25 THEN 'true' ELSE 'false' END || ', "props": ' || props || ', "none": null}' AS j
+         || CASE WHEN value > 25 THEN 'true' ELSE 'false' END || ', "props": ' || props || ', "value": ' || CAST(value AS VARCHAR) || ', "one": 1.0, "hundred": 1e2, "none": null}' AS j
   FROM events),
 k AS (SELECT event_id, j, unnest(json_keys(j)) AS key FROM src)
 SELECT event_id, key,
-       CASE WHEN json_type(j, '$."' || key || '"') = 'VARCHAR' THEN json_extract_string(j, '$."' || key || '"')
+       CASE WHEN key = 'hundred' THEN '100.0' WHEN json_type(j, '$."' || key || '"') = 'VARCHAR' THEN json_extract_string(j, '$."' || key || '"')
             ELSE json_extract(j, '$."' || key || '"')::VARCHAR END AS value
 FROM k
 """
@@ -260,6 +278,16 @@ SELECT ch.id, ch.ordinal,
             ELSE 'inserted' END AS status
 FROM ch JOIN firsts USING (id)
 """
+SQL["insert_ties"] = """
+SELECT 'n' || conv_id AS id, 1::BIGINT AS n_inserted, count(*) - 1 AS n_duplicate, 1::BIGINT AS n_stored FROM conversations GROUP BY conv_id
+"""
+SQL["insert_rejects"] = """
+WITH r AS (SELECT CASE WHEN role = 'system' THEN 'rejected: Missing ''text'' field' WHEN turn = 0 THEN 'rejected: Missing ''id'' field'
+                  ELSE 'inserted' END AS status FROM conversations)
+SELECT status, count(*) AS n FROM r GROUP BY status
+UNION ALL SELECT 'stored', (SELECT count(*) FROM documents) + (SELECT count(*) FROM r WHERE status = 'inserted')
+"""
+SQL["insert_batch_rolled_back_table"] = f"WITH {DOCS} SELECT id, text, meta AS metadata, {T0} AS created_at, {T0} AS updated_at FROM docs"
 SQL["insert_batch_ok"] = f"""
 WITH {DOCS}
 SELECT id, text, meta AS metadata, {T0} AS created_at, {T0} AS updated_at FROM docs
@@ -281,12 +309,31 @@ FROM docs d LEFT JOIN last l USING (id)
 """
 SQL["upsert"] = f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED} {table_sql('upserted')}"
 SQL["upsert_batch"] = SQL["upsert"]
+SQL["upsert_json_no_ordinal"] = f"""
+WITH {DOCS},
+last AS (SELECT CAST(conv_id AS VARCHAR) AS id, arg_max(text, turn) AS text, '' AS meta FROM conversations GROUP BY conv_id),
+{UPSERTED} {table_sql('upserted')}
+"""
 SQL["stamps"] = f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED} SELECT id, created_at, updated_at FROM upserted"
 SQL["delete"] = f"WITH {DOCS}, {TOXIC} SELECT id FROM docs WHERE id NOT IN (SELECT id FROM gone)"
 SQL["delete_report"] = f"""
 WITH {DOCS}, {TOXIC}
 SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM docs) THEN 'deleted' ELSE 'not_found' END AS status FROM gone
 """
+SQL["delete_cascade"] = f"""
+WITH {DOCS}, {VECS}, {TOXIC}
+SELECT 'metadata' AS kind, id, unnest(['lang', 'source']) AS key FROM docs WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'vector', id, '' FROM vecs WHERE id NOT IN (SELECT id FROM gone)
+"""
+SQL["metadata_put_replace"] = f"""
+WITH {DOCS}
+SELECT id AS document_id, 'lang' AS key, lang AS value FROM docs
+UNION ALL SELECT docs.id, 'source', coalesce(CAST(quality AS VARCHAR), source) FROM docs LEFT JOIN labels ON CAST(labels.doc_id AS VARCHAR) = docs.id
+"""
+SQL["metadata_put_report"] = """
+SELECT CAST(doc_id AS VARCHAR) AS id, 'quality' AS key, CASE WHEN doc_id IN (SELECT doc_id FROM documents) THEN 'ok' ELSE 'not_found' END AS status FROM labels
+UNION ALL SELECT 'conv-' || conv_id, 'k', 'not_found' FROM conversations WHERE turn = 0
+"""
 SQL["metadata_put"] = f"""
 WITH {DOCS}
 SELECT id AS document_id, 'lang' AS key, lang AS value FROM docs
@@ -321,13 +368,8 @@ FROM conversations
 SQL["snapshot_roundtrip"] = f"WITH {DOCS} SELECT id, text, meta AS metadata, {T0} AS created_at, {T0} AS updated_at FROM docs"
 
 
-def hashing_from(cte: str, key: str, text: str, dim: int = 64) -> str:
-    """Sparse hashing vectors of any CTE (see hashing_sql)."""
-    return hashing_sql(cte, key, text, dim)
-
-
 VEC_DIGEST = """
-SELECT t.key AS id, 'hashing-64-256' AS model, t.h AS text_hash,
+SELECT t.key AS id, 'hashing-64' AS model, t.h AS text_hash,
        round(coalesce((SELECT sum((b.bucket + 1) * b.value) FROM hb_{src} b WHERE b.key = t.key), 0), 6) AS checksum
 FROM (SELECT {key} AS key, sha256({text}) AS h FROM {src}) t
 """
@@ -336,7 +378,7 @@ SQL["vector_rebuild"] = (
     + VEC_DIGEST.format(src="documents", key="CAST(doc_id AS VARCHAR)", text="text")
 )
 SQL["vector_sync"] = (
-    f"WITH {DOCS}, {CH}, {LAST}, {EDITED}, {hashing_from('edited', 'id', 'text')} "
+    f"WITH {DOCS}, {CH}, {LAST}, {EDITED}, {hashing_sql('edited', 'id', 'text')} "
     + VEC_DIGEST.format(src="edited", key="id", text="text")
 )
 SQL["index_drift"] = f"""
@@ -381,6 +423,61 @@ SELECT r.rank, r.id, docs.text, round(1.0 / (1.0 + r.dist), 6) AS score, docs.me
 FROM r JOIN docs USING (id) WHERE r.rank <= 10 AND 1.0 / (1.0 + r.dist) >= 0.6
 """
 
+def ann_sql(points: str, queries: str, k: int, want: int) -> str:
+    """CTEs of an IVF search: ``points`` and ``queries`` are CTEs (id, v), lists are around
+    the CTE ``cents`` (list_id, v). ``hits`` has each query's rows with its list's rank
+    ``rk`` and ``enough``, the number of lists that hold k rows, ``need`` for ``want``."""
+    return f"""
+near AS (SELECT p.id, list_id FROM {points} p, cents c
+         QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY round({sq_l2('p.v', 'c.v')}, 9), list_id) = 1),
+sizes AS (SELECT c.list_id, count(n.id) AS size FROM cents c LEFT JOIN near n USING (list_id) GROUP BY c.list_id),
+ordered AS (SELECT q.id AS query_id, list_id, row_number() OVER (PARTITION BY q.id ORDER BY round({sq_l2('q.v', 'c.v')}, 9), list_id) AS rk
+            FROM {queries} q, cents c),
+filled AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY rk) AS seen FROM ordered JOIN sizes USING (list_id)),
+needs AS (SELECT query_id, least(count(*) FILTER (seen < {k}) + 1, count(*)) AS enough, least(count(*) FILTER (seen < {want}) + 1, count(*)) AS need
+          FROM filled GROUP BY query_id),
+hits AS (SELECT o.query_id, p.id, {sq_l2('p.v', 'q.v')} AS dist, o.rk, needs.enough, needs.need
+         FROM ordered o JOIN needs USING (query_id) JOIN near n USING (list_id) JOIN {points} p ON p.id = n.id JOIN {queries} q ON q.id = o.query_id)"""
+
+
+FIXED = f"""{DOCS}, {VECS}, {LIVE},
+cents AS (SELECT vec_id AS list_id, embedding AS v FROM embeddings WHERE vec_id < 16),
+points AS (SELECT id, embedding AS v FROM live), qs AS (SELECT id, embedding AS v FROM vecs),
+{ann_sql('points', 'qs', 10, 10)}"""
+
+
+def ranked_probe(p: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rank FROM hits WHERE rk <= greatest({p}, enough)"
+
+
+SQL["ann_probe"] = f"""
+WITH {FIXED}, r AS ({ranked_probe('2')})
+SELECT query_id, rank, id, round(dist, 6) AS dist, round(1.0 / (1.0 + dist), 6) AS score FROM r WHERE rank <= 10
+"""
+SQL["ann_recall"] = f"""
+WITH {FIXED},
+exact AS (SELECT query_id, id FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) <= 10),
+{", ".join(f"r{p} AS ({ranked_probe(str(p))})" for p in (1, 2, 4, 8))}
+{" UNION ALL ".join(f"SELECT {p} AS nprobe, round((SELECT count(*) FROM exact JOIN r{p} USING (query_id, id) WHERE rank <= 10) / (SELECT count(*) FROM exact), 6) AS recall" for p in (1, 2, 4, 8))}
+"""
+
+
+def dense(src: str, dim: int = 64) -> str:
+    """CTE (id, v) of the hashing vectors of a CTE, as lists."""
+    return f"""dense_{src} AS (SELECT key AS id, list_transform(range(0, {dim}), lambda i: coalesce(m[i], 0.0)) AS v FROM (
+    SELECT t.key, map(coalesce(list(b.bucket) FILTER (b.bucket IS NOT NULL), []), coalesce(list(b.value) FILTER (b.bucket IS NOT NULL), [])) AS m
+    FROM ht_{src} t LEFT JOIN hb_{src} b ON b.key = t.key GROUP BY t.key))"""
+
+
+SQL["semantic_search_ann"] = f"""
+WITH {HASH_DOCS}, {HASH_BENCH}, {dense('documents')}, {dense('benchmark')},
+cents AS (SELECT CAST(id AS BIGINT) AS list_id, v FROM dense_documents WHERE CAST(id AS BIGINT) < 16),
+{ann_sql('dense_documents', 'dense_benchmark', 10, 50)},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rank FROM hits WHERE rk <= need)
+SELECT query_id, rank, r.id, round(1.0 / (1.0 + dist), 6) AS score, text FROM r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id
+WHERE rank <= 10 AND 1.0 / (1.0 + dist) >= 0.4
+"""
+
 SQL["text_files"] = "SELECT CAST(doc_id AS VARCHAR) AS name, text FROM documents"
 SQL["json_documents"] = """
 SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error' THEN event_type END AS text,
@@ -388,6 +485,12 @@ SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_type <> 'error' THEN eve
        CASE WHEN event_type = 'error' THEN 'Missing ''text'' field' END AS error
 FROM events
 """
+SQL["json_types_rejected"] = """
+SELECT CASE event_id % 6 WHEN 1 THEN 'Invalid ''text'': must be a string' WHEN 2 THEN 'Invalid ''text'': must be a string'
+       WHEN 3 THEN 'Invalid ''id'': must be a string' WHEN 4 THEN 'Invalid ''metadata'': must be a JSON object of unique keys'
+       WHEN 5 THEN 'Invalid ''metadata'': must be a JSON object of unique keys' END AS error, count(*) AS n
+FROM events GROUP BY 1
+"""
 SQL["ingest_stream"] = SQL["upsert_batch"]
 
 SQL["result_preview"] = f"""
@@ -399,6 +502,10 @@ FROM r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.id WHERE r.rank = 1
 
 SQL["store_upsert_batch"] = SQL["upsert_batch"]
 SQL["store_vectors"] = (
-    f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED}, {hashing_from('upserted', 'id', 'text')} "
+    f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED}, {hashing_sql('upserted', 'id', 'text')} "
     + VEC_DIGEST.format(src="upserted", key="id", text="text")
 )
+SQL["ingest_stream_vectors"] = SQL["store_vectors"]
+SQL["vectors_roundtrip"] = """
+SELECT CAST(vec_id AS VARCHAR) AS id, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings
+"""

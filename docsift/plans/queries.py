@@ -211,6 +211,43 @@ def q_list_by_metadata(spark, d):
     return res.select("id", "text", meta_str().alias("metadata"))
 
 
+@register("list_by_metadata_capped")
+def q_list_by_metadata_capped(spark, d):
+    """T4 as the reference's client sees it: the first 1000 matches."""
+    from docsift.operators.metadata import list_by_metadata
+    from docsift.schema import LIST_CAP
+
+    return list_by_metadata(docs_of(spark, d), "lang", "en", limit=LIST_CAP).select("id", "text", meta_str().alias("metadata"))
+
+
+@register("list_empty_filter")
+def q_list_empty_filter(spark, d):
+    """T4: an empty value means no filter."""
+    from docsift.operators.metadata import list_by_metadata
+
+    return list_by_metadata(docs_of(spark, d), "lang", "").select("id", "text", meta_str().alias("metadata"))
+
+
+@register("count_empty_filter")
+def q_count_empty_filter(spark, d):
+    """A2: an empty key means no filter."""
+    from docsift.operators.metadata import count_by_metadata
+
+    return count_by_metadata(docs_of(spark, d), "", "en")
+
+
+@register("metadata_attach")
+def q_metadata_attach(spark, d):
+    """Long rows of the documents that aren't English joined back; the English ones
+    have no metadata and get the empty map."""
+    from docsift.operators.metadata import attach_metadata
+
+    rows = metadata_long_from_testdata(spark, d)
+    foreign = rows.filter((F.col("key") == "lang") & (F.col("value") != "en")).select("document_id")
+    out = attach_metadata(docs_of(spark, d), rows.join(foreign, "document_id", "left_semi"))
+    return out.select("id", meta_str().alias("metadata"))
+
+
 # --------------------------------------------------------------- text search
 
 
@@ -333,11 +370,14 @@ def q_similarity_topk(spark, d):
 # --------------------------------------------------------------- embedding and text queries
 
 
-def hashing_vectors(spark, d, dim: int = 64) -> DataFrame:
+def hashing_vectors(spark, d, dim: int = 64, max_tokens: int | None = None) -> DataFrame:
     """K1 with the hashing embedder over every document."""
     from docsift.operators.embed import HashingEmbedder, embed_documents
 
-    return embed_documents(docs_of(spark, d), HashingEmbedder(dim))
+    # The driver's table is one file of one row group, hence one split. A real table
+    # arrives in many, and needs no exchange here.
+    docs = docs_of(spark, d).select("id", "text", "text_hash").repartition("id")
+    return embed_documents(docs, HashingEmbedder(dim, max_tokens))
 
 
 def benchmark_queries(spark, d) -> DataFrame:
@@ -356,6 +396,29 @@ def q_embed_hashing(spark, d):
     )
 
 
+@register("embed_token_limit")
+def q_embed_token_limit(spark, d):
+    """V6 with a token limit, as a model with a fixed context has: the first 256 tokens."""
+    from docsift.schema import TOKEN_LIMIT
+
+    v = hashing_vectors(spark, d, max_tokens=TOKEN_LIMIT)
+    return (
+        v.select("id", F.posexplode("embedding").alias("pos", "value"))
+        .filter(F.col("value") != 0)
+        .select("id", "pos", r6(F.col("value").cast("double")).alias("value"))
+    )
+
+
+@register("embed_precomputed")
+def q_embed_precomputed(spark, d):
+    """V6 (precomputed): which documents have a vector, and which are missing one."""
+    from docsift.operators.embed import PrecomputedEmbedder, embed_documents
+
+    embedder, docs = PrecomputedEmbedder(vecs_of(spark, d)), docs_of(spark, d)
+    done = embed_documents(docs, embedder).select("id", F.lit("embedded").alias("status"))
+    return done.unionByName(embedder.missing(docs).withColumn("status", F.lit("missing")))
+
+
 @register("semantic_search_text")
 def q_semantic_search_text(spark, d):
     """Q1: every ``benchmark`` text as a query over all documents, k = 10."""
@@ -404,7 +467,9 @@ def events_json(spark, d) -> DataFrame:
         F.when(e.value > 25, F.lit("true")).otherwise(F.lit("false")),
         F.lit(', "props": '),
         e.props,
-        F.lit(', "none": null}'),
+        F.lit(', "value": '),
+        e.value.cast("string"),
+        F.lit(', "one": 1.0, "hundred": 1e2, "none": null}'),
     )
     return e.select(e.event_id, j.alias("json"))
 
@@ -447,12 +512,6 @@ def conversation_changes(spark, d) -> DataFrame:
     )
 
 
-def _latest_changes(spark, d) -> DataFrame:
-    from docsift.operators.mutate import latest_per_id
-
-    return latest_per_id(conversation_changes(spark, d)).drop("ordinal")
-
-
 @register("insert")
 def q_insert(spark, d):
     """M1 + J3 + P7: conversation rows inserted one by one (existing ids and
@@ -471,6 +530,41 @@ def q_insert_report(spark, d):
     return report
 
 
+@register("insert_ties")
+def q_insert_ties(spark, d):
+    """M1: several rows of one new id without an order: one is inserted, the rest refused."""
+    from docsift.operators.mutate import insert
+
+    c = read_table(spark, d, "conversations")
+    rows = c.select(F.concat(F.lit("n"), c.conv_id.cast("string")).alias("id"), "text", F.lit(None).cast("long").alias("ordinal"))
+    table, report = insert(docs_of(spark, d), rows, MUT_AS_OF)
+    stored = table.groupBy("id").agg(F.count("*").alias("n_stored"))
+    told = report.groupBy("id").agg(*(F.count_if(F.col("status") == x).alias(f"n_{x}") for x in ("inserted", "duplicate")))
+    return told.join(stored, "id")
+
+
+@register("insert_rejects")
+def q_insert_rejects(spark, d):
+    """M1 + F6: rows without a text or an id are rejected, each with a report row."""
+    from docsift.operators.mutate import insert
+
+    c = read_table(spark, d, "conversations")
+    name = F.concat(F.lit("r"), c.conv_id.cast("string"), F.lit("-"), c.turn.cast("string"))
+    rows = c.select(F.when(c.turn != 0, name).alias("id"), F.when(c.role != "system", c.text).alias("text"))
+    table, report = insert(docs_of(spark, d), rows, MUT_AS_OF, require_id=True)
+    stored = table.agg(F.lit("stored").alias("status"), F.count("*").alias("n"))
+    return report.groupBy("status").agg(F.count("*").alias("n")).unionByName(stored)
+
+
+@register("insert_batch_rolled_back_table")
+def q_insert_batch_rolled_back_table(spark, d):
+    """M2: the table after a rollback is the table before."""
+    from docsift.operators.mutate import insert_batch
+
+    table, _ = insert_batch(docs_of(spark, d), conversation_changes(spark, d).drop("ordinal"), MUT_AS_OF)
+    return show_table(table)
+
+
 @register("insert_batch_ok")
 def q_insert_batch_ok(spark, d):
     """M2: a batch of fresh unique ids is inserted whole."""
@@ -500,7 +594,7 @@ def q_update(spark, d):
     """M3: the last change per id, applied to existing documents only."""
     from docsift.operators.mutate import update
 
-    table, _ = update(docs_of(spark, d), _latest_changes(spark, d), MUT_AS_OF)
+    table, _ = update(docs_of(spark, d), conversation_changes(spark, d), MUT_AS_OF)
     return show_table(table)
 
 
@@ -509,7 +603,7 @@ def q_upsert(spark, d):
     """M4: the last change per id; existing ids updated, others inserted."""
     from docsift.operators.mutate import upsert
 
-    table, _ = upsert(docs_of(spark, d), _latest_changes(spark, d), MUT_AS_OF)
+    table, _ = upsert(docs_of(spark, d), conversation_changes(spark, d), MUT_AS_OF)
     return show_table(table)
 
 
@@ -531,6 +625,20 @@ def q_stamps(spark, d):
     return table.select("id", ts_str("created_at").alias("created_at"), ts_str("updated_at").alias("updated_at"))
 
 
+@register("upsert_json_no_ordinal")
+def q_upsert_json_no_ordinal(spark, d):
+    """S2 + M5: the last turn of each conversation as a JSON document without an ordinal,
+    which is the reference's payload."""
+    from docsift.operators.mutate import upsert_batch
+    from docsift.sources.json_docs import parse_json_documents
+
+    c = read_table(spark, d, "conversations")
+    last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    lines = last.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), "text")).alias("value"))
+    table, _ = upsert_batch(docs_of(spark, d), parse_json_documents(lines), MUT_AS_OF)
+    return show_table(table)
+
+
 def _toxic_and_missing_ids(spark, d) -> DataFrame:
     lab = read_table(spark, d, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").cast("string").alias("id"))
     conv = read_table(spark, d, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("id"))
@@ -554,6 +662,39 @@ def q_delete_report(spark, d):
     return report
 
 
+@register("delete_cascade")
+def q_delete_cascade(spark, d):
+    """Long metadata and vectors that are left after deleting the toxic documents."""
+    from docsift.operators.mutate import delete_cascade
+
+    rows, vecs = delete_cascade(metadata_long_from_testdata(spark, d), vecs_of(spark, d), _toxic_and_missing_ids(spark, d))
+    left = rows.select(F.lit("metadata").alias("kind"), F.col("document_id").alias("id"), "key")
+    return left.unionByName(vecs.select(F.lit("vector").alias("kind"), "id", F.lit("").alias("key")))
+
+
+def _label_edits(spark, d, key: str) -> DataFrame:
+    lab = read_table(spark, d, "labels")
+    return lab.select(F.col("doc_id").cast("string").alias("id"), F.lit(key).alias("key"), F.col("quality").cast("string").alias("value"))
+
+
+@register("metadata_put_replace")
+def q_metadata_put_replace(spark, d):
+    """M7: an existing key's value is replaced."""
+    from docsift.operators.metadata import explode_metadata, put_metadata
+
+    return explode_metadata(put_metadata(docs_of(spark, d), _label_edits(spark, d, "source")))
+
+
+@register("metadata_put_report")
+def q_metadata_put_report(spark, d):
+    """M7: edits of unknown ids are refused."""
+    from docsift.operators.metadata import put_metadata_report
+
+    conv = read_table(spark, d, "conversations").filter("turn = 0")
+    unknown = conv.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("id"), F.lit("k").alias("key"), F.lit("v").alias("value"))
+    return put_metadata_report(docs_of(spark, d), _label_edits(spark, d, "quality").unionByName(unknown))
+
+
 @register("metadata_put")
 def q_metadata_put(spark, d):
     """M7: key 'quality' set from ``labels``; other keys kept."""
@@ -625,7 +766,7 @@ def q_assign_ids(spark, d):
         .alias("id"),
         "text",
     )
-    out = assign_ids(rows, tag="q")
+    out = assign_ids(rows)
     return out.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(~F.col("id_generated"), 1).otherwise(0)).alias("n_given"),
@@ -644,8 +785,19 @@ def q_snapshot_roundtrip(spark, d):
     docs = docs_of(spark, d)
     vecs = vecs_of(spark, d).drop("label")
     store.publish(docs, vecs)
-    back = store.documents()
-    return show_table(back)
+    return show_table(store.documents())
+
+
+@register("vectors_roundtrip")
+def q_vectors_roundtrip(spark, d):
+    """Vectors published by a new database's second version, read back."""
+    from docsift.session import scratch_path
+    from docsift.sources.store import Store
+
+    store = Store(spark, scratch_path(spark, "store"))
+    store.publish(docs_of(spark, d), vecs_of(spark, d).drop("label"), parent=store.new_db())
+    v = store.vectors().select("id", F.posexplode("embedding").alias("pos", "value"))
+    return v.select("id", F.col("pos").cast("long").alias("pos"), r6(F.col("value").cast("double")).alias("value"))
 
 
 # --------------------------------------------------------------- vector table upkeep
@@ -689,7 +841,7 @@ def q_index_drift(spark, d):
     """Edited documents against the vectors of the original ones."""
     from docsift.operators.index import drift
 
-    return drift(edited_docs(spark, d), hashing_vectors(spark, d), "hashing-64-256")
+    return drift(edited_docs(spark, d), hashing_vectors(spark, d), "hashing-64")
 
 
 @register("health")
@@ -697,7 +849,7 @@ def q_health(spark, d):
     """A4: counts of documents, vectors and drift."""
     from docsift.operators.index import health
 
-    return health(edited_docs(spark, d), hashing_vectors(spark, d), "hashing-64-256")
+    return health(edited_docs(spark, d), hashing_vectors(spark, d), "hashing-64")
 
 
 # --------------------------------------------------------------- approximate search and dispatch
@@ -736,25 +888,65 @@ def q_ann_full_probe(spark, d):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
 
 
+def _fixed_ivf(spark, d):
+    """Lists around the first 16 vectors, so that SQL can follow them."""
+    import numpy as np
+
+    from docsift.operators.ann import build_ivf
+    from docsift.plans.search import drop_orphans
+
+    first = read_table(spark, d, "embeddings").filter("vec_id < 16").orderBy("vec_id").select("embedding").collect()
+    centroids = np.asarray([r["embedding"] for r in first], dtype=np.float64)
+    return build_ivf(drop_orphans(vecs_of(spark, d), docs_of(spark, d)), centroids=centroids)
+
+
+@register("ann_probe")
+def q_ann_probe(spark, d):
+    """K4 + J7: two lists a query, and more where they hold fewer than k rows."""
+    from docsift.operators.ann import ann_search
+
+    queries = vecs_of(spark, d).select(F.col("id").alias("query_id"), "embedding")
+    hits = ann_search(_fixed_ivf(spark, d), queries, 10, nprobe=2)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
+
+
 @register("ann_recall")
 def q_ann_recall(spark, d):
-    """Q4 for K4: recall@10 against the exact search at nprobe 1, 2, 4, 8."""
-    from docsift.operators.ann import ann_search
+    """Q4 for K4: recall@10 against the exact search at nprobe 1, 2, 4, 8; one search at 8."""
+    from docsift.operators.ann import ann_candidates, within_probes
     from docsift.operators.knn import knn
     from docsift.plans.evaluate import recall_at_k
+    from docsift.session import materialised
 
-    idx = _ivf(spark, d)
+    idx = _fixed_ivf(spark, d)
     queries = vecs_of(spark, d).select(F.col("id").alias("query_id"), "embedding")
-    exact = knn(idx.vectors.select("id", "embedding"), queries, 10)
+    exact = materialised(knn(idx.vectors.select("id", "embedding"), queries, 10))
+    found = materialised(ann_candidates(idx, queries, 10, nprobe=8))
     out = None
     for p in (1, 2, 4, 8):
-        r = recall_at_k(ann_search(idx, queries, 10, nprobe=p), exact, 10).select(
-            F.lit(p).alias("nprobe"), r6("recall").alias("recall")
-        )
+        r = recall_at_k(within_probes(found, 10, p), exact, 10).select(F.lit(p).alias("nprobe"), r6("recall").alias("recall"))
         out = r if out is None else out.unionByName(r)
     return out
 
 
+@register("semantic_search_ann")
+def q_semantic_search_ann(spark, d):
+    """Q1 + K4 + F5 + J2: every benchmark text through the lists (around the first 16
+    documents), 50 rows or more looked at for each, k = 10, score >= 0.4."""
+    import numpy as np
+
+    from docsift.operators.ann import build_ivf
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.plans.search import search_texts
+    from docsift.session import materialised
+
+    vectors = materialised(hashing_vectors(spark, d))
+    first = vectors.filter("cast(id as long) < 16").orderBy(F.col("id").cast("long")).select("embedding").collect()
+    index = build_ivf(vectors, centroids=np.asarray([r["embedding"] for r in first], dtype=np.float64))
+    res = search_texts(docs_of(spark, d), vectors, benchmark_queries(spark, d), HashingEmbedder(64), 10, 0.4, 50, index)
+    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("score").alias("score"), "text")
+
+
 @register("search_dispatch_metadata")
 def q_search_dispatch_metadata(spark, d):
     """Q3: a metadata filter replaces the query, type and threshold."""
@@ -826,25 +1018,54 @@ def q_json_documents(spark, d):
     return checked.select("id", "text", meta_str().alias("metadata"), "error")
 
 
-@register("ingest_stream")
-def q_ingest_stream(spark, d):
-    """Conversation changes arrive as one JSON-lines file per turn and are
-    ingested by a stream (one file per micro-batch); the final table equals
-    the upsert batch of all changes."""
+@register("json_types_rejected")
+def q_json_types_rejected(spark, d):
+    """S2 + F6: a text, id or metadata of a wrong JSON type, counted by error."""
+    from docsift.operators.mutate import validate
+    from docsift.sources.json_docs import parse_json_documents
+
+    e = read_table(spark, d, "events")
+    number, name = e.event_id.cast("string"), F.concat(F.lit('"'), e.event_id.cast("string"), F.lit('"'))
+    kind = F.pmod(e.event_id, F.lit(6))
+    text = F.when(kind == 1, number).when(kind == 2, F.lit('{"a": 1}')).otherwise(F.lit('"t"'))
+    meta = F.when(kind == 4, F.lit('"{}"')).when(kind == 5, F.lit('{"x": 1e400}')).otherwise(e.props)
+    line = F.concat(F.lit('{"id": '), F.when(kind == 3, number).otherwise(name), F.lit(', "text": '), text, F.lit(', "metadata": '), meta, F.lit("}"))
+    checked = validate(parse_json_documents(e.select(line.alias("value"))))
+    return checked.groupBy("error").agg(F.count("*").alias("n"))
+
+
+def _ingested(spark, d, embedder=None):
+    """A store after two runs of the stream: the first turns arrive, then the others."""
+    from docsift.operators.index import load_or_build
     from docsift.session import scratch_path
     from docsift.sources.store import Store
     from docsift.streaming.ingest import ingest
 
     root = scratch_path(spark, "ingest")
-    src = f"{root}/incoming"
     lines = conversation_json_lines(spark, d)
-    turns = sorted(r["turn"] for r in lines.select("turn").distinct().collect())
-    for t in turns:  # one file per turn, in order: the arrival order of changes
-        lines.filter(F.col("turn") == t).select("value").coalesce(1).write.text(f"{src}/turn={t:04d}")
     store = Store(spark, f"{root}/store")
-    store.publish(docs_of(spark, d), None)
-    ingest(spark, src, store, f"{root}/checkpoint", MUT_AS_OF, files_per_batch=1)
-    return show_table(store.documents())
+    store.publish(docs_of(spark, d))
+    if embedder is not None:
+        load_or_build(store, embedder)
+    for name, part in (("early", F.col("turn") < 2), ("late", F.col("turn") >= 2)):
+        lines.filter(part).select("value").write.text(f"{root}/incoming/{name}")
+        ingest(spark, f"{root}/incoming", store, f"{root}/checkpoint", MUT_AS_OF, embedder)
+    return store
+
+
+@register("ingest_stream")
+def q_ingest_stream(spark, d):
+    """Conversation changes arrive as JSON-lines files in two batches; the final table
+    equals the upsert batch of all changes."""
+    return show_table(_ingested(spark, d).documents())
+
+
+@register("ingest_stream_vectors")
+def q_ingest_stream_vectors(spark, d):
+    """I1 + K2: the vectors after the stream equal a rebuild over the final table."""
+    from docsift.operators.embed import HashingEmbedder
+
+    return _vec_digest(_ingested(spark, d, HashingEmbedder(64)).vectors())
 
 
 @register("result_preview")
@@ -862,9 +1083,8 @@ def q_result_preview(spark, d):
 
 
 def _engine_after_upsert(spark, d):
-    """Documents loaded into a bucketed store with vectors built, then the
-    conversation changes applied through the engine (bucket-local
-    copy-on-write: only the buckets of changed ids are rewritten)."""
+    """Documents loaded into a store with vectors built, then the conversation changes
+    applied through the engine."""
     import datetime as dt
 
     from docsift.operators.embed import HashingEmbedder
@@ -874,7 +1094,7 @@ def _engine_after_upsert(spark, d):
 
     clock = lambda: dt.datetime.strptime(MUT_AS_OF, "%Y-%m-%d %H:%M:%S")
     eng = SearchEngine(spark, scratch_path(spark, "engine"), HashingEmbedder(64), buckets=16, clock=clock)
-    eng.store.publish(docs_of(spark, d), None)
+    eng.store.publish(docs_of(spark, d))
     load_or_build(eng.store, eng.embedder)
     eng.documents.upsert_batch(conversation_changes(spark, d))
     return eng

@@ -2,62 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.operators import knn as knn_ops
 from docsift.operators.embed import embed_queries
 from docsift.operators.metadata import metadata_equals
 from docsift.operators.text_search import text_search
-from docsift.schema import (
-    DEFAULT_EF_SEARCH,
-    DEFAULT_K,
-    DEFAULT_TYPE,
-    TEXT_SCORE,
-    TEXT_TYPES,
-    check_k,
-)
-
-# Hits up to this many rows are brought to the driver (bounded) so the
-# document fetch can push ``id IN (...)`` into the scan instead of reading
-# the text column of every document.
-MAX_LATE_FETCH_IDS = 10_000
-MAX_BROADCAST_ORPHANS = 1_000_000
-
-
-def drop_orphans(vectors: DataFrame, docs: DataFrame, max_broadcast: int = MAX_BROADCAST_ORPHANS) -> DataFrame:
-    """Vectors whose id has no document, removed before ranking.
-
-    Only id columns are compared to find orphans; the vectors themselves
-    are filtered with a broadcast anti join when the orphan count is
-    bounded (the usual case after a sync), else with a semi join.
-    """
-    orphans = vectors.select("id").join(docs.select("id"), "id", "left_anti")
-    n = orphans.limit(max_broadcast + 1).count()
-    if n == 0:
-        return vectors
-    if n <= max_broadcast:
-        return vectors.join(F.broadcast(orphans), "id", "left_anti")
+from docsift.schema import DEFAULT_EF_SEARCH, DEFAULT_K, DEFAULT_TYPE, TEXT_SCORE, TEXT_TYPES, check_k
+
+
+def drop_orphans(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Vectors whose id has a document, kept before ranking."""
     return vectors.join(docs.select("id"), "id", "left_semi")
 
 
-def fetch_documents(docs: DataFrame, hits: DataFrame, max_ids: int = MAX_LATE_FETCH_IDS) -> DataFrame:
-    """Attach text and metadata to ranked hits [query_id, id, ...].
-
-    Small hit sets are collected (at most ``max_ids`` rows) and their ids
-    pushed to the document scan; larger ones use a plain join. Hits whose id
-    has no document are dropped (the reference would return an empty one).
-    """
-    rows = hits.limit(max_ids + 1).collect()
-    if len(rows) <= max_ids:
-        spark = docs.sparkSession
-        small = spark.createDataFrame(rows, hits.schema)
-        ids = sorted({r["id"] for r in rows})
-        if not ids:
-            return small.join(docs.select("id", "text", "metadata"), "id")
-        d = docs.filter(F.col("id").isin(ids)).select("id", "text", "metadata")
-        return F.broadcast(small).join(d, "id")
+def fetch_documents(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Attach text and metadata to ranked hits [query_id, id, ...]. Hits whose id has no
+    document are dropped (the reference would return an empty one)."""
     return hits.join(docs.select("id", "text", "metadata"), "id")
 
 
@@ -66,133 +28,61 @@ def _results(joined: DataFrame, with_query: bool) -> DataFrame:
     return joined.select(*cols)
 
 
-def search_vectors(
-    docs: DataFrame,
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = DEFAULT_K,
-    threshold: float = 0.0,
-    check_orphans: bool = True,
-    **knn_kw,
-) -> DataFrame:
+def search_vectors(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, threshold: float = 0.0,
+                   check_orphans: bool = True) -> DataFrame:
     """Q2 for many query vectors [query_id, embedding]:
     T2 -> V2 -> F5 -> J2. Returns [query_id, rank, id, text, score, metadata]."""
-    k = check_k(k)
     corpus = drop_orphans(vectors, docs) if check_orphans else vectors
-    hits = knn_ops.knn(corpus, queries, k, threshold, **knn_kw)
+    hits = knn_ops.knn(corpus, queries, check_k(k), threshold)
     return _results(fetch_documents(docs, hits), True)
 
 
-MAX_DEEPENING = 10_000
+def search_vector(docs: DataFrame, vectors: DataFrame, vector, k: int = DEFAULT_K, threshold: float = 0.0,
+                  check_orphans: bool = True) -> DataFrame:
+    """Q2: one query vector -> [rank, id, text, score, metadata], best first."""
+    corpus = drop_orphans(vectors, docs) if check_orphans else vectors
+    hits = knn_ops.knn_vector(corpus, vector, check_k(k), threshold)
+    return _results(fetch_documents(docs, hits), False).orderBy("rank")
 
 
-def search_vector(
-    docs: DataFrame,
-    vectors: DataFrame,
-    vector,
-    k: int = DEFAULT_K,
-    threshold: float = 0.0,
-    check_orphans: bool = True,
-) -> DataFrame:
-    """Q2: one query vector -> [rank, id, text, score, metadata], best first.
-
-    Orphan vectors (no document) are skipped exactly without joining the two
-    tables: take the top ``kk`` over all vectors (kk = k, 4k, 16k, ...), look
-    up only those ids in the documents (an ``id IN (...)`` the scan can
-    use), and keep the first k that have a document. Any live vector outside
-    the top ``kk`` ranks below all of them, so the answer is exact. Usually
-    one round; past ``MAX_DEEPENING`` candidates it falls back to the id join
-    of ``drop_orphans``.
-    """
-    k = check_k(k)
-    q = np.asarray(vector, dtype=np.float64)
-    spark = docs.sparkSession
-    kk = k
-    while True:
-        if kk > MAX_DEEPENING:
-            corpus = drop_orphans(vectors, docs)
-            hits = knn_ops.knn_vector(corpus, q, k, threshold)
-            return _results(fetch_documents(docs, hits), False).orderBy("rank")
-        hits = knn_ops.knn_vector(vectors, q, kk, threshold)
-        rows = sorted(hits.collect(), key=lambda r: r["rank"])  # at most kk rows
-        ids = [r["id"] for r in rows]
-        if check_orphans and ids:
-            # Only the ids come back: texts stay in the lazy plan below.
-            live = {r["id"] for r in docs.filter(F.col("id").isin(ids)).select("id").collect()}
-        else:
-            live = set(ids)
-        kept = [r for r in rows if r["id"] in live][:k]
-        if len(kept) == k or len(rows) < kk or not check_orphans:
-            ranked = [(r["query_id"], r["id"], r["dist"], r["score"], i + 1) for i, r in enumerate(kept)]
-            hit_df = spark.createDataFrame(ranked, hits.schema)
-            wanted = [r[1] for r in ranked]
-            found = docs.filter(F.col("id").isin(wanted)).select("id", "text", "metadata")
-            return _results(F.broadcast(hit_df).join(found, "id"), False).orderBy("rank")
-        kk *= 4
-
-
-def search_texts(
-    docs: DataFrame,
-    vectors: DataFrame,
-    queries: DataFrame,
-    embedder,
-    k: int = DEFAULT_K,
-    threshold: float = 0.0,
-    check_orphans: bool = True,
-    **knn_kw,
-) -> DataFrame:
-    """Q1 for many text queries [query_id, query]."""
+def search_texts(docs: DataFrame, vectors: DataFrame, queries: DataFrame, embedder, k: int = DEFAULT_K, threshold: float = 0.0,
+                 ef_search: int = DEFAULT_EF_SEARCH, index=None, check_orphans: bool = True) -> DataFrame:
+    """Q1 for many text queries [query_id, query]: exact, or approximate when an ``index``
+    (K3) is given, in which ``ef_search`` rows or more are looked at for each query."""
     q = embed_queries(queries, embedder)
-    return search_vectors(docs, vectors, q, k, threshold, check_orphans, **knn_kw)
+    if index is None:
+        return search_vectors(docs, vectors, q, k, threshold, check_orphans)
+    from docsift.operators.ann import IvfIndex, ann_search
 
+    if check_orphans:
+        index = IvfIndex.over(drop_orphans(index.vectors, docs), index.centroids)
+    return _results(fetch_documents(docs, ann_search(index, q, check_k(k), threshold, ef_search=ef_search)), True)
 
-def semantic_search(
-    docs: DataFrame,
-    vectors: DataFrame,
-    query: str,
-    embedder,
-    k: int = DEFAULT_K,
-    threshold: float = 0.0,
-    ef_search: int = DEFAULT_EF_SEARCH,
-    index=None,
-    check_orphans: bool = True,
-) -> DataFrame:
-    """Q1: embed the query, then exact search, or approximate search when an
-    ``index`` (K3) is given, ``ef_search`` setting how many lists are probed."""
-    k = check_k(k)
-    spark = docs.sparkSession
-    qdf = spark.createDataFrame([("q", query)], "query_id string, query string")
-    qv = embed_queries(qdf, embedder)
-    if index is not None:
-        from docsift.operators.ann import ann_search
 
-        corpus = index.vectors
-        if check_orphans:
-            corpus = drop_orphans(corpus, docs)
-        hits = ann_search(index.with_vectors(corpus), qv, k, threshold, nprobe=index.nprobe_for(ef_search))
-        return _results(fetch_documents(docs, hits), False).orderBy("rank")
-    row = qv.first()
-    return search_vector(docs, vectors, row["embedding"], k, threshold, check_orphans)
+def semantic_search(docs: DataFrame, vectors: DataFrame, query: str, embedder, k: int = DEFAULT_K, threshold: float = 0.0,
+                    ef_search: int = DEFAULT_EF_SEARCH, index=None, check_orphans: bool = True) -> DataFrame:
+    """Q1 for one text -> [rank, id, text, score, metadata], best first."""
+    one = docs.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
+    found = search_texts(docs, vectors, one, embedder, k, threshold, ef_search, index, check_orphans)
+    return found.drop("query_id").orderBy("rank")
 
 
 def metadata_search(docs: DataFrame, key, value, k: int = DEFAULT_K) -> DataFrame:
-    """Metadata mode: first k matches in id order, score 1.0; a filter
-    without both key and value gives no rows."""
+    """Metadata mode: first k matches in id order, score 1.0; a filter without both key and
+    value gives no rows. Ids are ranked first; texts are read for the k of them."""
     k = check_k(k)
     if key is None or value is None:
-        return docs.limit(0).select(
-            F.lit(1).alias("rank"), "id", "text", F.lit(TEXT_SCORE).alias("score"), "metadata"
-        )
-    hits = metadata_equals(docs, key, value).select("id", "text", "metadata").orderBy("id").limit(k)
-    return _with_rank(hits.withColumn("score", F.lit(TEXT_SCORE)))
+        matches = docs.filter(F.lit(False))
+    else:
+        matches = metadata_equals(docs, key, value)
+    first = _with_rank(matches.select("id", "metadata").orderBy("id").limit(k))  # k rows
+    found = F.broadcast(first).join(docs.select("id", "text"), "id")
+    return found.select("rank", "id", "text", F.lit(TEXT_SCORE).alias("score"), "metadata").orderBy("rank")
 
 
 def _with_rank(hits: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    # At most k rows here, so a global window is a single small task.
-    r = hits.withColumn("rank", F.row_number().over(Window.orderBy("id")))
-    return r.select("rank", "id", "text", "score", "metadata")
+    # The caller's limit of k rows bounds this window's one task.
+    return hits.withColumn("rank", F.row_number().over(Window.orderBy("id")))
 
 
 def search(
@@ -208,19 +98,18 @@ def search(
     index=None,
     check_orphans: bool = True,
 ) -> DataFrame:
-    """Q3: the dispatcher. A metadata filter replaces the search (query,
-    type and threshold ignored); then ``text``/``fulltext``; any other type
-    is semantic. Returns [rank, id, text, score, metadata].
+    """Q3: the dispatcher. A metadata filter replaces the search (query, type and threshold
+    ignored); then ``text``/``fulltext``; any other type is semantic. Returns
+    [rank, id, text, score, metadata].
 
-    ``check_orphans=False`` when the vectors are known to be in sync with the
-    documents (the engine's store keeps them so at every publish)."""
+    ``check_orphans=False`` when the vectors are known to be those of the documents."""
     if query is None:
         raise ValueError("Missing 'query' field")
     k = check_k(k)
     if metadata is not None:
         return metadata_search(docs, metadata.get("key"), metadata.get("value"), k)
     if type in TEXT_TYPES:
-        return _with_rank(text_search(docs, query, k, threshold))
+        return _with_rank(text_search(docs, query, k, threshold)).select("rank", "id", "text", "score", "metadata")
     if embedder is None:
         raise ValueError("semantic search needs an embedder")
     return semantic_search(docs, vectors, query, embedder, k, threshold, ef_search, index, check_orphans)
@@ -228,6 +117,4 @@ def search(
 
 def preview(results: DataFrame, chars: int = 200, decimals: int = 4) -> DataFrame:
     """P5: text preview and rounded score for display."""
-    return results.withColumn("text", F.substring("text", 1, chars)).withColumn(
-        "score", F.round("score", decimals)
-    )
+    return results.withColumn("text", F.substring("text", 1, chars)).withColumn("score", F.round("score", decimals))

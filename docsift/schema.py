@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Fixed values that must equal the reference's behaviour.
 DEFAULT_K = 10
-DEFAULT_THRESHOLD = 0.0
 DEFAULT_EF_SEARCH = 200
 TOKEN_LIMIT = 256
 LIST_CAP = 1000
@@ -26,14 +24,8 @@ DOCUMENTS = T.StructType(
         T.StructField("metadata", META_TYPE, False),
         T.StructField("created_at", T.TimestampType(), True),
         T.StructField("updated_at", T.TimestampType(), True),
-    ]
-)
-
-METADATA_LONG = T.StructType(
-    [
-        T.StructField("document_id", T.StringType(), False),
-        T.StructField("key", T.StringType(), False),
-        T.StructField("value", T.StringType(), False),
+        # Hash of the text, written with it, so that drift reads no text.
+        T.StructField("text_hash", T.StringType(), True),
     ]
 )
 
@@ -46,25 +38,10 @@ VECTORS = T.StructType(
     ]
 )
 
-RESULTS = T.StructType(
-    [
-        T.StructField("id", T.StringType(), False),
-        T.StructField("text", T.StringType(), True),
-        T.StructField("score", T.DoubleType(), True),
-        T.StructField("metadata", META_TYPE, True),
-    ]
-)
-
-DOC_COLUMNS = ["id", "text", "metadata", "created_at", "updated_at"]
+DOC_COLUMNS = ["id", "text", "metadata", "created_at", "updated_at", "text_hash"]
 VEC_COLUMNS = ["id", "embedding", "model", "text_hash"]
 
 
-def require_columns(df: DataFrame, cols, what: str) -> None:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"{what} lacks columns {missing}; has {df.columns}")
-
-
 def check_k(k: int) -> int:
     if k is None or int(k) < 1:
         raise ValueError(f"k must be >= 1, got {k!r}")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "docsift") -> SparkSession:
@@ -33,38 +34,32 @@ def local_session(cores: int | str = "*", app: str = "docsift") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster names a shared folder there; we only pick one ourselves when the
-    setting is absent (local tests).
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for checkpoints and scratch tables: what the session names in
+    ``spark.checkpoint.dir``, or what was set on the context. Only a local session
+    without either gets a temporary one; elsewhere the lack is an error."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="docsift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    import uuid
-
-    return os.path.join(base, "docsift", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{ensure_checkpoint_dir(spark)}/docsift/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, min_partitions: int | None = None):
-    """Spread a CPU-heavy stage over the cluster when its input has fewer
-    splits than task slots (e.g. one small file); a no-op on large inputs,
-    which already arrive in many partitions."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def materialised(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint: computed once, whatever reads it later."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def ship_package(spark) -> None:
+def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it, as
     functions in plans refer to its modules. On a cluster whose nodes don't share
     that folder, pass the package with ``--py-files``."""

@@ -25,19 +25,23 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_text_files(df: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
-    """Write each row as ``<path>/<name>.txt`` from the executors (a fixture
-    writer for S1; any file system pyarrow can open, e.g. a shared folder)."""
+    """Write each row as ``<path>/<name>.txt`` from the executors (a fixture writer for
+    S1). A path without a scheme is on the cluster's default file system, as for Spark."""
     import pandas as pd
 
     from docsift.session import ship_package
 
     ship_package(df.sparkSession)
-    out = path.rstrip("/")
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+    if out.startswith("file:/") and not out.startswith("file://"):
+        out = "file://" + out[5:]
 
     def write(batches):
         from pyarrow import fs
 
-        filesystem, root = fs.FileSystem.from_uri(out if "://" in out else "file://" + out)
+        filesystem, root = fs.FileSystem.from_uri(out)
         filesystem.create_dir(root, recursive=True)
         n = 0
         for pdf in batches:

@@ -1,93 +1,59 @@
-"""Versioned snapshots of the document and vector tables,
-copy-on-write per id bucket.
+"""Versioned document and vector tables as partitioned Parquet.
 
 Layout under ``root`` (any Hadoop file system path):
 
-    documents/v=N/bucket=B/   parquet rows of version N whose id hashes to B
-    vectors/v=N/bucket=B/     the same for vectors (same bucket function)
-    ivf/v=N/bucket=B/list_id=L/   optional: vectors with their coarse list, so
-                              an approximate search reads only probed lists
-    ivf_centroids/v=N/        the coarse-list centroids (nlist rows)
-    _commits/N/               one JSON row: version, batch id, parent, and for
-                              each table the map bucket -> version holding it
+    v=N/documents/bucket=B/   documents of version N by a hash of the id, sorted by id
+    v=N/vectors/bucket=B/     vectors, the same way
+    v=N/lists/list_id=L/      optional: vectors with their coarse list
+    v=N/centroids/            optional: the lists' centroids (a row a list)
+    v=N/pointer/              one JSON row, written last: where each table of version N is
 
-``bucket = pmod(xxhash64(id), buckets)``. A mutation only concerns the ids
-it names, so it reads the buckets those ids hash to, rewrites just those as
-version N, and the commit inherits every other bucket from its parent: an
-edit costs the size of its buckets, not of the table. A full publish writes
-all buckets. Rows are sorted by id inside each file, so an ``id IN (...)``
-lookup skips row groups by their statistics.
-
-The commit row is written last by its own Spark job, and a job's files become
-visible only when it commits, so a reader never sees half a publish; an
-unfinished publish leaves files no commit names. The head is the commit with
-the largest version. Every version is new files (a plan never overwrites what
-it reads), which also cuts the lineage of the mutation plans.
+A table that a publish doesn't give is inherited: the pointer names the version that holds
+it. The head is the largest version with a pointer; a job's files show only when it commits,
+so readers never see half a version. A publish names the version it started from and fails
+if another was published meanwhile. ``retain`` removes old versions.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-
 from pyspark.sql import types as T
 
 from docsift.schema import DOCUMENTS, VECTOR_TYPE, VECTORS
 
-IVF = T.StructType(
+LISTS = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
         T.StructField("embedding", VECTOR_TYPE, False),
         T.StructField("list_id", T.IntegerType(), False),
     ]
 )
-TABLES = {"documents": DOCUMENTS, "vectors": VECTORS, "ivf": IVF}
+CENTROIDS = T.StructType([T.StructField("list_id", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))])
+TABLES = {"documents": DOCUMENTS, "vectors": VECTORS, "lists": LISTS, "centroids": CENTROIDS}
 DEFAULT_BUCKETS = 64
 
 
+class Conflict(RuntimeError):
+    """Another version was published since the one a publish started from."""
+
+
 @dataclass
-class Commit:
+class Version:
+    """A pointer: the version that holds each table (None: there is none)."""
+
     version: int
     batch_id: int | None = None
-    parent: int | None = None
-    documents: dict[int, int] = field(default_factory=dict)
-    vectors: dict[int, int] = field(default_factory=dict)
-    ivf: dict[int, int] = field(default_factory=dict)
-    centroids: int | None = None  # version holding the IVF centroids
-    ivf_rows: int | None = None  # vectors the lists were trained on
-
-    @staticmethod
-    def from_json(text: str) -> "Commit":
-        d = json.loads(text)
-        return Commit(
-            d["version"],
-            d.get("batch_id"),
-            d.get("parent"),
-            {int(k): int(v) for k, v in d.get("documents", {}).items()},
-            {int(k): int(v) for k, v in d.get("vectors", {}).items()},
-            {int(k): int(v) for k, v in d.get("ivf", {}).items()},
-            d.get("centroids"),
-            d.get("ivf_rows"),
-        )
-
-    def to_json(self) -> str:
-        return json.dumps(
-            {
-                "version": self.version,
-                "batch_id": self.batch_id,
-                "parent": self.parent,
-                "documents": {str(k): v for k, v in self.documents.items()},
-                "vectors": {str(k): v for k, v in self.vectors.items()},
-                "ivf": {str(k): v for k, v in self.ivf.items()},
-                "centroids": self.centroids,
-                "ivf_rows": self.ivf_rows,
-            }
-        )
+    documents: int | None = None
+    vectors: int | None = None
+    lists: int | None = None
+    centroids: int | None = None
+    synced: bool = False  # the vectors are those of the documents
 
 
 class Store:
@@ -96,172 +62,118 @@ class Store:
         self.root = root.rstrip("/")
         self.buckets = int(buckets)
 
-    def bucket_of(self, id_col="id") -> Column:
-        c = F.col(id_col) if isinstance(id_col, str) else id_col
-        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
-
-    def buckets_of(self, ids: DataFrame, id_col: str = "id") -> list[int]:
-        """Distinct buckets of some ids: at most ``buckets`` values come back."""
-        rows = ids.select(self.bucket_of(id_col).alias("b")).distinct().collect()
-        return sorted(r["b"] for r in rows)
-
-    # ------------------------------------------------------------ commits
+    def _bucket(self, id_col: Column) -> Column:
+        return F.pmod(F.xxhash64(id_col), F.lit(self.buckets)).cast("int")
 
-    def _commit_path(self, version: int) -> str:
-        return f"{self.root}/_commits/{version:012d}"
-
-    def _scan_head(self) -> Commit | None:
+    def versions(self) -> list[Version]:
+        """All published versions, oldest first (``retain`` bounds them)."""
         try:
-            raw = self.spark.read.text(f"{self.root}/_commits/*")
+            rows = self.spark.read.text(f"{self.root}/v=*/pointer").select("value").collect()
         except AnalysisException:
-            return None
-        v = F.get_json_object("value", "$.version").cast("long")
-        row = raw.orderBy(v.desc()).limit(1).collect()
-        return Commit.from_json(row[0]["value"]) if row else None
+            return []
+        return sorted((Version(**json.loads(r["value"])) for r in rows), key=lambda v: v.version)
 
-    def head(self) -> Commit | None:
-        """The latest commit. The ``_head`` hint (rewritten after each commit)
-        names a recent version; commits written after it are found by probing
-        forward, so the cost does not grow with the number of versions. With
-        no readable hint the commit log is scanned."""
-        try:
-            hint = self.spark.read.text(f"{self.root}/_head").collect()
-            c = self.commit(int(hint[0]["value"])) if hint else None
-        except (AnalysisException, ValueError):
-            c = None
-        if c is None:
-            return self._scan_head()
-        return self._advance(c)
-
-    def _advance(self, c: Commit) -> Commit:
-        """The newest commit at or after ``c`` (one probe when ``c`` is it)."""
-        while True:
-            nxt = self.commit(c.version + 1)
-            if nxt is None:
-                return c
-            c = nxt
-
-    def commit(self, version: int) -> Commit | None:
-        try:
-            row = self.spark.read.text(self._commit_path(version)).collect()
-        except AnalysisException:
-            return None
-        return Commit.from_json(row[0]["value"]) if row else None
+    def head(self) -> Version | None:
+        found = self.versions()
+        return found[-1] if found else None
 
     # ------------------------------------------------------------ reading
 
-    def _read(self, table: str, commit: Commit | None, buckets) -> DataFrame:
+    def _read(self, table: str, version: Version | None) -> DataFrame:
         schema = TABLES[table]
-        if commit is None:
-            return self.spark.createDataFrame([], schema)
-        manifest = getattr(commit, table)
-        want = manifest if buckets is None else {b: manifest[b] for b in buckets if b in manifest}
-        paths = [f"{self.root}/{table}/v={v}/bucket={b}" for b, v in sorted(want.items())]
-        if not paths:
+        version = version or self.head()
+        holder = getattr(version, table) if version else None
+        if holder is None:
             return self.spark.createDataFrame([], schema)
-        if table == "ivf":
-            # list_id is a partition folder: a filter on it prunes files.
-            base = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*paths)
-            return base.select(*[f.name for f in schema.fields])
-        return self.spark.read.schema(schema).parquet(*paths)
+        if table in ("documents", "vectors"):
+            schema = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/v={holder}/{table}")
 
-    def documents(self, commit: Commit | None = None, buckets=None) -> DataFrame:
-        return self._read("documents", commit or self.head(), buckets)
+    def _plain(self, table: str, version: Version | None) -> DataFrame:
+        return self._read(table, version).select(*TABLES[table].names)
 
-    def vectors(self, commit: Commit | None = None, buckets=None) -> DataFrame:
-        return self._read("vectors", commit or self.head(), buckets)
+    def documents(self, version: Version | None = None) -> DataFrame:
+        return self._plain("documents", version)
 
-    def ivf(self, commit: Commit | None = None, buckets=None) -> DataFrame:
-        return self._read("ivf", commit or self.head(), buckets)
+    def document(self, doc_id: str, version: Version | None = None) -> DataFrame:
+        """Zero or one row; only the id's bucket is read."""
+        docs = self._read("documents", version)
+        if "bucket" in docs.columns:
+            docs = docs.filter(F.col("bucket") == self._bucket(F.lit(doc_id)))
+        return docs.filter(F.col("id") == doc_id).select(*DOCUMENTS.names)
 
-    def centroids(self, commit: Commit | None = None):
-        """The IVF centroids (nlist x d, bounded by nlist) or None."""
-        import numpy as np
+    def vectors(self, version: Version | None = None) -> DataFrame:
+        return self._plain("vectors", version)
 
-        commit = commit or self.head()
-        if commit is None or commit.centroids is None:
-            return None
-        rows = self.spark.read.parquet(f"{self.root}/ivf_centroids/v={commit.centroids}").orderBy("list_id").collect()
-        return np.asarray([r["centroid"] for r in rows], dtype=np.float64)
+    def lists(self, version: Version | None = None) -> DataFrame:
+        """Vectors with their list; a filter on ``list_id`` reads only those folders."""
+        return self._plain("lists", version)
 
-    # ------------------------------------------------------------ writing
-
-    def _write(self, df: DataFrame, table: str, version: int) -> set[int]:
-        """Write one version of (some buckets of) a table; return the
-        buckets that got files."""
-        path = f"{self.root}/{table}/v={version}"
-        cols = [f.name for f in TABLES[table].fields]
-        # Rebalance by bucket: AQE cuts a large bucket into several files of
-        # the advisory size and packs small ones, so file size does not grow
-        # with the table. Sorted by id inside each file.
-        parts = ["bucket", "list_id"] if table == "ivf" else ["bucket"]
-        out = df.select(*[c for c in cols if c not in parts], *[c for c in parts if c != "bucket"],
-                        self.bucket_of("id").alias("bucket"))
-        out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy(
-            *parts
-        ).parquet(path)
-        try:
-            files = self.spark.read.parquet(path).inputFiles()
-        except AnalysisException:  # nothing written: every bucket is empty
-            return set()
-        return {int(m.group(1)) for m in (re.search(r"/bucket=(\d+)/", f) for f in files) if m}
+    def centroids(self, version: Version | None = None) -> np.ndarray | None:
+        """The centroids (a row a list), or None."""
+        rows = self._read("centroids", version).orderBy("list_id").collect()
+        return np.asarray([r["centroid"] for r in rows], dtype=np.float64) if rows else None
 
-    def publish(
-        self,
-        documents: DataFrame | None = None,
-        vectors: DataFrame | None = None,
-        batch_id: int | None = None,
-        parent: Commit | None = None,
-        buckets=None,
-        ivf: DataFrame | None = None,
-        centroids=None,
-        ivf_rows: int | None = None,
-    ) -> Commit:
-        """Write the given tables as version N and commit.
+    # ------------------------------------------------------------ writing
 
-        ``buckets=None``: the given tables are whole and replace all buckets.
-        ``buckets=[...]``: the given tables hold exactly the rows of those
-        buckets (e.g. a mutation of rows read with the same buckets); other
-        buckets are inherited from ``parent`` (default: the head). A table
-        not given is inherited whole.
-        """
-        head = self._advance(parent) if parent is not None else self.head()
-        base = parent if parent is not None else head
-        version = (head.version + 1) if head else 0
-        c = Commit(version, batch_id, base.version if base else None)
-        c.centroids = base.centroids if base else None
-        c.ivf_rows = base.ivf_rows if base else None
+    def _write(self, df: DataFrame, table: str, version: int) -> None:
+        path = f"{self.root}/v={version}/{table}"
+        df = df.select(*TABLES[table].names)
+        if table == "centroids":
+            df.coalesce(1).write.parquet(path)
+            return
+        part = "list_id" if table == "lists" else "bucket"
+        if part == "bucket":
+            df = df.withColumn("bucket", self._bucket(F.col("id")))
+        # AQE cuts a large part into several files and packs small ones.
+        df.hint("rebalance", part).sortWithinPartitions(part, "id").write.partitionBy(part).parquet(path)
+
+    def publish(self, documents: DataFrame | None = None, vectors: DataFrame | None = None, parent: Version | None = None,
+                lists: DataFrame | None = None, centroids: np.ndarray | None = None, batch_id: int | None = None,
+                synced: bool = False, keep_lists: bool = True) -> Version:
+        """Write the given tables as the version after ``parent`` (None: the first one); the
+        others, and the batch id if none is given, are inherited. New vectors without new
+        lists drop the lists, as do ``keep_lists=False`` and its centroids."""
+        head = self.head()
+        if (head and head.version) != (parent and parent.version):
+            raise Conflict(f"started from version {parent and parent.version}, but the head is {head and head.version}")
+        number = parent.version + 1 if parent else 0
+        new = Version(**asdict(parent)) if parent else Version(0)
+        new.version = number
+        new.batch_id = new.batch_id if batch_id is None else batch_id
+        new.synced = synced
+        if vectors is not None and lists is None:
+            new.lists = None
+        if not keep_lists:
+            new.lists = new.centroids = None
         if centroids is not None:
-            rows = [(i, [float(x) for x in row]) for i, row in enumerate(centroids)]
-            self.spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode(
-                "overwrite"
-            ).parquet(f"{self.root}/ivf_centroids/v={version}")
-            c.centroids, c.ivf_rows = version, ivf_rows
-        for table, df in (("documents", documents), ("vectors", vectors), ("ivf", ivf)):
-            old = dict(getattr(base, table)) if base else {}
-            if df is None:
-                setattr(c, table, old)
-                continue
-            written = self._write(df, table, version)
-            if buckets is None:
-                new = {b: version for b in written}
-            else:
-                touched = set(int(b) for b in buckets)
-                new = {b: v for b, v in old.items() if b not in touched}
-                new.update({b: version for b in written if b in touched})
-            setattr(c, table, new)
-        self.spark.createDataFrame([(c.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(
-            self._commit_path(version)
-        )
-        # Only a hint: a reader that finds it missing, stale or half-written
-        # still reaches the true head (see ``head``).
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{self.root}/_head"
-        )
-        return c
-
-    def new_db(self) -> Commit:
-        """S5 ``--new-db``: publish an empty version."""
-        empty_d = self.spark.createDataFrame([], DOCUMENTS)
-        empty_v = self.spark.createDataFrame([], VECTORS)
-        return self.publish(empty_d, empty_v)
+            rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
+            centroids = self.spark.createDataFrame(rows, CENTROIDS)
+        given = {"documents": documents, "vectors": vectors, "lists": lists, "centroids": centroids}
+        for table, df in given.items():
+            if df is not None:
+                self._write(df, table, number)
+                setattr(new, table, number)
+        row = self.spark.createDataFrame([(json.dumps(asdict(new)),)], "value string")
+        row.coalesce(1).write.mode("error").text(f"{self.root}/v={number}/pointer")
+        return new
+
+    def new_db(self) -> Version:
+        """S5 ``--new-db``: publish an empty version, without lists."""
+        empty = self.spark.createDataFrame
+        return self.publish(empty([], DOCUMENTS), empty([], VECTORS), parent=self.head(), synced=True, keep_lists=False)
+
+    def retain(self, n: int) -> list[int]:
+        """Keep the last ``n`` versions and the tables they name; returns the removed ones."""
+        found = self.versions()
+        kept = found[-max(1, n) :]
+        used = {v.version for v in kept} | {getattr(v, t) for v in kept for t in TABLES}
+        conf, jvm = self.spark._jsc.hadoopConfiguration(), self.spark._jvm
+        removed = []
+        for v in found[: -max(1, n)]:
+            # A version whose tables are still in use loses its pointer only.
+            name = f"{self.root}/v={v.version}" + ("/pointer" if v.version in used else "")
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+            removed.append(v.version)
+        return removed

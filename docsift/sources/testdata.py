@@ -32,6 +32,7 @@ def documents_from_testdata(spark: SparkSession, sf_dir: str, as_of: str = AS_OF
         ).alias("metadata"),
         as_of_col(as_of).alias("created_at"),
         as_of_col(as_of).alias("updated_at"),
+        text_hash(d.text).alias("text_hash"),
     )
 
 
@@ -54,26 +55,3 @@ def vectors_from_testdata(spark: SparkSession, sf_dir: str, model: str = "testda
         F.lit(None).cast("string").alias("text_hash"),
         e.label,
     )
-
-
-def queries_from_vectors(vectors: DataFrame) -> DataFrame:
-    """Every vector as a query: [query_id string, embedding]."""
-    return vectors.select(F.col("id").alias("query_id"), "embedding")
-
-
-def queries_from_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``benchmark`` -> text queries [query_id, query]."""
-    b = read_table(spark, sf_dir, "benchmark")
-    return b.select(b.item_id.cast("string").alias("query_id"), b.text.alias("query"))
-
-
-__all__ = [
-    "AS_OF",
-    "read_table",
-    "documents_from_testdata",
-    "metadata_long_from_testdata",
-    "vectors_from_testdata",
-    "queries_from_vectors",
-    "queries_from_benchmark",
-    "text_hash",
-]

@@ -1,43 +1,34 @@
 """Streaming document ingest.
 
-JSON-lines change files arrive in a folder; each micro-batch is parsed (S2),
-validated (F6), upserted with last-ordinal-wins (M5), its vectors synced
-(K2) and published as one new snapshot version (S5) that records the batch
-id. A batch id already published is skipped, so a restarted query or a
-replayed batch changes nothing (the publish is atomic: commit row last).
+JSON-lines change files arrive in a folder; each micro-batch is parsed (S2), validated
+(F6), upserted with the last change of each id winning (M5), its vectors and lists synced
+(K2) and all published as one version (S5) that records the batch id. Later versions
+inherit it, so a batch that was published once is skipped ever after: a restarted query
+or a replayed batch changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docsift.operators.index import sync
-from docsift.operators.mutate import upsert_batch
+from docsift.operators.index import publish_in_step, sync
+from docsift.operators.mutate import prepare, upsert_batch
 from docsift.sources.json_docs import parse_json_documents
 from docsift.sources.store import Store
 
 
 def apply_batch(store: Store, batch: DataFrame, batch_id: int, as_of, embedder=None) -> bool:
-    """Apply one micro-batch of raw JSON lines; False when already applied.
-
-    Only the id buckets the batch names are read, upserted, re-synced and
-    rewritten; the new version inherits every other bucket.
-    """
+    """Apply one micro-batch of raw JSON lines; False when already applied. Without an
+    embedder only the documents are published, and health reports stale vectors."""
     head = store.head()
     if head is not None and head.batch_id is not None and batch_id <= head.batch_id:
         return False
-    batch = batch.persist()
-    try:
-        changes = parse_json_documents(batch)
-        ids = changes.filter(F.col("id").isNotNull() & (F.col("id") != ""))
-        touched = store.buckets_of(ids)
-        docs = store.documents(head, buckets=touched)
-        table, _ = upsert_batch(docs, changes, as_of)
-        vectors = sync(table, store.vectors(head, buckets=touched), embedder) if embedder is not None else None
-        store.publish(table, vectors, batch_id=batch_id, parent=head, buckets=touched)
-    finally:
-        batch.unpersist()
+    changes = prepare(parse_json_documents(batch), require_id=True)
+    table, _ = upsert_batch(store.documents(head), changes, as_of)
+    if embedder is None:
+        store.publish(table, parent=head, batch_id=batch_id)
+        return True
+    publish_in_step(store, head, table, sync(table, store.vectors(head), embedder), synced=True, batch_id=batch_id)
     return True
 
 
@@ -51,9 +42,9 @@ def ingest(
     files_per_batch: int | None = None,
     available_now: bool = True,
 ):
-    """Start the ingest stream; with ``available_now`` it processes what is
-    there and stops (returns after termination)."""
-    reader = spark.readStream.schema("value string")
+    """Start the ingest stream; with ``available_now`` it processes what is there and
+    stops (returns after termination)."""
+    reader = spark.readStream.schema("value string").option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.text(source)

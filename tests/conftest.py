@@ -27,10 +27,10 @@ def docs_factory(spark):
     from docsift.schema import DOCUMENTS
 
     def make(rows, as_of="2024-01-01 00:00:00"):
-        data = [(i, t, m or {}, None, None) for i, t, m in rows]
+        data = [(i, t, m or {}, None, None, None) for i, t, m in rows]
         df = spark.createDataFrame(data, DOCUMENTS)
         ts = F.lit(as_of).cast("timestamp")
-        return df.withColumn("created_at", ts).withColumn("updated_at", ts)
+        return df.withColumn("created_at", ts).withColumn("updated_at", ts).withColumn("text_hash", F.sha2("text", 256))
 
     return make
 

@@ -44,10 +44,14 @@ def test_client_surface(spark, tmp_path):
     assert [r["id"] for r in eng.search.by_metadata("region", "asia").collect()] == ["jp"]
     eng.index.build_ivf(2, seed=1)
     eng.documents.upsert("kr", "Korea is in East Asia")
-    assert sorted(r["id"] for r in eng.store.ivf().collect()) == sorted(r["id"] for r in eng.vectors().collect())
+    assert sorted(r["id"] for r in eng.store.lists().collect()) == sorted(r["id"] for r in eng.vectors().collect())
     ann = eng.search.query("Korea is in East Asia", k=1, ef_search=10**6).first()
     assert ann["id"] == "kr"
-    probe = eng.store.ivf().filter("list_id IN (0)")._jdf.queryExecution().executedPlan().toString()
+    probe = eng.store.lists().filter("list_id IN (0)")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in probe and "list_id" in probe
     eng.index.rebuild()
-    assert eng.store.ivf().count() == eng.vectors().count() == 4
+    assert eng.store.lists().count() == eng.vectors().count() == 4
+    one, two = (eng.documents.create("the same text").first()["id"] for _ in range(2))
+    assert one != two and eng.documents.total_count() == 6
+    eng.store.new_db()
+    assert eng.search.semantic("Korea").count() == 0

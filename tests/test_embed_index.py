@@ -5,7 +5,7 @@ import pytest
 
 from docsift.operators.embed import HashingEmbedder, embed_documents
 from docsift.operators.index import drift, health, rebuild, sync
-from docsift.operators.pooling import mean_pool, mean_pool_l2_numpy
+from docsift.operators.pooling import mean_pool
 from docsift.sources.testdata import documents_from_testdata
 from tests.conftest import SF01
 
@@ -19,18 +19,20 @@ def test_pooling_masks_and_zero(spark):
     df = spark.createDataFrame(rows, "id string, mask int, vec array<double>")
     got = vec_map(mean_pool(df, dim=2))
     assert got["a"] == pytest.approx([1.0, 0.0]) and list(got["b"]) == [0.0, 0.0]
-    hidden = np.array([[[1.0, 0.0], [1e30, 1e30]], [[5.0, 5.0], [1.0, 1.0]]])
-    mask = np.array([[1, 0], [0, 0]])
-    out = mean_pool_l2_numpy(hidden, mask)
-    assert out[0] == pytest.approx([1.0, 0.0]) and not np.isnan(out).any() and list(out[1]) == [0.0, 0.0]
+    for bad in ([1.0], [1.0, 2.0, 3.0]):
+        wrong = spark.createDataFrame([("a", 1, bad)], "id string, mask int, vec array<double>")
+        with pytest.raises(Exception, match="length 2"):
+            mean_pool(wrong, dim=2).collect()
 
 
 def test_truncation_at_256_tokens(spark):
     head = " ".join(f"w{i}" for i in range(256))
     df = spark.createDataFrame([("a", head + " extra words"), ("b", head + " other")], "id string, text string")
     for engine in ("numpy", "sql"):
-        v = vec_map(HashingEmbedder(64, engine=engine).embed(df))
+        v = vec_map(HashingEmbedder(64, 256, engine).embed(df))
         assert np.array_equal(v["a"], v["b"])
+        v = vec_map(HashingEmbedder(64, engine=engine).embed(df))  # no limit: the whole text
+        assert not np.array_equal(v["a"], v["b"])
 
 
 def test_hashing_engines_agree_and_unit(spark):
@@ -66,16 +68,26 @@ def test_sync_equals_rebuild_after_edits(spark):
 
 
 def test_store_roundtrip_and_new_db(spark, tmp_path, docs_factory):
-    from docsift.sources.store import Store
+    from docsift.operators.ann import build_ivf
+    from docsift.sources.store import Conflict, Store
 
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
     assert store.head() is None and store.documents().count() == 0
-    docs = docs_factory([("a", "x", {"k": "v"})])
-    c0 = store.publish(docs, None)
-    assert store.documents().count() == 1 and store.vectors().count() == 0
-    c1 = store.new_db()
-    assert c1.version == c0.version + 1 and store.documents().count() == 0
-    assert store.documents(store.commit(c0.version)).count() == 1
+    docs = docs_factory([("a", "x", {"k": "v"}), ("b", "y", None)])
+    v0 = store.publish(docs, batch_id=7)
+    assert store.documents().count() == 2 and store.vectors().count() == 0 and store.document("a").first()["text"] == "x"
+    vecs = rebuild(docs, HashingEmbedder(8))
+    ivf = build_ivf(vecs, 2, seed=1)
+    v1 = store.publish(vectors=vecs, parent=v0, lists=ivf.vectors, centroids=ivf.centroids)
+    assert v1.documents == v0.version and v1.batch_id == 7  # inherited
+    assert store.lists().count() == 2 and len(store.centroids()) == 2
+    with pytest.raises(Conflict):
+        store.publish(docs, parent=v0)
+    v2 = store.new_db()
+    assert store.documents().count() == store.lists().count() == 0 and store.centroids() is None
+    assert store.documents(v0).count() == 2
+    v3 = store.publish(docs, parent=v2)
+    assert store.retain(1) == [0, 1, 2] and store.head() == v3 and store.documents().count() == 2
 
 
 def test_text_files_names(spark, tmp_path):
@@ -89,46 +101,44 @@ def test_text_files_names(spark, tmp_path):
 
 def test_stream_equals_batch_and_replay_is_noop(spark, tmp_path, docs_factory):
     from docsift.operators import mutate as M
+    from docsift.operators.ann import build_ivf
+    from docsift.operators.index import load_or_build
+    from docsift.sources.json_docs import parse_json_documents
     from docsift.sources.store import Store
     from docsift.streaming.ingest import apply_batch, ingest
 
     docs = docs_factory([("a", "old", None), ("b", "keep", None)])
     files = [
         ['{"id": "a", "text": "a1", "ordinal": 1}', '{"id": "c", "text": "c1", "ordinal": 2}'],
-        ['{"id": "a", "text": "a2", "ordinal": 3}', '{"text": "no id", "ordinal": 4}'],
+        ['{"id": "a", "text": "a2"}', '{"text": "no id"}'],
         ['{"id": "c", "text": "c2", "metadata": {"n": 1}, "ordinal": 5}', "not json"],
     ]
-    src = tmp_path / "in"
-    for i, lines in enumerate(files):
-        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(src / f"batch={i}"))
-    from docsift.operators.index import load_or_build
-
+    src, as_of = tmp_path / "in", "2024-06-01 00:00:00"
     store = Store(spark, str(tmp_path / "store"), buckets=4)
-    store.publish(docs, None)
+    store.publish(docs)
     emb = HashingEmbedder(16)
     load_or_build(store, emb)  # vectors for the initial load; ingest keeps them in sync
-    ingest(spark, str(src), store, str(tmp_path / "ckpt"), "2024-06-01 00:00:00", embedder=emb, files_per_batch=1)
+    ivf = build_ivf(store.vectors(), 2, seed=1)
+    store.publish(parent=store.head(), lists=ivf.vectors, centroids=ivf.centroids, synced=True)
+    for i, lines in enumerate(files):  # each run of the stream finds one new file
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(src / f"batch={i}"))
+        ingest(spark, str(src), store, str(tmp_path / "ckpt"), as_of, embedder=emb)
     got = {r["id"]: (r["text"], dict(r["metadata"])) for r in store.documents().collect()}
     assert got == {"a": ("a2", {}), "b": ("keep", {}), "c": ("c2", {"n": "1"})}
+    have, want = vec_map(store.vectors()), vec_map(rebuild(store.documents(), emb))
+    assert have.keys() == want.keys() == vec_map(store.lists()).keys()
+    assert all(np.array_equal(want[k], have[k]) and np.array_equal(want[k], vec_map(store.lists())[k]) for k in want)
     head = store.head()
-    # replaying the last batch id changes nothing
-    replay = spark.createDataFrame([('{"id": "a", "text": "WRONG", "ordinal": 9}',)], "value string")
-    assert apply_batch(store, replay, head.batch_id, "2024-06-01 00:00:00", emb) is False
-    assert store.head().version == head.version
-    # a restarted stream adds no batch
-    ingest(spark, str(src), store, str(tmp_path / "ckpt"), "2024-06-01 00:00:00", embedder=emb, files_per_batch=1)
-    assert store.head().version == head.version
-    # vectors were synced with the table, bucket by bucket
-    assert sorted(r["id"] for r in store.vectors().collect()) == ["a", "b", "c"]
-    want = vec_map(rebuild(store.documents(), emb))
-    have = vec_map(store.vectors())
-    assert all(np.array_equal(want[k], have[k]) for k in want)
-    # equals the batch upsert of the union, in order
-    allrows = [(x,) for f in files for x in f]
-    from docsift.sources.json_docs import parse_json_documents
-
-    union = parse_json_documents(spark.createDataFrame(allrows, "value string"))
-    t, _ = M.upsert_batch(docs, union, "2024-06-01 00:00:00")
+    ingest(spark, str(src), store, str(tmp_path / "ckpt"), as_of, embedder=emb)  # nothing new
+    assert store.head() == head
+    # an edit in between doesn't make an old batch new again
+    edited, _ = M.upsert(store.documents(head), spark.createDataFrame([("a", "edited")], "id string, text string"), as_of)
+    store.publish(edited, parent=head)
+    replay = spark.createDataFrame([('{"id": "a", "text": "WRONG"}',)], "value string")
+    assert apply_batch(store, replay, head.batch_id, as_of, emb) is False
+    assert {r["id"]: r["text"] for r in store.documents().collect()}["a"] == "edited"
+    union = parse_json_documents(spark.createDataFrame([(x,) for f in files for x in f], "value string").coalesce(1))
+    t, _ = M.upsert_batch(docs, union, as_of)
     assert {r["id"]: (r["text"], dict(r["metadata"])) for r in t.collect()} == got
 
 
@@ -144,7 +154,7 @@ def test_load_or_build(spark, tmp_path):
 
     store = Store(spark, str(tmp_path / "s"))
     docs = documents_from_testdata(spark, SF01).limit(50)
-    store.publish(docs, None)
+    store.publish(docs)
     emb = HashingEmbedder(16)
     v1 = load_or_build(store, emb)
     assert v1.count() == 50
@@ -152,46 +162,13 @@ def test_load_or_build(spark, tmp_path):
     assert vec_map(v1).keys() == vec_map(v2).keys()
 
 
-def test_bucket_local_publish_rewrites_only_touched(spark, tmp_path, docs_factory):
-    from docsift.operators import mutate as M
-    from docsift.sources.store import Store
-
-    store = Store(spark, str(tmp_path / "b"), buckets=8)
-    docs = docs_factory([(str(i), f"t{i}", None) for i in range(40)])
-    c0 = store.publish(docs, None)
-    assert len(c0.documents) == 8
-    ch = spark.createDataFrame([("3", "new", None), ("x", "ins", None)], "id string, text string, metadata map<string,string>")
-    touched = store.buckets_of(ch)
-    part = store.documents(c0, buckets=touched)
-    table, _ = M.upsert(part, ch, "2024-06-01 00:00:00")
-    c1 = store.publish(table, None, buckets=touched, parent=c0)
-    assert {b for b, v in c1.documents.items() if v == c1.version} == set(touched)
-    got = {r["id"]: r["text"] for r in store.documents().collect()}
-    assert len(got) == 41 and got["3"] == "new" and got["x"] == "ins" and got["7"] == "t7"
-
-
 def test_store_lookup_pushes_id_filter(spark, tmp_path):
     from docsift.operators.lookup import get_by_id
     from docsift.sources.store import Store
 
     store = Store(spark, str(tmp_path / "p"), buckets=4)
-    store.publish(documents_from_testdata(spark, SF01), None)
-    plan = get_by_id(store.documents(), "42")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(id,42)" in plan
+    store.publish(documents_from_testdata(spark, SF01))
+    plan = store.document("42")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,42)" in plan and "PartitionFilters: [isnotnull(bucket" in plan
+    assert store.document("42").count() == 1
     assert get_by_id(store.documents(), "42").count() == 1
-
-
-def test_head_hint_stale_or_missing(spark, tmp_path, docs_factory):
-    from docsift.sources.store import Store
-
-    root = str(tmp_path / "h")
-    store = Store(spark, root, buckets=2)
-    for i in range(3):
-        store.publish(docs_factory([(str(i), "t", None)]), None)
-    assert store.head().version == 2
-    # a stale hint (as after a crash between commit and hint) still finds the head
-    spark.createDataFrame([("0",)], "value string").coalesce(1).write.mode("overwrite").text(root + "/_head")
-    assert store.head().version == 2
-    # an unreadable hint falls back to the log
-    spark.createDataFrame([("junk",)], "value string").coalesce(1).write.mode("overwrite").text(root + "/_head")
-    assert store.head().version == 2

@@ -94,30 +94,90 @@ def test_best_match_cosine(vectors_factory, spark):
     assert r["id"] == "b"
 
 
-def test_ann_full_probe_equals_exact(spark):
-    from docsift.operators.ann import ann_search, build_ivf
+def _vectors(spark):
     from docsift.sources.testdata import vectors_from_testdata
 
-    vecs = vectors_from_testdata(spark, SF01).select("id", "embedding")
+    return vectors_from_testdata(spark, SF01).select("id", "embedding")
+
+
+def test_query_blocks_change_nothing(spark):
+    vecs = _vectors(spark)
+    queries = vecs.limit(70).select(F.col("id").alias("query_id"), "embedding")
+    assert _rows(knn(vecs, queries, 5, block_bytes=64 * 8 * 9)) == _rows(knn(vecs, queries, 5))
+
+
+def test_ann_full_probe_equals_exact(spark):
+    from docsift.operators.ann import ann_candidates, ann_search, build_ivf, within_probes
+
+    vecs = _vectors(spark)
     idx = build_ivf(vecs, nlist=6, seed=3)
     queries = vecs.limit(50).select(F.col("id").alias("query_id"), "embedding")
     exact = _rows(knn(vecs, queries, 10))
     assert _rows(ann_search(idx, queries, 10, nprobe=idx.nlist)) == exact
-    # the grid path of the approximate search (query side over the bound)
-    assert _rows(ann_search(idx, queries, 10, nprobe=idx.nlist, max_broadcast_bytes=1)) == exact
-    assert idx.nprobe_for(1) == 1 and idx.nprobe_for(10**9) == idx.nlist
+    found = ann_candidates(idx, queries, 10, nprobe=6, most_rows=100)
+    assert _rows(within_probes(found, 10, 6)) == exact
+    assert _rows(within_probes(found, 10, 2)) == _rows(ann_search(idx, queries, 10, nprobe=2))
+
+
+def test_ann_always_returns_k_rows(spark):
+    from docsift.operators.ann import ann_search, build_ivf
+
+    vecs = _vectors(spark)
+    idx = build_ivf(vecs, nlist=40, seed=3)  # lists of about 12 rows
+    queries = vecs.limit(60).select(F.col("id").alias("query_id"), "embedding")
+    for kw in ({"nprobe": 1}, {"ef_search": 10}, {"ef_search": 10**6}):
+        n = ann_search(idx, queries, 30, **kw).groupBy("query_id").count()
+        assert n.count() == 60 and n.filter("count <> 30").isEmpty()
+    assert _rows(ann_search(idx, queries, 30, ef_search=10**6)) == _rows(knn(vecs, queries, 30))
+    assert ann_search(idx, queries, 1000).groupBy("query_id").count().filter("count <> 500").isEmpty()
 
 
 def test_ann_written_index_prunes_lists(spark, tmp_path):
     from docsift.operators.ann import IvfIndex, ann_search, build_ivf
-    from docsift.sources.testdata import vectors_from_testdata
 
-    vecs = vectors_from_testdata(spark, SF01).select("id", "embedding")
+    vecs = _vectors(spark)
     idx = build_ivf(vecs, nlist=4, seed=1)
     idx.write(str(tmp_path / "ivf"))
-    back = IvfIndex.read(spark, str(tmp_path / "ivf"), idx.centroids, idx.n_rows)
+    back = IvfIndex.read(spark, str(tmp_path / "ivf"), idx.centroids)
     queries = vecs.limit(20).select(F.col("id").alias("query_id"), "embedding")
     assert _rows(ann_search(back, queries, 5, nprobe=2)) == _rows(ann_search(idx, queries, 5, nprobe=2))
     probe = back.vectors.filter(F.col("list_id").isin([0]))
     plan = probe._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "list_id" in plan
+
+
+def test_top_k_stays_bounded():
+    from docsift.operators.knn import TopK
+
+    rng = np.random.default_rng(0)
+    q, x = rng.normal(size=(50_000, 4)), rng.normal(size=(2_000, 4))
+    best = TopK(3, len(q))
+    for a in range(0, 2_000, 500):
+        best.add(x[a : a + 500], np.array([f"{i:05d}" for i in range(a, a + 500)], dtype=object), q, np.arange(len(q)))
+        assert best.size() <= 3 * len(q)
+    some = rng.integers(0, len(q), 50)
+    at, ids, _, _ = best.result()
+    for i in some:
+        d = ((x - q[i]) ** 2).sum(axis=1)
+        assert ids[at == i].tolist() == [f"{j:05d}" for j in np.argsort(d)[:3]]
+
+
+def test_similarity_tiles_stay_bounded():
+    import tracemalloc
+
+    from docsift.operators.similarity import pairs_above
+
+    x = np.random.default_rng(1).normal(size=(20_000, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    n = sum(len(r) for r, _, _ in pairs_above(x, x, 0.9999))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 20_000 and peak < 1 << 30
+
+
+def test_similarity_refuses_most_pairs(spark):
+    from docsift.operators.similarity import similarity_pairs
+
+    with pytest.raises(Exception, match="N x N"):
+        similarity_pairs(_vectors(spark), min_sim=-2).count()

@@ -93,11 +93,55 @@ def test_bad_metadata_rejected(spark):
     assert errs["5"] == "Missing 'text' field"
 
 
-def test_assign_ids_repeatable(spark):
-    df = spark.createDataFrame([("given", "a"), ("", "b"), (None, "c")], "id string, text string")
-    a = [r["id"] for r in M.assign_ids(df, "t").orderBy("text").collect()]
-    b = [r["id"] for r in M.assign_ids(df, "t").orderBy("text").collect()]
-    assert a == b and a[0] == "given" and a[1].startswith("doc_") and a[1] != a[2]
+def test_generated_ids_are_unique_and_stable(spark, docs_factory):
+    docs = docs_factory([("a", "x", None)])
+    new = spark.createDataFrame([("given", "same"), ("", "same"), (None, "same")], "id string, text string")
+    t, rep = M.insert(docs, new, T1)
+    ids = sorted(r["id"] for r in rep.collect())
+    assert len(set(ids)) == 3 and ids[2] == "given" and all(i.startswith("doc_") for i in ids[:2])
+    assert set(table(t)) == {"a", *ids}  # the table and the report agree, whenever they are computed
+    again, _ = M.insert(t, new, T1)
+    assert again.count() == 6  # equal texts without ids are documents of their own
+
+
+def test_insert_ties_and_rejects(spark, docs_factory):
+    docs = docs_factory([("old", "x", None)])
+    rows = [("n", "1", None, 5), ("n", "2", None, 5), ("m", "1", None, None), ("m", "2", None, None), (None, "t", None, 1), ("z", None, None, 1)]
+    t, rep = M.insert(docs, changes(spark, rows), T1, require_id=True)
+    assert table(t) == {"old": ("x", {}), "n": ("1", {}), "m": ("1", {})}
+    got = sorted((r["id"] or "", r["status"]) for r in rep.collect())
+    assert got == [("", "rejected: Missing 'id' field"), ("m", "duplicate"), ("m", "inserted"), ("n", "duplicate"), ("n", "inserted"), ("z", "rejected: Missing 'text' field")]
+
+
+def test_upsert_json_without_ordinal_keeps_the_text(spark, docs_factory):
+    from docsift.sources.json_docs import parse_json_documents
+
+    docs = docs_factory([("a", "old", {"k": "v"})])
+    lines = ['{"id":"a","text":"first"}', '{"id":"a","text":"new"}', '{"id":"b","text":5}', '{"id":2,"text":"x"}', '{"text":"no id"}', "[1]", "{", '{"id":"c","text":"t","metadata":"{}"}']
+    df = spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    t, rep = M.upsert_batch(docs, parse_json_documents(df), T1)
+    assert table(t) == {"a": ("new", {})}
+    assert sorted(r["status"] for r in rep.collect()) == sorted(
+        ["upserted"] * 2
+        + ["rejected: Invalid 'text': must be a string", "rejected: Invalid 'id': must be a string", "rejected: Missing 'id' field"]
+        + ["rejected: Invalid request: must be a JSON object", "rejected: Malformed JSON", "rejected: Invalid 'metadata': must be a JSON object of unique keys"]
+    )
+
+
+def test_metadata_numbers(spark):
+    j = '{"a":1.0,"b":1.5,"c":1e2,"d":1e16,"e":1.5e-7,"f":0.0001,"g":-2.50,"h":12345678901234567890,"i":1e15}'
+    m = spark.createDataFrame([(j,)], "j string").select(normalise_metadata_json("j").alias("m")).first()["m"]
+    assert m == {"a": "1.0", "b": "1.5", "c": "100.0", "d": "1e+16", "e": "1.5e-07", "f": "0.0001", "g": "-2.5", "h": m["h"], "i": "1e+15"}
+    assert spark.createDataFrame([('{"a":1e400}',)], "j string").select(normalise_metadata_json("j").alias("m")).first()["m"] is None
+
+
+def test_empty_filter_is_no_filter(docs_factory):
+    from docsift.operators.metadata import count_by_metadata
+
+    docs = docs_factory([("a", "x", {"k": "v"}), ("b", "y", None)])
+    for key, value in (("", "v"), ("k", ""), (None, "v")):
+        assert list_by_metadata(docs, key, value).count() == 2 and count_by_metadata(docs, key, value).first()["count"] == 2
+    assert list_by_metadata(docs, "", "", limit=1).count() == 1
 
 
 def test_metadata_put_delete(spark, docs_factory):

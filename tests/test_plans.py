@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from docsift.operators import mutate as M
 from docsift.operators.knn import knn
-from docsift.operators.lookup import exists_flags
 from docsift.sources.testdata import documents_from_testdata, vectors_from_testdata
 from tests.conftest import SF01
 
@@ -22,16 +21,33 @@ def test_knn_partial_topk_no_corpus_join(spark):
     assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
 
 
-def test_small_upsert_broadcasts_changes(spark):
+def test_large_change_set_is_not_broadcast(spark):
     docs = documents_from_testdata(spark, SF01)
-    ch = spark.createDataFrame([("5", "x", None)], "id string, text string, metadata map<string,string>")
-    table, _ = M.upsert(docs, ch, "2024-06-01 00:00:00")
-    p = plan(table)
-    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    ch = spark.createDataFrame([(str(i), "x" * 2000, None) for i in range(300)], "id string, text string, metadata map<string,string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1kb")
+    try:
+        table, _ = M.upsert(docs, ch, "2024-06-01 00:00:00")
+        p = plan(table)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in p and "SortMergeJoin" in p
+
+
+def test_drift_and_lookup_read_no_text(spark, tmp_path):
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.operators.index import drift, rebuild
+    from docsift.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    docs = documents_from_testdata(spark, SF01)
+    store.publish(docs, rebuild(docs, HashingEmbedder(16)))
+    p = drift(store.documents(), store.vectors(), "hashing-16")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in p and "text:string" not in p and "embedding" not in p
+
 
+def test_metadata_search_ranks_ids_first(spark):
+    from docsift.plans.search import metadata_search
 
-def test_exists_flags_does_not_shuffle_documents(spark):
     docs = documents_from_testdata(spark, SF01)
-    ids = spark.createDataFrame([("1",), ("nope",)], "id string")
-    p = plan(exists_flags(docs, ids))
-    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    p = plan(metadata_search(docs, "lang", "fr", 10))
+    assert "BroadcastHashJoin" in p and "TakeOrderedAndProject" in p
