@@ -220,7 +220,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
         edges.join(firsts, "edge").groupBy("path")
         .agg(F.sort_array(F.collect_list(F.struct("off", "first"))).alias("firsts"))
     )
-    where = distinct.select("path", "src", "n_paths").join(branched, "path", "left")
+    where, where_at = written(distinct.select("path", "src", "n_paths").join(branched, "path", "left"), "least")
     hits = (
         paths.select("path", "doc_id", "key", "start", "n").join(where, "path")
         .withColumn("offs", F.when(F.col("n_paths") > 1, F.expr("transform(filter(firsts, x -> x.first < doc_id), x -> x.off)")))
@@ -229,7 +229,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     spans = checkpointed(
         hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "offs")).alias("spans"))
     )
-    remove(spark, seen_at, shared_at, paths_at, distinct_at)
+    remove(spark, seen_at, shared_at, paths_at, distinct_at, where_at)
     return narrow, spans
 
 
