@@ -39,9 +39,9 @@ def norm(a) -> Column:
 
 
 def cosine_similarity(a, b) -> Column:
-    """V4: dot / (|a| |b|); NULL when either side is the zero vector."""
+    """V4: dot / (|a| |b|); 0 when either side is the zero vector, as in ``best_match``."""
     n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
 def score_from_distance(dist) -> Column:

@@ -134,7 +134,7 @@ SQL["score"] = f"WITH {PAIRS} SELECT id_a, id_b, round(1.0 / (1.0 + {sq_l2('a',
 SQL["cosine_similarity"] = f"""
 WITH {PAIRS}
 SELECT id_a, id_b, round(CASE WHEN {norm('a')} * {norm('b')} > 0
-       THEN {dot('a', 'b')} / ({norm('a')} * {norm('b')}) END, 6) AS cosine FROM pairs
+       THEN {dot('a', 'b')} / ({norm('a')} * {norm('b')}) ELSE 0 END, 6) AS cosine FROM pairs
 """
 SQL["l2_normalize"] = f"""
 WITH {PAIRS},

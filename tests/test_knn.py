@@ -84,7 +84,7 @@ def test_vector_expressions(spark):
         l2_normalize("a").alias("u"), l2_normalize("b").alias("z"), cosine_similarity("a", "b").alias("cz"),
     ).first()
     assert r["d"] == 25.0 and r["p"] == 25.0 and r["c"] == pytest.approx(1.0)
-    assert r["u"] == pytest.approx([0.6, 0.8]) and r["z"] == [0.0, 0.0] and r["cz"] is None
+    assert r["u"] == pytest.approx([0.6, 0.8]) and r["z"] == [0.0, 0.0] and r["cz"] == 0.0
 
 
 def test_best_match_cosine(vectors_factory, spark):
