@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .bpe import Encoder
 from .common import U64, remove, text_key, written
 
-SCALE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 20, 1024, 128, 1 << 18
+SCALE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_TOKENS = 18, 2048, 128, 1 << 19
 LOW = U64(1) << U64(31)
 VERSION = 1
 
@@ -104,7 +104,7 @@ class Decoder:
     def __init__(self, freq: np.ndarray, bits: int, lanes: int, every: int):
         self.bits, self.lanes, self.every = bits, lanes, every
         self.freq, self.first = freq.astype(U64), (np.cumsum(freq) - freq).astype(U64)
-        self.symbol = np.repeat(np.arange(len(freq)), freq).astype(np.uint32)
+        self.symbol = np.repeat(np.arange(len(freq)), freq)
 
     def block(self, n: int, state: bytes, words: bytes, checkpoints: list[dict]) -> np.ndarray:
         """All ids of a block: the segments between checkpoints side by side."""
@@ -128,11 +128,12 @@ class Decoder:
             need = x < LOW
             if short and live[-1] == len(begin) - 1 and t == lengths[-1] - 1:  # the last step of the block
                 need[-1, short:] = False
-            want = need.sum(axis=1)
-            rank = np.cumsum(need.ravel()) - 1 - np.repeat(np.cumsum(want) - want, self.lanes)
-            at = np.repeat(word[live], self.lanes) + rank
-            flat, wanted = x.ravel(), need.ravel()
-            flat[wanted] = (flat[wanted] << U64(32)) | stream[at[wanted]]
+            flat = x.ravel()
+            wanted = np.flatnonzero(need.ravel())
+            segment = wanted // self.lanes
+            want = np.bincount(segment, minlength=len(live))
+            at = (word[live] - (np.cumsum(want) - want))[segment] + np.arange(len(wanted))
+            flat[wanted] = (flat[wanted] << U64(32)) | stream[at]
             word[live] += want
             states[live] = flat.reshape(x.shape)
             out[live, t] = sym
