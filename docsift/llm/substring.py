@@ -196,40 +196,45 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
         "key", text_key()
     )
     seen, seen_at = written(base.mapInArrow(_scan(window, gram), _SEEN), "seen")
-    least = seen.where("doc_id is not null and n_words > 0").groupBy("content").agg(F.min("doc_id").alias("least"))
+    # Tables joined on a key that may be hot are written first: a join of two plain sides is one that AQE can split.
+    least = seen.where("doc_id is not null and n_words > 0").groupBy("content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    least, least_at = written(least.where("least < most").select("content", "least"), "copied")
     seen = seen.join(least, "content", "left").withColumn("copy", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)))
     narrow = checkpointed(seen.select("doc_id", "key", "n_words", "whole_sha256", "copy"))
     sources = seen.where("not copy and doc_id is not null and size(anchors) > 0")
     binned = sources.select("doc_id", "key", F.posexplode("anchors").alias("run", "anchor"))
     shared = binned.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    shared, shared_at = written(shared, "shared")  # a join of two plain sides, which AQE can split
+    shared, shared_at = written(shared, "shared")
     runs = binned.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("run").alias("runs"))
     paths, paths_at = written(
         base.join(runs, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(_paths(window, gram), _PATHS),
         "paths",
     )
     distinct = paths.groupBy("anchor", "path").agg(F.min("doc_id").alias("src"), F.first("edges").alias("edges"))
-    bins = distinct.groupBy("anchor").agg(F.count("*").alias("n_paths"))
-    distinct, distinct_at = written(distinct.join(bins, "anchor"), "compacted")
+    distinct, distinct_at = written(distinct, "compacted")
+    branches = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("branched"))
+    branches, branches_at = written(branches, "branches")
     edges = (
-        distinct.where("n_paths > 1").select("path", "src", "edges")
+        distinct.join(branches, "anchor").select("path", "src", "edges")
         .mapInArrow(_edges, "path long, src long, off int, edge long")
     )
-    firsts = edges.groupBy("edge").agg(F.min("src").alias("first"))
-    branched = (
+    firsts, firsts_at = written(edges.groupBy("edge").agg(F.min("src").alias("first")), "firsts")
+    offsets = (
         edges.join(firsts, "edge").groupBy("path")
         .agg(F.sort_array(F.collect_list(F.struct("off", "first"))).alias("firsts"))
     )
-    where, where_at = written(distinct.select("path", "src", "n_paths").join(branched, "path", "left"), "least")
+    marked = distinct.select("anchor", "path", "src").join(branches, "anchor", "left")
+    where = marked.select("path", "src", F.coalesce("branched", F.lit(False)).alias("branched")).join(offsets, "path", "left")
+    where, where_at = written(where, "least")
     hits = (
         paths.select("path", "doc_id", "key", "start", "n").join(where, "path")
-        .withColumn("offs", F.when(F.col("n_paths") > 1, F.expr("transform(filter(firsts, x -> x.first < doc_id), x -> x.off)")))
-        .where("(n_paths = 1 and src < doc_id) or size(offs) > 0")
+        .withColumn("offs", F.when(F.col("branched"), F.expr("transform(filter(firsts, x -> x.first < doc_id), x -> x.off)")))
+        .where("(not branched and src < doc_id) or size(offs) > 0")
     )
     spans = checkpointed(
         hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n", "offs")).alias("spans"))
     )
-    remove(spark, seen_at, shared_at, paths_at, distinct_at, where_at)
+    remove(spark, seen_at, least_at, shared_at, paths_at, distinct_at, branches_at, firsts_at, where_at)
     return narrow, spans
 
 
