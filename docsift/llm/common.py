@@ -103,7 +103,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Every step
     is a grouped minimum and a join; a hub's edges are never gathered in one row.
+    The minima are written before the join: of two plain sides AQE splits a hub's.
     Each round is checkpointed, so lineage stays short."""
+    spark = edges.sparkSession
     star = checkpointed(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -111,10 +113,10 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low, least_at = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, large_at = written(large.where("u <> v").distinct(), "large-star")
+        low, low_at = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
@@ -122,6 +124,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select("e.u", "e.v").where("u <> v").distinct()
         )
         after = checkpointed(small)
+        remove(spark, least_at, large_at, low_at)
         # Stars are stable: no node is both a leaf and a root, and no leaf has two roots.
         row = after.agg(F.count("*"), F.count_distinct("u")).first()
         nested = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi")

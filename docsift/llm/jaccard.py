@@ -23,7 +23,8 @@ copies cost one row each and are never paired.
    links to, and a local root, whose components are the near-duplicate groups.
 
 Hot groups: copies are pre-aggregated; a large group of near copies is spread over
-block pairs; the joins on its node split by AQE."""
+block pairs. What is joined on a path or a component is written first, so that both
+sides of the join are plain and AQE splits a hot one."""
 
 from __future__ import annotations
 
@@ -325,8 +326,9 @@ def _candidates(classes: DataFrame, runs: int, lam: float, least: float, depth:
     level = sketches.mapInArrow(_start(runs, depth, TOKENS, lam), "path long, node long")
     small, paths, edges = [], [], []
     while True:
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        sizes, sizes_at = written(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         members, at = written(level.join(sizes, "path"), "paths")
+        remove(spark, sizes_at)
         paths.append(at)
         small.append(members.where(f"n <= {limit}").select("path", "node"))
         large = members.where(f"n > {limit}").select("path", "node")
@@ -340,7 +342,9 @@ def _candidates(classes: DataFrame, runs: int, lam: float, least: float, depth:
                 .select("path", "sketch", "first_sketch").mapInArrow(_resemblance, "path long, share double")
             )
             alike = share.groupBy("path").agg(F.avg("share").alias("share")).where(F.col("share") >= least).select("path")
-            firsts = checkpointed(firsts.join(alike, "path"))
+            firsts = firsts.join(alike, "path")
+        firsts, at = written(firsts, "firsts")
+        paths.append(at)
         edges.append(large.join(firsts, "path").select(F.col("node").alias("a"), "b").distinct())
         if depth == max_depth:
             break
@@ -385,7 +389,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     )
     edges = _candidates(classes, runs, lam, threshold - SLACK, depth, max_depth, limit)
     near = components(edges)
-    sizes = near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes, sizes_at = written(near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
     sets = (
         near.join(sizes, "root").join(classes.select("node", "weight", "rep.doc_id", "rep.tkey"), "node")
         .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -400,17 +404,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
         _in_groups(cells, ["root", "bi", "bj"]).mapInArrow(_verify(threshold), "node long, links long, to long")
     )
     groups = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    per_class = (
+    per_class, grouped_at = written(
         classes.select("node", F.col("rep.doc_id").alias("class_id"), "weight")
         .join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .join(groups, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
+        .withColumn("root", F.coalesce("root", "node")),
+        "grouped",
     )
-    least_id = per_class.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    per_class = checkpointed(per_class.join(least_id, "root").select(
-        "node", "class_id", "weight", F.coalesce("links", F.lit(0)).alias("links"), "group_id"))
+    least_id, least_at = written(per_class.groupBy("root").agg(F.min("class_id").alias("group_id")), "least")
+    per_class = written(per_class.join(least_id, "root").select(
+        "node", "class_id", "weight", F.coalesce("links", F.lit(0)).alias("links"), "group_id"), "classified")[0]
     rows = checkpointed(seen.select("doc_id", "tkey", "node", valid.alias("valid")))
-    remove(docs.sparkSession, seen_at, classes_at)
+    remove(docs.sparkSession, seen_at, classes_at, sizes_at, grouped_at, least_at)
     out = rows.join(per_class.withColumn("valid", F.lit(True)), ["node", "valid"], "left")
     return out.select(
         "doc_id",
