@@ -13,7 +13,8 @@ same patterns. Patterns and instances (the strings found) form a graph, which Sp
 
 Candidates whose instance reaches ``CONFIDENT`` are spans of kind ``context``, wherever they
 occur. Edges are summed before they are shuffled, so a pattern in a third of the documents is
-a row for each of its instances."""
+a row for each of its instances; tables joined on a pattern or an instance are written first, so
+that both sides of the join are plain and AQE splits a hot one."""
 
 from __future__ import annotations
 
@@ -38,7 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
 _EDGE = "\"'`()[]{}<>.,;:!?|*#$%&="
 
 
@@ -152,23 +153,35 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confident_instances(links: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT) -> DataFrame:
     """(instance) of the unseen identifiers, from ``links (pattern, instance, seed)``."""
-    edges = checkpointed(links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    seeds = edges.where("seed").select("instance").distinct().withColumn("is_seed", F.lit(True))
-    edges = edges.drop("seed").join(seeds, "instance", "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
+    spark, scratches = links.sparkSession, []
+
+    def plain(df: DataFrame, name: str) -> DataFrame:
+        table, at = written(df, name)
+        scratches.append(at)
+        return table
+
+    edges = plain(links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    seeds = plain(edges.where("seed").select("instance").distinct().withColumn("is_seed", F.lit(True)), "seeds")
+    edges = plain(
+        edges.drop("seed").join(seeds, "instance", "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False))), "edges"
+    )
     useful = edges.groupBy("pattern").agg(F.count_if("is_seed").alias("n")).where(F.col("n") >= min_seeds).select("pattern")
-    edges = checkpointed(edges.join(useful, "pattern"))
-    instances = edges.groupBy("instance").agg(F.max("is_seed").alias("is_seed"))
+    edges = plain(edges.join(plain(useful, "useful"), "pattern"), "edges")
+    instances = plain(edges.groupBy("instance").agg(F.max("is_seed").alias("is_seed")), "instances")
     scores = instances.withColumn("score", F.when(F.col("is_seed"), 1.0).otherwise(0.0))
     for _ in range(rounds):
         patterns = edges.join(scores.select("instance", "score"), "instance").groupBy("pattern").agg(F.avg("score").alias("p"))
-        good = patterns.where(F.col("p") >= confident)
+        good = plain(patterns.where(F.col("p") >= confident), "patterns")
         miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("p")))))
         reached = edges.join(good, "pattern").groupBy("instance").agg((1 - miss).alias("reached"))
-        scores = checkpointed(
+        scores = plain(
             instances.join(reached, "instance", "left")
-            .withColumn("score", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))).drop("reached")
+            .withColumn("score", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))).drop("reached"),
+            "scores",
         )
-    return scores.where((F.col("score") >= confident) & ~F.col("is_seed")).select("instance")
+    out = written(scores.where((F.col("score") >= confident) & ~F.col("is_seed")).select("instance"), "accepted")[0]
+    remove(spark, *scratches)
+    return out
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
@@ -179,7 +192,7 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     Other columns are ignored."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", text_key())
     found, found_at = written(base.mapInArrow(_scan, _FOUND), "pii")
-    accepted = checkpointed(confident_instances(found.select(F.inline("links")), **options))
+    accepted = confident_instances(found.select(F.inline("links")), **options)
     rows = checkpointed(found.select("doc_id", "tkey", "base"))
     spans = checkpointed(
         found.select("doc_id", "tkey", F.inline("open")).join(accepted, "instance")

@@ -176,3 +176,9 @@ def test_context_patterns_find_unseen_identifiers(make):
 
 def test_email_scan_is_linear():
     assert list(pii.emails("a" * 2_000_000 + " x@y.z")) == [(2_000_001, 2_000_006)]
+
+
+def test_candidate_scan_is_linear():
+    text = "1 " + "a" * 2_000_000 + " x1234."
+    assert list(pii.candidates(text, [])) == [(2_000_003, 2_000_008)]
+    assert list(pii.candidates("(ab-12345) 123 12,34\n55555", [])) == [(1, 9), (15, 20), (21, 26)]
