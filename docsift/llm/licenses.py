@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 from .spans import quoted
 
 LEAST = 0.5
@@ -146,7 +146,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, lea
         own.select("__dir").where("__dir is not null").distinct().select("__dir", F.posexplode(ancestors).alias("depth", "above"))
         .join(given, "above").groupBy("__dir").agg(F.max_by("given", "depth").alias("inherited"))
     )
-    near = checkpointed(near.withColumnRenamed("__dir", "__at"))
+    near = written(near.withColumnRenamed("__dir", "__at"), "directories")[0]
     out = own.join(near, F.col("__dir") == F.col("__at"), "left")
     via = F.expr("CASE WHEN own IS NOT NULL AND is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END")
     return out.withColumn("license", F.coalesce("own", "inherited")).withColumn("via", via).drop("__dir", "__at", "own", "inherited", "is_file")
