@@ -129,7 +129,9 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, lea
     Paths are separated by /; a file at the top has the directory ''. A licence file covers its
     directory and all below it, if no nearer one does; of several in a directory the best score
     counts, then the first name. A null path has no directory and inherits nothing; a null text is
-    empty. Repeated rows get equal results."""
+    empty. Repeated rows get equal results. Other columns are kept; those named like a result
+    (license, via, score) are replaced, like a working column (own, is_file, parts, ends, bags,
+    cosines, best) left out."""
     own = match_templates(files, templates, least).withColumn(
         "__dir", F.expr("CASE WHEN path IS NULL THEN NULL WHEN instr(path, '/') = 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END")
     )
@@ -144,9 +146,9 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, lea
     )
     near = (
         own.select("__dir").where("__dir is not null").distinct().select("__dir", F.posexplode(ancestors).alias("depth", "above"))
-        .join(given, "above").groupBy("__dir").agg(F.max_by("given", "depth").alias("inherited"))
+        .join(given, "above").groupBy("__dir").agg(F.max_by("given", "depth").alias("__inherited"))
     )
     near = written(near.withColumnRenamed("__dir", "__at"), "directories")[0]
     out = own.join(near, F.col("__dir") == F.col("__at"), "left")
-    via = F.expr("CASE WHEN own IS NOT NULL AND is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END")
-    return out.withColumn("license", F.coalesce("own", "inherited")).withColumn("via", via).drop("__dir", "__at", "own", "inherited", "is_file")
+    via = F.expr("CASE WHEN own IS NOT NULL AND is_file THEN 'file' WHEN own IS NOT NULL THEN 'header' WHEN __inherited IS NOT NULL THEN 'inherited' ELSE 'none' END")
+    return out.withColumn("license", F.coalesce("own", "__inherited")).withColumn("via", via).drop("__dir", "__at", "own", "__inherited", "is_file")

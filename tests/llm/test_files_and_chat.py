@@ -81,7 +81,7 @@ LICENSED = [
 
 
 def test_licenses(spark):
-    files = spark.createDataFrame([(p, t, 1.0, "w") for p, t in LICENSED], "path string, text string, score2 double, terms2 string")
+    files = spark.createDataFrame([(p, t, 1.0, "w", "i", "b") for p, t in LICENSED], "path string, text string, score double, via string, inherited string, best string")
     got = sorted(((r.path, r.license, r.via) for r in licenses.scan_licenses(files).collect()), key=str)
     expected = [
         ("a/LICENSE", "MIT", "file"), ("a/x.py", "Apache-2.0", "header"), ("a/b/y.py", "MIT", "inherited"), ("a/b/c/COPYING.txt", "GPL-3.0", "file"),
