@@ -5,9 +5,9 @@ or more token characters: a window of ``WINDOW`` characters slides over it, and
 counts are updated by the one that enters and the one that leaves. With g(c) = c log2 c, the
 entropy is log2 W - sum g(count) / W, so only the two changed terms of the sum are touched; g
 is a table of integers, so sums are exact. The threshold depends on the run's character class:
-hex digits, or a mixture with letters and digits; letters alone or digits alone are no secret.
-Windows over the threshold are merged. Runs on the allow-list, and spans inside a base span,
-are left out.
+hex digits, a mixture with letters and digits, or letters without digits; digits alone are no
+secret. Windows over the threshold are merged. Windows that touch a string of ``KNOWN``, and
+spans inside a base span, are left out; the rest of such a run is judged like any other.
 
 There is no shuffle: each row is judged on its own."""
 
@@ -30,13 +30,26 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Least bits a character in a window, by character class (fixed values).
 HEX_BITS, MIXED_BITS = 3.0, 3.75
-# Strings that look random but are known (fixed values).
+# Of 20 characters 17 must differ, which words and names joined without digits don't reach.
+LETTER_BITS = 4.0
+# Runs that look random but are known, for the SQL twin, which leaves out the whole run (fixed values).
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|placeholder|changeme|redacted|dummy|sample|lorem",
     r"(?i)0123456789|123456789|abcdefghij|qwertyuiop",
     r"(?i)^(https?|www|data|image|application|sha(1|256|512)-)",
 )
+# The same strings with their ends: a UUID or an integrity digest that is the whole run, a word that
+# no letter adjoins, a sequence, the first word of an address or media type (fixed values).
+KNOWN = (
+    r"(?i:^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$)",
+    r"^sha1-(?:[0-9a-f]{40}|[A-Za-z0-9+/]{27}=)$",
+    r"^sha256-(?:[0-9a-f]{64}|[A-Za-z0-9+/]{43}=)$",
+    r"^sha512-(?:[0-9a-f]{128}|[A-Za-z0-9+/]{86}==)$",
+    r"(?<![A-Za-z])(?i:example|placeholder|changeme|redacted|dummy|sample|lorem)(?![A-Za-z])",
+    r"(?i:0?123456789|abcdefghij|qwertyuiop)",
+    r"(?i:^(?:https?|www|data|image|application)(?![A-Za-z0-9]))",
+)
 SCALE = 1_000_000
 
 
@@ -54,7 +67,7 @@ def _windows(codes: str, limit: str, window: int) -> str:
     g = "array(" + ", ".join(f"{x}L" for x in _table(window)) + ")"
     spans = "cast(array() as array<struct<start: bigint, stop: bigint>>)"
     start = (
-        f"named_struct('n', array_repeat(0, {len(ALPHABET)}), 's', 0L, 'a', -1L, 'e', -1L, 'out', {spans})"
+        f"named_struct('n', array_repeat(0, {len(ALPHABET) + 1}), 's', 0L, 'a', -1L, 'e', -1L, 'out', {spans})"
     )
     term = lambda c, by: f"(get({g}, get(t.n, {c}) + {by}) - get({g}, get(t.n, {c})))"
     gone = f"IF(i >= {window}, get({codes}, i - {window}), -1)"
@@ -66,7 +79,7 @@ def _windows(codes: str, limit: str, window: int) -> str:
         "'a', t.a, 'e', t.e, 'out', t.out)"
     )
     slide = slide.replace("new", f"get({codes}, i)").replace("old", f"({gone})")
-    over = f"(i >= {window - 1} AND u.s <= {limit})"
+    over = f"(i >= {window - 1} AND u.s <= {limit} AND get(u.n, {len(ALPHABET)}) = 0)"  # the last code is a known character
     at = f"cast(i - {window - 1} as bigint)"
     region = (
         f"CASE WHEN NOT {over} THEN u "
@@ -80,7 +93,7 @@ def _windows(codes: str, limit: str, window: int) -> str:
     return f"aggregate(sequence(0, size({codes}) - 1), {start}, (t, i) -> {step}, {end})"
 
 
-def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = KNOWN) -> DataFrame:
     """One row for each row of ``docs (doc_id, text)``: doc_id and the arrays ``base`` and
     ``entropy`` of (start, kind number in ``KINDS``, stop), sorted, in code points with the
     end exclusive.
@@ -97,12 +110,19 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...]
         rows("assign", 0, "length(x.value) >= 6"), rows("access", 1, "length(x.value) >= 20"), rows("hex", 2, "true")
     )
     df = df.withColumn("base", F.expr(base))
-    listed = " OR ".join(f"x.value rlike {quoted(p)}" for p in allowed) or "false"
     hexed = "x.value rlike '^([0-9a-f]+|[0-9A-F]+)$'"
-    limit = f"CASE WHEN {hexed} THEN {most(HEX_BITS, window)}L ELSE {most(MIXED_BITS, window)}L END"
-    mixed = "x.value rlike '[0-9]' AND x.value rlike '[A-Za-z]'"
-    runs = f"transform(filter(run, x -> {mixed} AND NOT ({listed})), x -> named_struct('start', x.start, 'limit', {limit}, "
-    runs += f"'codes', transform(slice(split(x.value, ''), 1, length(x.value)), c -> locate(c, '{ALPHABET}') - 1)))"
+    limit = (
+        f"CASE WHEN NOT x.value rlike '[0-9]' THEN {most(LETTER_BITS, window)}L "
+        f"WHEN {hexed} THEN {most(HEX_BITS, window)}L ELSE {most(MIXED_BITS, window)}L END"
+    )
+    shown = "x.value"
+    if allowed:
+        p = quoted("|".join(allowed))
+        # pieces between known strings, and a blank for each character of these
+        blank = f"zip_with(split(x.value, {p}, -1), regexp_extract_all(x.value, {p}, 0), (a, m) -> concat(a, repeat(' ', coalesce(length(m), 0))))"
+        shown = f"IF(x.value rlike {p}, array_join({blank}, ''), x.value)"
+    runs = f"transform(filter(run, x -> x.value rlike '[A-Za-z]'), x -> named_struct('start', x.start, 'limit', {limit}, "
+    runs += f"'codes', transform(slice(split({shown}, ''), 1, length(x.value)), c -> locate(c, '{ALPHABET} ') - 1)))"
     df = df.withColumn("runs", F.expr(runs))
     spans = f"flatten(transform(runs, r -> transform({_windows('r.codes', 'r.limit', window)}, w -> named_struct('start', r.start + w.start, 'kind', 3, 'stop', r.start + w.stop))))"
     df = df.withColumn("entropy", F.expr(spans))

@@ -149,6 +149,24 @@ def test_entropy_windows(make):
     assert [SECRETS[3][1][a:b] for a, b in got[99]] == ["q8ZrT1vLx0KpW3sYbN7mGd2h"]
 
 
+def test_known_strings_hide_only_themselves(make):
+    key, letters = "Zk8sQ2vT9xLmB4nR7pW1cY6d", "qZrTvLxKpWsYbNmGdhJfCaHe"
+    hidden = [
+        f"DATABASE_KEY={key}", f"application_key={key}", f"x/sample/{key}", f"image/{key}", f"{key}/example", f"dummy-{key}-lorem",
+        f"sha256-{key}", f"a/b/{key}/abcdefghij/c/dir2", f"name={letters}", letters,
+    ]
+    known = [
+        "123e4567-e89b-12d3-a456-426614174000", "sha1-" + "q8ZrT1vLx0KpW3sYbN7mGd2hE4u=", "application/x-www-form-urlencoded2",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "getElementsByTagNameAndClass", "a-long-name/with/many-parts/in-it",
+    ]
+    rows = [(i, f"see {t} here") for i, t in enumerate(hidden + known)]
+    got = {r.doc_id: r.entropy for r in secret_scan.scan_secrets(make(rows)).collect()}
+    for i, t in enumerate(hidden):
+        at = 4 + t.index(letters if letters in t else key)
+        assert any(s.start <= at + 4 and s.stop >= at + 20 for s in got[i]), t
+    assert [t for i, t in enumerate(known, len(hidden)) if got[i]] == []
+
+
 PII = [
     (1, "a.b+c@x-y.example.com, bad@host x@y.z@w.v.u @no.one a@b.c"), (2, "1.2.3.4.5.6.7.8 256.1.1.1 01.002.003.004 9.9.9.9"),
     (3, "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111 123 4111  1111 1111 1111"), (4, "+1 (555) 123-4567 +12 +1 555 (+44 20 7946 0958) +999999999999999999"),
