@@ -12,7 +12,8 @@ copies cost one row each and are never paired.
    so the first ``depth`` levels need no shuffle; nodes with one set are dropped.
    Nodes of more than ``limit`` sets are split further, level by level, unless the
    sets resemble the node's first one on average: splitting can't part them. The
-   number of runs follows from the target recall at the threshold (``runs_for``).
+   number of runs follows from the target recall at the threshold (``runs_for``) at
+   ``max_depth``, the deepest level at which a pair can still be parted.
 3. Sets in a small node are compared by their tokens, all with all, in one task's
    numpy; the result is a forest of likely links, one row a set. A large node of
    alike sets, or one still large after ``max_depth`` levels, is joined whole.
@@ -374,7 +375,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     Other columns are ignored. Texts without words and rows without doc_id link to
     nothing: n_copies 1, n_links 0, and their own id as class_id and group_id."""
     lam = threshold if lam is None else lam
-    runs = runs_for(recall, depth, threshold, TOKENS, lam)
+    runs = runs_for(recall, max(depth, max_depth), threshold, TOKENS, lam)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "tkey", text_key()
     )

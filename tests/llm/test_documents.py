@@ -1,9 +1,10 @@
 """Operators on documents against brute force, on the sample and on odd rows."""
 
 import collections
+import random
 
 import pytest
-from brute import measures, near, personal, secrets, sha, substrings
+from brute import measures, near, personal, secrets, sha, shingles, substrings
 from conftest_llm import ODD, key, prose
 
 from docsift.llm import jaccard, pii, quality, substring
@@ -77,6 +78,20 @@ def test_runs_reach_the_recall():
     assert jaccard.runs_for(0.9, 2, 0.8, 64, 0.8) < jaccard.runs_for(0.99, 2, 0.8, 64, 0.8)
 
 
+def test_near_duplicates_within_a_family(make):
+    # a passage of half the shingles is shared by all, so nodes are split to the last level; each odd row is a near copy of the one before
+    r, passage, rows = random.Random(3), prose(70, 60), []
+    for i in range(0, 6000, 2):
+        own = [f"o{r.randrange(10**6)}" for _ in range(60)]
+        near_copy = own[:30] + ["new"] + own[31:45] + ["new"] + own[46:58] + ["new"] + own[59:]
+        rows += [(i, f"{passage} {' '.join(own)}"), (i + 1, f"{passage} {' '.join(near_copy)}")]
+    one, two = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.8 <= len(one & two) / len(one | two) < 0.82
+    got = {x.doc_id: x.n_links for x in jaccard.near_duplicates(make(rows), limit=64).collect()}
+    lost = sum(got[i] != 1 for i, _ in rows) // 2
+    assert lost <= 1, lost
+
+
 def passage_rows():
     shared, other = prose(8, 70), prose(9, 120)
     rows = [(500 + i, f"{prose(60 + i, 30)} {shared} {prose(90 + i, 20)}") for i in range(12)]
