@@ -9,7 +9,11 @@
    and the vectors need no shuffle.
 3. The best template by cosine is the file's licence if it reaches ``LEAST``; ties go to the
    name that sorts first.
-4. A licence file's result belongs to its directory. Every directory is joined with its ancestors'
+4. A file with a licence word, but no licence so far, is compared in pieces: windows of ``WINDOW``
+   terms, of a licence file all, else those with a licence word, against windows of the licence
+   texts and standard headers in ``license_texts``. A window counts for a licence with its best
+   cosine, if that reaches ``LEAST``; the licence with the largest sum is the file's.
+5. A licence file's result belongs to its directory. Every directory is joined with its ancestors'
    licences; the nearest one holds for the files without a header of their own. Directories are
    joined, not files; files then join their directory's row, where AQE splits or broadcasts."""
 
@@ -21,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, written
+from .license_texts import TEXTS
 from .spans import quoted
 
 LEAST = 0.5
 CUE = r"(?i)licen[cs]e|copyright|spdx|redistribut|warrant|permission is hereby|all rights reserved"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 TERM = "[a-z0-9.]+"
+WINDOW, STEP, TEXT_STEP = 48, 24, 12  # terms of a window, and from one to the next in files and in licence texts
 
 # Notices by which works are put under well-known licences (fixed values).
 TEMPLATES = {
@@ -64,23 +70,71 @@ def _vectors(spark, templates: dict[str, str]) -> dict[str, dict[str, int]]:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """``files (path, text, ...)`` without the text, with ``is_file`` (a licence file by name) and
-    ``parts``: the terms of its header, if it has one, and of a licence file's whole text."""
+    """``files (path, text, ...)`` without the text, with ``is_file`` (a licence file by name),
+    ``parts``: the terms of its header, if it has one, and of a licence file's whole text, and
+    ``windows``: the pieces of it to compare with licence texts."""
     text, cue = "coalesce(text, '')", quoted(CUE)
     lines = f"array_join(filter(split({text}, '\\n'), l -> l rlike {cue}), '\n')"
     parts = f"concat(CASE WHEN {text} rlike {cue} THEN array({lines}) ELSE array() END, IF(is_file, array({text}), array()))"
+    windows = f"transform(sequence(0, cast(ceil(greatest(size(windows) - {WINDOW}, 0) / {STEP}) as int)), i -> slice(windows, i * {STEP} + 1, {WINDOW}))"
     return (
         files.withColumn("is_file", F.expr(f"coalesce(path, '') rlike {quoted(FILE_NAME)}"))
         .withColumn("parts", F.expr(f"filter(transform({parts}, p -> array_sort({_terms('p')})), p -> size(p) > 0)"))
+        .withColumn("windows", F.expr(f"CASE WHEN is_file OR {text} rlike {cue} THEN {_terms(text)} ELSE array() END"))
+        .withColumn("windows", F.expr(f"filter({windows}, w -> size(w) > 0 AND (is_file OR array_join(w, ' ') rlike {cue}))"))
         .drop("text")
     )
 
 
-def match_templates(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def _text_windows(spark, texts: dict[str, list[str]]) -> DataFrame:
+    """``(term, idf, hits)``: each term of the licence texts, and the windows of them that it is in,
+    with the licence's name and the term's part of the unit vector."""
+    rows = spark.createDataFrame([(k, t) for k, found in texts.items() for t in found], "name string, notice string")
+    pieces = []
+    for r in rows.select("name", F.expr(_terms("notice")).alias("terms")).collect():
+        last = max(0, len(r["terms"]) - WINDOW + TEXT_STEP - 1) // TEXT_STEP
+        pieces += [(r["name"], r["terms"][i * TEXT_STEP : i * TEXT_STEP + WINDOW]) for i in range(last + 1)]
+    names: dict[str, set[str]] = {}
+    for name, terms in pieces:
+        for t in terms:
+            names.setdefault(t, set()).add(name)
+    idf = {t: math.log((1 + len(texts)) / (1 + len(n))) + 1 for t, n in names.items()}
+    hits: dict[str, list] = {t: [] for t in names}
+    for i, (name, terms) in enumerate(pieces):
+        w = {t: (1 + math.log(terms.count(t))) * idf[t] for t in set(terms)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        for t, x in w.items():
+            hits[t].append((i, name, x / norm))
+    return spark.createDataFrame(
+        [(t, idf[t], hits[t]) for t in sorted(hits)], "term string, idf double, hits array<struct<piece: int, name: string, w: double>>"
+    )
+
+
+def match_texts(found: DataFrame, texts: dict[str, list[str]], least: float = LEAST) -> DataFrame:
+    """``(__at, __own, __score)`` of the rows of ``found (__row, windows)`` whose windows
+    resemble a licence text. Terms that no text has weigh 1, the least."""
+    known = F.broadcast(_text_windows(found.sparkSession, texts))
+    bag = "transform(array_distinct(w), t -> named_struct('term', t, 'tf', 1 + ln(size(filter(w, x -> x = t)))))"
+    each = found.select("__row", F.posexplode("windows").alias("k", "w")).select("__row", "k", F.inline(F.expr(bag)))
+    each = each.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    norms = each.groupBy("__row", "k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = each.select("__row", "k", "x", F.inline("hits")).groupBy("__row", "k", "piece", "name").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = dots.groupBy("__row", "k", "name").agg(F.max("dot").alias("dot"))
+    near = dots.join(norms, ["__row", "k"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
+    sums = near.groupBy("__row", "name").agg(F.round(F.sum("cosine"), 4).alias("sum"), F.max("cosine").alias("best"))
+    return sums.groupBy("__row").agg(F.min(F.struct((-F.col("sum")).alias("s"), "name", "best")).alias("b")).select(
+        F.col("__row").alias("__at"), F.col("b.name").alias("__own"), F.col("b.best").alias("__score")
+    )
+
+
+def match_templates(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST,
+                    texts: dict[str, list[str]] | None = None) -> DataFrame:
     """``files (path, text, ...)`` without its text, with ``is_file``, ``own`` (name of the best
-    template, or null) and ``score`` (its cosine, 0 without a header)."""
+    template, else of the best licence text, or null) and ``score`` (its cosine, 0 without a header).
+    With templates of one's own, only ``texts`` that are given are compared."""
+    texts = (TEXTS if templates is None else {}) if texts is None else texts
     vectors = _vectors(files.sparkSession, TEMPLATES if templates is None else templates)
-    found = checkpointed(headers(files))  # narrow; texts are read once
+    found = checkpointed(headers(files).withColumn("__row", F.monotonically_increasing_id()))  # narrow; texts are read once
     known = sorted({t for v in vectors.values() for t in v})
     part = found.select(F.explode("parts").alias("terms"))
     term = part.select(F.explode(F.array_distinct("terms")).alias("term")).where(F.col("term").isin(known))
@@ -115,11 +169,20 @@ def match_templates(files: DataFrame, templates: dict[str, str] | None = None, l
     scored = found
     for name, step in (("ends", ends), ("bags", bags), ("cosines", cosines), ("best", best)):
         scored = scored.withColumn(name, F.expr(step))
-    return (
+    scored = (
         scored.withColumn("score", F.col("best.score"))
         .withColumn("own", F.when(F.col("score") >= least, F.col("best.name")))
         .drop("parts", "ends", "bags", "cosines", "best")
     )
+    if not texts:
+        return scored.drop("windows", "__row")
+    scored = checkpointed(scored)
+    more = written(match_texts(scored.where("own is null and size(windows) > 0").select("__row", "windows"), texts, least), "texts")[0]
+    return (
+        scored.drop("windows").join(more, F.col("__row") == F.col("__at"), "left")
+        .withColumn("score", F.coalesce("__score", "score")).withColumn("own", F.coalesce("own", "__own"))
+        .drop("__row", "__at", "__own", "__score")
+    )
 
 
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
@@ -130,7 +193,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, lea
     directory and all below it, if no nearer one does; of several in a directory the best score
     counts, then the first name. A null path has no directory and inherits nothing; a null text is
     empty. Repeated rows get equal results. Other columns are kept; those named like a result
-    (license, via, score) are replaced, like a working column (own, is_file, parts, ends, bags,
+    (license, via, score) are replaced, like a working column (own, is_file, parts, windows, ends, bags,
     cosines, best) left out."""
     own = match_templates(files, templates, least).withColumn(
         "__dir", F.expr("CASE WHEN path IS NULL THEN NULL WHEN instr(path, '/') = 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -93,6 +94,78 @@ def test_licenses(spark):
     assert licenses.scan_licenses(files.limit(0)).count() == 0
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2014-2021 Some People and contributors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+APACHE_HEADER = """#
+# Licensed to the Apache Software Foundation (ASF) under one or more
+# contributor license agreements.  See the NOTICE file distributed with
+# this work for additional information regarding copyright ownership.
+# The ASF licenses this file to You under the Apache License, Version 2.0
+# (the "License"); you may not use this file except in compliance with
+# the License.  You may obtain a copy of the License at
+#
+#    http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+#
+"""
+GPL_HEADER = """/* foo.c - does things
+ * Copyright (C) 2009 A. Writer
+ *
+ * Foo is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * Foo is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+"""
+INSTALLED = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def test_real_license_texts(spark):
+    code = "\n".join(f"x{i} = call({i}, y{i})" for i in range(200))
+    files = [
+        ("m/LICENSE", MIT_FILE, "MIT", "file"), ("m/src/a.c", code, "MIT", "inherited"), ("m/one.txt", prose(1, 500) + " " + " ".join(MIT_FILE.split()) + " " + prose(2, 500), "MIT", "header"),
+        ("s/a.py", APACHE_HEADER + code, "Apache-2.0", "header"), ("s/foo.c", GPL_HEADER + code, "GPL-3.0", "header"),
+        ("s/foo2.c", GPL_HEADER.replace("version 3", "version 2") + code, "GPL-2.0", "header"),
+        ("s/lib.c", GPL_HEADER.replace("General", "Lesser General") + code, "LGPL-3.0", "header"), ("s/srv.c", GPL_HEADER.replace("General", "Affero General") + code, "AGPL-3.0", "header"),
+        ("n/a.txt", prose(3, 200) + " All rights reserved. " + prose(4, 200), None, "none"),
+    ]
+    for name, license in INSTALLED.items():
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            files.append((f"{name}/LICENSE", open(path, encoding="utf-8").read(), license, "file"))
+    got = {r.path: (r.license, r.via) for r in licenses.scan_licenses(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert got == {p: (license, via) for p, _, license, via in files}
+
+
 def test_license_cosine(spark):
     """Scores equal a plain TF-IDF over the same headers."""
     import re
