@@ -910,6 +910,17 @@ def q_ann_probe(spark, d):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
 
 
+@register("ann_probe_fitted")
+def q_ann_probe_fitted(spark, d):
+    """K3 + K4 + J7: lists that grow with the table, as many probed as recall@10 of 0.9 takes."""
+    from docsift.operators.ann import ann_search, fit_nprobe, lists_for
+
+    idx = fit_nprobe(_ivf(spark, d, lists_for(vecs_of(spark, d).count())))
+    queries = vecs_of(spark, d).select(F.col("id").alias("query_id"), "embedding")
+    hits = ann_search(idx, queries, 10, nprobe=idx.nprobe)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
+
+
 @register("ann_recall")
 def q_ann_recall(spark, d):
     """Q4 for K4: recall@10 against the exact search at nprobe 1, 2, 4, 8; one search at 8."""

@@ -48,15 +48,16 @@ def search_vector(docs: DataFrame, vectors: DataFrame, vector, k: int = DEFAULT_
 def search_texts(docs: DataFrame, vectors: DataFrame, queries: DataFrame, embedder, k: int = DEFAULT_K, threshold: float = 0.0,
                  ef_search: int = DEFAULT_EF_SEARCH, index=None, check_orphans: bool = True) -> DataFrame:
     """Q1 for many text queries [query_id, query]: exact, or approximate when an ``index``
-    (K3) is given, in which ``ef_search`` rows or more are looked at for each query."""
+    (K3) is given, in which each query probes the index's ``nprobe`` lists (``fit_nprobe``) and
+    ``ef_search`` rows or more."""
     q = embed_queries(queries, embedder)
     if index is None:
         return search_vectors(docs, vectors, q, k, threshold, check_orphans)
     from docsift.operators.ann import IvfIndex, ann_search
 
     if check_orphans:
-        index = IvfIndex.over(drop_orphans(index.vectors, docs), index.centroids)
-    return _results(fetch_documents(docs, ann_search(index, q, check_k(k), threshold, ef_search=ef_search)), True)
+        index = IvfIndex.over(drop_orphans(index.vectors, docs), index.centroids, index.nprobe)
+    return _results(fetch_documents(docs, ann_search(index, q, check_k(k), threshold, index.nprobe, ef_search)), True)
 
 
 def semantic_search(docs: DataFrame, vectors: DataFrame, query: str, embedder, k: int = DEFAULT_K, threshold: float = 0.0,

@@ -132,6 +132,21 @@ def test_ann_always_returns_k_rows(spark):
     assert ann_search(idx, queries, 1000).groupBy("query_id").count().filter("count <> 500").isEmpty()
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_fitted_probe_reaches_recall(spark, sf):
+    import __spark_entry__ as E
+    from pyspark.sql import functions as F
+
+    from docsift.plans.evaluate import recall_at_k
+
+    d = f"/root/testdata/{sf}"
+    few = F.col("query_id").cast("long") % 7 == 0
+    exact = E.queries()["semantic_search_grid"](spark, d).where(few)
+    got = recall_at_k(E.queries()["ann_probe_fitted"](spark, d).where(few), exact, 10).first()["recall"]
+    print(sf, "recall", got)
+    assert got >= 0.9
+
+
 def test_ann_written_index_prunes_lists(spark, tmp_path):
     from docsift.operators.ann import IvfIndex, ann_search, build_ivf
 
