@@ -96,6 +96,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_source_mixture": op1_source_mixture,
     "op2_quality_ratio": op2_quality_ratio,
@@ -107,4 +119,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_personal_data": op9_personal_data,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
 }
