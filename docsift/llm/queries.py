@@ -108,6 +108,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_source_mixture": op1_source_mixture,
     "op2_quality_ratio": op2_quality_ratio,
@@ -121,4 +127,5 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_whitening": op11_whitening,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality_classifier": op13_quality_classifier,
 }
