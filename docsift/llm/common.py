@@ -126,11 +126,11 @@ def components(edges: DataFrame) -> DataFrame:
         after = checkpointed(small)
         remove(spark, least_at, large_at, low_at)
         # Stars are stable: no node is both a leaf and a root, and no leaf has two roots.
-        row = after.agg(F.count("*"), F.count_distinct("u")).first()
-        nested = after.select("u").distinct().join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        done = row[0] == row[1] and nested.isEmpty()
+        ends = after.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("root"))
+        ends = ends.unionByName(after.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+        unstable = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf + root > 1 and leaf > 0")
         star = after
-        if done:
+        if unstable.isEmpty():
             break
     leaves = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

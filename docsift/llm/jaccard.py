@@ -10,16 +10,17 @@ copies cost one row each and are never paired.
    that share the token make the same choice. Two sets at the threshold share about
    one child a level, dissimilar sets fewer at every level. The choices are hashes,
    so the first ``depth`` levels need no shuffle; nodes with one set are dropped.
-   Nodes of more than ``limit`` sets are split further, level by level, unless the
-   sets resemble the node's first one on average: splitting can't part them. The
-   number of runs follows from the target recall at the threshold (``runs_for``) at
-   ``max_depth``, the deepest level at which a pair can still be parted.
+   Nodes of more than ``limit`` sets go on to level ``max_depth``, unless the sets
+   resemble the node's first one on average: splitting can't part them. The number
+   of runs follows from the target recall at the threshold (``runs_for``) at ``depth``.
+   Sets of a node that is split take further runs of ``max_depth`` levels, as many as
+   the target recall takes at that depth. Each of the two may miss half of 1 - recall.
 3. Sets in a small node are compared by their tokens, all with all, in one task's
    numpy; the result is a forest of likely links, one row a set. A large node of
    alike sets, or one still large after ``max_depth`` levels, is joined whole.
 4. Connected components of these links bound where links can be. Each component is
-   cut into blocks of ``block`` sets, and every pair of blocks is one cell in which
-   exact intersections decide. A pair of sets meets in one cell only, so counts add
+   cut into blocks of about ``block`` sets and ``block_words`` shingles, and every pair
+   of blocks is one cell in which exact intersections decide. A pair of sets meets in one cell only, so counts add
    up. Cells return a row for each set, not for each pair: how many documents it
    links to, and a local root, whose components are the near-duplicate groups.
 
@@ -44,7 +45,7 @@ from .words import grams, texts_of, word_chunks
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TOKENS, DEPTH, MAX_DEPTH = 64, 2, 6
-LIMIT, BLOCK = 512, 512
+LIMIT, BLOCK, BLOCK_WORDS = 512, 256, 1_000_000
 # Five standard deviations of the token estimate at the threshold.
 SLACK = 5 * math.sqrt(0.8 * 0.2 / TOKENS)
 
@@ -122,7 +123,8 @@ def _children(t: np.ndarray, path: np.ndarray, limit: np.uint64) -> tuple[np.nda
     return at, mix(h[at, token] + U64(1))
 
 
-def _start(runs: int, depth: int, tokens: int, lam: float):
+def _start(runs: range, depth: int, tokens: int, lam: float):
+    """Paths of ``depth`` levels in each of ``runs``."""
     limit = U64(int(2**64 / (lam * tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def _start(runs: int, depth: int, tokens: int, lam: float):
                 b = batch.slice(k, 2000)
                 node = b.column("node").to_numpy()
                 t = _tokens(b.column("sketch").to_pylist(), tokens)
-                for r in range(runs):
+                for r in runs:
                     who, path = np.arange(len(node)), np.full(len(node), seed(1000 + r), dtype=U64)
                     for _ in range(depth):
                         at, path = _children(t[who], path, limit)
@@ -141,7 +143,8 @@ def _start(runs: int, depth: int, tokens: int, lam: float):
     return run
 
 
-def _deeper(tokens: int, lam: float):
+def _deeper(levels: int, tokens: int, lam: float):
+    """Paths that go on from ``path`` by ``levels``."""
     limit = U64(int(2**64 / (lam * tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +152,12 @@ def _deeper(tokens: int, lam: float):
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
                 t = _tokens(b.column("sketch").to_pylist(), tokens)
-                at, path = _children(t, b.column("path").to_numpy().view(U64), limit)
+                who, path = np.arange(b.num_rows), b.column("path").to_numpy().view(U64)
+                for _ in range(levels):
+                    at, path = _children(t[who], path, limit)
+                    who = who[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(path.view(np.int64)), b.column("node").take(pa.array(at))], ["path", "node"]
+                    [pa.array(path.view(np.int64)), b.column("node").take(pa.array(who))], ["path", "node"]
                 )
 
     return run
@@ -320,21 +326,25 @@ def _in_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
-def _candidates(classes: DataFrame, runs: int, lam: float, least: float, depth: int, max_depth: int, limit: int) -> DataFrame:
+def _shared(level: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Rows of ``level (path, node)`` whose path has more rows, with their number ``n``."""
+    spark = level.sparkSession
+    level, level_at = written(level, name)
+    sizes, sizes_at = written(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members, at = written(level.join(sizes, "path"), "paths")
+    remove(spark, level_at, sizes_at)
+    return members, at
+
+
+def _candidates(classes: DataFrame, recall: float, threshold: float, lam: float, least: float, depth: int, max_depth: int, limit: int) -> DataFrame:
     """Edges (a, b) between classes that are likely linked."""
-    spark = classes.sparkSession
-    sketches = classes.select("node", "sketch")
-    level = sketches.mapInArrow(_start(runs, depth, TOKENS, lam), "path long, node long")
-    small, paths, edges = [], [], []
-    while True:
-        sizes, sizes_at = written(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        members, at = written(level.join(sizes, "path"), "paths")
-        remove(spark, sizes_at)
-        paths.append(at)
-        small.append(members.where(f"n <= {limit}").select("path", "node"))
-        large = members.where(f"n > {limit}").select("path", "node")
-        if large.isEmpty():
-            break
+    half = (1 + recall) / 2
+    runs, sketches = runs_for(half, depth, threshold, TOKENS, lam), classes.select("node", "sketch")
+    members, at = _shared(sketches.mapInArrow(_start(range(runs), depth, TOKENS, lam), "path long, node long"), "level")
+    at = [at]
+    small, large = members.where(f"n <= {limit}"), members.where(f"n > {limit}")
+    whole = []
+    if not large.isEmpty():
         firsts = large.groupBy("path").agg(F.min("node").alias("b"))
         if depth < max_depth:
             first_sketch = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("first_sketch"))
@@ -343,29 +353,33 @@ def _candidates(classes: DataFrame, runs: int, lam: float, least: float, depth:
                 .select("path", "sketch", "first_sketch").mapInArrow(_resemblance, "path long, share double")
             )
             alike = share.groupBy("path").agg(F.avg("share").alias("share")).where(F.col("share") >= least).select("path")
-            firsts = firsts.join(alike, "path")
-        firsts, at = written(firsts, "firsts")
-        paths.append(at)
-        edges.append(large.join(firsts, "path").select(F.col("node").alias("a"), "b").distinct())
-        if depth == max_depth:
-            break
-        depth += 1
-        split = large.join(firsts, "path", "left_anti").join(sketches, "node").select("path", "node", "sketch")
-        level = split.mapInArrow(_deeper(TOKENS, lam), "path long, node long")
-    every = small[0]
-    for s in small[1:]:
-        every = every.unionByName(s)
-    seen = _in_groups(every.join(sketches, "node").select("path", "node", "sketch"), ["path"])
+            firsts, firsts_at = written(firsts.join(alike, "path"), "firsts")
+            split, split_at = written(large.join(firsts, "path", "left_anti").select("path", "node"), "split")
+            at += [firsts_at, split_at]
+            if not split.isEmpty():
+                more = runs + runs_for(half, max_depth, threshold, TOKENS, lam)
+                again = split.select("node").distinct().join(sketches, "node")
+                level = split.join(sketches, "node").select("path", "node", "sketch")
+                level = level.mapInArrow(_deeper(max_depth - depth, TOKENS, lam), "path long, node long").unionByName(
+                    again.mapInArrow(_start(range(runs, more), max_depth, TOKENS, lam), "path long, node long")
+                )
+                deep, deep_at = _shared(level, "deep-level")
+                at.append(deep_at)
+                small = small.unionByName(deep.where(f"n <= {limit}"))
+                left = deep.where(f"n > {limit}")
+                whole.append(left.join(left.groupBy("path").agg(F.min("node").alias("b")), "path"))
+        whole.append(large.join(firsts, "path"))
+    seen = _in_groups(small.join(sketches, "node").select("path", "node", "sketch"), ["path"])
     likely = seen.mapInArrow(_likely(TOKENS, least), "a long, b long").distinct()
-    for e in edges:
-        likely = likely.unionByName(e)
+    for w in whole:
+        likely = likely.unionByName(w.select(F.col("node").alias("a"), "b").distinct())
     out = checkpointed(likely)
-    remove(spark, *paths)
+    remove(classes.sparkSession, *at)
     return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, lam: float | None = None,
-                    depth: int = DEPTH, max_depth: int = MAX_DEPTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+                    depth: int = DEPTH, max_depth: int = MAX_DEPTH, limit: int = LIMIT, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of ``docs (doc_id, text)``:
 
     doc_id, tkey (hash of the text), class_id (least id with an equal set), n_copies
@@ -373,9 +387,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     ``threshold`` or more, copies included), group_id (least id that links lead to).
 
     Other columns are ignored. Texts without words and rows without doc_id link to
-    nothing: n_copies 1, n_links 0, and their own id as class_id and group_id."""
+    nothing: n_copies 1, n_links 0, and their own id as class_id and group_id. An empty
+    table gives no rows. A very long text costs 8 bytes a word in each cell of its block."""
     lam = threshold if lam is None else lam
-    runs = runs_for(recall, max(depth, max_depth), threshold, TOKENS, lam)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "tkey", text_key()
     )
@@ -385,16 +399,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     valid = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes, classes_at = written(
         seen.where(valid).groupBy("node")
-        .agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count("*").alias("weight"), F.first("sketch").alias("sketch")),
+        .agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("words")),
         "classes",
     )
-    edges = _candidates(classes, runs, lam, threshold - SLACK, depth, max_depth, limit)
-    near = components(edges)
-    sizes, sizes_at = written(near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
-    sets = (
-        near.join(sizes, "root").join(classes.select("node", "weight", "rep.doc_id", "rep.tkey"), "node")
-        .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    )
+    edges = _candidates(classes, recall, threshold, lam, threshold - SLACK, depth, max_depth, limit)
+    near, near_at = written(components(edges).join(classes.select("node", "weight", "words", "rep.doc_id", "rep.tkey"), "node"), "near")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("words") / block_words)).cast("int")
+    sizes, sizes_at = written(near.groupBy("root").agg(blocks.alias("blocks")), "blocks")
+    sets = near.join(sizes, "root").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = (
         base.join(sets, ["doc_id", "tkey"]).select("root", "node", "weight", "blocks", "blk", "text")
         .mapInArrow(_shingles(n), "root long, node long, weight long, blocks int, blk int, shingles binary")
@@ -416,7 +428,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     per_class = written(per_class.join(least_id, "root").select(
         "node", "class_id", "weight", F.coalesce("links", F.lit(0)).alias("links"), "group_id"), "classified")[0]
     rows = checkpointed(seen.select("doc_id", "tkey", "node", valid.alias("valid")))
-    remove(docs.sparkSession, seen_at, classes_at, sizes_at, grouped_at, least_at)
+    remove(docs.sparkSession, seen_at, classes_at, near_at, sizes_at, grouped_at, least_at)
     out = rows.join(per_class.withColumn("valid", F.lit(True)), ["node", "valid"], "left")
     return out.select(
         "doc_id",

@@ -81,7 +81,7 @@ def test_runs_reach_the_recall():
 def test_near_duplicates_within_a_family(make):
     # a passage of half the shingles is shared by all, so nodes are split to the last level; each odd row is a near copy of the one before
     r, passage, rows = random.Random(3), prose(70, 60), []
-    for i in range(0, 6000, 2):
+    for i in range(0, 16000, 2):
         own = [f"o{r.randrange(10**6)}" for _ in range(60)]
         near_copy = own[:30] + ["new"] + own[31:45] + ["new"] + own[46:58] + ["new"] + own[59:]
         rows += [(i, f"{passage} {' '.join(own)}"), (i + 1, f"{passage} {' '.join(near_copy)}")]
@@ -89,7 +89,7 @@ def test_near_duplicates_within_a_family(make):
     assert 0.8 <= len(one & two) / len(one | two) < 0.82
     got = {x.doc_id: x.n_links for x in jaccard.near_duplicates(make(rows), limit=64).collect()}
     lost = sum(got[i] != 1 for i, _ in rows) // 2
-    assert lost <= 1, lost
+    assert lost <= 3, lost  # 0.8 are expected by the target recall
 
 
 def passage_rows():
