@@ -10,11 +10,12 @@ copies cost one row each and are never paired.
    that share the token make the same choice. Two sets at the threshold share about
    one child a level, dissimilar sets fewer at every level. The choices are hashes,
    so the first ``depth`` levels need no shuffle; nodes with one set are dropped.
-   Nodes of more than ``limit`` sets go on to level ``max_depth``, unless the sets
-   resemble the node's first one on average: splitting can't part them. The number
-   of runs follows from the target recall at the threshold (``runs_for``) at ``depth``.
-   Sets of a node that is split take further runs of ``max_depth`` levels, as many as
-   the target recall takes at that depth. Each of the two may miss half of 1 - recall.
+   Nodes of more than ``limit`` sets are split by two levels more, down to
+   ``max_depth``, unless the sets resemble the node's first one on average: splitting
+   can't part them. The number of runs follows from the target recall at the threshold
+   (``runs_for``) at ``depth``. Only sets of a node that is split take further runs, as
+   many as the target takes at the next depth. A pair that is missed hasn't met in all
+   runs of some depth, so each depth may miss its part of 1 - recall.
 3. Sets in a small node are compared by their tokens, all with all, in one task's
    numpy; the result is a forest of likely links, one row a set. A large node of
    alike sets, or one still large after ``max_depth`` levels, is joined whole.
@@ -45,7 +46,7 @@ from .words import grams, texts_of, word_chunks
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TOKENS, DEPTH, MAX_DEPTH = 64, 2, 6
-LIMIT, BLOCK, BLOCK_WORDS = 512, 256, 1_000_000
+LIMIT, BLOCK, BLOCK_WORDS = 512, 128, 1_000_000
 # Five standard deviations of the token estimate at the threshold.
 SLACK = 5 * math.sqrt(0.8 * 0.2 / TOKENS)
 
@@ -338,43 +339,51 @@ def _shared(level: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def _candidates(classes: DataFrame, recall: float, threshold: float, lam: float, least: float, depth: int, max_depth: int, limit: int) -> DataFrame:
     """Edges (a, b) between classes that are likely linked."""
-    half = (1 + recall) / 2
-    runs, sketches = runs_for(half, depth, threshold, TOKENS, lam), classes.select("node", "sketch")
-    members, at = _shared(sketches.mapInArrow(_start(range(runs), depth, TOKENS, lam), "path long, node long"), "level")
-    at = [at]
-    small, large = members.where(f"n <= {limit}"), members.where(f"n > {limit}")
-    whole = []
-    if not large.isEmpty():
+    spark, sketches = classes.sparkSession, classes.select("node", "sketch")
+    depths = [*range(depth, max_depth, 2), max(depth, max_depth)]
+    part = 1 - (1 - recall) / len(depths)
+    runs = [runs_for(part, d, threshold, TOKENS, lam) for d in depths]
+    level = sketches.mapInArrow(_start(range(runs[0]), depth, TOKENS, lam), "path long, node long")
+    small, whole, paths = [], [], []
+    for k, d in enumerate(depths):
+        members, at = _shared(level, f"level-{d}")
+        paths.append(at)
+        small.append(members.where(f"n <= {limit}").select("path", "node"))
+        large = members.where(f"n > {limit}").select("path", "node")
+        if large.isEmpty():
+            break
         firsts = large.groupBy("path").agg(F.min("node").alias("b"))
-        if depth < max_depth:
+        if d < depths[-1]:
             first_sketch = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("first_sketch"))
             share = (
                 large.join(sketches, "node").join(firsts.join(first_sketch, "b"), "path")
                 .select("path", "sketch", "first_sketch").mapInArrow(_resemblance, "path long, share double")
             )
             alike = share.groupBy("path").agg(F.avg("share").alias("share")).where(F.col("share") >= least).select("path")
-            firsts, firsts_at = written(firsts.join(alike, "path"), "firsts")
-            split, split_at = written(large.join(firsts, "path", "left_anti").select("path", "node"), "split")
-            at += [firsts_at, split_at]
-            if not split.isEmpty():
-                more = runs + runs_for(half, max_depth, threshold, TOKENS, lam)
-                again = split.select("node").distinct().join(sketches, "node")
-                level = split.join(sketches, "node").select("path", "node", "sketch")
-                level = level.mapInArrow(_deeper(max_depth - depth, TOKENS, lam), "path long, node long").unionByName(
-                    again.mapInArrow(_start(range(runs, more), max_depth, TOKENS, lam), "path long, node long")
-                )
-                deep, deep_at = _shared(level, "deep-level")
-                at.append(deep_at)
-                small = small.unionByName(deep.where(f"n <= {limit}"))
-                left = deep.where(f"n > {limit}")
-                whole.append(left.join(left.groupBy("path").agg(F.min("node").alias("b")), "path"))
-        whole.append(large.join(firsts, "path"))
-    seen = _in_groups(small.join(sketches, "node").select("path", "node", "sketch"), ["path"])
+            firsts = firsts.join(alike, "path")
+        firsts, at = written(firsts, "firsts")
+        paths.append(at)
+        whole.append(large.join(firsts, "path").select(F.col("node").alias("a"), "b").distinct())
+        if d == depths[-1]:
+            break
+        split, at = written(large.join(firsts, "path", "left_anti").select("path", "node"), "split")
+        paths.append(at)
+        if split.isEmpty():
+            break
+        on = split.join(sketches, "node").select("path", "node", "sketch")
+        again = split.select("node").distinct().join(sketches, "node")
+        level = on.mapInArrow(_deeper(depths[k + 1] - d, TOKENS, lam), "path long, node long").unionByName(
+            again.mapInArrow(_start(range(runs[k], runs[k + 1]), depths[k + 1], TOKENS, lam), "path long, node long")
+        )
+    every = small[0]
+    for s in small[1:]:
+        every = every.unionByName(s)
+    seen = _in_groups(every.join(sketches, "node").select("path", "node", "sketch"), ["path"])
     likely = seen.mapInArrow(_likely(TOKENS, least), "a long, b long").distinct()
     for w in whole:
-        likely = likely.unionByName(w.select(F.col("node").alias("a"), "b").distinct())
+        likely = likely.unionByName(w)
     out = checkpointed(likely)
-    remove(classes.sparkSession, *at)
+    remove(spark, *paths)
     return out
 
 
