@@ -1,15 +1,19 @@
 """Approximate nearest neighbours through coarse lists (IVF).
 
-Build (K3): ``pyspark.ml`` KMeans (k-means||, distributed) over the vectors gives ``nlist``
-centroids, unless they are given; each vector is assigned to its nearest one (``list_id``),
-once. Centroids and list sizes (a row a list) are all that the driver holds. Vectors written
-``partitionBy('list_id')`` let a search read only the lists it probes.
+Build (K3): ``pyspark.ml`` KMeans (k-means||, distributed) over a bounded sample of the vectors
+(``TRAIN_ROWS`` a list, of least id hash) gives ``nlist`` centroids, unless they are given; every
+vector is assigned to its nearest one (``list_id``), once, by a tree of two levels
+(``quantiser``). Centroids and list sizes (a row a list) are all that the driver holds. Vectors
+written ``partitionBy('list_id')`` let a search read only the lists it probes.
 
 Search (K4 + J7): each query probes its nearest lists, as many as its setting says and at
 least until their sizes sum to k (or ``ef_search``, if given): so it gets min(k, n) rows, as
 the exact search does. Query blocks go to all tasks with their probes; the table is scanned
 once after list pruning, and each row meets only the queries that probe its list. No shuffle
 of vectors, so a hot list is scanned by many tasks. Probing every list equals the exact search.
+
+Upkeep (K2): ``carry_lists`` keeps the list of every vector that hasn't changed and assigns the
+others; the result is that of assigning all.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ from pyspark.sql import types as T
 
 from docsift.operators.knn import (
     BLOCK_BYTES,
-    RANK_DECIMALS,
     SALTS,
     TopK,
     _union,
@@ -37,36 +40,53 @@ from docsift.operators.knn import (
     partial_schema,
     query_blocks,
 )
+from docsift.operators.quantiser import NUMBERS, RANK_DECIMALS, CentroidTree, by_differences, squared
 from docsift.schema import check_k
 from docsift.session import materialised, ship_package
 
 
-def nearest_lists(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """[n, nlist] list ids by ascending squared distance, ties by list id."""
-    out = np.empty((len(x), len(centroids)), dtype=np.int64)
-    for a in range(0, len(x), 256):  # bounded differences
-        d = ((x[a : a + 256, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
-        out[a : a + 256] = np.argsort(np.round(d, RANK_DECIMALS), axis=1, kind="stable")
-    return out
+# Vectors that KMeans is trained on, for each list.
+TRAIN_ROWS = 256
+# Centroids up to this size travel to all executors; beyond it, quantise again (fewer lists).
+MAX_CENTROID_BYTES = 1 << 30
+
+
+def nearest_lists(x: np.ndarray, centroids: np.ndarray, m: int | None = None) -> np.ndarray:
+    """[n, m] list ids by ascending squared distance, ties by list id (all lists without ``m``)."""
+    return CentroidTree(centroids).nearest(x, len(centroids) if m is None else m)
 
 
 def assign_lists(df: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``df [.., embedding]`` with the ``list_id`` of the nearest centroid."""
     spark = df.sparkSession
     ship_package(spark)
+    if centroids.nbytes > MAX_CENTROID_BYTES:
+        raise ValueError(f"{len(centroids)} centroids take more than {MAX_CENTROID_BYTES} bytes: use fewer lists")
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(centroids, dtype=np.float64))
     schema = T.StructType([*df.schema.fields, T.StructField("list_id", T.IntegerType(), False)])
 
     def run(batches):
-        c = shared.value
+        tree = CentroidTree(shared.value)
         for b in batches:
             if b.num_rows:
-                lists = nearest_lists(matrix_of(b.column("embedding"), c.shape[1]), c)[:, 0]
+                lists = tree.nearest(matrix_of(b.column("embedding"), tree.centroids.shape[1]))[:, 0]
                 yield b.append_column("list_id", pa.array(lists.astype(np.int32)))
 
     return df.mapInArrow(run, schema)
 
 
+def carry_lists(vectors: DataFrame, old: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """K2: (lists, changed) of ``vectors [id, embedding]`` from the ``old`` ones [id, embedding,
+    list_id] around the same centroids: a vector that is as it was keeps its list; the ``changed``
+    ones [id, embedding], few after an edit, are materialised and assigned."""
+    before = old.select("id", F.col("embedding").alias("_was"), "list_id")
+    joined = vectors.select("id", "embedding").join(before, "id", "left")
+    same = F.col("embedding").eqNullSafe(F.col("_was"))
+    changed = materialised(joined.filter(~same).select("id", "embedding"))
+    kept = joined.filter(same).select("id", "embedding", "list_id")
+    return kept.unionByName(assign_lists(changed, centroids)), changed
+
+
 @dataclass
 class IvfIndex:
     centroids: np.ndarray
@@ -89,9 +109,24 @@ class IvfIndex:
     def probes(self, q: np.ndarray, want: int, nprobe: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(lists of each query, nearest first; how many of them it probes): at least
         ``nprobe``, and enough for ``want`` rows."""
-        lists = nearest_lists(q, self.centroids)
-        filled = np.cumsum(self.sizes[lists], axis=1) < want
-        return lists, np.minimum(np.maximum(nprobe, filled.sum(axis=1) + 1), self.nlist)
+        tree, m = CentroidTree(self.centroids), max(1, nprobe)
+        while True:
+            lists = tree.nearest(q, m)
+            filled = np.cumsum(self.sizes[lists], axis=1) < want
+            if m >= self.nlist or not filled[:, -1].any():
+                return lists, np.minimum(np.maximum(nprobe, filled.sum(axis=1) + 1), self.nlist)
+            m *= 2
+
+    def places(self, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """How many lists are nearer to row i of ``q`` than list ``lists[i]``."""
+        out = np.empty(len(q), dtype=np.int64)
+        every = np.arange(self.nlist)[None, :]
+        for i in range(len(q)):
+            d = np.round(by_differences(q[i : i + 1], self.centroids, every)[0] if self.nlist * q.shape[1] < NUMBERS
+                         else squared(q[i : i + 1], self.centroids)[0], RANK_DECIMALS)
+            mine = d[lists[i]]
+            out[i] = (d < mine).sum() + (d[: lists[i]] == mine).sum()
+        return out
 
     def write(self, path: str) -> None:
         """Vectors partitioned by list; AQE splits a hot list over several files."""
@@ -110,9 +145,14 @@ def build_ivf(vectors: DataFrame, nlist: int | None = None, seed: int = 42, max_
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        feats = materialised(v).withColumn("features", array_to_vector("embedding"))
-        n = feats.count()
-        model = KMeans(k=max(1, min(int(nlist), n)), seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
+        v = materialised(v)
+        n = v.count()
+        k = max(1, min(int(nlist), n))
+        some = v
+        if n > k * TRAIN_ROWS:  # the vectors of a part of all id hashes
+            some = v.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * k * TRAIN_ROWS / n))
+        feats = materialised(some.select(array_to_vector("embedding").alias("features")))
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
         centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
     return IvfIndex.over(materialised(assign_lists(v, centroids)), centroids)
 
@@ -132,15 +172,16 @@ def fit_nprobe(index: IvfIndex, k: int = 10, recall: float = 0.9, sample: int =
         return index
     hits = knn(index.vectors.select("id", "embedding"), queries, k + 1).where("query_id <> id")
     hits = hits.join(index.vectors.select("id", "list_id"), "id").select("query_id", "rank", "list_id").collect()  # sample x k rows
-    lists, enough = index.probes(np.asarray(list(q.values()), dtype=np.float64), k)
-    place, at = np.argsort(lists, axis=1), {x: i for i, x in enumerate(q)}
-    needed, seen = [], dict.fromkeys(q, 0)
+    matrix, at = np.asarray(list(q.values()), dtype=np.float64), {x: i for i, x in enumerate(q)}
+    enough = index.probes(matrix, k)[1]
+    first, seen = [], dict.fromkeys(q, 0)
     for h in sorted(hits, key=lambda h: h["rank"]):
-        i = at[h["query_id"]]
         if seen[h["query_id"]] < k:
             seen[h["query_id"]] += 1
-            probe = int(place[i, h["list_id"]]) + 1
-            needed.append(1 if probe <= enough[i] else probe)
+            first.append((at[h["query_id"]], h["list_id"]))
+    rows = np.array([i for i, _ in first], dtype=np.int64)
+    place = index.places(matrix[rows], np.array([x for _, x in first], dtype=np.int64)) if first else []
+    needed = [1 if p < enough[i] else int(p) + 1 for p, i in zip(place, rows, strict=True)]
     needed.sort()
     return replace(index, nprobe=needed[math.ceil(recall * len(needed)) - 1] if needed else 1)
 
@@ -159,7 +200,7 @@ def ann_candidates(index: IvfIndex, queries: DataFrame, k: int, nprobe: int = 1,
     dim = index.centroids.shape[1]
     for qids, q in query_blocks(queries, min(block_bytes, max(1, most_rows // k) * dim * 8)):
         lists, count = index.probes(q, max(k, ef_search), nprobe)
-        enough = index.probes(q, k)[1]
+        enough = count if nprobe <= 1 and ef_search <= k else index.probes(q, k)[1]
         # a state for each pair (query, probe)
         query = np.repeat(np.arange(len(q)), count)
         probe = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)

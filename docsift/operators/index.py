@@ -69,12 +69,17 @@ def health(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> Dat
 
 
 def publish_in_step(store, head, documents: DataFrame | None, vectors: DataFrame, synced: bool, batch_id: int | None = None):
-    """Publish tables with the coarse lists of the vectors, if the store keeps lists."""
-    from docsift.operators.ann import assign_lists
+    """Publish tables with the coarse lists of the vectors, if the store keeps lists: unchanged
+    vectors keep their list, the others are assigned."""
+    from docsift.operators.ann import assign_lists, carry_lists
 
     lists = None
     if head is not None and head.centroids is not None:
-        lists = assign_lists(vectors.select("id", "embedding"), store.centroids(head))
+        centroids = store.centroids(head)
+        if head.lists is not None:
+            lists, _ = carry_lists(vectors, store.lists(head), centroids)
+        else:
+            lists = assign_lists(vectors.select("id", "embedding"), centroids)
     return store.publish(documents, vectors, parent=head, lists=lists, batch_id=batch_id, synced=synced)
 
 

@@ -73,13 +73,14 @@ def put_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """M7: insert or replace one key per edit row [id, key, value].
 
     Other keys are kept. Edits for unknown ids do nothing (the reference's
-    foreign key refuses them); see ``put_metadata_report`` for the refused.
-    Several edits of one (id, key) apply in ``ordinal`` order (last wins).
+    foreign key refuses them), nor do edits with a null key or value; see
+    ``put_metadata_report``. Several edits of one (id, key) apply in order (last wins):
+    by ``ordinal``, or the input position where it is NULL or absent; then by position.
     """
-    # One value per (id, key): the edit with the largest ``ordinal`` (or the
-    # largest value when no order is given), reduced map-side by ``max_by``.
-    order = F.col("ordinal") if "ordinal" in edits.columns else F.col("value")
-    last = edits.groupBy("id", "key").agg(F.max_by("value", order).alias("value"))
+    position = F.monotonically_increasing_id()
+    ordinal = F.coalesce(F.col("ordinal").cast("long"), position) if "ordinal" in edits.columns else position
+    ordered = edits.select("id", "key", "value", F.struct(ordinal.alias("a"), position.alias("b")).alias("_order"))
+    last = ordered.where("key is not null and value is not null").groupBy("id", "key").agg(F.max_by("value", "_order").alias("value"))
     per_doc = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_new"))
     joined = docs.join(per_doc, "id", "left")
     merged = F.when(
@@ -94,12 +95,12 @@ def put_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def put_metadata_report(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """[id, key, status]: ``ok`` or ``not_found`` for each edit row."""
+    """[id, key, status]: ``ok``, ``not_found``, or ``invalid`` (a null key or value) for each edit row."""
     want = edits.select("id").distinct()
     have = docs.select("id").join(want, "id", "left_semi").withColumn("_has", F.lit(True))
-    return edits.join(have, "id", "left").select(
-        "id", "key", F.when(F.col("_has"), F.lit("ok")).otherwise(F.lit("not_found")).alias("status")
-    )
+    status = F.when(F.col("_has"), F.lit("ok")).otherwise(F.lit("not_found"))
+    invalid = F.col("key").isNull() | F.col("value").isNull()
+    return edits.join(have, "id", "left").select("id", "key", F.when(invalid, F.lit("invalid")).otherwise(status).alias("status"))
 
 
 def delete_metadata(docs: DataFrame, edits: DataFrame) -> DataFrame:

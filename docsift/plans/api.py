@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.operators import lookup, metadata as meta_ops, mutate
-from docsift.operators.ann import IvfIndex, build_ivf
+from docsift.operators.ann import IvfIndex, build_ivf, fit_nprobe, lists_for
 from docsift.operators.index import health as health_op
 from docsift.operators.index import publish_in_step, sync
 from docsift.operators.index import rebuild as rebuild_op
@@ -96,6 +96,21 @@ class Documents:
         """zero or one row; only the id's bucket is read."""
         return self.eng.store.document(document_id).select("id", "text", "metadata")
 
+    def _ids(self, ids: Iterable[str] | DataFrame) -> DataFrame:
+        return ids if isinstance(ids, DataFrame) else self.eng.spark.createDataFrame([(i,) for i in ids], "id string")
+
+    def retrieve_many(self, ids: Iterable[str] | DataFrame) -> DataFrame:
+        """F1 for many ids: a row for each one that exists."""
+        return lookup.get_by_ids(self.eng.docs(), self._ids(ids)).select("id", "text", "metadata")
+
+    def exists(self, ids: Iterable[str] | DataFrame) -> DataFrame:
+        """[id, exists] for each distinct id."""
+        return lookup.exists_flags(self.eng.docs(), self._ids(ids))
+
+    def count_grouped(self) -> DataFrame:
+        """A2: [key, value, count] of every metadata value."""
+        return meta_ops.count_by_metadata_grouped(self.eng.docs())
+
     def update(self, document_id: str, text: str, metadata: dict | None = None) -> DataFrame:
         """PUT is an upsert in the reference: a missing id is inserted."""
         return self.upsert(document_id, text, metadata)
@@ -108,7 +123,7 @@ class Documents:
         return self.delete_many([document_id])
 
     def delete_many(self, ids: Iterable[str] | DataFrame) -> DataFrame:
-        want = ids if isinstance(ids, DataFrame) else self.eng.spark.createDataFrame([(i,) for i in ids], "id string")
+        want = self._ids(ids)
         return self.eng.mutate(lambda docs: mutate.delete(docs, want))
 
     def count(self, key: str | None = None, value: str | None = None) -> int:
@@ -163,7 +178,7 @@ class Search:
         e, head = self.eng, self.eng.store.head()
         index = None
         if head is not None and head.lists is not None and metadata is None:
-            index = IvfIndex.over(e.store.lists(head), e.store.centroids(head))
+            index = e.index.lists(head)
         return search_ops.search(
             e.store.documents(head), e.store.vectors(head), query, k, type, metadata, threshold, ef_search, e.embedder, index,
             check_orphans=head is not None and not head.synced,
@@ -192,9 +207,18 @@ class Index:
         """Every mutation is already published; returns the head."""
         return self.eng.store.head()
 
-    def build_ivf(self, nlist: int, seed: int = 42) -> IvfIndex:
-        """K3: coarse lists for approximate semantic search (K4)."""
+    def lists(self, head) -> IvfIndex:
+        """The lists of a version, with their stored sizes and fitted ``nprobe``."""
+        centroids, sizes = self.eng.store.coarse(head)
+        return IvfIndex(centroids, self.eng.store.lists(head), sizes, head.nprobe)
+
+    def build_ivf(self, nlist: int | None = None, seed: int = 42, k: int = DEFAULT_K, recall: float = 0.9) -> IvfIndex:
+        """K3: coarse lists for approximate semantic search (K4), as many as the square root of
+        the vectors if not given. The number of lists a search probes is fitted to ``recall`` at
+        ``k`` against the exact search and published with them."""
         store, head = self.eng.store, self.eng.store.head()
-        built = build_ivf(store.vectors(head), nlist, seed)
-        new = store.publish(parent=head, lists=built.vectors, centroids=built.centroids, synced=head.synced)
-        return IvfIndex.over(store.lists(new), store.centroids(new))
+        vectors = store.vectors(head)
+        built = fit_nprobe(build_ivf(vectors, nlist or lists_for(vectors.count()), seed), k, recall)
+        return self.lists(
+            store.publish(parent=head, lists=built.vectors, centroids=built.centroids, synced=head.synced, nprobe=built.nprobe)
+        )

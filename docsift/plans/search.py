@@ -56,7 +56,8 @@ def search_texts(docs: DataFrame, vectors: DataFrame, queries: DataFrame, embedd
     from docsift.operators.ann import IvfIndex, ann_search
 
     if check_orphans:
-        index = IvfIndex.over(drop_orphans(index.vectors, docs), index.centroids, index.nprobe)
+        live = drop_orphans(index.vectors, docs)  # fewer rows in a list: count again, so that k are found
+        index = IvfIndex.over(live, index.centroids, index.nprobe)
     return _results(fetch_documents(docs, ann_search(index, q, check_k(k), threshold, index.nprobe, ef_search)), True)
 
 

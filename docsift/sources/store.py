@@ -2,21 +2,25 @@
 
 Layout under ``root`` (any Hadoop file system path):
 
-    v=N/documents/bucket=B/   documents of version N by a hash of the id, sorted by id
-    v=N/vectors/bucket=B/     vectors, the same way
-    v=N/lists/list_id=L/      optional: vectors with their coarse list
-    v=N/centroids/            optional: the lists' centroids (a row a list)
-    v=N/pointer/              one JSON row, written last: where each table of version N is
-
-A table that a publish doesn't give is inherited: the pointer names the version that holds
-it. The head is the largest version with a pointer; a job's files show only when it commits,
-so readers never see half a version. A publish names the version it started from and fails
-if another was published meanwhile. ``retain`` removes old versions.
+    documents-<unique>/bucket=B/   documents by a hash of the id, sorted by id
+    vectors-<unique>/bucket=B/     vectors, the same way
+    lists-<unique>/list_id=L/      optional: vectors with their coarse list
+    centroids-<unique>/            optional: a row a list, with its centroid and size
+    v=N/pointer/                   one JSON row: the folder of each table of version N
+
+A publish writes its tables to fresh folders, then the pointer to one, which is renamed to
+``v=N`` as the last step; the rename fails if the version exists. So readers never see half
+a version, and a publish that was killed leaves folders that no pointer names and nothing
+reads: it blocks nothing. A table that a publish doesn't give is inherited. The head is the
+largest version with a pointer. A publish names the version it started from and fails if
+another was published meanwhile. ``retain`` removes old versions and what no pointer names.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -34,7 +38,13 @@ LISTS = T.StructType(
         T.StructField("list_id", T.IntegerType(), False),
     ]
 )
-CENTROIDS = T.StructType([T.StructField("list_id", T.IntegerType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))])
+CENTROIDS = T.StructType(
+    [
+        T.StructField("list_id", T.IntegerType()),
+        T.StructField("centroid", T.ArrayType(T.DoubleType())),
+        T.StructField("n", T.LongType()),
+    ]
+)
 TABLES = {"documents": DOCUMENTS, "vectors": VECTORS, "lists": LISTS, "centroids": CENTROIDS}
 DEFAULT_BUCKETS = 64
 
@@ -45,15 +55,16 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Version:
-    """A pointer: the version that holds each table (None: there is none)."""
+    """A pointer: the folder of each table (None: there is none)."""
 
     version: int
     batch_id: int | None = None
-    documents: int | None = None
-    vectors: int | None = None
-    lists: int | None = None
-    centroids: int | None = None
+    documents: str | None = None
+    vectors: str | None = None
+    lists: str | None = None
+    centroids: str | None = None
     synced: bool = False  # the vectors are those of the documents
+    nprobe: int = 1  # lists that a search of the lists probes
 
 
 class Store:
@@ -87,7 +98,7 @@ class Store:
             return self.spark.createDataFrame([], schema)
         if table in ("documents", "vectors"):
             schema = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/v={holder}/{table}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{holder}")
 
     def _plain(self, table: str, version: Version | None) -> DataFrame:
         return self._read(table, version).select(*TABLES[table].names)
@@ -111,51 +122,95 @@ class Store:
 
     def centroids(self, version: Version | None = None) -> np.ndarray | None:
         """The centroids (a row a list), or None."""
+        found = self.coarse(version)
+        return found[0] if found else None
+
+    def coarse(self, version: Version | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(centroids, rows of each list), a row a list, or None."""
         rows = self._read("centroids", version).orderBy("list_id").collect()
-        return np.asarray([r["centroid"] for r in rows], dtype=np.float64) if rows else None
+        if not rows:
+            return None
+        return np.asarray([r["centroid"] for r in rows], dtype=np.float64), np.asarray([r["n"] for r in rows], dtype=np.int64)
 
     # ------------------------------------------------------------ writing
 
-    def _write(self, df: DataFrame, table: str, version: int) -> None:
-        path = f"{self.root}/v={version}/{table}"
+    def _write(self, df: DataFrame, table: str) -> str:
+        """Writes a table to a fresh folder; its name."""
+        folder = f"{table}-{uuid.uuid4().hex}"
+        path = f"{self.root}/{folder}"
         df = df.select(*TABLES[table].names)
         if table == "centroids":
             df.coalesce(1).write.parquet(path)
-            return
+            return folder
         part = "list_id" if table == "lists" else "bucket"
         if part == "bucket":
             df = df.withColumn("bucket", self._bucket(F.col("id")))
         # AQE cuts a large part into several files and packs small ones.
         df.hint("rebalance", part).sortWithinPartitions(part, "id").write.partitionBy(part).parquet(path)
+        return folder
+
+    def _files(self):
+        """(file system of the root, constructor of paths)."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        return make(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), make
+
+    def _point(self, new: Version) -> None:
+        """The last step of a publish: the pointer, complete, becomes ``v=N`` by one rename."""
+        fresh = f"{self.root}/pointer-{uuid.uuid4().hex}"
+        row = self.spark.createDataFrame([(json.dumps(asdict(new)),)], "value string")
+        row.coalesce(1).write.text(f"{fresh}/pointer")
+        fs, make = self._files()
+        source, target = (fs.makeQualified(make(p)) for p in (fresh, f"{self.root}/v={new.version}"))
+        files = self.spark._jvm.org.apache.hadoop.fs
+        no_options = self.spark.sparkContext._gateway.new_array(files.Options.Rename, 0)
+        try:
+            files.FileContext.getFileContext(source.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, no_options)
+        except Exception as e:
+            if fs.exists(target):
+                raise Conflict(f"version {new.version} was published meanwhile") from e
+            raise
+
+    def _next(self, parent: Version | None) -> int:
+        """The number after ``parent``; folders of such a name without a pointer are passed over."""
+        number = parent.version + 1 if parent else 0
+        known = {v.version for v in self.versions()}
+        fs, make = self._files()
+        while number not in known and fs.exists(make(f"{self.root}/v={number}")):
+            number += 1
+        return number
 
     def publish(self, documents: DataFrame | None = None, vectors: DataFrame | None = None, parent: Version | None = None,
                 lists: DataFrame | None = None, centroids: np.ndarray | None = None, batch_id: int | None = None,
-                synced: bool = False, keep_lists: bool = True) -> Version:
+                synced: bool = False, keep_lists: bool = True, nprobe: int | None = None) -> Version:
         """Write the given tables as the version after ``parent`` (None: the first one); the
-        others, and the batch id if none is given, are inherited. New vectors without new
-        lists drop the lists, as do ``keep_lists=False`` and its centroids."""
+        others, the batch id and nprobe if none is given, are inherited. New vectors without
+        new lists drop the lists, as do ``keep_lists=False`` and its centroids. New lists are
+        counted, and their sizes stored with the centroids."""
         head = self.head()
         if (head and head.version) != (parent and parent.version):
             raise Conflict(f"started from version {parent and parent.version}, but the head is {head and head.version}")
-        number = parent.version + 1 if parent else 0
         new = Version(**asdict(parent)) if parent else Version(0)
-        new.version = number
+        new.version = self._next(parent)
         new.batch_id = new.batch_id if batch_id is None else batch_id
+        new.nprobe = new.nprobe if nprobe is None else nprobe
         new.synced = synced
         if vectors is not None and lists is None:
             new.lists = None
         if not keep_lists:
             new.lists = new.centroids = None
-        if centroids is not None:
-            rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
-            centroids = self.spark.createDataFrame(rows, CENTROIDS)
-        given = {"documents": documents, "vectors": vectors, "lists": lists, "centroids": centroids}
-        for table, df in given.items():
+        for table, df in (("documents", documents), ("vectors", vectors), ("lists", lists)):
             if df is not None:
-                self._write(df, table, number)
-                setattr(new, table, number)
-        row = self.spark.createDataFrame([(json.dumps(asdict(new)),)], "value string")
-        row.coalesce(1).write.mode("error").text(f"{self.root}/v={number}/pointer")
+                setattr(new, table, self._write(df, table))
+        if centroids is None and lists is not None:
+            centroids = self.centroids(parent)
+        if centroids is not None:
+            counts = {}
+            if new.lists is not None:
+                sizes = self._read("lists", new).groupBy("list_id").agg(F.count("*").alias("n"))
+                counts = {r["list_id"]: r["n"] for r in sizes.collect()}  # a row a list
+            rows = [(i, [float(x) for x in c], counts.get(i, 0)) for i, c in enumerate(centroids)]
+            new.centroids = self._write(self.spark.createDataFrame(rows, CENTROIDS), "centroids")
+        self._point(new)
         return new
 
     def new_db(self) -> Version:
@@ -163,17 +218,20 @@ class Store:
         empty = self.spark.createDataFrame
         return self.publish(empty([], DOCUMENTS), empty([], VECTORS), parent=self.head(), synced=True, keep_lists=False)
 
-    def retain(self, n: int) -> list[int]:
-        """Keep the last ``n`` versions and the tables they name; returns the removed ones."""
+    def retain(self, n: int, unnamed_after: float = 86_400.0) -> list[int]:
+        """Keep the last ``n`` versions and the tables they name; returns the removed ones.
+        Other folders of the store go once they are ``unnamed_after`` seconds old: younger
+        ones may belong to a publish that is under way."""
         found = self.versions()
         kept = found[-max(1, n) :]
-        used = {v.version for v in kept} | {getattr(v, t) for v in kept for t in TABLES}
-        conf, jvm = self.spark._jsc.hadoopConfiguration(), self.spark._jvm
-        removed = []
-        for v in found[: -max(1, n)]:
-            # A version whose tables are still in use loses its pointer only.
-            name = f"{self.root}/v={v.version}" + ("/pointer" if v.version in used else "")
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-            removed.append(v.version)
-        return removed
+        used = {getattr(v, t) for v in kept for t in TABLES} | {f"v={v.version}" for v in kept}
+        old = {getattr(v, t) for v in found for t in TABLES} | {f"v={v.version}" for v in found}
+        fs, make = self._files()
+        before = (time.time() - unnamed_after) * 1000
+        if fs.exists(make(self.root)):
+            for status in fs.listStatus(make(self.root)):
+                name = status.getPath().getName()
+                ours = name.split("-")[0] in (*TABLES, "pointer") or name.startswith("v=")
+                if ours and name not in used and (name in old or status.getModificationTime() < before):
+                    fs.delete(status.getPath(), True)
+        return [v.version for v in found[: -max(1, n)]]

@@ -79,7 +79,7 @@ def test_store_roundtrip_and_new_db(spark, tmp_path, docs_factory):
     vecs = rebuild(docs, HashingEmbedder(8))
     ivf = build_ivf(vecs, 2, seed=1)
     v1 = store.publish(vectors=vecs, parent=v0, lists=ivf.vectors, centroids=ivf.centroids)
-    assert v1.documents == v0.version and v1.batch_id == 7  # inherited
+    assert v1.documents == v0.documents and v1.batch_id == 7  # inherited
     assert store.lists().count() == 2 and len(store.centroids()) == 2
     with pytest.raises(Conflict):
         store.publish(docs, parent=v0)
