@@ -9,6 +9,11 @@ small rows, ranked by ``row_number() <= k`` (limited before the shuffle). For fe
 that ranking has two steps, the first by query and a hash of the row, so no task ranks
 all candidates of a query.
 
+Queries beyond one block never pass the driver: ``knn_bounded`` keeps both sides distributed.
+Pass one gives each query an upper bound of its k-th distance from a bounded sample of the
+corpus. Both sides then lie in lists around pivots (``balls``), and a list of queries meets only
+corpus lists that are near enough for the largest of its bounds (triangle inequality).
+
 ``knn_grid`` is the same for two distributed sides with a common key (J7): both are cut
 into bounded blocks per key, and each pair of blocks meets once.
 
@@ -220,14 +225,91 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, m
     kind = queries.schema["query_id"].dataType
     far = max_dist_of(threshold, metric)
     blocks = query_blocks(queries, block_bytes)
-    found, total = [], 0
-    for qids, q in blocks:
-        total += len(qids)
-        found.append(_scan(corpus, qids, q, k, far, kind, metric))
-    salts = SALTS if total < SALTS else 1
+    first = next(blocks, None)
+    if first is not None and next(blocks, None) is not None:  # more than one block
+        blocks.close()
+        return knn_bounded(corpus, queries, k, threshold, metric)
+    found = [_scan(corpus, *first, k, far, kind, metric)] if first else []
+    salts = SALTS if first and len(first[0]) < SALTS else 1
     return final_rank(_union(found, corpus, partial_schema(kind)), k, threshold, metric, salts)
 
 
+def _upper_bounds(queries: DataFrame, sample: np.ndarray, k: int, metric: str) -> DataFrame:
+    """``queries`` with ``_most``: their k-th distance within the sample (infinite if it has fewer rows)."""
+    ship_package(queries.sparkSession)
+    schema = T.StructType([*queries.schema.fields, T.StructField("_most", T.DoubleType())])
+    names = np.arange(len(sample)).astype(str).astype(object)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            most = np.full(b.num_rows, np.inf)
+            if len(sample) >= k:
+                q = matrix_of(b.column("embedding"), sample.shape[1])
+                q = unit_rows(q) if metric == "cosine" else q
+                best = TopK(k, len(q), metric)
+                best.add(sample, names, q, np.arange(len(q)))
+                most = best.key[:, k - 1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(most)], schema.names)
+
+    return queries.mapInArrow(run, schema)
+
+
+def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, metric: str = "l2", sample: int = 2048,
+                lists: int | None = None, max_block_rows: int | None = None) -> DataFrame:
+    """``knn`` with both sides distributed and list pairs pruned by bound; no query vector passes the
+    driver but pivots. ``sample`` rows of least id hash give the bounds, ``lists`` rows the pivots."""
+    from docsift.operators.balls import MAX_LISTS, Balls, assigned, gaps, join_cells, pivots, rows_per_cell
+    from docsift.session import materialised
+
+    k = check_k(k)
+    kind = queries.schema["query_id"].dataType
+    arrow_type(kind)
+    unit = metric == "cosine"
+    corpus, queries = corpus.select("id", "embedding"), queries.select("query_id", "embedding")
+    known = corpus.orderBy(F.xxhash64("id"), "id").limit(max(sample, k)).collect()
+    if not known:
+        return final_rank(corpus.sparkSession.createDataFrame([], partial_schema(kind)), k, threshold, metric)
+    known = np.asarray([r["embedding"] for r in known], dtype=np.float64)
+    known = unit_rows(known) if unit else known
+    dim = known.shape[1]
+    most_rows = max_block_rows or rows_per_cell(dim)
+    if lists is None:
+        lists = min(MAX_LISTS, 2 * max(1, corpus.count() // most_rows))
+    centres = pivots(corpus, "id", lists)
+    centres = np.unique(unit_rows(centres), axis=0) if unit else centres
+    right = materialised(assigned(corpus, centres, unit))
+    left = materialised(assigned(_upper_bounds(queries, known, k, metric), centres, unit))
+    rb, lb = Balls.of(right, len(centres)), Balls.of(left, len(centres), "_most")
+    near = gaps(centres, lb, rb) ** 2
+    if unit:
+        # 1 - cos = distance^2 / 2 for unit vectors; a zero vector is at 1 from all, so its list isn't pruned.
+        near = near / 2
+        near[:, rb.short == 0] = 0.0
+        near[lb.short == 0, :] = 0.0
+    far = max_dist_of(threshold, metric)
+    most = lb.extra + 1e-8 if far is None else np.minimum(lb.extra + 1e-8, far + 1e-8)
+    keep = (lb.rows[:, None] > 0) & (rb.rows[None, :] > 0) & (near <= most[:, None])
+    out = arrow_type(kind)
+
+    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
+        best = TopK(k, q.num_rows, metric, far)
+        if q.num_rows and c.num_rows:
+            x, y = (matrix_of(t.column("embedding"), dim) for t in (c, q))
+            x, y = (unit_rows(x), unit_rows(y)) if unit else (x, y)
+            best.add(x, np.asarray(c.column("id").to_pylist(), dtype=object), y, np.arange(len(y)))
+        return pa.Table.from_batches([partial_batch(np.asarray(q.column("query_id").to_pylist(), dtype=object), best, out)])
+
+    # A cell holds k rows a query as well, so a block has fewer queries for a large k.
+    query_rows = max(1, min(most_rows, (1 << 20) // k))
+    found = join_cells(
+        left, right, keep, lb.blocks(query_rows), rb.blocks(most_rows), (["query_id", "embedding"], ["id", "embedding"]),
+        ("query_id", "id"), cell, partial_schema(kind),
+    )
+    return final_rank(found, k, threshold, metric)
+
+
 def knn_vector(corpus: DataFrame, vector, k: int, threshold: float = 0.0, query_id: str = "q") -> DataFrame:
     """Q2 / T2 for one query vector given on the driver."""
     k = check_k(k)

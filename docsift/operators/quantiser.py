@@ -81,7 +81,7 @@ class CentroidTree:
             self._meet(x, np.flatnonzero((first == g).any(axis=1)), g, dist, name)
         # Nearer groups first, so that bounds are small when far ones are reached.
         for g in np.argsort(least.mean(axis=0), kind="stable"):
-            rows = np.flatnonzero(~done[:, g] & (least[:, g] <= np.sqrt(dist[:, -1])))
+            rows = np.flatnonzero(~done[:, g] & (np.maximum(least[:, g], 0.0) ** 2 <= dist[:, -1] + 2e-9))
             if len(rows):
                 self._meet(x, rows, g, dist, name)
         exact = by_differences(x, self.centroids, np.maximum(name, 0))
@@ -98,5 +98,5 @@ class CentroidTree:
             r = rows[a : a + step]
             d = np.concatenate([dist[r], squared(x[r], self.centroids[members])], axis=1)
             who = np.concatenate([name[r], np.broadcast_to(members, (len(r), len(members)))], axis=1)
-            order = np.lexsort((who, d), axis=1)[:, :keep]
+            order = np.lexsort((who, np.round(d, RANK_DECIMALS)), axis=1)[:, :keep]
             dist[r], name[r] = np.take_along_axis(d, order, axis=1), np.take_along_axis(who, order, axis=1)

@@ -59,6 +59,8 @@ FROM r JOIN docs USING (id) WHERE r.rank <= 10
 
 SQL["semantic_search_batch"] = knn_all_sql(10)
 
+SQL["semantic_search_bounded"] = knn_all_sql(10)
+
 SQL["semantic_search_threshold"] = f"""
 WITH t AS ({knn_all_sql(10, 0.6)})
 SELECT query_id, rank, id, score FROM t
@@ -125,6 +127,10 @@ SELECT id, 1.0::DOUBLE AS score FROM (SELECT id FROM docs WHERE {fold('text')} L
 SQL["text_search_wildcard"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%th_n%ou%'"
 SQL["text_search_non_ascii"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%É%'"
 
+SQL["text_search_indexed"] = SQL["text_search"]
+SQL["text_search_indexed_wildcard"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%tion%the_th%'"
+SQL["text_search_indexed_non_ascii"] = f"WITH {DOCS} SELECT id FROM docs WHERE {fold('text')} LIKE '%Éle%'"
+
 PAIRS = (
     "pairs AS (SELECT CAST(a.vec_id AS VARCHAR) AS id_a, CAST(b.vec_id AS VARCHAR) AS id_b, "
     "a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id)"
@@ -156,6 +162,7 @@ WITH {VECS},
 p AS (SELECT a.id AS id_a, b.id AS id_b, {dot('a.embedding', 'b.embedding')} AS sim FROM vecs a, vecs b)
 SELECT id_a, id_b, round(sim, 6) AS sim FROM p WHERE sim >= 0.3
 """
+SQL["similarity_pairs_pruned"] = SQL["similarity_pairs"].replace("sim >= 0.3", "sim >= 0.5")
 SQL["similarity_topk"] = f"""
 WITH {VECS},
 p AS (SELECT a.id AS id_a, b.id AS id_b, {dot('a.embedding', 'b.embedding')} AS sim FROM vecs a, vecs b),
@@ -163,6 +170,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY round(sim, 9) DESC
 SELECT id_a, id_b, round(sim, 6) AS sim FROM r WHERE rk <= 3
 """
 
+SQL["similarity_topk_pruned"] = SQL["similarity_topk"]
+
 
 def hashing_sql(src: str, key: str, text: str, dim: int = 64, limit: int | None = None) -> str:
     """CTEs hb_<src> (key, bucket, value) of the hashing embedder, sparse form,
@@ -340,6 +349,11 @@ SELECT id AS document_id, 'lang' AS key, lang AS value FROM docs
 UNION ALL SELECT id, 'source', source FROM docs
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'quality', CAST(quality AS VARCHAR) FROM labels
 """
+SQL["metadata_put_ties"] = f"""
+WITH {DOCS},
+last AS (SELECT CAST(conv_id AS VARCHAR) AS id, arg_max(text, CASE WHEN turn = 3 THEN 1 ELSE -1 - turn END) AS last FROM conversations GROUP BY conv_id)
+SELECT id, coalesce(last, '-') AS last FROM docs LEFT JOIN last USING (id)
+"""
 SQL["metadata_delete"] = f"""
 WITH {DOCS}
 SELECT id AS document_id, 'lang' AS key, lang AS value FROM docs
@@ -454,6 +468,7 @@ SQL["ann_probe"] = f"""
 WITH {FIXED}, r AS ({ranked_probe('2')})
 SELECT query_id, rank, id, round(dist, 6) AS dist, round(1.0 / (1.0 + dist), 6) AS score FROM r WHERE rank <= 10
 """
+SQL["ann_recall_fitted"] = "SELECT count(*) AS n_queries, TRUE AS reached FROM embeddings"
 SQL["ann_recall"] = f"""
 WITH {FIXED},
 exact AS (SELECT query_id, id FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) <= 10),

@@ -89,6 +89,18 @@ def q_semantic_search_batch(spark, d):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
 
 
+@register("semantic_search_bounded")
+def q_semantic_search_bounded(spark, d):
+    """T2 for many queries with both sides distributed and lists pruned by each query's bound."""
+    from docsift.operators.knn import knn_bounded
+    from docsift.plans.search import drop_orphans
+
+    docs, vecs = docs_of(spark, d), vecs_of(spark, d)
+    queries = vecs.select(F.col("id").alias("query_id"), "embedding")
+    hits = knn_bounded(drop_orphans(vecs, docs), queries, 10, lists=32, max_block_rows=128)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
+
+
 @register("semantic_search_threshold")
 def q_semantic_search_threshold(spark, d):
     """every vector as a query, k = 10, score >= 0.6 (inclusive)."""
@@ -278,6 +290,31 @@ def q_text_search_non_ascii(spark, d):
     return _text_hits(spark, d, "É")
 
 
+def trigram_index(spark, d):
+    from docsift.operators.trigram import TrigramIndex
+    from docsift.session import scratch_path
+
+    return TrigramIndex.build(docs_of(spark, d), scratch_path(spark, "trigram"))
+
+
+@register("text_search_indexed")
+def q_text_search_indexed(spark, d):
+    """F3 + T3 + P6 through the trigram index: as ``text_search``."""
+    return trigram_index(spark, d).search("The", k=10).select("id", r6("score").alias("score"))
+
+
+@register("text_search_indexed_wildcard")
+def q_text_search_indexed_wildcard(spark, d):
+    """F3 through the index, with live wildcards between pieces that have trigrams."""
+    return trigram_index(spark, d).matches("TION%the_th").select("id")
+
+
+@register("text_search_indexed_non_ascii")
+def q_text_search_indexed_non_ascii(spark, d):
+    """F3 through the index: 'É' isn't folded."""
+    return trigram_index(spark, d).matches("Éle").select("id")
+
+
 # --------------------------------------------------------------- vector functions
 
 
@@ -358,6 +395,23 @@ def q_similarity_pairs(spark, d):
     return similarity_pairs(v, min_sim=0.3).select("id_a", "id_b", r6("sim").alias("sim"))
 
 
+@register("similarity_pairs_pruned")
+def q_similarity_pairs_pruned(spark, d):
+    """J8 over many lists and blocks, of which those that the bound rules out are never joined."""
+    from docsift.operators.similarity import similarity_pairs
+
+    pairs = similarity_pairs(vecs_of(spark, d), min_sim=0.5, lists=64, max_block_rows=96)
+    return pairs.select("id_a", "id_b", r6("sim").alias("sim"))
+
+
+@register("similarity_topk_pruned")
+def q_similarity_topk_pruned(spark, d):
+    """J8 for k over many lists: those that can't beat a list's k-th best are never joined."""
+    from docsift.operators.similarity import similarity_pairs
+
+    return similarity_pairs(vecs_of(spark, d), k=3, lists=32, max_block_rows=96).select("id_a", "id_b", r6("sim").alias("sim"))
+
+
 @register("similarity_topk")
 def q_similarity_topk(spark, d):
     """The 3 most similar vectors of every vector (itself included)."""
@@ -708,6 +762,19 @@ def q_metadata_put(spark, d):
     return explode_metadata(put_metadata(docs_of(spark, d), edits))
 
 
+@register("metadata_put_ties")
+def q_metadata_put_ties(spark, d):
+    """M7: many edits of one key, by ordinal; an edit without one counts by its position."""
+    from docsift.operators.metadata import put_metadata
+
+    c = read_table(spark, d, "conversations")
+    edits = c.select(
+        c.conv_id.cast("string").alias("id"), F.lit("last").alias("key"), c.text.alias("value"),
+        F.when(c.turn != 3, -1 - c.turn).alias("ordinal"),
+    )
+    return put_metadata(docs_of(spark, d), edits).select("id", F.coalesce(F.col("metadata")["last"], F.lit("-")).alias("last"))
+
+
 @register("metadata_delete")
 def q_metadata_delete(spark, d):
     """M8: key 'source' removed from documents labelled toxic."""
@@ -921,6 +988,21 @@ def q_ann_probe_fitted(spark, d):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist").alias("dist"), r6("score").alias("score"))
 
 
+@register("ann_recall_fitted")
+def q_ann_recall_fitted(spark, d):
+    """K4 + Q4: whether the fitted search reaches recall@10 of 0.9, every vector as a query."""
+    from docsift.operators.ann import ann_search, fit_nprobe, lists_for
+    from docsift.operators.knn import knn
+
+    idx = fit_nprobe(_ivf(spark, d, lists_for(vecs_of(spark, d).count())))
+    queries = vecs_of(spark, d).select(F.col("id").alias("query_id"), "embedding")
+    exact = knn(idx.vectors.select("id", "embedding"), queries, 10).select("query_id", "id")
+    found = ann_search(idx, queries, 10, nprobe=idx.nprobe).select("query_id", "id", F.lit(1.0).alias("found"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    recall = F.avg(F.coalesce("found", F.lit(0.0)))
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), (recall >= 0.9).alias("reached"))
+
+
 @register("ann_recall")
 def q_ann_recall(spark, d):
     """Q4 for K4: recall@10 against the exact search at nprobe 1, 2, 4, 8; one search at 8."""

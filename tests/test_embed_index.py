@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docsift.operators.embed import HashingEmbedder, embed_documents
 from docsift.operators.index import drift, health, rebuild, sync
@@ -172,3 +173,71 @@ def test_store_lookup_pushes_id_filter(spark, tmp_path):
     assert "EqualTo(id,42)" in plan and "PartitionFilters: [isnotnull(bucket" in plan
     assert store.document("42").count() == 1
     assert get_by_id(store.documents(), "42").count() == 1
+
+
+def test_a_killed_publish_blocks_nothing(spark, tmp_path, docs_factory, monkeypatch):
+    import os
+
+    from docsift.sources.store import Conflict, Store
+
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    v0 = store.publish(docs_factory([("a", "x", None)]))
+
+    def killed(self, new):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # after the tables, before the pointer
+        m.setattr(Store, "_point", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.publish(docs_factory([("a", "lost", None)]), parent=v0)
+    os.makedirs(tmp_path / "store" / "v=1" / "documents")  # left by something else
+    assert store.head() == v0 and store.document("a").first()["text"] == "x"
+    v = store.publish(docs_factory([("a", "new", None)]), parent=v0)
+    assert store.head() == v and store.document("a").first()["text"] == "new"
+    with pytest.raises(Conflict):
+        store.publish(docs_factory([("a", "late", None)]), parent=v0)
+    folders = lambda: {f for f in os.listdir(tmp_path / "store") if f.startswith("documents")}
+    assert len(folders()) == 3
+    store.retain(1)
+    assert len(folders()) == 2  # the unnamed folder may be of a publish under way
+    store.retain(1, unnamed_after=0)
+    assert folders() == {v.documents} and store.document("a").first()["text"] == "new"
+
+
+def test_an_edit_assigns_only_what_changed(spark):
+    from docsift.operators.ann import assign_lists, build_ivf, carry_lists
+
+    rows = [(str(i), [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>")
+    index = build_ivf(vectors, 5)
+    edited = spark.createDataFrame([("3", [9.0, 9.0, 9.0]), ("new", [0.0, 0.0, 0.0])] + [r for r in rows if r[0] not in ("3", "8")], vectors.schema)
+    lists, changed = carry_lists(edited, index.vectors, index.centroids)
+    assert sorted(r.id for r in changed.collect()) == ["3", "new"]
+    own = lambda df: sorted((r.id, r.list_id) for r in df.collect())
+    assert own(lists) == own(assign_lists(edited, index.centroids))
+
+
+def test_the_client_searches_with_the_fitted_lists(spark, tmp_path):
+    import numpy as np
+
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.plans.api import SearchEngine
+    from docsift.sources.testdata import documents_from_testdata
+
+    eng = SearchEngine(spark, str(tmp_path / "store"), HashingEmbedder(64), buckets=4)
+    eng.store.publish(documents_from_testdata(spark, "/root/testdata/sf0.001"))
+    eng.index.rebuild()
+    exact = [[r.id for r in eng.search.semantic(q).collect()] for q in ("the and of", "der die das", "la casa")]
+    index = eng.index.build_ivf()
+    head = eng.store.head()
+    assert head.nprobe == index.nprobe >= 1 and index.nlist == 14
+    assert (eng.index.lists(head).sizes == np.bincount([r.list_id for r in eng.store.lists().collect()], minlength=14)).all()
+    eng.documents.upsert("new", "the and of")
+    assert eng.store.head().nprobe == index.nprobe and eng.index.lists(eng.store.head()).sizes.sum() == 201
+    found = [[r.id for r in eng.search.semantic(q, ef_search=1).collect()] for q in ("the and of", "der die das", "la casa")]
+    assert found[0][0] == "new" and all(len(f) == 10 for f in found)
+    assert sum(len(set(a) & set(b)) for a, b in zip(found, exact, strict=True)) >= 20
+    many = eng.documents.retrieve_many(["new", "7", "absent"]).collect()
+    assert sorted(r.id for r in many) == ["7", "new"]
+    assert {r.id: r.exists for r in eng.documents.exists(["new", "absent"]).collect()} == {"new": True, "absent": False}
+    assert eng.documents.count_grouped().filter("key = 'lang'").agg(F.sum("count")).first()[0] == 200

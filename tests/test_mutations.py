@@ -180,3 +180,18 @@ def test_metadata_put_repeated_key_last_wins(spark, docs_factory):
         [("a", "k", "first", 1), ("a", "k", "second", 2), ("a", "j", "w", 3)], "id string, key string, value string, ordinal long"
     )
     assert table(put_metadata(docs, edits)) == {"a": ("x", {"k": "second", "j": "w"})}
+
+
+def test_edits_of_one_key_apply_in_order(spark, docs_factory):
+    from docsift.operators.metadata import put_metadata, put_metadata_report
+
+    docs = docs_factory([("a", "t", {"k": "old", "o": "kept"}), ("b", "t", {"k": "old"})])
+    put = lambda rows, schema: {r.id: r.metadata for r in put_metadata(docs, spark.createDataFrame(rows, schema)).collect()}
+    plain = put([("a", "k", "zzz first"), ("a", "k", "aaa last"), ("zz", "k", "v")], "id string, key string, value string")
+    assert plain == {"a": {"k": "aaa last", "o": "kept"}, "b": {"k": "old"}}
+    ordered = "id string, key string, value string, ordinal long"
+    assert put([("a", "k", "new", None)], ordered)["a"]["k"] == "new"
+    assert put([("a", "k", "seven", 7), ("a", "k", "five", 5), ("a", "k", "also seven", 7)], ordered)["a"]["k"] == "also seven"
+    assert put([("a", "k", None, 9), ("a", "k", "v", 1), ("b", None, "v", 1)], ordered) == {"a": {"k": "v", "o": "kept"}, "b": {"k": "old"}}
+    report = put_metadata_report(docs, spark.createDataFrame([("a", "k", None), ("z", "k", "v"), ("a", "k", "v")], "id string, key string, value string"))
+    assert sorted(r.status for r in report.collect()) == ["invalid", "not_found", "ok"]
