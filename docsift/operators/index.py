@@ -68,7 +68,8 @@ def health(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> Dat
     return counts.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts.columns])
 
 
-def publish_in_step(store, head, documents: DataFrame | None, vectors: DataFrame, synced: bool, batch_id: int | None = None):
+def publish_in_step(store, head, documents: DataFrame | None, vectors: DataFrame, synced: bool, batch_id: int | None = None,
+                    ordinals: DataFrame | None = None):
     """Publish tables with the coarse lists of the vectors, if the store keeps lists: unchanged
     vectors keep their list, the others are assigned."""
     from docsift.operators.ann import assign_lists, carry_lists
@@ -80,7 +81,7 @@ def publish_in_step(store, head, documents: DataFrame | None, vectors: DataFrame
             lists, _ = carry_lists(vectors, store.lists(head), centroids)
         else:
             lists = assign_lists(vectors.select("id", "embedding"), centroids)
-    return store.publish(documents, vectors, parent=head, lists=lists, batch_id=batch_id, synced=synced)
+    return store.publish(documents, vectors, parent=head, lists=lists, batch_id=batch_id, synced=synced, ordinals=ordinals)
 
 
 def load_or_build(store, embedder) -> DataFrame:

@@ -507,6 +507,7 @@ SELECT CASE event_id % 6 WHEN 1 THEN 'Invalid ''text'': must be a string' WHEN 2
 FROM events GROUP BY 1
 """
 SQL["ingest_stream"] = SQL["upsert_batch"]
+SQL["ingest_out_of_order"] = SQL["upsert_batch"]
 
 SQL["result_preview"] = f"""
 WITH {QD_DIST},

@@ -1127,8 +1127,9 @@ def q_json_types_rejected(spark, d):
     return checked.groupBy("error").agg(F.count("*").alias("n"))
 
 
-def _ingested(spark, d, embedder=None):
-    """A store after two runs of the stream: the first turns arrive, then the others."""
+def _ingested(spark, d, embedder=None, reverse: bool = False):
+    """A store after two runs of the stream: the first turns arrive, then the others (or the
+    other way round)."""
     from docsift.operators.index import load_or_build
     from docsift.session import scratch_path
     from docsift.sources.store import Store
@@ -1140,7 +1141,8 @@ def _ingested(spark, d, embedder=None):
     store.publish(docs_of(spark, d))
     if embedder is not None:
         load_or_build(store, embedder)
-    for name, part in (("early", F.col("turn") < 2), ("late", F.col("turn") >= 2)):
+    parts = [("early", F.col("turn") < 2), ("late", F.col("turn") >= 2)]
+    for name, part in reversed(parts) if reverse else parts:
         lines.filter(part).select("value").write.text(f"{root}/incoming/{name}")
         ingest(spark, f"{root}/incoming", store, f"{root}/checkpoint", MUT_AS_OF, embedder)
     return store
@@ -1153,6 +1155,12 @@ def q_ingest_stream(spark, d):
     return show_table(_ingested(spark, d).documents())
 
 
+@register("ingest_out_of_order")
+def q_ingest_out_of_order(spark, d):
+    """The last changes arrive first; the final table is that of the upsert batch all the same."""
+    return show_table(_ingested(spark, d, reverse=True).documents())
+
+
 @register("ingest_stream_vectors")
 def q_ingest_stream_vectors(spark, d):
     """I1 + K2: the vectors after the stream equal a rebuild over the final table."""

@@ -6,6 +6,7 @@ Layout under ``root`` (any Hadoop file system path):
     vectors-<unique>/bucket=B/     vectors, the same way
     lists-<unique>/list_id=L/      optional: vectors with their coarse list
     centroids-<unique>/            optional: a row a list, with its centroid and size
+    ordinals-<unique>/bucket=B/    optional: the largest ordinal that ingest has applied to each id
     v=N/pointer/                   one JSON row: the folder of each table of version N
 
 A publish writes its tables to fresh folders, then the pointer to one, which is renamed to
@@ -45,7 +46,9 @@ CENTROIDS = T.StructType(
         T.StructField("n", T.LongType()),
     ]
 )
-TABLES = {"documents": DOCUMENTS, "vectors": VECTORS, "lists": LISTS, "centroids": CENTROIDS}
+ORDINALS = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("ordinal", T.LongType(), False)])
+TABLES = {"documents": DOCUMENTS, "vectors": VECTORS, "lists": LISTS, "centroids": CENTROIDS, "ordinals": ORDINALS}
+BUCKETED = ("documents", "vectors", "ordinals")
 DEFAULT_BUCKETS = 64
 
 
@@ -63,6 +66,7 @@ class Version:
     vectors: str | None = None
     lists: str | None = None
     centroids: str | None = None
+    ordinals: str | None = None
     synced: bool = False  # the vectors are those of the documents
     nprobe: int = 1  # lists that a search of the lists probes
 
@@ -96,7 +100,7 @@ class Store:
         holder = getattr(version, table) if version else None
         if holder is None:
             return self.spark.createDataFrame([], schema)
-        if table in ("documents", "vectors"):
+        if table in BUCKETED:
             schema = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
         return self.spark.read.schema(schema).parquet(f"{self.root}/{holder}")
 
@@ -120,6 +124,10 @@ class Store:
         """Vectors with their list; a filter on ``list_id`` reads only those folders."""
         return self._plain("lists", version)
 
+    def ordinals(self, version: Version | None = None) -> DataFrame:
+        """[id, ordinal]: the largest ordinal applied to each id that ingest has changed."""
+        return self._plain("ordinals", version)
+
     def centroids(self, version: Version | None = None) -> np.ndarray | None:
         """The centroids (a row a list), or None."""
         found = self.coarse(version)
@@ -181,7 +189,7 @@ class Store:
 
     def publish(self, documents: DataFrame | None = None, vectors: DataFrame | None = None, parent: Version | None = None,
                 lists: DataFrame | None = None, centroids: np.ndarray | None = None, batch_id: int | None = None,
-                synced: bool = False, keep_lists: bool = True, nprobe: int | None = None) -> Version:
+                synced: bool = False, keep_lists: bool = True, nprobe: int | None = None, ordinals: DataFrame | None = None) -> Version:
         """Write the given tables as the version after ``parent`` (None: the first one); the
         others, the batch id and nprobe if none is given, are inherited. New vectors without
         new lists drop the lists, as do ``keep_lists=False`` and its centroids. New lists are
@@ -198,7 +206,7 @@ class Store:
             new.lists = None
         if not keep_lists:
             new.lists = new.centroids = None
-        for table, df in (("documents", documents), ("vectors", vectors), ("lists", lists)):
+        for table, df in (("documents", documents), ("vectors", vectors), ("lists", lists), ("ordinals", ordinals)):
             if df is not None:
                 setattr(new, table, self._write(df, table))
         if centroids is None and lists is not None:
@@ -215,8 +223,10 @@ class Store:
 
     def new_db(self) -> Version:
         """S5 ``--new-db``: publish an empty version, without lists."""
-        empty = self.spark.createDataFrame
-        return self.publish(empty([], DOCUMENTS), empty([], VECTORS), parent=self.head(), synced=True, keep_lists=False)
+        empty = lambda schema: self.spark.createDataFrame([], schema)
+        return self.publish(
+            empty(DOCUMENTS), empty(VECTORS), parent=self.head(), synced=True, keep_lists=False, ordinals=empty(ORDINALS)
+        )
 
     def retain(self, n: int, unnamed_after: float = 86_400.0) -> list[int]:
         """Keep the last ``n`` versions and the tables they name; returns the removed ones.

@@ -5,11 +5,18 @@ JSON-lines change files arrive in a folder; each micro-batch is parsed (S2), val
 (K2) and all published as one version (S5) that records the batch id. Later versions
 inherit it, so a batch that was published once is skipped ever after: a restarted query
 or a replayed batch changes nothing.
+
+The stream's state is keyed by id: the largest ordinal applied so far, a table of the store
+that is published with the documents, in one step. A change with a smaller ordinal than its
+id's arrives too late and is dropped. So any split of the changes into files, and any order of
+their arrival, gives the table of one upsert batch. Of changes with equal ordinals the one that
+arrives last wins; a change without ordinal is applied as it arrives and leaves the state.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docsift.operators.index import publish_in_step, sync
 from docsift.operators.mutate import prepare, upsert_batch
@@ -17,6 +24,16 @@ from docsift.sources.json_docs import parse_json_documents
 from docsift.sources.store import Store
 
 
+def in_time(changes: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes that aren't older than the state, the new state) of prepared ``changes`` and
+    ``state [id, ordinal]``. Rejected rows pass, so that they are reported."""
+    applied = state.select("id", F.col("ordinal").alias("_applied"))
+    late = F.col("ordinal").isNotNull() & F.col("_applied").isNotNull() & (F.col("ordinal") < F.col("_applied"))
+    fresh = changes.join(applied, "id", "left").filter(~late).drop("_applied")
+    given = changes.filter(F.col("error").isNull() & F.col("ordinal").isNotNull()).select("id", "ordinal")
+    return fresh, state.unionByName(given).groupBy("id").agg(F.max("ordinal").alias("ordinal"))
+
+
 def apply_batch(store: Store, batch: DataFrame, batch_id: int, as_of, embedder=None) -> bool:
     """Apply one micro-batch of raw JSON lines; False when already applied. Without an
     embedder only the documents are published, and health reports stale vectors."""
@@ -24,11 +41,13 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int, as_of, embedder=N
     if head is not None and head.batch_id is not None and batch_id <= head.batch_id:
         return False
     changes = prepare(parse_json_documents(batch), require_id=True)
+    changes, ordinals = in_time(changes, store.ordinals(head))
     table, _ = upsert_batch(store.documents(head), changes, as_of)
     if embedder is None:
-        store.publish(table, parent=head, batch_id=batch_id)
+        store.publish(table, parent=head, batch_id=batch_id, ordinals=ordinals)
         return True
-    publish_in_step(store, head, table, sync(table, store.vectors(head), embedder), synced=True, batch_id=batch_id)
+    vectors = sync(table, store.vectors(head), embedder)
+    publish_in_step(store, head, table, vectors, synced=True, batch_id=batch_id, ordinals=ordinals)
     return True
 
 

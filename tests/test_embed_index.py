@@ -241,3 +241,48 @@ def test_the_client_searches_with_the_fitted_lists(spark, tmp_path):
     assert sorted(r.id for r in many) == ["7", "new"]
     assert {r.id: r.exists for r in eng.documents.exists(["new", "absent"]).collect()} == {"new": True, "absent": False}
     assert eng.documents.count_grouped().filter("key = 'lang'").agg(F.sum("count")).first()[0] == 200
+
+
+def test_any_split_and_order_of_the_changes_gives_one_table(spark, tmp_path, docs_factory):
+    import itertools
+    import json
+
+    from docsift.sources.store import Store
+    from docsift.streaming.ingest import apply_batch
+
+    changes = [("a", "newer", 5), ("a", "older", 3), ("b", "one", 1), ("b", "two", 2), ("c", "only", 0)]
+    lines = [json.dumps({"id": i, "text": t, "ordinal": o}) for i, t, o in changes]
+    frame = lambda some: spark.createDataFrame([(x,) for x in some], "value string")
+    splits = [[lines], [lines[:1], lines[1:]], [lines[3:], lines[:3]], *([[x] for x in p] for p in list(itertools.permutations(lines))[::40])]
+    for n, split in enumerate(splits):
+        store = Store(spark, str(tmp_path / f"s{n}"), buckets=2)
+        store.publish(docs_factory([("a", "first", None)]))
+        for k, part in enumerate(split):
+            assert apply_batch(store, frame(part), k, "2024-01-01 00:00:00")
+            assert not apply_batch(store, frame(part), k, "2024-01-01 00:00:00")
+        assert {r.id: r.text for r in store.documents().collect()} == {"a": "newer", "b": "two", "c": "only"}
+        assert {r.id: r.ordinal for r in store.ordinals().collect()} == {"a": 5, "b": 2, "c": 0}
+    # Without an ordinal a change is applied as it comes, and the state stays.
+    apply_batch(store, frame([json.dumps({"id": "a", "text": "plain"})]), 99, "2024-01-01 00:00:00")
+    apply_batch(store, frame([json.dumps({"id": "a", "text": "late", "ordinal": 4})]), 100, "2024-01-01 00:00:00")
+    assert {r.id: r.text for r in store.documents().collect()}["a"] == "plain"
+    store.new_db()
+    assert store.ordinals().count() == 0
+
+
+@pytest.mark.parametrize("dim", [768, 3072])
+def test_pooling_of_long_vectors(spark, dim):
+    import numpy as np
+
+    from docsift.operators.pooling import mean_pool
+
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(30, dim))
+    rows = [(i % 4, int(i % 3 != 0), [float(v) for v in x[i]]) for i in range(30)] + [(9, 0, [float("nan")] * dim)]
+    df = mean_pool(spark.createDataFrame(rows, "id int, mask int, vec array<double>"), dim)
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {r.id: np.array(r.embedding) for r in df.collect()}
+    for i in range(4):
+        m = x[[j for j in range(30) if j % 4 == i and j % 3]].mean(axis=0)
+        assert np.allclose(got[i], m / (np.linalg.norm(m) + 1e-12), atol=1e-6)
+    assert not got[9].any()
