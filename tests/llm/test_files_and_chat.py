@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -216,7 +217,7 @@ def test_decontamination(spark, make):
             whole = " ".join(dict(rows)[doc].lower().split())
             least = edit_in(whole, text)
             allowed = min(int(decontam.RATE * len(text)), (len(text) - decontam.Q) // decontam.Q)
-            if len(text) >= decontam.MIN_CHARS and least <= allowed:
+            if least <= (allowed if len(text) >= decontam.MIN_CHARS else 0):
                 assert best[doc, item].edits == least, (doc, item)
             else:
                 assert (doc, item) not in best
@@ -234,6 +235,64 @@ def test_decontamination(spark, make):
     assert decontam.benchmark_leaks(make([]), bench).count() == 0
 
 
+def test_short_items_are_found_exactly_at_edges_of_words(spark, make):
+    items = [(1, "Ab Cd"), (2, "x"), (3, "$5"), (4, "é"), (5, "ab  cd"), (6, "the very same short question?"), (7, " ")]
+    texts = ["xab cd", "Ab\n CD!", "ab cdx ab cd", "cost $5, $55", "É e x", "so: THE very  same\tshort question?ab cd", "", None, "x" * 50, "x ab cd", "$5x 5"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontam.benchmark_leaks(make(list(enumerate(texts))), bench).collect())
+    expected = []
+    for d, t in enumerate(texts):
+        for i, item in items:
+            words = r"[\x20\t-\r]+".join(map(re.escape, item.split()))
+            for m in re.finditer(f"(?={words})", t or "", re.I) if item.strip() else ():
+                a, b = m.start(), re.compile(words, re.I).match(t, m.start()).end()
+                if not (a and t[a - 1].isalnum() and t[a].isalnum()) and not (b < len(t) and t[b].isalnum() and t[b - 1].isalnum()):
+                    expected.append((d, i, a, b, 0))
+    assert got == sorted(expected) and len(got) > 12
+
+
+def test_rulers_are_bounded_and_texts_scanned_once(spark, make):
+    import tracemalloc
+
+    ruler = [(i, f"{'-' * (55 + i)} {prose(i, 6)}") for i in range(20)]
+    index = decontam.Index(ruler, decontam.Q, decontam.RATE, decontam.MIN_CHARS)
+    text = "-" * 200_000 + " " + prose(3, 6) + " " + "ab" * 50_000
+    tracemalloc.start()
+    u, row, _ = decontam.normal([text])
+    bands = index.bands(u, row)
+    hits = decontam._verified(index, bands, u, np.array([0, len(u)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    assert [int(i) for i, e in zip(hits[:, 1], hits[:, 2], strict=True) if e == 0] == [3]
+    bench = spark.createDataFrame(ruler, "item_id long, text string")
+    found = decontam.benchmark_leaks(make([(1, text[150_000:201_000]), (2, prose(9, 50))]), bench, block_chars=150)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in found.collect() if r.edits == 0} == {(1, 3)}
+
+
+def test_repeated_grams_equal_brute_force(spark, make):
+    r = random.Random(8)
+    items = [(i, "".join(r.choice(["ab", "ba", "--", "a-", "abab", "-" * 12]) for _ in range(22))) for i in range(6)]
+    rows = []
+    for k in range(30):
+        t = list(items[k % 6][1])
+        for _ in range(k % 5):
+            t[r.randrange(len(t))] = r.choice(["", "z", "ab"])
+        rows.append((k, "-" * r.randrange(40) + "ab" * r.randrange(20) + "".join(t) + "-" * r.randrange(60)))
+    got = {}
+    for x in decontam.benchmark_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect():
+        got[x.doc_id, x.item_id] = min(x.edits, got.get((x.doc_id, x.item_id), 99))
+    expected = {}
+    for d, t in rows:
+        for i, item in items:
+            item = " ".join(item.split())
+            allowed = min(int(decontam.RATE * len(item)), (len(item) - decontam.Q) // decontam.Q)
+            if (e := edit_in(" ".join(t.split()), item)) <= allowed:
+                expected[d, i] = e
+    assert got == expected and len(got) >= 25
+
+
 def test_encoder_equals_the_library():
     r = random.Random(1)
     alphabet = list("ab.,'! \n\té　“1—’")
