@@ -1,35 +1,46 @@
 """Operator 9: personal data by bootstrapped contextual extraction.
 
 Base spans (e-mail, IP, card and phone numbers) are found by patterns and checks. They are the
-seeds. The words around a span are its lexical patterns: the two before it, the one after it,
-and one on each side. Other tokens with ``MIN_DIGITS`` digits or more are candidates, with the
-same patterns. Patterns and instances (the strings found) form a graph, which Spark scores in
-``ROUNDS`` rounds of grouped sums and joins:
-
-* a pattern scores the mean score of its distinct instances, seeds counting 1, if it has at
-  least ``MIN_SEEDS`` distinct seeds; otherwise 0;
-* an instance scores 1 - (1 - p1) (1 - p2) ... over the patterns that score ``CONFIDENT`` or
-  more; seeds stay at 1.
-
-Candidates whose instance reaches ``CONFIDENT`` are spans of kind ``context``, wherever they
-occur. Edges are summed before they are shuffled, so a pattern in a third of the documents is
-a row for each of its instances; tables joined on a pattern or an instance are written first, so
-that both sides of the join are plain and AQE splits a hot one."""
+seeds, the first positive instances. A lexical pattern is a context of words (lower case, digits
+as 0, without punctuation at the edges): ``L``, the two words before, or ``B``, the word before
+and the word after. A pattern with ``MIN_SEEDS`` different positive instances is looked up in all
+texts; whatever fills its slot is an instance: between the words of a B up to ``SLOT`` words (the
+nearest right word counts), after an L one word and, if it has a digit, those after it that have digits and no letter. So instances may be of several words, or have
+no digit. Spark scores the graph of patterns and instances:
+
+* an instance is contradicted if all its words are ordinary: seen elsewhere at least
+  ``ELSEWHERE`` times, and more often than in slots;
+* a pattern scores positive / (positive + contradicted + ``UNKNOWN`` * others), by different
+  instances. From ``CONFIDENT`` on, its instances that aren't contradicted become positive.
+
+New positive instances are looked up in all texts in turn; their contexts are patterns like
+those of seeds, and their occurrences are the spans of kind ``context``, of those that start at
+one place the shortest. The rounds end when
+there is no new pattern and no new instance. Both are looked up by 64-bit hashes.
+
+Edges are summed before they are shuffled, so a pattern in a third of the documents is a row
+for each of its instances; tables joined on a pattern, an instance or a word are written first,
+so that both sides of the join are plain and AQE splits a hot one. Patterns and instances travel to
+the tasks in blocks of ``BLOCK``, each for one scan of the texts."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, remove, text_key, written
-from .words import texts_of
+from .common import U64, chain, mix, remove, seed, text_key, written
+from .words import SPACE, chunks, grams, hash_spans, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "context")
-MIN_DIGITS, MIN_SEEDS, CONFIDENT, ROUNDS = 4, 5, 0.9, 3
+MIN_SEEDS, CONFIDENT, UNKNOWN, ELSEWHERE, SLOT = 5, 0.9, 0.1, 5, 4
+BLOCK = 4_000_000
 
 # Greedy runs are possessive or anchored, which changes no match but keeps every scan linear.
 _AT = re.compile(r"@")
@@ -39,8 +50,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
-_EDGE = "\"'`()[]{}<>.,;:!?|*#$%&="
+
+# Bytes: punctuation that isn't part of a word at its edges; lower case; lower case with digits as 0.
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[list(b"\"'`()[]{}<>.,;:!?|*#$%&=")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SHAPE = _LOWER.copy()
+_SHAPE[48:58] = 48
+_DIGITS = np.zeros(256, dtype=bool)
+_DIGITS[48:58] = True
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def luhn(digits: str) -> bool:
@@ -85,125 +106,368 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    shape = lambda w: _DIGIT.sub("0", w.lower())
-    left = [shape(w) for w in text[max(0, start - 100) : start].split()[-2:]]
-    right = [shape(w) for w in text[end : end + 100].split()[:1]]
-    found = []
-    if len(left) == 2:
-        found.append(f"L {left[0]} {left[1]}")
-    if right:
-        found.append(f"R {right[0]}")
-    if left and right:
-        found.append(f"B {left[-1]} {right[0]}")
-    return found
-
-
-def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with digits that touch no base span, without the punctuation around them."""
-    k = 0
-    by_start = sorted((a, e) for a, _, e in base)
-    reach = 0
-    for m in _TOKEN.finditer(text):
-        raw = m.group()
-        start = m.start() + len(raw) - len(raw.lstrip(_EDGE))
-        end = m.end() - (len(raw) - len(raw.rstrip(_EDGE)))
-        while k < len(by_start) and by_start[k][0] < end:
-            reach = max(reach, by_start[k][1])
-            k += 1
-        if end > start and reach <= start and len(_DIGIT.findall(raw)) >= MIN_DIGITS:
-            yield start, end
+@dataclass
+class Tokens:
+    """Words of a chunk of texts, without punctuation at their edges (which may leave none)."""
+
+    row: np.ndarray
+    start: np.ndarray  # bytes in the chunk
+    stop: np.ndarray
+    core: np.ndarray  # hash in lower case
+    shape: np.ndarray  # hash in lower case with digits as 0
+    digit: np.ndarray  # has a digit
+    number: np.ndarray  # has a digit and no letter
+    char: np.ndarray  # characters before each byte of the chunk
+    offsets: np.ndarray
+
+    def place(self, byte: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Characters before a byte in its text."""
+        return self.char[byte] - self.char[self.offsets[row]]
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+
+def tokens_of(offsets: np.ndarray, data: np.ndarray) -> Tokens:
+    word, edge = ~SPACE[data], np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    start = np.flatnonzero(word & (~before | edge[:-1]))
+    stop = np.flatnonzero(word & (~after | edge[1:])) + 1
+    row = np.searchsorted(offsets, start, "right") - 1
+    inner = np.flatnonzero(word & ~_EDGE[data])
+    i, j = np.searchsorted(inner, start), np.searchsorted(inner, stop)
+    some = j > i
+    if len(inner):
+        start = np.where(some, inner[np.minimum(i, len(inner) - 1)], start)
+        stop = np.where(some, inner[np.maximum(j - 1, 0)] + 1, start)
+    else:
+        stop = start
+    digits, letters = (np.concatenate([[0], np.cumsum(x[data])]) for x in (_DIGITS, _LETTERS))
+    digit = digits[stop] > digits[start]
+    char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return Tokens(
+        row, start, stop, hash_spans(_LOWER[data], start, stop), hash_spans(_SHAPE[data], start, stop),
+        digit, digit & (letters[stop] == letters[start]), char, offsets,
+    )
+
+
+_L, _B = seed(901), seed(902)
+
+
+def _pattern(kind: np.uint64, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return chain(chain(np.full(len(one), kind), one), two)
+
+
+def contexts(t: Tokens, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which, pattern) of spans of tokens ``first .. last``."""
+    n = len(t)
+    at = np.flatnonzero((first >= 2) & (t.row[np.maximum(first - 2, 0)] == t.row[first]))
+    yield at, _pattern(_L, t.shape[first[at] - 2], t.shape[first[at] - 1])
+    inside = (first >= 1) & (last + 1 < n)
+    at = np.flatnonzero(inside & (t.row[np.maximum(first - 1, 0)] == t.row[np.minimum(last + 1, n - 1)]))
+    yield at, _pattern(_B, t.shape[first[at] - 1], t.shape[last[at] + 1])
+
+
+def _instances(t: Tokens) -> list[np.ndarray]:
+    """Hashes of the runs of 1 .. SLOT words from each token; 0 where the run leaves the text or
+    has no characters."""
+    full = t.stop > t.start
+    out = []
+    for n in range(1, SLOT + 1):
+        h = np.zeros(len(t), dtype=U64)
+        g = grams(t.core, n)
+        ok = t.row[: len(g)] == t.row[n - 1 :] if len(g) else np.zeros(0, dtype=bool)
+        some = np.zeros(len(g), dtype=bool)
+        for k in range(n):
+            some |= full[k : k + len(g)]
+        h[: len(g)] = np.where(ok & some, mix(g + U64(n)) | U64(1), U64(0))
+        out.append(h)
+    return out
+
+
+class Lookup:
+    """A set of 64-bit hashes, with a table of their first bits before the search."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        self.sorted, self.shift = np.sort(hashes), U64(64 - bits)
+        self.table = np.zeros(1 << bits, dtype=bool)
+        self.table[(self.sorted >> self.shift).astype(np.int64)] = True
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Positions in ``h`` of members."""
+        if not len(self.sorted):
+            return np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
+        where = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
+        return at[self.sorted[where] == h[at]]
+
+
+def slots(t: Tokens, patterns: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, number of tokens, pattern) of what fills the patterns' slots."""
+    n = len(t)
+    every = np.arange(n)
+    out = []
+    if n > 2:
+        i = every[2:]
+        i = i[t.row[i - 2] == t.row[i]]
+        h = _pattern(_L, t.shape[i - 2], t.shape[i - 1])
+        hit = patterns.hits(h)
+        i, h = i[hit], h[hit]
+        size = np.ones(len(i), dtype=np.int64)
+        going = t.digit[i]
+        for k in range(1, SLOT):
+            at = np.minimum(i + k, n - 1)
+            going = going & (i + k < n) & (t.row[at] == t.row[i]) & t.number[at]
+            size += going
+        out.append((i, size, h))
+    for k in range(1, SLOT + 1):
+        i = every[1 : n - k]
+        i = i[t.row[i - 1] == t.row[i + k]] if len(i) else i
+        h = _pattern(_B, t.shape[i - 1], t.shape[i + k])
+        hit = patterns.hits(h)
+        out.append((i[hit], np.full(len(hit), k), h[hit]))
+    i, size, pattern = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((size, pattern, i))
+    i, size, pattern = i[order], size[order], pattern[order]
+    nearest = np.ones(len(i), dtype=bool)
+    nearest[1:] = (i[1:] != i[:-1]) | (pattern[1:] != pattern[:-1])
+    return i[nearest], size[nearest], pattern[nearest]
+
+
+def _touched(t: Tokens, rows: np.ndarray, texts: list[str]) -> np.ndarray:
+    """True for tokens of ``rows`` that touch a base span."""
+    out = np.zeros(len(t), dtype=bool)
+    span = np.searchsorted(t.row, np.arange(len(texts) + 1))
+    for r in rows:
+        found = base_spans(texts[r])
+        if found:
+            a, b = span[r], span[r + 1]
+            lo, hi = t.place(t.start[a:b], t.row[a:b]), t.place(t.stop[a:b], t.row[a:b])
+            for start, _, stop in found:
+                out[a:b] |= (lo < stop) & (hi > start)
+    return out
 
 
 _FOUND = (
     "doc_id long, tkey long, base array<struct<start: long, kind: int, stop: long>>, "
-    "links array<struct<pattern: string, instance: string, seed: boolean>>, "
-    "open array<struct<start: long, stop: long, instance: string>>"
+    "links array<struct<pattern: long, instance: long>>"
 )
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("tkey", pa.int64()),
     ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))),
-    ("links", pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())]))),
-    ("open", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("instance", pa.string())]))),
+    ("links", pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64())]))),
 ])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans of each row, and the patterns around them."""
     for b in batches:
         texts = texts_of(b.column("text"))
         for first in range(0, b.num_rows, 1000):
-            rows = []
-            part = b.slice(first, 1000)
-            for doc_id, tkey, text in zip(
-                part.column("doc_id").to_pylist(), part.column("tkey").to_pylist(), texts.slice(first, 1000).to_pylist(), strict=True
-            ):
+            part, rows = b.slice(first, 1000), []
+            some = texts.slice(first, 1000).to_pylist()
+            for doc_id, tkey, text in zip(part.column("doc_id").to_pylist(), part.column("tkey").to_pylist(), some, strict=True):
                 base = base_spans(text)
-                links, rest = [], []
-                for a, _, e in base:
-                    links += [{"pattern": p, "instance": text[a:e].lower(), "seed": True} for p in contexts(text, a, e)]
-                for a, e in candidates(text, base) if _DIGIT.search(text) else ():
-                    name = text[a:e].lower()
-                    rest.append({"start": a, "stop": e, "instance": name})
-                    links += [{"pattern": p, "instance": name, "seed": False} for p in contexts(text, a, e)]
-                rows.append(
-                    {"doc_id": doc_id, "tkey": tkey, "base": [{"start": a, "kind": k, "stop": e} for a, k, e in base], "links": links, "open": rest}
-                )
+                rows.append({
+                    "doc_id": doc_id, "tkey": tkey, "base": [{"start": a, "kind": k, "stop": e} for a, k, e in base],
+                    "links": _links(text, base) if base else [],
+                })
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
-def confident_instances(links: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT) -> DataFrame:
-    """(instance) of the unseen identifiers, from ``links (pattern, instance, seed)``."""
-    spark, scratches = links.sparkSession, []
+def _links(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    t = tokens_of(np.array([0, len(raw)]), raw)
+    # A span's tokens: those that it overlaps, punctuation at their edges included.
+    lead = np.flatnonzero(~SPACE[raw] & np.r_[True, SPACE[raw[:-1]]])
+    byte = np.searchsorted(t.char, [x for a, _, e in base for x in (a, e - 1)], "right") - 1
+    token = np.searchsorted(lead, byte, "right") - 1
+    out = []
+    for which, pattern in contexts(t, token[0::2], token[1::2]):
+        for k, p in zip(which, pattern.view(np.int64), strict=True):
+            a, _, e = base[k]
+            out.append({"pattern": int(p), "instance": xxhash.xxh3_64_intdigest(text[a:e].lower().encode()) - 2**63})
+    return out
+
+
+# Rows of a scan: what they are, and its numbers.
+FILLER, WORD, OCCURRENCE, CONTEXT = range(4)
+_ROWS = "kind int, doc_id long, tkey long, a long, b long, n long, words array<long>"
+_ROWS_ARROW = pa.schema([
+    ("kind", pa.int32()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
+    ("words", pa.list_(pa.int64())),
+])
+
+
+def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+    out = []
+    for f in _ROWS_ARROW:
+        v = pa.array(np.full(size, kind, dtype=np.int32)) if f.name == "kind" else columns.get(f.name)
+        if isinstance(v, np.ndarray):
+            v = pa.array(v.view(np.int64) if v.dtype == U64 else v.astype(np.int64))
+        out.append(pa.nulls(size, f.type) if v is None else v.cast(f.type))
+    return pa.RecordBatch.from_arrays(out, schema=_ROWS_ARROW)
+
+
+def _scan(patterns: np.ndarray, instances: np.ndarray):
+    """What fills the slots of ``patterns``, and where ``instances`` occur and in which contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, known = Lookup(patterns), Lookup(instances)
+        for b in batches:
+            column = texts_of(b.column("text"))
+            for first, offsets, data in chunks(column):
+                t = tokens_of(offsets, data)
+                if not len(t):
+                    continue
+                texts, runs = column.slice(first, len(offsets) - 1), _instances(t)
+                i, size, pattern = slots(t, wanted)
+                spans = [(at := known.hits(h), np.full(len(at), n + 1)) for n, h in enumerate(runs)]
+                o, length = (np.concatenate(x) for x in zip(*spans, strict=True))
+                rows = np.unique(np.concatenate([t.row[i], t.row[o]]))
+                if not len(rows):
+                    continue
+                seeded = np.concatenate([[0], np.cumsum(_touched(t, rows, texts.to_pylist()))])
+                i, size, pattern = (x[seeded[i] == seeded[i + size]] for x in (i, size, pattern))
+                instance = np.array(runs)[size - 1, i]
+                ok = instance != 0
+                i, size, pattern, instance = i[ok], size[ok], pattern[ok], instance[ok]
+                one = np.unique(np.stack([pattern, instance]), axis=1, return_index=True)[1] if len(i) else i
+                flat = np.repeat(i[one], size[one]) + _within(size[one])
+                ends = np.concatenate([[0], np.cumsum(size[one])])
+                words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.core[flat].view(np.int64)))
+                yield _rows(FILLER, len(one), a=pattern[one], b=instance[one], words=words)
+                inside = np.unique(np.repeat(i, size) + _within(size))
+                word, n = np.unique(t.core[inside], return_counts=True)
+                yield _rows(WORD, len(word), a=word, n=n)
+                ok = seeded[o] == seeded[o + length]
+                o, length = o[ok], length[ok]
+                row, last = t.row[o], o + length - 1
+                name = {c: b.column(c).take(pa.array(row + first)) for c in ("doc_id", "tkey")}
+                yield _rows(OCCURRENCE, len(o), a=t.place(t.start[o], row), b=t.place(t.stop[last], row), **name)
+                instance = np.array(runs)[length - 1, o]
+                for which, pattern in contexts(t, o, last):
+                    yield _rows(CONTEXT, len(which), a=pattern, b=instance[which])
+
+    return run
+
+
+def _within(size: np.ndarray) -> np.ndarray:
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, offsets, data in chunks(texts_of(b.column("text"))):
+            word, n = np.unique(tokens_of(offsets, data).core, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+
+def _hash_blocks(column: DataFrame, block: int) -> Iterator[np.ndarray]:
+    """The hashes of a one-column table, a bounded block at a time."""
+    rows = []
+    for r in column.toLocalIterator():
+        rows.append(r[0])
+        if len(rows) == block:
+            yield np.array(rows, dtype=np.int64).view(U64)
+            rows = []
+    if rows:
+        yield np.array(rows, dtype=np.int64).view(U64)
+
+
+def bootstrap(base: DataFrame, links: DataFrame, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT, unknown: float = UNKNOWN,
+              elsewhere: int = ELSEWHERE, block: int = BLOCK) -> tuple[DataFrame | None, list[str]]:
+    """(doc_id, tkey, start, stop) of the unseen identifiers in ``base (doc_id, tkey, text)``, from the
+    seeds' ``links (pattern, instance)``; None if no pattern is looked up. And scratch tables."""
+    scratches: list[str] = []
 
     def plain(df: DataFrame, name: str) -> DataFrame:
         table, at = written(df, name)
         scratches.append(at)
         return table
 
-    edges = plain(links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    seeds = plain(edges.where("seed").select("instance").distinct().withColumn("is_seed", F.lit(True)), "seeds")
-    edges = plain(
-        edges.drop("seed").join(seeds, "instance", "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False))), "edges"
-    )
-    useful = edges.groupBy("pattern").agg(F.count_if("is_seed").alias("n")).where(F.col("n") >= min_seeds).select("pattern")
-    edges = plain(edges.join(plain(useful, "useful"), "pattern"), "edges")
-    instances = plain(edges.groupBy("instance").agg(F.max("is_seed").alias("is_seed")), "instances")
-    scores = instances.withColumn("score", F.when(F.col("is_seed"), 1.0).otherwise(0.0))
-    for _ in range(rounds):
-        patterns = edges.join(scores.select("instance", "score"), "instance").groupBy("pattern").agg(F.avg("score").alias("p"))
-        good = plain(patterns.where(F.col("p") >= confident), "patterns")
-        miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("p")))))
-        reached = edges.join(good, "pattern").groupBy("instance").agg((1 - miss).alias("reached"))
-        scores = plain(
-            instances.join(reached, "instance", "left")
-            .withColumn("score", F.when(F.col("is_seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))).drop("reached"),
-            "scores",
+    positive = plain(links.distinct(), "contexts")
+    none = np.zeros(0, dtype=U64)
+    scans, looked, accepted, searched, totals = [], None, None, None, None
+    while True:
+        enough = positive.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern")
+        fresh = plain(enough if looked is None else enough.join(looked, "pattern", "left_anti"), "patterns")
+        new = accepted if searched is None or accepted is None else accepted.join(searched, "instance", "left_anti")
+        patterns, names = _hash_blocks(fresh, block), _hash_blocks(new, block) if new is not None else iter(())
+        rounds = []
+        while True:
+            p, q = next(patterns, none), next(names, none)
+            if not len(p) and not len(q):
+                break
+            rounds.append(plain(base.mapInArrow(_scan(p, q), _ROWS), "scan"))
+        if not rounds:
+            break
+        if totals is None:
+            totals = plain(base.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+        scans += rounds
+        looked = fresh if looked is None else looked.unionByName(fresh)
+        searched = accepted
+        every = scans[0]
+        for scan in scans[1:]:
+            every = every.unionByName(scan)
+        seen = every.where(F.col("kind") == CONTEXT).select(F.col("a").alias("pattern"), F.col("b").alias("instance"))
+        positive = plain(positive.unionByName(seen).distinct(), "contexts")
+        edges = plain(
+            every.where(F.col("kind") == FILLER).groupBy(F.col("a").alias("pattern"), F.col("b").alias("instance")).agg(F.first("words").alias("words")),
+            "edges",
         )
-    out = written(scores.where((F.col("score") >= confident) & ~F.col("is_seed")).select("instance"), "accepted")[0]
-    remove(spark, *scratches)
-    return out
+        inside = plain(every.where(F.col("kind") == WORD).groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("inside")), "inside")
+        away = F.col("n") - F.col("inside")
+        ordinary = plain(inside.join(totals, "word").where((away >= elsewhere) & (away > F.col("inside"))).select("word"), "ordinary")
+        fillers = plain(edges.groupBy("instance").agg(F.first("words").alias("words")), "fillers")
+        plain_words = fillers.select("instance", F.explode("words").alias("word"))
+        rare = plain(plain_words.join(ordinary, "word", "left_anti").select("instance").distinct().withColumn("rare", F.lit(True)), "rare")
+        known = positive.withColumn("known", F.lit(True))
+        judged = edges.select("pattern", "instance").join(rare, "instance", "left")
+        if accepted is not None:
+            judged = judged.join(accepted.withColumn("ours", F.lit(True)), "instance", "left")
+        else:
+            judged = judged.withColumn("ours", F.lit(None).cast("boolean"))
+        judged = plain(judged, "judged")
+        both = judged.join(known, ["pattern", "instance"], "full_outer").join(looked, "pattern", "left_semi")
+        good = F.coalesce("known", "ours", F.lit(False))
+        count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+        rest = ~good
+        wrong = count(rest & F.col("rare").isNull()) + unknown * count(rest & F.col("rare").isNotNull())
+        share = count(good) / (count(good) + wrong)
+        sure = plain(both.groupBy("pattern").agg(share.alias("p"), count(good).alias("n")).where((F.col("p") >= confident) & (F.col("n") >= min_seeds)).select("pattern"), "sure")
+        found = judged.where("rare").join(sure, "pattern", "left_semi").select("instance")
+        accepted = plain((found if accepted is None else found.unionByName(accepted)).distinct(), "accepted")
+    spans = None
+    for scan in scans:
+        part = scan.where(F.col("kind") == OCCURRENCE).select("doc_id", "tkey", F.col("a").alias("start"), F.col("b").alias("stop"))
+        spans = part if spans is None else spans.unionByName(part)
+    return spans, scratches
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of ``docs (doc_id, text)``: doc_id and the array ``spans`` of
     (start, kind number in ``KINDS``, stop), sorted, in characters with the end exclusive.
 
-    A null or empty text has none. A null id is kept as null; equal rows get equal results.
-    Other columns are ignored."""
+    A null or empty text has none. A null id is kept as null; equal rows get equal results, and
+    count once for each pattern and instance. Other columns are ignored; an empty table gives no
+    rows. A very long text is one task's work, in linear memory."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", text_key())
-    found, found_at = written(base.mapInArrow(_scan, _FOUND), "pii")
-    accepted = confident_instances(found.select(F.inline("links")), **options)
-    rows = checkpointed(found.select("doc_id", "tkey", "base"))
-    spans = checkpointed(
-        found.select("doc_id", "tkey", F.inline("open")).join(accepted, "instance")
-        .groupBy("doc_id", "tkey")
-        .agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "stop")).alias("more"))
-    )
-    remove(docs.sparkSession, found_at)
-    spans = spans.select(F.struct("doc_id", "tkey").alias("key"), "more")
+    found, found_at = written(base.mapInArrow(_seeds, _FOUND), "pii")
+    extra, scratches = bootstrap(base, found.select(F.inline("links")), **options)
+    rows = found.select("doc_id", "tkey", "base")
+    none = F.expr("cast(array() as array<struct<start: bigint, kind: int, stop: bigint>>)")
+    if extra is None:
+        remove(docs.sparkSession, *scratches)
+        return rows.select("doc_id", F.array_sort("base").alias("spans"))
+    extra = extra.groupBy("doc_id", "tkey", "start").agg(F.min("stop").alias("stop"))
+    more = F.collect_list(F.struct("start", F.lit(4).alias("kind"), "stop")).alias("more")
+    spans = written(extra.groupBy("doc_id", "tkey").agg(more).select(F.struct("doc_id", "tkey").alias("key"), "more"), "spans")[0]
+    remove(docs.sparkSession, *scratches)
     out = rows.join(spans, F.struct("doc_id", "tkey").eqNullSafe(F.col("key")), "left")
-    both = F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start: bigint, kind: int, stop: bigint>>)")))
-    return out.select("doc_id", F.array_sort(both).alias("spans"))
+    return out.select("doc_id", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
 
 def span_digests(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import pytest
 from brute import measures, near, personal, secrets, sha, shingles, substrings
@@ -200,18 +201,122 @@ def test_personal_data(make, sample):
     assert pii.personal_data(make([])).count() == 0
 
 
+def context_spans(make, rows):
+    found = pii.personal_data(make(rows)).collect()
+    return {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == 4] for r in found}
+
+
 def test_context_patterns_find_unseen_identifiers(make):
     rows = [(i, f"{prose(i, 5)} please call me +1 (555) 123-4{i:03d} after noon") for i in range(20)]
-    rows += [(50, "please call me 55512349999x after noon"), (51, "the part number 55519999 is new"), (52, "later 55512349999x again")]
-    got = {r.doc_id: r.spans for r in pii.span_digests(pii.personal_data(make(rows))).collect()}
-    assert got[50] == "context:15:27" and got[51] == "" and got[52] == "context:6:18"
+    rows += [(50 + i, f"{prose(90 + i, 4)} please call me {name} {prose(70 + i, 3)}") for i, name in enumerate(
+        ["55512349999x", "A-123", "zq-handle", "555 887 4567", "(55)-99-1", "K9/77", "jo_ann7", "x1", "n0-where", "88123"])]
+    rows += [(70, "the part number 55519999 is new"), (71, "later 55512349999x again"), (72, "come on jane at example dot com after noon")]
+    rows += [(80 + i, f"come on +1 (555) 777-4{i:03d} after noon") for i in range(6)]
+    got = context_spans(make, rows)
+    texts = dict(rows)
+    found = {d: [texts[d][a:b] for a, b in s] for d, s in got.items()}
+    assert [found[50 + i] for i in range(10)] == [
+        ["55512349999x"], ["A-123"], ["zq-handle"], ["555 887 4567"], ["55)-99-1"], ["K9/77"], ["jo_ann7"], ["x1"], ["n0-where"], ["88123"]]
+    assert found[70] == [] and found[71] == ["55512349999x"]
+    assert all(found[i] == [] for i in range(20))
+    assert found[72] == ["jane"]  # the word after; five words don't fit the slot between two
+
+
+def second_hop():
+    rows = [(i, f"{prose(i, 5)} please call me +1 (555) 123-4{i:03d} after noon") for i in range(20)]
+    names = [f"zz-{i}q" for i in range(9)]
+    rows += [(30 + i, f"{prose(40 + i, 5)} please call me {n} {prose(60 + i, 2)}") for i, n in enumerate(names[:6])]
+    rows += [(50 + i, f"{prose(80 + i, 5)} my backup line {n} {prose(95 + i, 2)}") for i, n in enumerate(names)]
+    return rows + [(70 + i, prose(200 + i, 300, 50)) for i in range(5)]
+
+
+def test_accepted_identifiers_make_new_patterns(make):
+    rows = second_hop()
+    got, texts = context_spans(make, rows), dict(rows)
+    assert {d: [texts[d][a:b] for a, b in s] for d, s in got.items() if s} == {
+        **{30 + i: [f"zz-{i}q"] for i in range(6)}, **{50 + i: [f"zz-{i}q"] for i in range(9)}}
+
+
+def brute_contexts(rows):
+    """Spans of kind context by the docstring's rules, in plain Python."""
+    docs = []
+    for d, t in rows:
+        words = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t or ""):
+            core = m.group().strip("\"'`()[]{}<>.,;:!?|*#$%&=")
+            a = m.start() + m.group().index(core) if core else m.start()
+            low = "".join(c.lower() if c.isascii() else c for c in core)
+            words.append((m.start(), m.end(), a, a + len(core), low, re.sub("[0-9]", "0", low)))
+        base = [(a, e) for a, _, e in personal(t or "")]
+        docs.append((d, t or "", words, base))
+    around = lambda w, i, j: ([("L", w[i - 2][5], w[i - 1][5])] if i >= 2 else []) + ([("B", w[i - 1][5], w[j + 1][5])] if i and j + 1 < len(w) else [])
+    touched = lambda base, w, i, j: any(w[k][2] < e and w[k][3] > a for a, e in base for k in range(i, j + 1))
+    positive, total = set(), collections.Counter()
+    for _, t, w, base in docs:
+        total.update(x[4] for x in w)
+        for a, e in base:
+            i = max(k for k, x in enumerate(w) if x[0] <= a)
+            j = max(k for k, x in enumerate(w) if x[0] <= e - 1)
+            positive |= {(p, ("seed", t[a:e].lower())) for p in around(w, i, j)}
+    looked, accepted = set(), set()
+    while True:
+        count = collections.Counter(p for p, _ in positive)
+        patterns = {p for p, n in count.items() if n >= pii.MIN_SEEDS} | looked
+        edges, inside, spans = {}, collections.Counter(), set()
+        for d, t, w, base in docs:
+            filled = []
+            for i in range(len(w)):
+                if i >= 2 and ("L", w[i - 2][5], w[i - 1][5]) in patterns:
+                    n = 1
+                    number = lambda x: re.search("[0-9]", x) and not re.search("[A-Za-z]|[^\x00-\x7f]", x)
+                    while n < pii.SLOT and i + n < len(w) and re.search("[0-9]", w[i][4]) and number(w[i + n][4]):
+                        n += 1
+                    filled.append((("L", w[i - 2][5], w[i - 1][5]), i, i + n - 1))
+                for n in range(1, pii.SLOT + 1):
+                    if i and i + n < len(w) and ("B", w[i - 1][5], w[i + n][5]) in patterns and not any(w[k][5] == w[i + n][5] for k in range(i + 1, i + n)):
+                        filled.append((("B", w[i - 1][5], w[i + n][5]), i, i + n - 1))
+                for n in range(1, pii.SLOT + 1):
+                    name = tuple(x[4] for x in w[i : i + n])
+                    if i + n <= len(w) and name in accepted and not touched(base, w, i, i + n - 1):
+                        spans.add((d, w[i][2], w[i + n - 1][3]))
+                        positive |= {(p, name) for p in around(w, i, i + n - 1)}
+            filled = [(p, i, j) for p, i, j in filled if not touched(base, w, i, j) and any(w[k][4] for k in range(i, j + 1))]
+            edges |= {(p, tuple(w[k][4] for k in range(i, j + 1))): None for p, i, j in filled}
+            inside.update(w[k][4] for k in {k for _, i, j in filled for k in range(i, j + 1)})
+        ordinary = {x for x, n in inside.items() if total[x] - n >= pii.ELSEWHERE and total[x] - n > n}
+        fresh = set()
+        for p in patterns:
+            mine = {name for q, name in edges if q == p}
+            good = {name for q, name in positive if q == p} | (mine & accepted)
+            rest = mine - good
+            wrong = {name for name in rest if all(x in ordinary for x in name)}
+            if len(good) >= pii.MIN_SEEDS and len(good) / (len(good) + len(wrong) + pii.UNKNOWN * len(rest - wrong)) >= pii.CONFIDENT:
+                fresh |= {name for name in mine if not all(x in ordinary for x in name)}
+        again = collections.Counter(p for p, _ in positive)
+        if fresh <= accepted and patterns == looked and {p for p, n in again.items() if n >= pii.MIN_SEEDS} <= looked:
+            shortest = {}
+            for d, a, b in spans:
+                shortest[d, a] = min(b, shortest.get((d, a), b))
+            return {(d, a, b) for (d, a), b in shortest.items()}
+        accepted, looked = accepted | fresh, patterns
+
+
+def test_context_spans_equal_brute_force(make, sample):
+    rows = [(i + 5000, t) for i, t in sample[:120]] + second_hop() + [(900 + i, f"of the {w} of the") for i, w in enumerate(["zz-1q", "zz-7q.", "(zz-8q)", "zebra"] * 3)]
+    rows += [(950 + i, f"send it to user{i}@mail.example.com or {x}") for i, x in enumerate(["else", "q-9", "else", "more", "else", "else", "else"])]
+    rows += [(980 + i, f"send it to {x} now") for i, x in enumerate(["him", "anna-b", "him", "him", "him", "them", "k.l.m"])]
+    rows += [(1000 + i, "with him and him or him for them") for i in range(4)]
+    got = {(d, a, b) for d, s in context_spans(make, rows).items() for a, b in s}
+    expected = brute_contexts(rows)
+    assert got == expected and len(got) > 20
+
+
+def test_clean_prose_has_no_context_spans(make):
+    rows = [(i, prose(i, 400, 30)) for i in range(40)] + [(100 + i, f"{prose(i, 200, 30)} u{i}@x.org {prose(i + 50, 200, 30)}") for i in range(60)]
+    assert not any(context_spans(make, rows).values())
 
 
 def test_email_scan_is_linear():
     assert list(pii.emails("a" * 2_000_000 + " x@y.z")) == [(2_000_001, 2_000_006)]
 
 
-def test_candidate_scan_is_linear():
-    text = "1 " + "a" * 2_000_000 + " x1234."
-    assert list(pii.candidates(text, [])) == [(2_000_003, 2_000_008)]
-    assert list(pii.candidates("(ab-12345) 123 12,34\n55555", [])) == [(1, 9), (15, 20), (21, 26)]
