@@ -64,33 +64,40 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
 
     Rows with one doc_id share their draw; a null doc_id draws as the text "null". Empty
     and null texts have size 0 and are drawn at their source's rate; a source of size 0
-    has rate 0. An empty table gives none."""
-    names = {n: free_name(n, docs.columns) for n in ("copy", "shard", "shuffle_key")}
-    by_source = checkpointed(rates(docs, weights, epochs).select(F.col("source").alias("__source"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf")))
+    has rate 0. An empty table gives none. A very long text is moved once a copy."""
+    taken = list(docs.columns)
+
+    def free(name: str) -> str:
+        taken.append(free_name(name, taken))
+        return taken[-1]
+
+    copy, shard, key = (free(n) for n in ("copy", "shard", "shuffle_key"))
+    source, pieces, cdf, salt, mine, uniform, number = (free(f"__{n}") for n in ("source", "pieces", "cdf", "salt", "mine", "uniform", "number"))
+    by_source = checkpointed(rates(docs, weights, epochs).select(F.col("source").alias(source), F.col("pieces").alias(pieces), F.col("cdf").alias(cdf)))
     row_bytes = 16 + 8 * 121
-    measured = by_source.agg(F.sum(F.octet_length(F.coalesce("__source", F.lit(""))) + row_bytes)).first()[0] or 0
-    same = F.col("source").eqNullSafe(F.col("__source"))
+    measured = by_source.agg(F.sum(F.octet_length(F.coalesce(source, F.lit(""))) + row_bytes)).first()[0] or 0
+    same = F.col("source").eqNullSafe(F.col(source))
     if measured <= BROADCAST_BYTES:
         rated = docs.join(F.broadcast(by_source), same)
     else:
-        salted = by_source.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        mine = docs.withColumn("__mine", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        rated = mine.join(salted, same & (F.col("__mine") == F.col("__salt"))).drop("__mine", "__salt")
+        salted = by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn(mine, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        rated = dealt.join(salted, same & (F.col(mine) == F.col(salt)))
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    uniform = F.transform(
-        F.sequence(F.lit(1), F.col("__pieces")),
+    draws = F.transform(
+        F.sequence(F.lit(1), F.col(pieces)),
         lambda k: _hash(_HEX, F.lit(str(seed)), who, k.cast("string")) / F.lit(float(16**_HEX)),
     )
-    rated = rated.withColumn("__u", uniform)
-    count = F.aggregate("__u", F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
+    rated = rated.withColumn(uniform, draws)
+    count = F.aggregate(uniform, F.lit(0), lambda n, u: n + F.size(F.filter(cdf, lambda c: c <= u)))
     copies = (
-        rated.withColumn("__n", count).where("__n > 0")
-        .withColumn(names["copy"], F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-        .withColumn(names["shuffle_key"], _hash(15, F.lit(f"order:{seed}"), who, F.col(names["copy"]).cast("string")))
+        rated.withColumn(number, count).where(F.col(number) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(number) - 1)))
+        .withColumn(key, _hash(15, F.lit(f"order:{seed}"), who, F.col(copy).cast("string")))
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.floor(F.col(names["shuffle_key"]) / F.lit(float(16**15)) * parts).cast("int")
+    part = F.floor(F.col(key) / F.lit(float(16**15)) * parts).cast("int")
     return (
-        copies.select(*docs.columns, names["copy"], shard.alias(names["shard"]), names["shuffle_key"])
-        .repartition(parts, names["shard"]).sortWithinPartitions(names["shard"], names["shuffle_key"])
+        copies.select(*(F.col(f"`{c}`") for c in docs.columns), copy, part.alias(shard), key)
+        .repartitionById(parts, shard).sortWithinPartitions(key)
     )

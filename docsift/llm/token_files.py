@@ -8,8 +8,8 @@ hold it, and writes commit as a whole):
 ``blocks``  shard, block, first_token, n_tokens, doc_ids, lengths, state, words, checkpoints
             (first step, first word, states), crc32
 
-A block holds whole documents, in ascending (doc_id, hash of text), until it has
-``block_tokens`` ids or more; blocks follow each other by (shard, block). Its ids are dealt
+A block holds whole documents, in ascending (doc_id, hash of text) or a given order, until it
+has ``block_tokens`` ids or more; blocks follow each other by (shard, block). Its ids are dealt
 to ``lanes`` coders in turn: id number s * lanes + l belongs to step s of lane l. A coder
 is a range asymmetric numeral system with a 64-bit state of at least 2^31, which gives up
 32 bits when it would overflow. All lanes share one stream of words, in decoding order:
@@ -218,8 +218,9 @@ _BLOCKS_ARROW = pa.schema([
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, scale_bits: int = SCALE_BITS, lanes: int = LANES,
-                 checkpoint_steps: int = CHECKPOINT_STEPS, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Write the ids of ``docs (doc_id, text)``, each text followed by ``end_id``, to ``path``.
+                 checkpoint_steps: int = CHECKPOINT_STEPS, block_tokens: int = BLOCK_TOKENS, order: str | None = None) -> None:
+    """Write the ids of ``docs (doc_id, text)``, each text followed by ``end_id``, to ``path``;
+    documents go by the column ``order``, if one is named, and by (doc_id, hash of text).
 
     ``tokenizer`` is a file of the tokenizers library that every executor has. A null
     text is empty, and an empty text is ``end_id`` alone. A null id comes first; rows that
@@ -229,8 +230,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sc
     dtype = np.dtype(encoder.dtype).newbyteorder("<").str
     vocabulary = max(encoder.lib.get_vocab_size(), end_id + 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", text_key())
-    ranged = base.repartitionByRange(parts, "doc_id", "tkey").sortWithinPartitions("doc_id", "tkey")
+    given = [F.col(order).alias("_order")] if order else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *given).withColumn("tkey", text_key())
+    by = [*(["_order"] if order else []), "doc_id", "tkey"]
+    ranged = base.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text", "tkey")
     ids, ids_at = written(ranged.mapInArrow(_tokenise(tokenizer, end_id, block_tokens), _IDS), "ids")
     counted = ids.select("ids").mapInArrow(_count(dtype, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(vocabulary, dtype=np.int64)  # at most a row an id

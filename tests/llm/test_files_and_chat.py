@@ -11,7 +11,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import edit_in, near, sha
+from pyspark.sql import functions as F
+from brute import edit_in, measures, near, sha
 from conftest_llm import ODD, key, prose, rows_of
 
 from docsift.llm import chat, decontam, licenses, mixture, token_files
@@ -293,6 +294,34 @@ def test_repeated_grams_equal_brute_force(spark, make):
     assert got == expected and len(got) >= 25
 
 
+def test_mixture_with_clashing_names_and_even_shards(spark, make):
+    names = ["__source", "__pieces", "__cdf", "__salt", "__mine", "__uniform", "__number", "__u", "__n", "copy", "Shard", "shuffle_key"]
+    rows = [(i, "word " * 20, f"s{i % 3}", *[f"x{i}"] * len(names)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixture.mix_sources(docs)
+    assert got.columns == [*docs.columns, "copy_", "shard_", "shuffle_key_"]
+    out = got.withColumn("at", F.spark_partition_id()).collect()
+    assert all(r[n] == f"x{r.doc_id}" for r in out for n in names)
+    assert all(r["at"] == r["shard_"] for r in out)
+    sizes = collections.Counter(r["at"] for r in out)
+    assert len(sizes) == 8 and max(sizes.values()) < 2 * len(out) / 8
+    a, b = mixture.BROADCAST_BYTES, mixture.mix_sources(docs).drop("shard_").collect()
+    mixture.BROADCAST_BYTES = 0
+    try:
+        assert sorted(mixture.mix_sources(docs).drop("shard_").collect()) == sorted(b)
+    finally:
+        mixture.BROADCAST_BYTES = a
+
+
+def test_token_files_in_a_given_order(spark, make):
+    docs = make([(i, f"text {i}") for i in range(300)] * 2).withColumn("o", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    path = scratch(spark, "ordered")
+    token_files.write_tokens(docs, path, tokenizer_file(), order="o")
+    got = [r.doc_id for r in sorted(token_files.read_tokens(spark, path).collect(), key=lambda r: r.start)]
+    assert got == [r.doc_id for r in docs.select("doc_id", "o").orderBy("o").collect()]
+    assert sum(a == b for a, b in zip(got[:-1], got[1:], strict=True)) < 10
+
+
 def test_encoder_equals_the_library():
     r = random.Random(1)
     alphabet = list("ab.,'! \n\té　“1—’")
@@ -421,6 +450,11 @@ def test_pipeline(spark, tmp_path, make):
     assert set(ids["benchmark_decontamination"]) == clean
     assert set(ids["source_mixture"]) <= clean
     assert collections.Counter(ids["token_files"]) == collections.Counter(ids["source_mixture"])
+    # The files hold the mixture's shuffled order: copies of a document don't lie side by side.
+    order = [r.doc_id for r in sorted(out["token_files"].collect(), key=lambda r: r.start)]
+    beside = sum(a == b for a, b in zip(order[:-1], order[1:], strict=True))
+    copies = sum(n - 1 for n in collections.Counter(order).values())
+    assert copies > 20 and beside < copies / 5 and order != sorted(order)
     assert corpus_pipeline.run(spark, sf).count() == len(ids["token_files"])
     assert jaccard.one_of_each_group(make([])).count() == 0
 
@@ -428,8 +462,22 @@ def test_pipeline(spark, tmp_path, make):
 def test_pipeline_stages_on_odd_rows(spark, make):
     import corpus_pipeline
 
-    docs = make(ODD + [(90, prose(1, 100)), (91, prose(1, 100)), (92, prose(2, 90))])
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, "/root/testdata/sf0.001").count() >= 0
-        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    rows = ODD + [(90, prose(1, 100)), (91, prose(1, 100)), (92, prose(2, 90))]
+    docs, sf = make(rows), "/root/testdata/sf0.001"
+    got = {name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    found = {n: collections.Counter((r.doc_id, r.text) for r in df.collect()) for n, df in got.items() if n != "token_files"}
+    passed = collections.Counter((i, t) for i, t in rows if not measures(t)[-1])
+    assert found["quality_rules"] == passed and len(passed) == 4
+    unlike = collections.Counter(rows)
+    unlike[4, "word"], unlike[91, prose(1, 100)] = 1, 0
+    assert found["near_duplicates"] == +unlike
+    assert found["benchmark_decontamination"] == collections.Counter(rows)
+    copies = found["source_mixture"]
+    assert set(copies) <= set(rows) and 0 < copies.total() < 4 * len(rows)
+    assert len({copies[5, t] for i, t in rows if i == 5}) == 1  # one id, one draw
+    tokens = got["token_files"].collect()
+    assert collections.Counter(r.doc_id for r in tokens) == collections.Counter(i for i, _ in rows)
+    assert sorted(r.start for r in tokens) == [sum(sorted_n[:k]) for sorted_n in [[r.n_tokens for r in sorted(tokens, key=lambda r: r.start)]] for k in range(len(tokens))]
     assert rows_of([]) == [] and key((None, 1)) < key((1, 1))
