@@ -4,8 +4,9 @@ written as Parquet and reread as the next stage's ``docs``."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsift.llm.common import remove, scratch
+from docsift.llm.common import free_name, remove, scratch
 from docsift.llm.decontam import decontaminate
 from docsift.llm.jaccard import one_of_each_group
 from docsift.llm.mixture import mix_sources
@@ -39,9 +40,11 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's token files, read back: a row a document, in order of doc_id."""
-    path = scratch(spark, "token-files")
-    write_tokens(docs, path, tokenizer_file())
+    """The mixture's token files, read back: a row a document. They are in an order of their own
+    for each copy, a hash of its id and its place in ``docs``: a uniform shuffle of the mixture."""
+    path, key = scratch(spark, "token-files"), free_name("order", docs.columns)
+    shuffled = docs.withColumn(key, F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    write_tokens(shuffled, path, tokenizer_file(), order=key)
     return read_tokens(spark, path, with_ids=False)
 
 
