@@ -10,8 +10,11 @@ no digit. Spark scores the graph of patterns and instances:
 
 * an instance is contradicted if all its words are ordinary: seen elsewhere at least
   ``ELSEWHERE`` times, and more often than in slots;
-* a pattern scores positive / (positive + contradicted + ``UNKNOWN`` * others), by different
-  instances. From ``CONFIDENT`` on, its instances that aren't contradicted become positive.
+* a pattern scores positive / (positive + contradicted + ``UNKNOWN`` * others), by occurrences in
+  its slot. From ``CONFIDENT`` on, its instances that aren't contradicted become positive.
+
+A pattern's slots are counted first: one whose positive occurrences can't reach ``CONFIDENT``
+even if nothing were contradicted isn't looked into (yet: they may grow).
 
 New positive instances are looked up in all texts in turn; their contexts are patterns like
 those of seeds, and their occurrences are the spans of kind ``context``, of those that start at
@@ -41,6 +44,7 @@ from .words import SPACE, chunks, grams, hash_spans, texts_of
 KINDS = ("email", "ip", "card", "phone", "context")
 MIN_SEEDS, CONFIDENT, UNKNOWN, ELSEWHERE, SLOT = 5, 0.9, 0.1, 5, 4
 BLOCK = 4_000_000
+CHUNK = 1 << 20  # bytes of text at once
 
 # Greedy runs are possessive or anchored, which changes no match but keeps every scan linear.
 _AT = re.compile(r"@")
@@ -318,7 +322,7 @@ def _scan(patterns: np.ndarray, instances: np.ndarray):
         wanted, known = Lookup(patterns), Lookup(instances)
         for b in batches:
             column = texts_of(b.column("text"))
-            for first, offsets, data in chunks(column):
+            for first, offsets, data in chunks(column, CHUNK):
                 t = tokens_of(offsets, data)
                 if not len(t):
                     continue
@@ -334,11 +338,16 @@ def _scan(patterns: np.ndarray, instances: np.ndarray):
                 instance = np.array(runs)[size - 1, i]
                 ok = instance != 0
                 i, size, pattern, instance = i[ok], size[ok], pattern[ok], instance[ok]
-                one = np.unique(np.stack([pattern, instance]), axis=1, return_index=True)[1] if len(i) else i
+                order = np.lexsort((instance, pattern))
+                i, size, pattern, instance = i[order], size[order], pattern[order], instance[order]
+                new = np.ones(len(i), dtype=bool)
+                new[1:] = (pattern[1:] != pattern[:-1]) | (instance[1:] != instance[:-1])
+                one = np.flatnonzero(new)
                 flat = np.repeat(i[one], size[one]) + _within(size[one])
                 ends = np.concatenate([[0], np.cumsum(size[one])])
                 words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.core[flat].view(np.int64)))
-                yield _rows(FILLER, len(one), a=pattern[one], b=instance[one], words=words)
+                times = np.diff(np.append(one, len(i)))
+                yield _rows(FILLER, len(one), a=pattern[one], b=instance[one], n=times, words=words)
                 inside = np.unique(np.repeat(i, size) + _within(size))
                 word, n = np.unique(t.core[inside], return_counts=True)
                 yield _rows(WORD, len(word), a=word, n=n)
@@ -349,7 +358,7 @@ def _scan(patterns: np.ndarray, instances: np.ndarray):
                 yield _rows(OCCURRENCE, len(o), a=t.place(t.start[o], row), b=t.place(t.stop[last], row), **name)
                 instance = np.array(runs)[length - 1, o]
                 for which, pattern in contexts(t, o, last):
-                    yield _rows(CONTEXT, len(which), a=pattern, b=instance[which])
+                    yield _rows(CONTEXT, len(which), a=pattern, b=instance[which], n=np.ones(len(which)))
 
     return run
 
@@ -358,9 +367,23 @@ def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
+def _slot_counts(patterns: np.ndarray):
+    """(pattern, slots) of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Lookup(patterns)
+        for b in batches:
+            for _, offsets, data in chunks(texts_of(b.column("text")), CHUNK):
+                t = tokens_of(offsets, data)
+                pattern, n = np.unique(slots(t, wanted)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pattern.view(np.int64)), pa.array(n.astype(np.int64))], ["pattern", "slots"])
+
+    return run
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, offsets, data in chunks(texts_of(b.column("text"))):
+        for _, offsets, data in chunks(texts_of(b.column("text")), 4 * CHUNK):
             word, n = np.unique(tokens_of(offsets, data).core, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
@@ -388,12 +411,32 @@ def bootstrap(base: DataFrame, links: DataFrame, min_seeds: int = MIN_SEEDS, con
         scratches.append(at)
         return table
 
-    positive = plain(links.distinct(), "contexts")
+    def union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    texts = base.select("text")
+    positive = seeds = plain(links.groupBy("pattern", "instance").agg(F.count("*").alias("n")), "seeds")
     none = np.zeros(0, dtype=U64)
-    scans, looked, accepted, searched, totals = [], None, None, None, None
+    scans, counted, looked = [], [], []
+    accepted = searched = totals = None
     while True:
-        enough = positive.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern")
-        fresh = plain(enough if looked is None else enough.join(looked, "pattern", "left_anti"), "patterns")
+        enough = plain(
+            positive.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("n"))
+            .where(F.col("instances") >= min_seeds).select("pattern", "n"),
+            "enough",
+        )
+        uncounted = enough.join(union(counted), "pattern", "left_anti") if counted else enough
+        for block_of in _hash_blocks(uncounted.select("pattern"), block):
+            found = texts.mapInArrow(_slot_counts(block_of), "pattern long, slots long")
+            counted.append(plain(found.groupBy("pattern").agg(F.sum("slots").alias("slots")), "slots"))
+        if not counted:
+            break
+        others = F.greatest(F.col("slots") - F.col("n"), F.lit(0))
+        able = enough.join(union(counted), "pattern").where(F.col("n") >= confident * (F.col("n") + unknown * others)).select("pattern")
+        fresh = plain(able.join(union(looked), "pattern", "left_anti") if looked else able, "patterns")
         new = accepted if searched is None or accepted is None else accepted.join(searched, "instance", "left_anti")
         patterns, names = _hash_blocks(fresh, block), _hash_blocks(new, block) if new is not None else iter(())
         rounds = []
@@ -405,39 +448,39 @@ def bootstrap(base: DataFrame, links: DataFrame, min_seeds: int = MIN_SEEDS, con
         if not rounds:
             break
         if totals is None:
-            totals = plain(base.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+            totals = plain(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
         scans += rounds
-        looked = fresh if looked is None else looked.unionByName(fresh)
+        looked.append(fresh)
         searched = accepted
-        every = scans[0]
-        for scan in scans[1:]:
-            every = every.unionByName(scan)
-        seen = every.where(F.col("kind") == CONTEXT).select(F.col("a").alias("pattern"), F.col("b").alias("instance"))
-        positive = plain(positive.unionByName(seen).distinct(), "contexts")
+        every = union(scans)
+        seen = every.where(F.col("kind") == CONTEXT).groupBy(F.col("a").alias("pattern"), F.col("b").alias("instance")).agg(F.sum("n").alias("n"))
+        positive = plain(seeds.unionByName(seen), "contexts")
         edges = plain(
-            every.where(F.col("kind") == FILLER).groupBy(F.col("a").alias("pattern"), F.col("b").alias("instance")).agg(F.first("words").alias("words")),
+            every.where(F.col("kind") == FILLER).groupBy(F.col("a").alias("pattern"), F.col("b").alias("instance"))
+            .agg(F.sum("n").alias("n"), F.first("words").alias("words")),
             "edges",
         )
         inside = plain(every.where(F.col("kind") == WORD).groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("inside")), "inside")
         away = F.col("n") - F.col("inside")
         ordinary = plain(inside.join(totals, "word").where((away >= elsewhere) & (away > F.col("inside"))).select("word"), "ordinary")
-        fillers = plain(edges.groupBy("instance").agg(F.first("words").alias("words")), "fillers")
-        plain_words = fillers.select("instance", F.explode("words").alias("word"))
-        rare = plain(plain_words.join(ordinary, "word", "left_anti").select("instance").distinct().withColumn("rare", F.lit(True)), "rare")
-        known = positive.withColumn("known", F.lit(True))
-        judged = edges.select("pattern", "instance").join(rare, "instance", "left")
-        if accepted is not None:
-            judged = judged.join(accepted.withColumn("ours", F.lit(True)), "instance", "left")
-        else:
-            judged = judged.withColumn("ours", F.lit(None).cast("boolean"))
-        judged = plain(judged, "judged")
-        both = judged.join(known, ["pattern", "instance"], "full_outer").join(looked, "pattern", "left_semi")
-        good = F.coalesce("known", "ours", F.lit(False))
-        count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
-        rest = ~good
-        wrong = count(rest & F.col("rare").isNull()) + unknown * count(rest & F.col("rare").isNotNull())
-        share = count(good) / (count(good) + wrong)
-        sure = plain(both.groupBy("pattern").agg(share.alias("p"), count(good).alias("n")).where((F.col("p") >= confident) & (F.col("n") >= min_seeds)).select("pattern"), "sure")
+        fillers = plain(edges.groupBy("instance").agg(F.first("words").alias("words")).select("instance", F.explode("words").alias("word")), "fillers")
+        rare = plain(fillers.join(ordinary, "word", "left_anti").select("instance").distinct().withColumn("rare", F.lit(True)), "rare")
+        ours = F.lit(None).cast("boolean").alias("ours")
+        judged = edges.select("pattern", "instance", "n").join(rare, "instance", "left")
+        judged = plain(judged.select("*", ours) if accepted is None else judged.join(accepted.withColumn("ours", F.lit(True)), "instance", "left"), "judged")
+        # Occurrences and different instances by pattern: of seeds, accepted ones, contradicted ones and others.
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        good = F.col("ours").isNotNull()
+        rows = judged.select(
+            "pattern", F.when(good, F.col("n")).otherwise(zero).alias("good"), F.when(good, one).otherwise(zero).alias("instances"),
+            F.when(~good & F.col("rare").isNull(), F.col("n")).otherwise(zero).alias("wrong"),
+            F.when(~good & F.col("rare").isNotNull(), F.col("n")).otherwise(zero).alias("open"),
+        ).unionByName(
+            seeds.join(union(looked), "pattern", "left_semi").select("pattern", F.col("n").alias("good"), one.alias("instances"), zero.alias("wrong"), zero.alias("open"))
+        )
+        sums = rows.groupBy("pattern").agg(*(F.sum(c).alias(c) for c in ("good", "instances", "wrong", "open")))
+        share = F.col("good") / (F.col("good") + F.col("wrong") + unknown * F.col("open"))
+        sure = plain(sums.where((share >= confident) & (F.col("instances") >= min_seeds)).select("pattern"), "sure")
         found = judged.where("rare").join(sure, "pattern", "left_semi").select("instance")
         accepted = plain((found if accepted is None else found.unionByName(accepted)).distinct(), "accepted")
     spans = None

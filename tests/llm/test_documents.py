@@ -251,53 +251,62 @@ def brute_contexts(rows):
         docs.append((d, t or "", words, base))
     around = lambda w, i, j: ([("L", w[i - 2][5], w[i - 1][5])] if i >= 2 else []) + ([("B", w[i - 1][5], w[j + 1][5])] if i and j + 1 < len(w) else [])
     touched = lambda base, w, i, j: any(w[k][2] < e and w[k][3] > a for a, e in base for k in range(i, j + 1))
-    positive, total = set(), collections.Counter()
+    seeds, total = collections.Counter(), collections.Counter()
     for _, t, w, base in docs:
         total.update(x[4] for x in w)
         for a, e in base:
             i = max(k for k, x in enumerate(w) if x[0] <= a)
             j = max(k for k, x in enumerate(w) if x[0] <= e - 1)
-            positive |= {(p, ("seed", t[a:e].lower())) for p in around(w, i, j)}
-    looked, accepted = set(), set()
+            seeds.update((p, ("seed", t[a:e].lower())) for p in around(w, i, j))
+
+    number = lambda x: re.search("[0-9]", x) and not re.search("[A-Za-z]|[^\x00-\x7f]", x)
+
+    def slots(w, patterns):
+        for i in range(len(w)):
+            if i >= 2 and ("L", w[i - 2][5], w[i - 1][5]) in patterns:
+                n = 1
+                while n < pii.SLOT and i + n < len(w) and re.search("[0-9]", w[i][4]) and number(w[i + n][4]):
+                    n += 1
+                yield ("L", w[i - 2][5], w[i - 1][5]), i, i + n - 1
+            for n in range(1, pii.SLOT + 1):
+                if i and i + n < len(w) and ("B", w[i - 1][5], w[i + n][5]) in patterns and not any(w[k][5] == w[i + n][5] for k in range(i + 1, i + n)):
+                    yield ("B", w[i - 1][5], w[i + n][5]), i, i + n - 1
+
+    def able(positive):
+        distinct, times = collections.Counter(p for p, _ in positive), collections.Counter()
+        for (p, _), n in positive.items():
+            times[p] += n
+        enough = {p for p, n in distinct.items() if n >= pii.MIN_SEEDS}
+        count = collections.Counter(p for _, _, w, _ in docs for p, _, _ in slots(w, enough))
+        return {p for p in enough if times[p] >= pii.CONFIDENT * (times[p] + pii.UNKNOWN * max(0, count[p] - times[p]))}
+
+    looked, accepted, positive = set(), set(), seeds
     while True:
-        count = collections.Counter(p for p, _ in positive)
-        patterns = {p for p, n in count.items() if n >= pii.MIN_SEEDS} | looked
-        edges, inside, spans = {}, collections.Counter(), set()
+        patterns = able(positive) | looked
+        edges, inside, spans, seen = collections.Counter(), collections.Counter(), {}, collections.Counter()
         for d, t, w, base in docs:
-            filled = []
             for i in range(len(w)):
-                if i >= 2 and ("L", w[i - 2][5], w[i - 1][5]) in patterns:
-                    n = 1
-                    number = lambda x: re.search("[0-9]", x) and not re.search("[A-Za-z]|[^\x00-\x7f]", x)
-                    while n < pii.SLOT and i + n < len(w) and re.search("[0-9]", w[i][4]) and number(w[i + n][4]):
-                        n += 1
-                    filled.append((("L", w[i - 2][5], w[i - 1][5]), i, i + n - 1))
-                for n in range(1, pii.SLOT + 1):
-                    if i and i + n < len(w) and ("B", w[i - 1][5], w[i + n][5]) in patterns and not any(w[k][5] == w[i + n][5] for k in range(i + 1, i + n)):
-                        filled.append((("B", w[i - 1][5], w[i + n][5]), i, i + n - 1))
                 for n in range(1, pii.SLOT + 1):
                     name = tuple(x[4] for x in w[i : i + n])
                     if i + n <= len(w) and name in accepted and not touched(base, w, i, i + n - 1):
-                        spans.add((d, w[i][2], w[i + n - 1][3]))
-                        positive |= {(p, name) for p in around(w, i, i + n - 1)}
-            filled = [(p, i, j) for p, i, j in filled if not touched(base, w, i, j) and any(w[k][4] for k in range(i, j + 1))]
-            edges |= {(p, tuple(w[k][4] for k in range(i, j + 1))): None for p, i, j in filled}
+                        spans[d, w[i][2]] = min(w[i + n - 1][3], spans.get((d, w[i][2]), 10**9))
+                        seen.update((p, name) for p in around(w, i, i + n - 1))
+            filled = [(p, i, j) for p, i, j in slots(w, patterns) if not touched(base, w, i, j) and any(w[k][4] for k in range(i, j + 1))]
+            edges.update((p, tuple(w[k][4] for k in range(i, j + 1))) for p, i, j in filled)
             inside.update(w[k][4] for k in {k for _, i, j in filled for k in range(i, j + 1)})
+        positive = seeds + seen
         ordinary = {x for x, n in inside.items() if total[x] - n >= pii.ELSEWHERE and total[x] - n > n}
         fresh = set()
         for p in patterns:
-            mine = {name for q, name in edges if q == p}
-            good = {name for q, name in positive if q == p} | (mine & accepted)
-            rest = mine - good
-            wrong = {name for name in rest if all(x in ordinary for x in name)}
-            if len(good) >= pii.MIN_SEEDS and len(good) / (len(good) + len(wrong) + pii.UNKNOWN * len(rest - wrong)) >= pii.CONFIDENT:
+            mine = {name: n for (q, name), n in edges.items() if q == p}
+            good = sum(n for (q, _), n in seeds.items() if q == p) + sum(n for name, n in mine.items() if name in accepted)
+            different = sum(q == p for q, _ in seeds) + sum(name in accepted for name in mine)
+            wrong = sum(n for name, n in mine.items() if name not in accepted and all(x in ordinary for x in name))
+            rest = sum(mine.values()) - wrong - sum(n for name, n in mine.items() if name in accepted)
+            if different >= pii.MIN_SEEDS and good / (good + wrong + pii.UNKNOWN * rest) >= pii.CONFIDENT:
                 fresh |= {name for name in mine if not all(x in ordinary for x in name)}
-        again = collections.Counter(p for p, _ in positive)
-        if fresh <= accepted and patterns == looked and {p for p, n in again.items() if n >= pii.MIN_SEEDS} <= looked:
-            shortest = {}
-            for d, a, b in spans:
-                shortest[d, a] = min(b, shortest.get((d, a), b))
-            return {(d, a, b) for (d, a), b in shortest.items()}
+        if fresh <= accepted and able(positive) <= patterns == looked:
+            return {(d, a, b) for (d, a), b in spans.items()}
         accepted, looked = accepted | fresh, patterns
 
 
