@@ -1,10 +1,11 @@
 """Operator 3: secrets by patterns and by sliding-window entropy, with SQL functions only.
 
 Base kinds are assignments, access keys and hex strings. The method looks at every run of 20
-or more token characters: a window of ``WINDOW`` characters slides over it, and character
-counts are updated by the one that enters and the one that leaves. With g(c) = c log2 c, the
-entropy is log2 W - sum g(count) / W, so only the two changed terms of the sum are touched; g
-is a table of integers, so sums are exact. The threshold depends on the run's character class:
+or more token characters: a window of ``WINDOW`` characters slides over it, and at each step
+one character enters and one leaves. With g(c) = c log2 c, the entropy is log2 W - sum g(count)
+/ W, so only the two changed terms of the sum are touched: the step's increment follows from
+the counts of these two characters among the window's others, and the sums are running sums of
+the increments. g is a table of integers, so sums are exact; the work is linear in a run. The threshold depends on the run's character class:
 hex digits, a mixture with letters and digits, or letters without digits; digits alone are no
 secret. Windows over the threshold are merged. Windows that touch a string of ``KNOWN``, and
 spans inside a base span, are left out; the rest of such a run is judged like any other.
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import add_matches, quoted
+from .spans import add_matches, quoted, running_sum
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,7 +28,9 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # whole runs of hex digits, of 24 character
 
 WINDOW = 20
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+# A character of a known string has the code after the alphabet's.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+BLANK = len(ALPHABET)
 # Least bits a character in a window, by character class (fixed values).
 HEX_BITS, MIXED_BITS = 3.0, 3.75
 # Of 20 characters 17 must differ, which words and names joined without digits don't reach.
@@ -63,34 +66,21 @@ def most(bits: float, window: int) -> int:
 
 
 def _windows(codes: str, limit: str, window: int) -> str:
-    """SQL for the merged (start, stop) of windows of an array of character codes."""
-    g = "array(" + ", ".join(f"{x}L" for x in _table(window)) + ")"
-    spans = "cast(array() as array<struct<start: bigint, stop: bigint>>)"
-    start = (
-        f"named_struct('n', array_repeat(0, {len(ALPHABET) + 1}), 's', 0L, 'a', -1L, 'e', -1L, 'out', {spans})"
-    )
-    term = lambda c, by: f"(get({g}, get(t.n, {c}) + {by}) - get({g}, get(t.n, {c})))"
-    gone = f"IF(i >= {window}, get({codes}, i - {window}), -1)"
-    # first the counts and the sum, then the open region
-    slide = (
-        "named_struct("
-        f"'n', IF(new = old, t.n, transform(t.n, (v, k) -> v + IF(k = new, 1, 0) - IF(k = old, 1, 0))), "
-        f"'s', t.s + IF(new = old, 0L, {term('new', 1)} + IF(old < 0, 0L, {term('old', -1)})), "
-        "'a', t.a, 'e', t.e, 'out', t.out)"
-    )
-    slide = slide.replace("new", f"get({codes}, i)").replace("old", f"({gone})")
-    over = f"(i >= {window - 1} AND u.s <= {limit} AND get(u.n, {len(ALPHABET)}) = 0)"  # the last code is a known character
-    at = f"cast(i - {window - 1} as bigint)"
-    region = (
-        f"CASE WHEN NOT {over} THEN u "
-        f"WHEN u.a >= 0 AND {at} <= u.e THEN named_struct('n', u.n, 's', u.s, 'a', u.a, 'e', cast(i + 1 as bigint), 'out', u.out) "
-        f"ELSE named_struct('n', u.n, 's', u.s, 'a', {at}, 'e', cast(i + 1 as bigint), "
-        "'out', IF(u.a >= 0, concat(u.out, array(named_struct('start', u.a, 'stop', u.e))), u.out)) END"
-    )
-    # a one-element array binds the slid state to a name
-    step = f"element_at(transform(array({slide}), u -> {region}), 1)"
-    end = "t -> IF(t.a >= 0, concat(t.out, array(named_struct('start', t.a, 'stop', t.e))), t.out)"
-    return f"aggregate(sequence(0, size({codes}) - 1), {start}, (t, i) -> {step}, {end})"
+    """SQL for the merged (start, stop) of windows of an array of character codes that reach
+    ``limit`` and hold no code of ``BLANK``."""
+    g = _table(window)
+    step = "array(" + ", ".join(f"{g[c + 1] - g[c]}L" for c in range(window)) + ")"  # of a count that grows from c
+    among = lambda first, n, c: f"size(filter(slice({codes}, {first}, {n}), x -> x = {c}))"
+    enters = f"get({step}, {among(f'greatest(i - {window - 1}, 0) + 1', f'least(i, {window - 1})', 'c')})"
+    leaves = f"IF(i >= {window}, get({step}, {among(f'i - {window - 1}', window, f'get({codes}, i - {window})')} - 1), 0L)"
+    named = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    whole = f"NOT array_contains(slice({codes}, i - {window - 2}, {window}), {BLANK})"
+    ends = f"filter(sequence(0, size({codes}) - 1), i -> i >= {window - 1} AND get(s, i) <= {limit} AND {whole})"
+    first = f"filter(p, (x, k) -> k = 0 OR x - get(p, k - 1) > {window})"
+    last = f"filter(p, (x, k) -> k = size(p) - 1 OR get(p, k + 1) - x > {window})"
+    spans = f"transform(f, (x, k) -> named_struct('start', cast(x - {window - 1} as bigint), 'stop', cast(get(l, k) + 1 as bigint)))"
+    regions = named(first, "f", named(last, "l", spans))
+    return named(f"transform({codes}, (c, i) -> {enters} - {leaves})", "d", named(running_sum("d"), "s", named(ends, "p", regions)))
 
 
 def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = KNOWN) -> DataFrame:
@@ -99,7 +89,8 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...]
     end exclusive.
 
     A null or empty text has none; a null id is kept; rows that repeat give equal rows; other
-    columns are ignored; an empty table gives an empty one."""
+    columns are ignored; an empty table gives an empty one. A very long text is one task's work,
+    linear in its length."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     df = add_matches(df, "assign", "text", ASSIGN, group=2)
     df = add_matches(df, "access", "text", ACCESS)

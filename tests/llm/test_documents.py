@@ -139,6 +139,54 @@ def test_secrets(make, sample):
     assert secret_scan.secret_digests(secret_scan.scan_secrets(make([]))).count() == 0
 
 
+def brute_entropy(text):
+    """Spans of kind entropy by the module's rules, a window at a time."""
+    import math
+
+    base, out = secrets(text), []
+    for m in re.finditer(secret_scan.RUN, text):
+        run = m.group()
+        if not re.search("[A-Za-z]", run):
+            continue
+        bits = secret_scan.LETTER_BITS if not re.search("[0-9]", run) else secret_scan.HEX_BITS if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else secret_scan.MIXED_BITS
+        known = [False] * len(run)
+        for k in re.finditer("|".join(secret_scan.KNOWN), run):
+            known[k.start() : k.end()] = [True] * (k.end() - k.start())
+        spans = []
+        for i in range(len(run) - 19):
+            n = collections.Counter(run[i : i + 20]).values()
+            if not any(known[i : i + 20]) and math.log2(20) - sum(c * math.log2(c) for c in n) / 20 >= bits - 1e-6:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + 20
+                else:
+                    spans.append([i, i + 20])
+        out += [(m.start() + a, m.start() + b) for a, b in spans]
+    return [(a, b) for a, b in out if not any(x <= a and b <= y for x, _, y in base)]
+
+
+def test_all_spans_equal_brute_force(make, sample):
+    r = random.Random(12)
+    rows = sample + SECRETS + ODD
+    for k in range(60):
+        pieces = ["example", "0123456789", "https", "".join(r.choices("abcdef0123456789", k=30)), "".join(r.choices(secret_scan.ALPHABET, k=r.randrange(10, 60))), "aaaa", "Zk8sQ2vT9xLmB4nR7pW1cY6d"]
+        rows.append((2000 + k, " ".join("".join(r.choices(pieces, k=r.randrange(1, 9))) for _ in range(3))))
+    got = secret_scan.scan_secrets(make(rows)).collect()
+    mine = sorted(((x.doc_id, [(e.start, e.stop) for e in x.entropy]) for x in got), key=key)
+    assert mine == sorted(((i, brute_entropy(t or "")) for i, t in rows), key=key)
+    assert sum(len(x[1]) for x in mine) > 60
+
+
+def test_windows_of_a_long_run_are_linear(make):
+    import time
+
+    r = random.Random(3)
+    blob = "".join(r.choices(secret_scan.ALPHABET[:64], k=1_000_000))
+    began = time.time()
+    row = secret_scan.scan_secrets(make([(1, blob)])).collect()[0]
+    assert time.time() - began < 30
+    assert row.entropy[0].start < 100 and row.entropy[-1].stop > 999_000
+
+
 def entropy_spans(text, bits, window=20):
     import math
 

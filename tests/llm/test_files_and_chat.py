@@ -168,6 +168,23 @@ def test_real_license_texts(spark):
     assert got == {p: (license, via) for p, _, license, via in files}
 
 
+def test_identifier_lines_and_sentences(spark):
+    lines = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "/* SPDX-License-Identifier: BSD-3-Clause */": "BSD-3-Clause", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+        "This project is licensed under the Apache License 2.0 - see the LICENSE file for details.": "Apache-2.0", "License: GPLv3": "GPL-3.0",
+        "This project is licensed under the terms of the license file.": None, "no licence to kill, mit copyright": None,
+        "See the LICENSE file for details of the license": None,
+    }
+    rows = [(f"src{k}/main.c", f"{line}\n#include <x.h>\n{prose(k, 90)}\n", "r", "d") for k, line in enumerate(lines)]
+    files = spark.createDataFrame(rows, "path string, text string, __row string, __dir string")
+    got = {r.path: r for r in licenses.scan_licenses(files).collect()}
+    assert {r[0]: got[r[0]].license for r in rows} == dict(zip([r[0] for r in rows], lines.values(), strict=True))
+    assert all(r["__row"] == "r" and r["__dir"] == "d" for r in got.values())
+
+
 def test_license_cosine(spark):
     """Scores equal a plain TF-IDF over the same headers."""
     import re
