@@ -1003,6 +1003,24 @@ def q_ann_recall_fitted(spark, d):
     return both.agg(F.count_distinct("query_id").alias("n_queries"), (recall >= 0.9).alias("reached"))
 
 
+@register("ann_codes_recall")
+def q_ann_codes_recall(spark, d):
+    """K4 by product-quantised codes and an exact shortlist: whether recall@10 is 0.9 or more,
+    every vector as a query, and whether the shortlist is under a quarter of the vectors."""
+    from docsift.operators.ann import lists_for
+    from docsift.operators.knn import knn
+    from docsift.operators.pq import PqIndex
+
+    vecs = vecs_of(spark, d)
+    n = vecs.count()
+    idx = PqIndex.build(_ivf(spark, d, lists_for(n))).fit()
+    queries = vecs.select(F.col("id").alias("query_id"), "embedding")
+    exact = knn(idx.ivf.vectors.select("id", "embedding"), queries, 10).select("query_id", "id")
+    both = exact.join(idx.search(queries, 10).select("query_id", "id", F.lit(1.0).alias("found")), ["query_id", "id"], "left")
+    recall = F.avg(F.coalesce("found", F.lit(0.0)))
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), (recall >= 0.9).alias("reached"), F.lit(idx.shortlist < n / 4).alias("short"))
+
+
 @register("ann_recall")
 def q_ann_recall(spark, d):
     """Q4 for K4: recall@10 against the exact search at nprobe 1, 2, 4, 8; one search at 8."""
