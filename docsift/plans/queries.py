@@ -509,6 +509,24 @@ def q_retrieval_eval(spark, d):
 # --------------------------------------------------------------- JSON metadata
 
 
+@register("retrieval_trained")
+def q_retrieval_trained(spark, d):
+    """V6 + Q4: whether the embedder trained on the corpus finds more of the benchmark's texts (the
+    best document holds the text) than token counts do, at the same dimension."""
+    from docsift.operators.embed import HashingEmbedder, embed_documents
+    from docsift.operators.embed_svd import SvdEmbedder
+    from docsift.plans.evaluate import retrieval_eval
+
+    docs, queries = docs_of(spark, d), benchmark_queries(spark, d)
+    parts = None
+    for name, embedder in (("counts", HashingEmbedder(256)), ("trained", SvdEmbedder.fit(docs, 256))):
+        found = retrieval_eval(docs, embed_documents(docs, embedder), queries, embedder)
+        part = found.select(F.lit(name).alias("name"), F.col("hit").cast("int").alias("hit"))
+        parts = part if parts is None else parts.unionByName(part)
+    count = lambda n: F.sum(F.when(F.col("name") == n, F.col("hit")).otherwise(0))
+    return parts.agg(F.count_if(F.col("name") == "trained").alias("n_queries"), (count("trained") > count("counts")).alias("better"))
+
+
 def events_json(spark, d) -> DataFrame:
     """A JSON object per event: string, number, boolean, object and null values."""
     e = read_table(spark, d, "events")
