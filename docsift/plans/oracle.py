@@ -354,6 +354,15 @@ WITH {DOCS},
 last AS (SELECT CAST(conv_id AS VARCHAR) AS id, arg_max(text, CASE WHEN turn = 3 THEN 1 ELSE -1 - turn END) AS last FROM conversations GROUP BY conv_id)
 SELECT id, coalesce(last, '-') AS last FROM docs LEFT JOIN last USING (id)
 """
+SQL["metadata_search_indexed"] = SQL["metadata_search"]
+SQL["count_by_metadata_indexed"] = f"""
+WITH {DOCS}, {TOXIC},
+left_ AS (SELECT id, lang, source FROM docs WHERE id NOT IN (SELECT id FROM gone)),
+edits AS (SELECT CAST(doc_id AS VARCHAR) AS id, max(CAST(quality AS VARCHAR)) AS value FROM labels GROUP BY doc_id),
+meta AS (SELECT 'lang' AS key, lang AS value FROM left_
+         UNION ALL SELECT 'source', coalesce(e.value, source) FROM left_ LEFT JOIN edits e USING (id))
+SELECT key, value, count(*) AS count FROM meta GROUP BY key, value
+"""
 SQL["metadata_delete"] = f"""
 WITH {DOCS}
 SELECT id AS document_id, 'lang' AS key, lang AS value FROM docs

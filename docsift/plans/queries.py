@@ -223,6 +223,33 @@ def q_list_by_metadata(spark, d):
     return res.select("id", "text", meta_str().alias("metadata"))
 
 
+def metadata_index(spark, d):
+    from docsift.operators.metadata_index import MetadataIndex
+    from docsift.session import scratch_path
+
+    return MetadataIndex.build(docs_of(spark, d), scratch_path(spark, "metadata"))
+
+
+@register("metadata_search_indexed")
+def q_metadata_search_indexed(spark, d):
+    """F4 + T3 through the clustered table: as ``metadata_search``."""
+    return _show_results(metadata_index(spark, d).search(docs_of(spark, d), "lang", "fr", k=10), with_query=False)
+
+
+@register("count_by_metadata_indexed")
+def q_count_by_metadata_indexed(spark, d):
+    """A2 through the clustered table, after documents were edited and deleted."""
+    from docsift.operators.metadata import put_metadata
+    from docsift.operators.mutate import delete
+    from docsift.session import scratch_path
+
+    docs, gone = docs_of(spark, d), _toxic_and_missing_ids(spark, d)
+    edits = _label_edits(spark, d, "source")
+    after = put_metadata(delete(docs, gone)[0], edits)
+    index = metadata_index(spark, d).after(gone.select("id").unionByName(edits.select("id")), after, scratch_path(spark, "metadata"))
+    return index.count_grouped()
+
+
 @register("list_by_metadata_capped")
 def q_list_by_metadata_capped(spark, d):
     """T4 as the reference's client sees it: the first 1000 matches."""
