@@ -377,3 +377,44 @@ def test_email_scan_is_linear():
     assert list(pii.emails("a" * 2_000_000 + " x@y.z")) == [(2_000_001, 2_000_006)]
 
 
+
+
+def test_quality_scores_and_threshold_equal_brute_force(spark, make):
+    import math
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from docsift.llm.words import texts_of, word_chunks
+
+    r, bits, tail = random.Random(21), 8, 0.1
+    good = [f"g{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choices(good if i % 3 else [f"b{i % 7}", "spam", *good[:5]], k=r.randrange(20, 60)))) for i in range(240)]
+    rows += [(900, None), (901, "two words"), (902, "g1 " * 40)]
+    labels = [(i, 1 if i % 3 or i % 4 == 0 else 0, int(i % 11 == 0)) for i in range(0, 240, 2)]
+    got = {x.doc_id: x for x in quality.quality(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), bits, tail).collect()}
+
+    def buckets(text):
+        found = [quality._buckets(w, bits)[1].tolist() for w in word_chunks(texts_of(pa.array([text], pa.string())))]
+        return found[0] if found else []
+
+    bags = {i: buckets(t) for i, t in rows}
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
+    fold = {x.doc_id: x.fold for x in ids.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")).collect()}
+    trusted = {i for i, q, toxic in labels if q == 1 and not toxic}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, bag in bags.items():
+        raw.update(bag)
+        if i in trusted and fold[i] == 0:
+            target.update(bag)
+    size = 1 << bits
+    log = lambda c, b: math.log((c[b] + 1) / (c.total() + size))
+    weight = [round((log(target, b) - log(raw, b)) * 10**6) for b in range(size)]
+    score = {i: math.floor(sum(weight[b] for b in bag) / len(bag)) if bag else 0 for i, bag in bags.items()}
+    held = sorted(score[i] // quality.BIN for i in trusted if fold[i] == 1 and bags[i])
+    # The largest bin edge under which at most the tail of the held-out trusted scores lie.
+    edge = max(b for b in set(held) if sum(x < b for x in held) <= tail * len(held)) * quality.BIN
+    for i, t in rows:
+        assert got[i].score == pytest.approx(score[i] / 10**6, abs=2e-6), i
+        assert got[i].kept == (not measures(t)[-1] and score[i] >= edge), i
+    assert {got[i].kept for i, t in rows if not measures(t)[-1]} == {True, False}
