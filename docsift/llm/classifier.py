@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .common import U64, mix, remove, written
 from .words import SPACE, Words, grams, hash_spans, texts_of, word_chunks
 
@@ -213,6 +215,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     label every score is 0.5. An empty table gives no rows. Other columns, ``lang`` and ``source``
     among them, are not used. A very long text is one task's work, in linear memory."""
     spark = docs.sparkSession
+    ship_package(spark)
     fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS).cast("long")
     columns = [f"s{i}" for i in range(len(STATISTICS))]
     schema = "doc_id long, fold long, " + ", ".join(f"{c} double" for c in columns)

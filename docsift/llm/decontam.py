@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .common import U64, matching, text_key
 from .words import chunks, texts_of
 
@@ -335,6 +337,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: flo
     gives no rows. A very long text is one task's work, in memory of about 60 bytes a character.
     The driver holds ``pass_chars`` characters of the benchmark at a time."""
     spark = docs.sparkSession
+    ship_package(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", text_key())
     schema = "doc_id long, tkey long, item_id long, start long, end long, edits long"
     passes, size = [[]], 0

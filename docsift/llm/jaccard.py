@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .common import U64, chain, checkpointed, components, mix, remove, seed, text_key, written
 from .words import grams, texts_of, word_chunks
 
@@ -399,6 +401,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     nothing: n_copies 1, n_links 0, and their own id as class_id and group_id. An empty
     table gives no rows. A very long text costs 8 bytes a word in each cell of its block."""
     lam = threshold if lam is None else lam
+    ship_package(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "tkey", text_key()
     )

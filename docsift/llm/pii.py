@@ -38,6 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .common import U64, chain, mix, remove, seed, text_key, written
 from .words import SPACE, chunks, grams, hash_spans, texts_of
 
@@ -497,6 +499,7 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     A null or empty text has none. A null id is kept as null; equal rows get equal results, and
     count once for each pattern and instance. Other columns are ignored; an empty table gives no
     rows. A very long text is one task's work, in linear memory."""
+    ship_package(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tkey", text_key())
     found, found_at = written(base.mapInArrow(_seeds, _FOUND), "pii")
     extra, scratches = bootstrap(base, found.select(F.inline("links")), **options)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .common import U64, checkpointed, matching, mix, text_key
 from .words import SPACE, grams, hash_spans, texts_of, word_chunks
 
@@ -174,6 +176,7 @@ def quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, tail: float =
     A null or empty text has no words and fails the base rules. A null doc_id is never
     trusted; the row is judged all the same. Repeated rows and labels change nothing but
     the corpus counts. Without held-out trusted documents only the base rules reject."""
+    ship_package(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))

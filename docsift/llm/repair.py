@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docsift.session import ship_package
+
 from .common import checkpointed
 
 ROWS = 250_000
@@ -475,6 +477,7 @@ def repair_edits(rows: DataFrame) -> DataFrame:
 
     Rows go by turn (nulls first), then role, then SHA-256 of the text, which orders ties."""
     spark = rows.sparkSession
+    ship_package(spark)
     key = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "digest")]
     facts = checkpointed(_facts(rows).withColumn("initial", F.left("role", F.lit(1))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.count() // ROWS))

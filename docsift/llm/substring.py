@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .common import U64, chain, checkpointed, remove, text_key, written
 from .words import grams, texts_of, word_chunks
 
@@ -192,6 +194,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     A null text has no words. A null doc_id has no order: such a row is neither a
     source nor shortened. Rows that repeat an id aren't sources for each other."""
     spark = docs.sparkSession
+    ship_package(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "key", text_key()
     )

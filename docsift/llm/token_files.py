@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .bpe import Encoder
 from .common import U64, remove, text_key, written
 
@@ -226,6 +228,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sc
     text is empty, and an empty text is ``end_id`` alone. A null id comes first; rows that
     repeat an id are ordered by a hash of their text. An empty table writes no blocks."""
     spark = docs.sparkSession
+    ship_package(spark)
     encoder = Encoder.of(tokenizer)
     dtype = np.dtype(encoder.dtype).newbyteorder("<").str
     vocabulary = max(encoder.lib.get_vocab_size(), end_id + 1)
@@ -282,6 +285,7 @@ def _decode(freq: np.ndarray, bits: int, lanes: int, every: int, with_ids: bool)
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Documents of the files at ``path``: doc_id, start (ids before it), n_tokens,
     ids_crc32 and, unless left out, ids. A block whose checksum differs raises."""
+    ship_package(spark)
     head = spark.read.schema(_FORMAT).parquet(f"{path}/format").first()
     if head["version"] != VERSION:
         raise ValueError(f"unknown version {head['version']}")

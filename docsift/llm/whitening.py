@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import ship_package
+
 from .common import remove, written
 
 SCALE, OFFSET = 64, 1_000_000
@@ -275,6 +277,7 @@ def whiten(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
     give no rows, as does an empty table. ``deviation`` is null where a long can't hold it, which
     takes about 10 million vectors. Other columns are not used. An entry beyond 7e16 raises."""
     spark = rows.sparkSession
+    ship_package(spark)
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     least = vectors.select("embedding").mapInArrow(_least, "dim int, low long, short int")
     least = least.groupBy("dim").agg(F.min("low"), F.min("short")).orderBy("dim").collect()  # a row a dimension
