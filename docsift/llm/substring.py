@@ -43,7 +43,11 @@ _PATHS = "anchor long, path long, doc_id long, key long, start long, n int, edge
 
 
 def _runs(words, window: int, gram: int):
-    """Paths of a chunk: (row, first window, windows, minimizer hash, window hashes)."""
+    """Paths of a chunk: (row, first window, windows, minimizer hash, window hashes).
+
+    A path is a run of windows with one minimizer hash, wherever in the window it lies, so a
+    run of one word isn't a path a window. It has at most as many windows as keep the first
+    and the last one adjoining: these two and the length then fix all of its words."""
     edges = grams(words.hash, window)
     ok = words.spans(window)
     if not ok.any():
@@ -59,14 +63,16 @@ def _runs(words, window: int, gram: int):
         done += step
     at = best[: len(edges)]
     index = np.flatnonzero(ok)
-    at = at[index]
+    least = g[at[index]]
     row = words.row[index]
     new = np.ones(len(index), dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+    begun = np.flatnonzero(new)
+    new[(np.arange(len(index)) - np.repeat(begun, np.diff(np.append(begun, len(index))))) % width == 0] = True
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(index)))
     start = index[first]
-    return row[first], start, n, g[at[first]], edges
+    return row[first], start, n, least[first], edges
 
 
 def _scan(window: int, gram: int):

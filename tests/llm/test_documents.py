@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from brute import measures, near, personal, secrets, sha, shingles, substrings
 from conftest_llm import ODD, key, prose
@@ -112,6 +113,24 @@ def test_substrings(make, sample):
     assert substring.substring_digests(make([])).count() == 0
 
 
+def test_substrings_of_runs_of_one_word(make):
+    """Runs, short periods, and runs whose windows keep one minimizer while a word amid them differs."""
+    rows = [(600 + k, "x " * k) for k in (30, 49, 50, 51, 90, 91, 92, 133, 400)]
+    rows += [(620 + k, "a b c " * k) for k in (10, 17, 40, 41, 120)]
+    rows += [(700 + k, "x " * 60 + f"m{k // 2} " + "x " * (60 + k % 2)) for k in range(80)]
+    rows += [(800 + k, f"m{k} " + "x " * 300 + f"n{k}") for k in range(5)]
+    got = substring.dedup_substrings(make(rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(substrings(rows))
+
+
+def test_a_run_of_one_word_is_few_paths():
+    from docsift.llm.words import word_chunks
+
+    (w,) = word_chunks(pa.array(["x " * 20000 + prose(4, 500)], pa.large_string()))
+    n = substring._runs(w, 50, 10)[2]
+    assert n.sum() == 20500 - 49 and n.max() <= 41 and len(n) < 20500 / 41 + 100
+
+
 def test_substrings_other_window(make):
     rows = [(i, prose(20, 40) + " " + prose(i, 30)) for i in range(30, 40)] + [(50, "a b c d e f"), (51, "z b c d e y")]
     got = substring.dedup_substrings(make(rows), window=4, gram=2).collect()
