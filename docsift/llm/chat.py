@@ -9,9 +9,11 @@ some already, which ``unescape`` takes out again. So the rendered text can be sp
 Positions come from prefix sums of the segments' lengths, and the loss mask, over the texts of
 assistant turns, is the running sum of +1 where such a text begins and -1 where it ends.
 
-Turns are shuffled once by conv_id and sorted; a conversation streams through a task in turn
-order and is never held as a whole, so a very long one costs time in one task (its digests are
-sequential by definition) but no memory."""
+Turns are dealt by range of (conv_id, turn, role, text) and sorted, so one conversation, or all
+rows without conv_id, lies over as many tasks as its rows fill. A task counts turns and tokens
+from its own first row on; what earlier partitions hold of a conversation is added afterwards.
+Nothing is held whole. Only ``conversation_digests`` goes by conversation, as a SHA-256 is
+sequential: a very long one costs time in one task there, but no memory."""
 
 from __future__ import annotations
 
@@ -21,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.session import ship_package
 
 from .bpe import Encoder
+from .common import written
 from .words import texts_of
 
 # The marks, in the order of their reserved ids (fixed values).
@@ -44,10 +47,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|\2|>", text) if "|im_" in text else text
 
 
-def _sorted(df: DataFrame, *order: str) -> DataFrame:
+# Characters of roles and texts that ranges are cut by (a row's whole text isn't sampled).
+RANGE_CHARS = 32
+
+
+def _parts(df: DataFrame) -> int:
     ship_package(df.sparkSession)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "conv_id").sortWithinPartitions("conv_id", *order)
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 _OUT = "conv_id long, turn_index long, first_token long, ids array<int>, loss_mask array<byte>"
@@ -109,16 +115,35 @@ def _assemble(path: str):
     return run
 
 
+def _carried(placed: DataFrame) -> DataFrame:
+    """``placed`` with the turns and tokens that earlier partitions hold of each conversation
+    added to its positions. Only the first conversation of a partition can have begun in
+    another, so what is joined is a row a partition at most, and broadcast."""
+    held = placed.groupBy("conv_id", "part").agg(F.count("*").alias("turns"), F.sum(F.size("ids")).alias("tokens"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("part", F.col("conv_id").alias("conv"), F.sum("turns").over(before).alias("turns"), F.sum("tokens").over(before).alias("tokens"))
+    earlier = F.broadcast(held.where("turns is not null").withColumnRenamed("part", "at"))
+    mine = (F.col("part") == F.col("at")) & F.col("conv_id").eqNullSafe(F.col("conv"))
+    more = lambda own, add: (F.col(own) + F.coalesce(add, F.lit(0))).alias(own)
+    return placed.join(earlier, mine, "left").select("conv_id", more("turn_index", "turns"), more("first_token", "tokens"), "ids", "loss_mask")
+
+
 def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each row of ``turns (conv_id, turn, role, text)``: conv_id, turn_index (0, 1,
     ... by turn; ties by role, then text), first_token (ids of the conversation before the
     turn), ids and loss_mask.
 
     Null roles and texts are empty, and a null turn comes first. Rows without conv_id are one
-    conversation. Repeated rows are turns of their own; an empty table gives none; other
-    columns are ignored."""
-    base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return _sorted(base, "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_assemble(tokenizer), _OUT)
+    conversation. Repeated rows are turns of their own, and lie in one partition; an empty
+    table gives none; other columns are ignored. A text is encoded whole, in one task."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *said)
+    ranges = ["conv_id", "turn", *(F.substring(c, 1, RANGE_CHARS) for c in ("role", "text"))]
+    dealt = base.repartitionByRange(_parts(turns), *ranges).sortWithinPartitions("conv_id", "turn", "role", "text")
+    assembled = dealt.select("conv_id", "role", "text").mapInArrow(_assemble(tokenizer), _OUT)
+    # Written once: ranges are cut from a sample, and positions hold for one cut only.
+    placed, _ = written(assembled.withColumn("part", F.spark_partition_id()), "placed-turns")
+    return _carried(placed)
 
 
 def _parse(path: str):
@@ -194,7 +219,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def conversation_digests(parsed: DataFrame) -> DataFrame:
     """One row a conversation of ``read_conversations``: counts and digests."""
-    return _sorted(parsed, "turn_index").mapInArrow(_digest, _DIGEST)
+    in_order = parsed.repartition(_parts(parsed), "conv_id").sortWithinPartitions("conv_id", "turn_index")
+    return in_order.mapInArrow(_digest, _DIGEST)
 
 
 def write_conversations(turns: DataFrame, path: str, tokenizer: str) -> None:

@@ -431,6 +431,34 @@ def test_chat(spark):
     assert chat.format_conversations(turns.limit(0), tokenizer_file()).count() == 0
 
 
+def test_a_long_conversation_lies_over_many_partitions(spark, monkeypatch):
+    r, parts = random.Random(7), []
+    rows = [(c, i if c else None, r.choice(["user", "assistant"]), prose(1000 * (c or 0) + i, r.randrange(9)))
+            for c, n in ((9, 700), (None, 300), (1, 2), (12, 40)) for i in range(n)]
+    r.shuffle(rows)
+
+    def seen(df, name):
+        out = written(df, name)
+        parts.extend(out[0].select("conv_id", "part").distinct().collect())
+        return out
+
+    written = chat.written
+    monkeypatch.setattr(chat, "written", seen)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(turns, tokenizer_file())
+    got = {(x.conv_id, x.turn_index): (x.first_token, len(x.ids)) for x in formatted.collect()}
+    spread = collections.Counter(p.conv_id for p in parts)
+    assert spread[9] > 3 and spread[None] > 1
+    back = {(x.conv_id, x.turn_index): (x.role, x.text) for x in chat.read_conversations(formatted, tokenizer_file()).collect()}
+    assert len(got) == len(back) == len(rows)
+    for c in (9, None, 1, 12):
+        own = [x[2:] for x in sorted((x for x in rows if x[0] == c), key=lambda x: x[2:] if c is None else x[1:])]
+        token = 0
+        for i, said in enumerate(own):
+            assert back[c, i] == said and got[c, i][0] == token
+            token += got[c, i][1]
+
+
 def test_escape_is_reversible():
     r = random.Random(2)
     parts = ["<|im_end|>", "<\\|im_end|>", "<|im_sep|>", "\\", "<", "|im_start|>", "|", ">", "im_", "a"]
