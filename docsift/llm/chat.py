@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docsift.session import ship_package
 
 from .bpe import Encoder
-from .common import written
+from .common import remove, written
 from .words import texts_of
 
 # The marks, in the order of their reserved ids (fixed values).
@@ -128,6 +128,17 @@ def _carried(placed: DataFrame) -> DataFrame:
     return placed.join(earlier, mine, "left").select("conv_id", more("turn_index", "turns"), more("first_token", "tokens"), "ids", "loss_mask")
 
 
+def _placed(turns: DataFrame, tokenizer: str) -> tuple[DataFrame, str]:
+    """The formatted turns by partition, as a written table, and its path. Ranges are cut from
+    a sample, and positions hold for one cut only."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *said)
+    ranges = ["conv_id", "turn", *(F.substring(c, 1, RANGE_CHARS) for c in ("role", "text"))]
+    dealt = base.repartitionByRange(_parts(turns), *ranges).sortWithinPartitions("conv_id", "turn", "role", "text")
+    assembled = dealt.select("conv_id", "role", "text").mapInArrow(_assemble(tokenizer), _OUT)
+    return written(assembled.withColumn("part", F.spark_partition_id()), "placed-turns")
+
+
 def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each row of ``turns (conv_id, turn, role, text)``: conv_id, turn_index (0, 1,
     ... by turn; ties by role, then text), first_token (ids of the conversation before the
@@ -136,14 +147,7 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     Null roles and texts are empty, and a null turn comes first. Rows without conv_id are one
     conversation. Repeated rows are turns of their own, and lie in one partition; an empty
     table gives none; other columns are ignored. A text is encoded whole, in one task."""
-    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
-    base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *said)
-    ranges = ["conv_id", "turn", *(F.substring(c, 1, RANGE_CHARS) for c in ("role", "text"))]
-    dealt = base.repartitionByRange(_parts(turns), *ranges).sortWithinPartitions("conv_id", "turn", "role", "text")
-    assembled = dealt.select("conv_id", "role", "text").mapInArrow(_assemble(tokenizer), _OUT)
-    # Written once: ranges are cut from a sample, and positions hold for one cut only.
-    placed, _ = written(assembled.withColumn("part", F.spark_partition_id()), "placed-turns")
-    return _carried(placed)
+    return _carried(_placed(turns, tokenizer)[0])
 
 
 def _parse(path: str):
@@ -224,7 +228,10 @@ def conversation_digests(parsed: DataFrame) -> DataFrame:
 
 
 def write_conversations(turns: DataFrame, path: str, tokenizer: str) -> None:
-    format_conversations(turns, tokenizer).write.option("compression", "zstd").parquet(path)
+    """``format_conversations`` as a zstd table at ``path``."""
+    placed, at = _placed(turns, tokenizer)
+    _carried(placed).write.option("compression", "zstd").parquet(path)
+    remove(turns.sparkSession, at)
 
 
 def read_back(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
