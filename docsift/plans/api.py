@@ -24,6 +24,7 @@ from docsift.operators.ann import IvfIndex, build_ivf, fit_nprobe, lists_for
 from docsift.operators.index import health as health_op
 from docsift.operators.index import publish_in_step, sync
 from docsift.operators.index import rebuild as rebuild_op
+from docsift.operators.list_upkeep import balanced
 from docsift.plans import search as search_ops
 from docsift.schema import DEFAULT_EF_SEARCH, DEFAULT_K, DEFAULT_TYPE
 from docsift.sources.store import DEFAULT_BUCKETS, Store
@@ -222,3 +223,19 @@ class Index:
         return self.lists(
             store.publish(parent=head, lists=built.vectors, centroids=built.centroids, synced=head.synced, nprobe=built.nprobe)
         )
+
+    def upkeep(self, most: int | None = None, k: int = DEFAULT_K, recall: float = 0.9) -> IvfIndex | None:
+        """K2: split lists that grew past ``most`` vectors, drop empty ones, fit the number of
+        lists a search probes again, and publish; nothing is published if all lists are fine.
+        None without lists."""
+        store, head = self.eng.store, self.eng.store.head()
+        if head is None or head.lists is None:
+            return None
+        index = self.lists(head)
+        after = balanced(index, most)
+        if after is index:
+            return index
+        after = fit_nprobe(after, k, recall)
+        return self.lists(
+            store.publish(parent=head, lists=after.vectors, centroids=after.centroids, synced=head.synced, nprobe=after.nprobe)
+        )

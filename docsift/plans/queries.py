@@ -1048,6 +1048,20 @@ def q_ann_recall_fitted(spark, d):
     return both.agg(F.count_distinct("query_id").alias("n_queries"), (recall >= 0.9).alias("reached"))
 
 
+@register("vector_list_upkeep")
+def q_vector_list_upkeep(spark, d):
+    """K2: two lists of all vectors, split until none is long; vectors whose list isn't that of
+    a full assignment, and whether all lists have at most LONG times the square root of n."""
+    from docsift.operators.ann import assign_lists, build_ivf
+    from docsift.operators.list_upkeep import LONG, balanced
+
+    after = balanced(build_ivf(vecs_of(spark, d).select("id", "embedding"), nlist=2, seed=7))
+    full = assign_lists(after.vectors.select("id", "embedding"), after.centroids).withColumnRenamed("list_id", "nearest")
+    both = after.vectors.select("id", "list_id").join(full.select("id", "nearest"), "id")
+    short = F.lit(bool(after.sizes.max() <= LONG * int(after.sizes.sum()) ** 0.5))
+    return both.agg(F.count("*").alias("n_vectors"), F.count_if(F.col("list_id") != F.col("nearest")).alias("misplaced")).withColumn("short", short)
+
+
 @register("ann_codes_recall")
 def q_ann_codes_recall(spark, d):
     """K4 by product-quantised codes and an exact shortlist: whether recall@10 is 0.9 or more,
