@@ -325,6 +325,10 @@ last AS (SELECT CAST(conv_id AS VARCHAR) AS id, arg_max(text, turn) AS text, ''
 """
 SQL["stamps"] = f"WITH {DOCS}, {CH}, {LAST}, {UPSERTED} SELECT id, created_at, updated_at FROM upserted"
 SQL["delete"] = f"WITH {DOCS}, {TOXIC} SELECT id FROM docs WHERE id NOT IN (SELECT id FROM gone)"
+SQL["text_search_after_edits"] = f"""
+WITH {DOCS}, {CH}, {LAST}, {UPSERTED}, {TOXIC}
+SELECT id FROM upserted WHERE {fold('text')} LIKE '%tion%' AND id NOT IN (SELECT id FROM gone)
+"""
 SQL["delete_report"] = f"""
 WITH {DOCS}, {TOXIC}
 SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM docs) THEN 'deleted' ELSE 'not_found' END AS status FROM gone

@@ -342,6 +342,21 @@ def q_text_search_indexed_non_ascii(spark, d):
     return trigram_index(spark, d).matches("Éle").select("id")
 
 
+@register("text_search_after_edits")
+def q_text_search_after_edits(spark, d):
+    """F3 through a trigram index that followed an upsert and a delete: every match of the
+    documents as they are then."""
+    from docsift.operators.mutate import delete, upsert
+    from docsift.operators.trigram_segments import SegmentedTrigrams
+    from docsift.session import scratch_path
+
+    docs, changes, gone = docs_of(spark, d), conversation_changes(spark, d), _toxic_and_missing_ids(spark, d)
+    index = SegmentedTrigrams.build(docs, scratch_path(spark, "trigram"))
+    edited, _ = upsert(docs, changes, MUT_AS_OF)
+    index = index.after(changes, edited)
+    return index.after(gone, delete(edited, gone)[0]).matches("tion").select("id")
+
+
 # --------------------------------------------------------------- vector functions
 
 
