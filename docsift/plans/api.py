@@ -25,6 +25,7 @@ from docsift.operators.index import health as health_op
 from docsift.operators.index import publish_in_step, sync
 from docsift.operators.index import rebuild as rebuild_op
 from docsift.operators.list_upkeep import balanced
+from docsift.operators.trigram_segments import SegmentedTrigrams
 from docsift.plans import search as search_ops
 from docsift.schema import DEFAULT_EF_SEARCH, DEFAULT_K, DEFAULT_TYPE
 from docsift.sources.store import DEFAULT_BUCKETS, Store
@@ -182,7 +183,7 @@ class Search:
             index = e.index.lists(head)
         return search_ops.search(
             e.store.documents(head), e.store.vectors(head), query, k, type, metadata, threshold, ef_search, e.embedder, index,
-            check_orphans=head is not None and not head.synced,
+            check_orphans=head is not None and not head.synced, trigrams=e.store.trigrams(head),
         )
 
     def semantic(self, query: str, k: int = DEFAULT_K, threshold: float = 0.0, ef_search: int = 350) -> DataFrame:
@@ -224,6 +225,13 @@ class Index:
             store.publish(parent=head, lists=built.vectors, centroids=built.centroids, synced=head.synced, nprobe=built.nprobe)
         )
 
+    def build_trigrams(self) -> SegmentedTrigrams:
+        """a trigram index of the texts, published; text searches go through it, and it
+        follows later edits."""
+        store, head = self.eng.store, self.eng.store.head()
+        built = SegmentedTrigrams.build(store.documents(head), store.root)
+        return store.trigrams(store.publish(parent=head, synced=head is not None and head.synced, trigrams=built))
+
     def upkeep(self, most: int | None = None, k: int = DEFAULT_K, recall: float = 0.9) -> IvfIndex | None:
         """K2: split lists that grew past ``most`` vectors, drop empty ones, fit the number of
         lists a search probes again, and publish; nothing is published if all lists are fine.

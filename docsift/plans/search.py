@@ -99,19 +99,22 @@ def search(
     embedder=None,
     index=None,
     check_orphans: bool = True,
+    trigrams=None,
 ) -> DataFrame:
     """Q3: the dispatcher. A metadata filter replaces the search (query, type and threshold
     ignored); then ``text``/``fulltext``; any other type is semantic. Returns
     [rank, id, text, score, metadata].
 
-    ``check_orphans=False`` when the vectors are known to be those of the documents."""
+    ``check_orphans=False`` when the vectors are known to be those of the documents. A text
+    search goes through the ``trigrams`` of the documents, if given."""
     if query is None:
         raise ValueError("Missing 'query' field")
     k = check_k(k)
     if metadata is not None:
         return metadata_search(docs, metadata.get("key"), metadata.get("value"), k)
     if type in TEXT_TYPES:
-        return _with_rank(text_search(docs, query, k, threshold)).select("rank", "id", "text", "score", "metadata")
+        hits = text_search(docs, query, k, threshold) if trigrams is None else trigrams.search(query, k, threshold)
+        return _with_rank(hits).select("rank", "id", "text", "score", "metadata")
     if embedder is None:
         raise ValueError("semantic search needs an embedder")
     return semantic_search(docs, vectors, query, embedder, k, threshold, ef_search, index, check_orphans)

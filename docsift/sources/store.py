@@ -7,6 +7,7 @@ Layout under ``root`` (any Hadoop file system path):
     lists-<unique>/list_id=L/      optional: vectors with their coarse list
     centroids-<unique>/            optional: a row a list, with its centroid and size
     ordinals-<unique>/bucket=B/    optional: the largest ordinal that ingest has applied to each id
+    segment-<unique>/              optional: segments of the trigram index of the texts
     v=N/pointer/                   one JSON row: the folder of each table of version N
 
 A publish writes its tables to fresh folders, then the pointer to one, which is renamed to
@@ -14,7 +15,9 @@ A publish writes its tables to fresh folders, then the pointer to one, which is
 a version, and a publish that was killed leaves folders that no pointer names and nothing
 reads: it blocks nothing. A table that a publish doesn't give is inherited. The head is the
 largest version with a pointer. A publish names the version it started from and fails if
-another was published meanwhile. ``retain`` removes old versions and what no pointer names.
+another was published meanwhile. Documents published over a version with a trigram index are
+compared with its documents by id, text hash and metadata, and the index follows what changed.
+``retain`` removes old versions and what no pointer names.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.operators.trigram_segments import Segment, SegmentedTrigrams
 from docsift.schema import DOCUMENTS, VECTOR_TYPE, VECTORS
 
 LISTS = T.StructType(
@@ -69,6 +73,21 @@ class Version:
     ordinals: str | None = None
     synced: bool = False  # the vectors are those of the documents
     nprobe: int = 1  # lists that a search of the lists probes
+    trigrams: list[dict] | None = None  # segments of the trigram index
+
+    def folders(self) -> set[str]:
+        """Folders that the version names, its own among them."""
+        tables = {getattr(self, t) for t in TABLES} - {None}
+        return tables | {s["name"] for s in self.trigrams or []} | {f"v={self.version}"}
+
+
+def changed_ids(before: DataFrame, after: DataFrame) -> DataFrame:
+    """[id] of the documents that were inserted, deleted, or have another text or metadata; reads
+    ids, text hashes and metadata. A document without a text hash counts as changed."""
+    said = lambda df, name: df.select("id", F.struct("text_hash", F.array_sort(F.map_entries("metadata")).alias("m")).alias(name))
+    both = said(before, "_was").join(said(after, "_is"), "id", "full_outer")
+    same = (F.col("_was.text_hash") == F.col("_is.text_hash")) & (F.col("_was.m") == F.col("_is.m"))
+    return both.filter(~F.coalesce(same, F.lit(False))).select("id")
 
 
 class Store:
@@ -140,6 +159,13 @@ class Store:
             return None
         return np.asarray([r["centroid"] for r in rows], dtype=np.float64), np.asarray([r["n"] for r in rows], dtype=np.int64)
 
+    def trigrams(self, version: Version | None = None) -> SegmentedTrigrams | None:
+        """The trigram index of a version's texts, or None."""
+        version = version or self.head()
+        if version is None or not version.trigrams:
+            return None
+        return SegmentedTrigrams(self.spark, self.root, tuple(Segment(**s) for s in version.trigrams))
+
     # ------------------------------------------------------------ writing
 
     def _write(self, df: DataFrame, table: str) -> str:
@@ -189,11 +215,13 @@ class Store:
 
     def publish(self, documents: DataFrame | None = None, vectors: DataFrame | None = None, parent: Version | None = None,
                 lists: DataFrame | None = None, centroids: np.ndarray | None = None, batch_id: int | None = None,
-                synced: bool = False, keep_lists: bool = True, nprobe: int | None = None, ordinals: DataFrame | None = None) -> Version:
+                synced: bool = False, keep_lists: bool = True, nprobe: int | None = None, ordinals: DataFrame | None = None,
+                trigrams: SegmentedTrigrams | None = None) -> Version:
         """Write the given tables as the version after ``parent`` (None: the first one); the
         others, the batch id and nprobe if none is given, are inherited. New vectors without
-        new lists drop the lists, as do ``keep_lists=False`` and its centroids. New lists are
-        counted, and their sizes stored with the centroids."""
+        new lists drop the lists; ``keep_lists=False`` drops them, their centroids and the trigram
+        index. New lists are counted, and their sizes stored with the centroids. The trigram index
+        follows new documents, unless one is given."""
         head = self.head()
         if (head and head.version) != (parent and parent.version):
             raise Conflict(f"started from version {parent and parent.version}, but the head is {head and head.version}")
@@ -205,10 +233,15 @@ class Store:
         if vectors is not None and lists is None:
             new.lists = None
         if not keep_lists:
-            new.lists = new.centroids = None
+            new.lists = new.centroids = new.trigrams = None
         for table, df in (("documents", documents), ("vectors", vectors), ("lists", lists), ("ordinals", ordinals)):
             if df is not None:
                 setattr(new, table, self._write(df, table))
+        if trigrams is None and documents is not None and new.trigrams:
+            written = self.documents(new)
+            trigrams = self.trigrams(parent).after(changed_ids(self.documents(parent), written), written)
+        if trigrams is not None:
+            new.trigrams = [asdict(s) for s in trigrams.segments]
         if centroids is None and lists is not None:
             centroids = self.centroids(parent)
         if centroids is not None:
@@ -234,14 +267,14 @@ class Store:
         ones may belong to a publish that is under way."""
         found = self.versions()
         kept = found[-max(1, n) :]
-        used = {getattr(v, t) for v in kept for t in TABLES} | {f"v={v.version}" for v in kept}
-        old = {getattr(v, t) for v in found for t in TABLES} | {f"v={v.version}" for v in found}
+        used = set().union(*(v.folders() for v in kept))
+        old = set().union(*(v.folders() for v in found))
         fs, make = self._files()
         before = (time.time() - unnamed_after) * 1000
         if fs.exists(make(self.root)):
             for status in fs.listStatus(make(self.root)):
                 name = status.getPath().getName()
-                ours = name.split("-")[0] in (*TABLES, "pointer") or name.startswith("v=")
+                ours = name.split("-")[0] in (*TABLES, "segment", "pointer") or name.startswith("v=")
                 if ours and name not in used and (name in old or status.getModificationTime() < before):
                     fs.delete(status.getPath(), True)
         return [v.version for v in found[: -max(1, n)]]

@@ -66,3 +66,26 @@ def test_an_edit_indexes_only_what_changed(spark, tmp_path):
     assert after.segments[0] == index.segments[0] and [s.rows for s in after.segments] == [300, 1]
     assert after.index(after.segments[1]).texts().count() == 1
     assert [x.id for x in after.matches("new one").collect()] == ["7"] and after.matches("number 7").where("id = '7'").count() == 0
+
+
+def test_the_client_keeps_the_index_in_step(spark, tmp_path):
+    from docsift.operators.embed import HashingEmbedder
+    from docsift.plans.api import SearchEngine
+
+    eng = SearchEngine(spark, str(tmp_path / "store"), HashingEmbedder(8), buckets=2)
+    eng.store.new_db()
+    eng.documents.create_batch([{"id": str(i), "text": f"hay {i}", "metadata": {"n": i}} for i in range(40)])
+    eng.index.build_trigrams()
+    eng.documents.upsert_batch([{"id": "3", "text": "a needle", "metadata": {"n": "x"}}, {"id": "new", "text": "NEEDLE and hay 77"}])
+    eng.documents.delete("5")
+    eng.documents.put_metadata("7", "k", "v")
+    head = eng.store.head()
+    assert len(head.trigrams) > 1 and sum(s["rows"] for s in head.trigrams[1:]) <= 4
+    rows = lambda df: [(r["id"], r["text"], r["score"], r["metadata"]) for r in df.collect()]
+    for query in ("needle", "hay", "hay 7", "y"):
+        assert rows(eng.search.fulltext(query, k=50)) == rows(text_search(eng.docs(), query, 50))
+    kept = eng.store.retain(1, unnamed_after=0)
+    assert kept and rows(eng.search.fulltext("needle")) == rows(text_search(eng.docs(), "needle"))
+    assert {p.name for p in (tmp_path / "store").glob("segment-*")} == {s["name"] for s in head.trigrams}
+    eng.store.new_db()
+    assert eng.store.head().trigrams is None and eng.search.fulltext("hay").count() == 0
