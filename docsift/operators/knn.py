@@ -23,6 +23,7 @@ noise rank alike in every engine. Distances of kept rows are recomputed from dif
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,10 @@ RANK_DECIMALS = 9
 TILE_ROWS, TILE_QUERIES = 2048, 1024
 BLOCK_BYTES = 16 << 20
 SALTS = 64
+# Blocks that a table has when it meets another one, until a block is as large as a cell may be.
+BLOCKS = 16
+# Numbers in a temporary array of differences.
+NUMBERS = 1 << 21
 DEFAULT_MAX_BLOCK_ROWS = 50_000
 
 
@@ -69,68 +74,140 @@ class TopK:
     """The k best corpus rows of each of ``n`` queries, by (key, id).
 
     ``metric``: l2 (squared distance), cosine (1 - similarity; a zero vector has similarity
-    0 with everything; rows must be given at unit length) or dot (minus the product)."""
+    0 with everything; rows must be given at unit length) or dot (minus the product).
+    ``most``, if given, is a bound of each query's k-th distance that is known before. A row may
+    have a number (``tag``), which is kept with it."""
 
-    def __init__(self, k: int, n: int, metric: str = "l2", max_dist: float | None = None):
+    def __init__(self, k: int, n: int, metric: str = "l2", max_dist: float | None = None, most: np.ndarray | None = None):
         self.k, self.metric, self.max_dist = k, metric, max_dist
+        self.most = most
         self.key = np.full((n, k), np.inf)
         self.dist = np.full((n, k), np.inf)
         self.id = np.full((n, k), None, dtype=object)
+        self.tag = np.zeros((n, k), dtype=np.int32)
 
     def size(self) -> int:
         return int(np.isfinite(self.key).sum())
 
-    def add(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, at: np.ndarray) -> None:
+    def add(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, at: np.ndarray, tag: int = 0) -> None:
         """Compare rows ``x`` named ``ids`` with queries ``q``, kept at rows ``at``."""
+        if not len(x) or not len(q):
+            return
+        ends = [self._ends(q[b : b + TILE_QUERIES], 1.0) for b in range(0, len(q), TILE_QUERIES)]
         for a in range(0, len(x), TILE_ROWS):
-            for b in range(0, len(q), TILE_QUERIES):
-                self._tile(x[a : a + TILE_ROWS], ids[a : a + TILE_ROWS], q[b : b + TILE_QUERIES], at[b : b + TILE_QUERIES])
-
-    def _tile(self, x, ids, q, at) -> None:
-        product = x @ q.T
+            rows = x[a : a + TILE_ROWS]
+            mine = self._ends(rows, None)
+            for i, b in enumerate(range(0, len(q), TILE_QUERIES)):
+                self._tile(rows, mine, ids[a : a + TILE_ROWS], q[b : b + TILE_QUERIES], ends[i], at[b : b + TILE_QUERIES], tag)
+
+    def _ends(self, v: np.ndarray, last: float | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """(vectors with one more number, the same in single precision or None, squared lengths): the
+        products of rows and queries are then what falls with the distance (l2: x.q - x.x / 2)."""
+        length = np.einsum("ij,ij->i", v, v)
         if self.metric == "l2":
-            xx, qq = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
-            d = xx[:, None] + qq[None, :] - 2.0 * product
-            slack = 1e-9 + 1e-13 * (xx.max(initial=0) + qq.max(initial=0))
+            v = np.concatenate([v, (-0.5 * length if last is None else np.full(len(v), last))[:, None]], axis=1)
+        small = v.astype(np.float32) if length.max(initial=0) < 1e15 else None
+        return v, small, length
+
+    def _near(self, x, q, at, single: bool) -> np.ndarray | None:
+        """Places (row * queries + query) that may be among a query's k best; None if single
+        precision leaves too many of them."""
+        (xv, xs, xx), (qv, qs, qq) = x, q
+        if single:
+            got, unit = xs @ qs.T, 2.0**-22
         else:
-            d = (1.0 if self.metric == "cosine" else 0.0) - product
-            slack = 1e-9 + 1e-13 * np.abs(product).max(initial=0)
+            got, unit = xv @ qv.T, 2.0**-51
+        top, far = xx.max(initial=0), qq.max(initial=0)
+        size = math.sqrt(top * far) + (top if self.metric == "l2" else 0.0)
+        slack = 1e-9 + unit * (xv.shape[1] + 8) * size + 1e-13 * (top + far)
+        down = lambda v: np.nextafter((v - 2 * slack).astype(got.dtype), -np.inf, dtype=got.dtype)
         limit = self.key[at, self.k - 1]
-        if len(x) > self.k:
-            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=0)[self.k - 1])
-        row, col = np.nonzero(d <= limit[None, :] + 2 * slack)
+        if self.most is not None:
+            limit = np.minimum(limit, self.most[at])
+        if self.max_dist is not None:
+            limit = np.minimum(limit, self.max_dist)
         if self.metric == "l2":
-            exact = ((x[row] - q[col]) ** 2).sum(axis=1)
+            least = (qq - limit) / 2
         else:
-            exact = (1.0 if self.metric == "cosine" else 0.0) - (x[row] * q[col]).sum(axis=1)
+            least = (1.0 if self.metric == "cosine" else 0.0) - limit
+        most = 8 * self.k * len(qq) + len(xx)
+        inside = got >= down(least)[None, :]
+        if len(xx) > self.k and np.count_nonzero(inside) > most // 2:
+            wide = np.flatnonzero(np.count_nonzero(inside, axis=0) > 2 * self.k)
+            best = np.partition(got[:, wide], len(xx) - self.k, axis=0)[len(xx) - self.k]
+            least = least.copy()
+            least[wide] = np.maximum(least[wide], best.astype(np.float64) - 2 * slack)
+            inside[:, wide] = got[:, wide] >= down(least[wide])[None, :]
+            if single and np.count_nonzero(inside) > most:
+                return None
+        return np.flatnonzero(inside)
+
+    def _exact(self, x, q, row, col) -> np.ndarray:
+        out = np.empty(len(row))
+        step = max(1, NUMBERS // max(1, x.shape[1]))
+        for a in range(0, len(row), step):
+            u, v = x[row[a : a + step]], q[col[a : a + step]]
+            out[a : a + step] = ((u - v) ** 2).sum(axis=1) if self.metric == "l2" else (u * v).sum(axis=1)
+        return out if self.metric == "l2" else (1.0 if self.metric == "cosine" else 0.0) - out
+
+    def _tile(self, x, mine, ids, q, theirs, at, tag) -> None:
+        near = None
+        if mine[1] is not None and theirs[1] is not None:
+            near = self._near(mine, theirs, at, True)
+        if near is None:
+            near = self._near(mine, theirs, at, False)
+        row, col = np.divmod(near, len(q))
+        exact = self._exact(x, q, row, col)
         if self.max_dist is not None:
-            near = exact <= self.max_dist
-            row, col, exact = row[near], col[near], exact[near]
+            inside = exact <= self.max_dist
+            row, col, exact = row[inside], col[inside], exact[inside]
         if not len(row):
             return
+        if len(row) > 4 * self.k * len(q):  # many equal distances: the least names of the tile's rows first
+            rank = np.unique(ids.astype(str), return_inverse=True)[1]
+            order = np.lexsort((rank[row], np.round(exact, RANK_DECIMALS), col))
+            order = order[_places(col[order]) < self.k]
+            row, col, exact = row[order], col[order], exact[order]
         touched = np.unique(col)
-        old = np.isfinite(self.key[at[touched]])
-        where, place = np.nonzero(old)
+        where, place = np.nonzero(np.isfinite(self.key[at[touched]]))
+        held = at[touched[where]]
         query = np.concatenate([touched[where], col])
-        dist = np.concatenate([self.dist[at[touched]][where, place], exact])
-        names = np.concatenate([self.id[at[touched]][where, place], ids[row]])
+        dist = np.concatenate([self.dist[held, place], exact])
+        names = np.concatenate([self.id[held, place], ids[row]])
+        tags = np.concatenate([self.tag[held, place], np.full(len(row), tag, dtype=np.int32)])
         key = np.round(dist, RANK_DECIMALS)
-        order = np.lexsort((np.unique(names.astype(str), return_inverse=True)[1], key, query))
+        order = np.lexsort((key, query))
+        same = (query[order][1:] == query[order][:-1]) & (key[order][1:] == key[order][:-1])
+        if same.any():  # names decide between equal keys alone
+            tied = order[np.append(same, False) | np.append(False, same)]
+            rank = np.zeros(len(query), dtype=np.int64)
+            rank[tied] = np.unique(names[tied].astype(str), return_inverse=True)[1]
+            order = np.lexsort((rank, key, query))
         query = query[order]
-        first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
-        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        rank = _places(query)
         best = rank < self.k
         order, query, rank = order[best], query[best], rank[best]
         self.key[at[touched]] = np.inf
         self.key[at[query], rank] = key[order]
         self.dist[at[query], rank] = dist[order]
         self.id[at[query], rank] = names[order]
+        self.tag[at[query], rank] = tags[order]
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, dist, key) of all kept rows."""
         q, r = np.nonzero(np.isfinite(self.key))
         return q, self.id[q, r], self.dist[q, r], self.key[q, r]
 
+    def tags(self) -> np.ndarray:
+        """The numbers of the rows of ``result``."""
+        return self.tag[np.isfinite(self.key)]
+
+
+def _places(ordered: np.ndarray) -> np.ndarray:
+    """The place of each entry in its run of equal entries."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, dtype=np.int64)
+    return np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
+
 
 def matrix_of(col: pa.Array, dim: int) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
@@ -205,6 +282,13 @@ def partial_batch(names: np.ndarray, best: TopK, kind: pa.DataType) -> pa.Record
     return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "dist", "key"])
 
 
+def block_rows(n: int, least: int, most: int) -> int:
+    """Rows of a block of a table of ``n`` rows that meets another one block by block: ``least``, and
+    more, up to ``most``, as the table grows, so that it has about ``BLOCKS`` blocks and a row is copied
+    to as many. With a fixed number of rows the copies would grow with the square of the table."""
+    return max(least, min(most, -(-n // BLOCKS)))
+
+
 def _union(parts: list[DataFrame], corpus: DataFrame, schema: T.StructType) -> DataFrame:
     if not parts:
         return corpus.sparkSession.createDataFrame([], schema)
@@ -259,7 +343,8 @@ def _upper_bounds(queries: DataFrame, sample: np.ndarray, k: int, metric: str) -
 def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, metric: str = "l2", sample: int = 2048,
                 lists: int | None = None, max_block_rows: int | None = None) -> DataFrame:
     """``knn`` with both sides distributed and list pairs pruned by bound; no query vector passes the
-    driver but pivots. ``sample`` rows of least id hash give the bounds, ``lists`` rows the pivots."""
+    driver but pivots. ``sample`` rows of least id hash give the bounds, ``lists`` rows the pivots. Blocks
+    have ``max_block_rows`` rows while the tables are small, see ``block_rows``."""
     from docsift.operators.balls import MAX_LISTS, Balls, assigned, gaps, join_cells, pivots, rows_per_cell
     from docsift.session import materialised
 
@@ -274,9 +359,9 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int, threshold: float
     known = np.asarray([r["embedding"] for r in known], dtype=np.float64)
     known = unit_rows(known) if unit else known
     dim = known.shape[1]
-    most_rows = max_block_rows or rows_per_cell(dim)
+    cell_rows = rows_per_cell(dim)
     if lists is None:
-        lists = min(MAX_LISTS, 2 * max(1, corpus.count() // most_rows))
+        lists = min(MAX_LISTS, 2 * max(1, corpus.count() // (max_block_rows or cell_rows)))
     centres = pivots(corpus, "id", lists)
     centres = np.unique(unit_rows(centres), axis=0) if unit else centres
     right = materialised(assigned(corpus, centres, unit))
@@ -298,13 +383,15 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int, threshold: float
         if q.num_rows and c.num_rows:
             x, y = (matrix_of(t.column("embedding"), dim) for t in (c, q))
             x, y = (unit_rows(x), unit_rows(y)) if unit else (x, y)
+            best.most = q.column("_most").to_numpy() + 1e-8
             best.add(x, np.asarray(c.column("id").to_pylist(), dtype=object), y, np.arange(len(y)))
         return pa.Table.from_batches([partial_batch(np.asarray(q.column("query_id").to_pylist(), dtype=object), best, out)])
 
     # A cell holds k rows a query as well, so a block has fewer queries for a large k.
-    query_rows = max(1, min(most_rows, (1 << 20) // k))
+    size = lambda balls: block_rows(int(balls.rows.sum()), max_block_rows or cell_rows, cell_rows)
+    query_rows = max(1, min(size(lb), (1 << 20) // k))
     found = join_cells(
-        left, right, keep, lb.blocks(query_rows), rb.blocks(most_rows), (["query_id", "embedding"], ["id", "embedding"]),
+        left, right, keep, lb.blocks(query_rows), rb.blocks(size(rb)), (["query_id", "embedding", "_most"], ["id", "embedding"]),
         ("query_id", "id"), cell, partial_schema(kind),
     )
     return final_rank(found, k, threshold, metric)
@@ -324,14 +411,18 @@ def knn_grid(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = 0
 
     ``corpus`` [id, embedding, _key?] and ``queries`` [query_id, embedding, _key?]; with
     ``_key`` a query only meets corpus rows of the same key. Blocks come from the counts per
-    key, so a hot key is split into many cells."""
+    key, so a hot key is split into many cells; they have the given rows while a key has few,
+    see ``block_rows``."""
     k = check_k(k)
     ship_package(corpus.sparkSession)
     corpus = corpus if "_key" in corpus.columns else corpus.withColumn("_key", F.lit(0))
     queries = queries if "_key" in queries.columns else queries.withColumn("_key", F.lit(0))
-    blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(most))).cast("int")
+    # As ``block_rows``: a query block holds k rows a query as well.
+    grown = lambda n, least, most: F.greatest(F.lit(least), F.least(F.lit(max(least, most)), F.ceil(F.col(n) / BLOCKS)))
+    blocks = lambda n, least, most: F.greatest(F.lit(1), F.ceil(F.col(n) / grown(n, least, most))).cast("int")
     plan = corpus.groupBy("_key").agg(F.count("*").alias("nc")).join(queries.groupBy("_key").agg(F.count("*").alias("nq")), "_key")
-    plan = plan.select("_key", blocks("nc", max_block_rows).alias("cs"), blocks("nq", max_query_rows).alias("qs"))
+    plan = plan.select("_key", blocks("nc", max_block_rows, DEFAULT_MAX_BLOCK_ROWS).alias("cs"),
+                       blocks("nq", max_query_rows, min(DEFAULT_MAX_BLOCK_ROWS, (1 << 20) // k)).alias("qs"))
     c = corpus.join(plan, "_key").select(
         "_key", F.pmod(F.xxhash64("id"), F.col("cs")).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), "id", "embedding"
     )
