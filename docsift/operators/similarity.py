@@ -6,7 +6,8 @@ distance the balls leave. With ``min_sim`` a pair of lists under it is never for
 ``k`` a first pass joins every list with itself, which gives each row a k-th best product
 or none; a list then meets only lists that can beat the least of its rows'. Both are exact.
 
-A cell is two blocks of at most ``max_block_rows`` rows, whose products are computed tile by
+A cell is two blocks of ``max_block_rows`` rows at most, or more in a large table, so that the copies of
+a row don't grow with it (``knn.block_rows``). Their products are computed tile by
 tile. It emits only what was asked for: pairs with ``sim >= min_sim``, or the best ``k``
 partners per row (ties by partner id), finished by ``row_number() <= k``. A request for
 neither is refused, and so is one that most pairs answer, as a sample of rows shows: the
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.operators.balls import MAX_LISTS, Balls, assigned, gaps, join_cells, pivots, rows_per_cell
-from docsift.operators.knn import TILE_ROWS, TopK, matrix_of
+from docsift.operators.knn import TILE_ROWS, TopK, block_rows, matrix_of
 from docsift.session import materialised, ship_package
 
 DEFAULT_MAX_BLOCK_ROWS = 20_000
 LISTS_PER_BLOCK = 4
+# Blocks grow with the table up to this (and to what a cell's bytes allow).
+MOST_BLOCK_ROWS = 50_000
 # More pairs than this, of which a sample of rows says that more than this share is asked for, are refused.
 REFUSE_PAIRS, REFUSE_SHARE, REFUSE_SAMPLE = 100_000, 0.5, 1000
 SCHEMA = "id_a string, id_b string, sim double"
@@ -43,8 +46,9 @@ def pairs_above(a: np.ndarray, b: np.ndarray, min_sim: float) -> Iterator[tuple[
     for i in range(0, len(a), TILE_ROWS):
         for j in range(0, len(b), TILE_ROWS):
             s = a[i : i + TILE_ROWS] @ b[j : j + TILE_ROWS].T
-            r, c = np.nonzero(s >= min_sim)
-            yield r + i, c + j, s[r, c]
+            at = np.flatnonzero(s >= min_sim)  # few of many: far faster than by row and column
+            r, c = np.divmod(at, s.shape[1])
+            yield r + i, c + j, s.ravel()[at]
 
 
 def _cell(min_sim: float | None, k: int | None, dim: int):
@@ -104,6 +108,7 @@ class _Lists:
 
 def _lists_of(v: DataFrame, lists: int | None, max_block_rows: int) -> _Lists:
     n = v.count()
+    max_block_rows = block_rows(n, max_block_rows, MOST_BLOCK_ROWS)
     if lists is None:
         lists = 1 if n <= max_block_rows else math.ceil(LISTS_PER_BLOCK * n / max_block_rows)
     return _Lists(v, n, min(MAX_LISTS, lists), max_block_rows)
