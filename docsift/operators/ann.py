@@ -8,9 +8,12 @@ written ``partitionBy('list_id')`` let a search read only the lists it probes.
 
 Search (K4 + J7): each query probes its nearest lists, as many as its setting says and at
 least until their sizes sum to k (or ``ef_search``, if given): so it gets min(k, n) rows, as
-the exact search does. Query blocks go to all tasks with their probes; the table is scanned
-once after list pruning, and each row meets only the queries that probe its list. No shuffle
-of vectors, so a hot list is scanned by many tasks. Probing every list equals the exact search.
+the exact search does. Queries of one block go to all tasks with their probes; the table is
+scanned once after list pruning, and each row meets only the queries that probe its list. No
+shuffle of vectors, so a hot list is scanned by many tasks. More queries than a block never
+pass the driver: near lists form groups (about the square root of the number of lists), a query goes
+once to each group that it probes, with its lists there, and meets the group's vectors in cells
+bounded by bytes. Probing every list equals the exact search.
 
 Upkeep (K2): ``carry_lists`` keeps the list of every vector that hasn't changed and assigns the
 others; the result is that of assigning all.
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.operators.balls import rows_per_cell
 from docsift.operators.knn import (
     BLOCK_BYTES,
     SALTS,
@@ -47,6 +51,8 @@ from docsift.session import materialised, ship_package
 
 # Vectors that KMeans is trained on, for each list.
 TRAIN_ROWS = 256
+# Rows that a task keeps for its queries, and queries that are routed at once.
+MOST_ROWS, ROUTE_ROWS = 2_000_000, 2048
 # Centroids up to this size travel to all executors; beyond it, quantise again (fewer lists).
 MAX_CENTROID_BYTES = 1 << 30
 
@@ -186,52 +192,175 @@ def fit_nprobe(index: IvfIndex, k: int = 10, recall: float = 0.9, sample: int =
     return replace(index, nprobe=needed[math.ceil(recall * len(needed)) - 1] if needed else 1)
 
 
+def _scanned(index: IvfIndex, qids: list, q: np.ndarray, k: int, nprobe: int, ef_search: int, max_dist: float | None, by_probe: bool, kind) -> DataFrame:
+    """The candidates of one block of queries, by a scan of the lists that it probes."""
+    out, dim, spark = arrow_type(kind), index.centroids.shape[1], index.vectors.sparkSession
+    lists, count = index.probes(q, max(k, ef_search), nprobe)
+    enough = count if nprobe <= 1 and ef_search <= k else index.probes(q, k)[1]
+    query = np.repeat(np.arange(len(q)), count)
+    probe = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+    listed = lists[query, probe]
+    by_list = {int(x): np.flatnonzero(listed == x) for x in np.unique(listed)}
+    block = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), q, query, probe, by_list, enough))
+
+    def run(batches):
+        names, q, query, probe, by_list, enough = block.value
+        best = TopK(k, len(query) if by_probe else len(q), "l2", max_dist)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix_of(b.column("embedding"), dim)
+            ids = np.asarray(b.column("id").to_pylist(), dtype=object)
+            lid = b.column("list_id").to_numpy()
+            for one in np.unique(lid):
+                pairs = by_list.get(int(one))
+                if pairs is not None:
+                    rows = np.flatnonzero(lid == one)
+                    best.add(x[rows], ids[rows], q[query[pairs]], pairs if by_probe else query[pairs], int(one))
+        yield _found(best, names, query, probe, enough, by_probe, out)
+
+    table = index.vectors.filter(F.col("list_id").isin([int(x) for x in by_list])).select("id", "embedding", "list_id")
+    return table.mapInArrow(run, _found_schema(kind))
+
+
+def _found_schema(kind) -> T.StructType:
+    more = [T.StructField(n, T.IntegerType()) for n in ("probe", "enough", "list_id")]
+    return T.StructType([*partial_schema(kind).fields, *more])
+
+
+def _found(best: TopK, names: np.ndarray, query: np.ndarray, probe: np.ndarray, enough: np.ndarray, by_probe: bool, out: pa.DataType) -> pa.RecordBatch:
+    """Rows of ``_found_schema``; a state is a pair (query, probe) or else a query, of which no probe is known."""
+    at, ids, dist, key = best.result()
+    who = query[at] if by_probe else at
+    probes = pa.array(probe[at].astype(np.int32)) if by_probe else pa.nulls(len(at), pa.int32())
+    columns = [
+        pa.array(names[who].tolist(), out), pa.array(ids.tolist(), pa.string()), pa.array(dist), pa.array(key),
+        probes, pa.array(enough[who].astype(np.int32)), pa.array(best.tags()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "dist", "key", "probe", "enough", "list_id"])
+
+
+@dataclass
+class ListGroups:
+    """Groups of near lists; arrays by group and by list."""
+
+    of_list: np.ndarray
+    lists: np.ndarray  # lists of each group
+    rows: np.ndarray  # vectors of each group
+
+    @staticmethod
+    def of(index: IvfIndex) -> ListGroups:
+        members = CentroidTree(index.centroids).members
+        of_list = np.empty(index.nlist, dtype=np.int32)
+        for g, m in enumerate(members):
+            of_list[m] = g
+        return ListGroups(of_list, np.array([len(m) for m in members]), np.array([int(index.sizes[m].sum()) for m in members]))
+
+
+def routed(index: IvfIndex, groups: ListGroups, queries: DataFrame, want: int, least: int, nprobe: int) -> DataFrame:
+    """A row for each query and group that it probes: [query_id, embedding, enough, _g, lists, probes];
+    it probes lists for ``want`` rows, of which ``least`` rows take the first ``enough``."""
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast((replace(index, vectors=None), groups.of_list))
+    kind, vector = queries.schema["query_id"].dataType, queries.schema["embedding"].dataType
+    many = T.ArrayType(T.IntegerType())
+    fields = [("query_id", kind), ("embedding", vector), ("enough", T.IntegerType()), ("_g", T.IntegerType()), ("lists", many), ("probes", many)]
+
+    def run(batches):
+        light, of_list = shared.value
+        dim = light.centroids.shape[1]
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROUTE_ROWS):
+                b = whole.slice(a, ROUTE_ROWS)
+                q = matrix_of(b.column("embedding"), dim)
+                lists, count = light.probes(q, want, nprobe)
+                enough = count if nprobe <= 1 and want == least else light.probes(q, least)[1]
+                query = np.repeat(np.arange(len(q)), count)
+                probe = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+                listed = lists[query, probe]
+                order = np.lexsort((probe, of_list[listed], query))
+                query, probe, listed = query[order], probe[order], listed[order]
+                group = of_list[listed]
+                first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (group[1:] != group[:-1])])
+                ends = pa.array(np.r_[first, len(query)].astype(np.int32))
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (listed, probe)]
+                at = pa.array(query[first])
+                columns = [b.column("query_id").take(at), b.column("embedding").take(at), pa.array(enough[query[first]].astype(np.int32)), pa.array(group[first])]
+                yield pa.RecordBatch.from_arrays([*columns, *arrays], [n for n, _ in fields])
+
+    return queries.select("query_id", "embedding").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
+
+
+def in_cells(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, ef_search: int = 0, max_dist: float | None = None, by_probe: bool = False,
+             most_rows: int = MOST_ROWS, rows: DataFrame | None = None, decoded=None, cell_rows: int | None = None) -> DataFrame:
+    """The candidates of any number of queries, both sides distributed. ``rows`` [id, list_id, ..] stand
+    for the vectors of ``index`` (its own, if not given), and ``decoded`` makes a matrix of a table of them."""
+    spark, dim = index.vectors.sparkSession, index.centroids.shape[1]
+    kind = queries.schema["query_id"].dataType
+    out, groups = arrow_type(kind), ListGroups.of(index)
+    rows = index.vectors.select("id", "embedding", "list_id") if rows is None else rows
+    decoded = decoded or (lambda t: matrix_of(t.column("embedding"), dim))
+    corpus_blocks = np.maximum(1, -(-groups.rows // (cell_rows or rows_per_cell(dim))))
+    # A cell keeps k rows a state: a query, or a pair of a query and one of the group's lists.
+    states = groups.lists if by_probe else np.ones(len(groups.lists), dtype=np.int64)
+    query_rows = np.maximum(1, np.minimum(rows_per_cell(dim), most_rows // (k * states)))
+    query_blocks_ = np.maximum(1, -(-queries.count() // query_rows))
+    ints = lambda **columns: F.broadcast(spark.createDataFrame(pa.table({n: np.asarray(v, dtype=np.int32) for n, v in columns.items()})))
+    numbers = np.arange(len(groups.rows))
+    blocks = ints(_g=numbers, _cb=corpus_blocks, _qb=query_blocks_)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    key = ["_g", "_x", "_y"]
+    mine = routed(index, groups, queries, max(k, ef_search), k, nprobe).join(blocks, "_g")
+    mine = mine.withColumn("_y", block("query_id", "_qb")).withColumn("_x", upto("_cb")).select(*key, "query_id", "embedding", "enough", "lists", "probes")
+    placed = ints(list_id=np.arange(index.nlist), _g=groups.of_list, _cb=corpus_blocks[groups.of_list], _qb=query_blocks_[groups.of_list])
+    theirs = rows.join(placed, "list_id").withColumn("_x", block("id", "_cb")).withColumn("_y", upto("_qb")).select(*key, *rows.columns)
+
+    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
+        names = np.asarray(q.column("query_id").to_pylist(), dtype=object)
+        lists = q.column("lists").combine_chunks()
+        query = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy())
+        listed, probe = (v.flatten().to_numpy() for v in (lists, q.column("probes").combine_chunks()))
+        best = TopK(k, len(query) if by_probe else len(names), "l2", max_dist)
+        if q.num_rows and c.num_rows:
+            y = matrix_of(q.column("embedding"), dim)
+            ids, lid = np.asarray(c.column("id").to_pylist(), dtype=object), c.column("list_id").to_numpy()
+            by_list, near = np.argsort(listed, kind="stable"), listed
+            start, end = (np.searchsorted(near[by_list], np.unique(lid), side=s) for s in ("left", "right"))
+            for one, a, b in zip(np.unique(lid), start, end, strict=True):
+                if b > a:
+                    pairs, some = by_list[a:b], np.flatnonzero(lid == one)
+                    best.add(decoded(c.take(pa.array(some))), ids[some], y[query[pairs]], pairs if by_probe else query[pairs], int(one))
+        enough = q.column("enough").to_numpy()
+        return pa.Table.from_batches([_found(best, names, query, probe, enough, by_probe, out)])
+
+    return mine.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(cell, _found_schema(kind))
+
+
+def _candidates(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, ef_search: int, max_dist: float | None, by_probe: bool,
+                block_bytes: int, most_rows: int) -> tuple[DataFrame, int]:
+    """(candidates by scan, for one block of queries, or else in cells; queries of the block, or 0)."""
+    kind = queries.schema["query_id"].dataType
+    ship_package(index.vectors.sparkSession)
+    # A task of the scan keeps k rows for each query, or for each of its probes.
+    states = max(1, min(index.nlist, nprobe)) if by_probe else 1
+    blocks = query_blocks(queries, min(block_bytes, max(1, most_rows // (k * states)) * index.centroids.shape[1] * 8))
+    first = next(blocks, None)
+    if first is None:
+        return _union([], index.vectors, _found_schema(kind)), 0
+    if next(blocks, None) is None:
+        return _scanned(index, *first, k, nprobe, ef_search, max_dist, by_probe, kind), len(first[0])
+    blocks.close()
+    return in_cells(index, queries, k, nprobe, ef_search, max_dist, by_probe, most_rows), 0
+
+
 def ann_candidates(index: IvfIndex, queries: DataFrame, k: int, nprobe: int = 1, ef_search: int = 0, max_dist: float | None = None,
-                   block_bytes: int = BLOCK_BYTES, most_rows: int = 2_000_000) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, most_rows: int = MOST_ROWS) -> DataFrame:
     """[query_id, id, dist, key, probe, enough]: the k best rows of each list that a query
     probes (``probe`` 0 is its nearest list), partial by task; ``enough`` is the number of
     lists it needs for k rows. ``most_rows`` bounds what a task keeps, by smaller blocks."""
-    k = check_k(k)
-    spark = index.vectors.sparkSession
-    ship_package(spark)
-    kind = queries.schema["query_id"].dataType
-    fields = [*partial_schema(kind).fields, T.StructField("probe", T.IntegerType()), T.StructField("enough", T.IntegerType())]
-    out, parts = arrow_type(kind), []
-    dim = index.centroids.shape[1]
-    for qids, q in query_blocks(queries, min(block_bytes, max(1, most_rows // k) * dim * 8)):
-        lists, count = index.probes(q, max(k, ef_search), nprobe)
-        enough = count if nprobe <= 1 and ef_search <= k else index.probes(q, k)[1]
-        # a state for each pair (query, probe)
-        query = np.repeat(np.arange(len(q)), count)
-        probe = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
-        listed = lists[query, probe]
-        by_list = {int(x): np.flatnonzero(listed == x) for x in np.unique(listed)}
-        block = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), q, query, probe, by_list, enough))
-
-        def run(batches, block=block):
-            names, q, query, probe, by_list, enough = block.value
-            best = TopK(k, len(query), "l2", max_dist)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = matrix_of(b.column("embedding"), dim)
-                ids = np.asarray(b.column("id").to_pylist(), dtype=object)
-                lid = b.column("list_id").to_numpy()
-                for one in np.unique(lid):
-                    states = by_list.get(int(one))
-                    if states is not None:
-                        rows = np.flatnonzero(lid == one)
-                        best.add(x[rows], ids[rows], q[query[states]], states)
-            at, ids, dist, key = best.result()
-            columns = [
-                pa.array(names[query[at]].tolist(), out), pa.array(ids.tolist(), pa.string()), pa.array(dist), pa.array(key),
-                pa.array(probe[at].astype(np.int32)), pa.array(enough[query[at]].astype(np.int32)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "dist", "key", "probe", "enough"])
-
-        table = index.vectors.filter(F.col("list_id").isin([int(x) for x in by_list])).select("id", "embedding", "list_id")
-        parts.append(table.mapInArrow(run, T.StructType(fields)))
-    return _union(parts, index.vectors, T.StructType(fields))
+    found, _ = _candidates(index, queries, check_k(k), nprobe, ef_search, max_dist, True, block_bytes, most_rows)
+    return found.drop("list_id")
 
 
 def within_probes(candidates: DataFrame, k: int, nprobe: int, threshold: float = 0.0) -> DataFrame:
@@ -244,5 +373,6 @@ def ann_search(index: IvfIndex, queries: DataFrame, k: int, threshold: float = 0
     """K4: approximate top-k for queries [query_id, embedding] ->
     [query_id, id, dist, score, rank]. Probes ``nprobe`` lists, and more where they hold
     fewer than max(k, ef_search) rows."""
-    found = ann_candidates(index, queries, k, nprobe, ef_search, max_dist_of(threshold))
-    return final_rank(found.select("query_id", "id", "dist", "key"), check_k(k), threshold, salts=SALTS)
+    k = check_k(k)
+    found, few = _candidates(index, queries, k, nprobe, ef_search, max_dist_of(threshold), False, BLOCK_BYTES, MOST_ROWS)
+    return final_rank(found.select("query_id", "id", "dist", "key"), k, threshold, salts=SALTS if 0 < few < SALTS else 1)

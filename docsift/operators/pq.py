@@ -4,9 +4,9 @@ Build: a bounded sample of the vectors (``TRAIN`` rows of least id hash) gives a
 centroids for each of ``parts`` parts of a vector (Jegou et al., 2011). Every vector becomes a byte a part,
 written by list beside the vectors.
 
-Search: a query's squared distances to all book entries are a table; a code's distance is a sum
-of ``parts`` lookups. The codes of the probed lists give each query its ``shortlist`` nearest, by task
-and then over all; their vectors alone are joined, and exact distances decide. ``fit`` measures how
+Search: a code's distance to a query is the distance to the vector that it stands for, so a
+sum of ``parts`` entries. The codes of the probed lists meet the queries in cells (``ann.in_cells``) and give each its
+``shortlist`` nearest, by cell and then over all; their vectors alone are joined, and exact distances decide. ``fit`` measures how
 long the shortlist must be for a recall against the exact search (T2)."""
 
 from __future__ import annotations
@@ -18,17 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docsift.functions.vectors import squared_l2
-from docsift.operators.ann import IvfIndex, fit_nprobe
-from docsift.operators.knn import BLOCK_BYTES, RANK_DECIMALS, _union, arrow_type, final_rank, knn, matrix_of, query_blocks
+from docsift.operators.ann import IvfIndex, fit_nprobe, in_cells
+from docsift.operators.knn import RANK_DECIMALS, final_rank, knn, matrix_of
 from docsift.operators.quantiser import squared
 from docsift.schema import check_k
 from docsift.session import materialised, scratch_path, ship_package
 
 CODES, TRAIN, ROUNDS = 256, 16_384, 12
-SHORT_SCHEMA = [("id", T.StringType()), ("list_id", T.IntegerType()), ("near", T.DoubleType())]
+CELL_CODES = 1 << 17
 
 
 def train_books(x: np.ndarray, parts: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -64,21 +63,9 @@ def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([squared(q[:, p], books[p]) for p in range(parts)], axis=1)
 
 
-class _Shortlists:
-    """The rows of least estimated distance of each query."""
-
-    def __init__(self, n: int, most: int):
-        self.most = most
-        self.query, self.near, self.id, self.lists = (np.zeros(0, t) for t in (np.int64, float, object, np.int32))
-
-    def add(self, query, near, ids, lists) -> None:
-        query, near, ids, lists = (np.concatenate(p) for p in ((self.query, query), (self.near, near), (self.id, ids), (self.lists, lists)))
-        order = np.lexsort((near, query))
-        query = query[order]
-        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=np.int64)
-        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
-        best = order[rank < self.most]
-        self.query, self.near, self.id, self.lists = query[rank < self.most], near[best], ids[best], lists[best]
+def decode(codes: np.ndarray, books: np.ndarray, dim: int) -> np.ndarray:
+    """[n, dim] vectors that the codes stand for: a query's distance to one is the sum of its parts'."""
+    return np.concatenate([books[p][codes[:, p]] for p in range(len(books))], axis=1)[:, :dim]
 
 
 @dataclass
@@ -115,43 +102,21 @@ class PqIndex:
 
     def nearest_codes(self, queries: DataFrame, most: int) -> DataFrame:
         """[query_id, id, list_id, near, place]: the ``most`` nearest by code of each query in its lists."""
-        kind = queries.schema["query_id"].dataType
-        schema = T.StructType([T.StructField("query_id", kind), *(T.StructField(n, t) for n, t in SHORT_SCHEMA)])
-        out, spark, parts, books = arrow_type(kind), queries.sparkSession, [], self.books
-        # A query's table takes parts x codes numbers, and its shortlist ``most`` rows.
-        limit = max(1, BLOCK_BYTES // max(books.shape[0] * books.shape[1], 4 * most)) * self.ivf.centroids.shape[1]
-        for qids, q in query_blocks(queries, limit):
-            lists, count = self.ivf.probes(q, most, self.ivf.nprobe)
-            query = np.repeat(np.arange(len(q)), count)
-            listed = lists[query, np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)]
-            by_list = {int(x): query[listed == x] for x in np.unique(listed)}
-            shared = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), tables(q, books).astype(np.float32), by_list))
-
-            def run(batches, shared=shared):
-                names, table, by_list = shared.value
-                found = _Shortlists(len(names), most)
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    code = np.frombuffer(b"".join(b.column("code").to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
-                    ids, lid = np.asarray(b.column("id").to_pylist(), dtype=object), b.column("list_id").to_numpy()
-                    for one in np.unique(lid):
-                        who, rows = by_list.get(int(one)), np.flatnonzero(lid == one)
-                        for a in range(0, len(who) if who is not None else 0, 64):
-                            some = who[a : a + 64]
-                            near = sum(table[some, p][:, code[rows, p]] for p in range(code.shape[1]))
-                            keep = min(most, len(rows))
-                            at = np.argpartition(near, keep - 1, axis=1)[:, :keep]
-                            flat = rows[at].ravel()
-                            found.add(np.repeat(some, keep), np.take_along_axis(near, at, axis=1).ravel().astype(float), ids[flat], lid[flat])
-                columns = [names[found.query].tolist(), found.id.tolist(), found.lists, found.near]
-                types = [out, pa.string(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
-
-            scan = self.codes.filter(F.col("list_id").isin(list(by_list))).select("id", "code", "list_id")
-            parts.append(scan.mapInArrow(run, schema))
-        w = Window.partitionBy("query_id").orderBy("near", "id")
-        return _union(parts, self.codes, schema).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+        books, dim = self.books, self.ivf.centroids.shape[1]
+        ship_package(queries.sparkSession)
+
+        def decoded(t: pa.Table) -> np.ndarray:
+            code = np.frombuffer(b"".join(t.column("code").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+            return decode(code, books, dim)
+
+        # A row of codes is small, so a cell has many of them, and a query is in few cells.
+        found = in_cells(
+            self.ivf, queries, most, self.ivf.nprobe, ef_search=most, rows=self.codes.select("id", "code", "list_id"), decoded=decoded,
+            cell_rows=CELL_CODES,
+        )
+        w = Window.partitionBy("query_id").orderBy("key", "id")
+        found = found.select("query_id", "id", "list_id", F.col("dist").alias("near"), F.row_number().over(w).alias("place"))
+        return found.filter(F.col("place") <= most)
 
     def search(self, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
         """K4: approximate top-k for queries [query_id, embedding] -> [query_id, id, dist, score, rank];
