@@ -25,18 +25,25 @@ def double_text(x: Column) -> Column:
     return F.when(big, science).otherwise(plain)
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` computed once, however often it is named."""
+    return F.transform(F.array(value), of)[0]
+
+
 def metadata_map(variant: Column) -> Column:
     """The map of a JSON object given as a variant; NULL if it isn't usable."""
-    as_map = variant.try_cast("map<string,variant>")
-    kind = F.schema_of_variant
-    real = lambda v: kind(v).startswith("DECIMAL") | kind(v).isin("DOUBLE", "FLOAT")
-    text = lambda k, v: (
-        F.when(kind(v) == "STRING", v.try_cast("string"))
-        .when(real(v), double_text(v.try_cast("double")))
-        .otherwise(F.to_json(v))
+    real = lambda kind: kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    told = lambda v, kind: F.struct(v.alias("v"), kind.alias("kind"), F.when(real(kind), v.try_cast("double")).alias("d"))
+    text = lambda k, x: (
+        F.when(x["kind"] == "STRING", x["v"].try_cast("string"))
+        .when(real(x["kind"]), double_text(x["d"]))
+        .otherwise(F.to_json(x["v"]))
     )
-    endless = F.exists(F.map_values(as_map), lambda v: real(v) & (F.abs(v.try_cast("double")) == float("inf")))
-    return F.when(~F.coalesce(endless, F.lit(False)), F.transform_values(as_map, text))
+    # The JSON is parsed once, a value's kind found once, and its double only where it is a number.
+    values = lambda m: F.transform_values(m, lambda k, v: _once(F.schema_of_variant(v), lambda kind: told(v, kind)))
+    endless = lambda m: F.exists(F.map_values(m), lambda x: F.abs(x["d"]) == float("inf"))
+    usable = lambda m: F.when(~F.coalesce(endless(m), F.lit(False)), F.transform_values(m, text))
+    return _once(values(variant.try_cast("map<string,variant>")), usable)
 
 
 def normalise_metadata_json(json_col) -> Column:
