@@ -5,7 +5,8 @@ Build: documents are sorted by id over partitions and numbered in that order; a
 trigram of the folded text (three code points as one long), and emits one row for each
 (trigram, chunk) with the documents delta-coded in variable-length bytes. So the shuffle
 carries about a byte for each (document, trigram), and a frequent trigram is many rows of
-at most ``CHUNK`` entries, which any number of files can hold. Postings lie in folders by a
+at most ``CHUNK`` entries, which any number of files can hold; so is a trigram of long texts, as a
+task holds ``MOST_ENTRIES`` at a time. Postings lie in folders by a
 hash of the trigram; texts in folders by ``BLOCK`` numbers.
 
 Search: the literal pieces of a pattern (between its wildcards) of three or more
@@ -34,6 +35,8 @@ BUCKETS = 64
 # A pattern of more trigrams is looked up by this many, spread evenly: fewer postings are
 # read, and the exact test decides all the same.
 MOST_GRAMS = 64
+# Entries (document, trigram) that a task holds at once.
+MOST_ENTRIES = 1 << 20
 POSTINGS = "gram long, chunk long, n int, deltas binary"
 
 _FOLD = np.arange(128, dtype=np.uint32)
@@ -81,20 +84,22 @@ def decode(code: bytes) -> np.ndarray:
 
 
 def _postings(size: int):
-    """Rows of ``POSTINGS`` from rows (num, text) sorted by num, in chunks of ``size`` numbers."""
+    """Rows of ``POSTINGS`` from rows (num, text) sorted by num, in chunks of ``size`` numbers; a chunk of
+    long texts is written in parts, each with a row a trigram."""
 
     def run(batches):
-        chunk, grams, members = None, [], []
+        chunk, grams, members, entries = None, [], [], 0
         for b in batches:
             for num, text in zip(b.column("num").to_pylist(), b.column("text"), strict=True):
-                if num // size != chunk and grams:
+                if grams and (num // size != chunk or entries >= MOST_ENTRIES):
                     yield _chunk_rows(chunk, grams, members)
-                    grams, members = [], []
+                    grams, members, entries = [], [], 0
                 chunk = num // size
                 g = trigrams(text.as_py())
                 if len(g):
                     grams.append(g)
-                    members.append(np.full(len(g), num % size))
+                    members.append(np.full(len(g), num % size, dtype=np.int32))
+                    entries += len(g)
         if grams:
             yield _chunk_rows(chunk, grams, members)
 
@@ -171,7 +176,7 @@ class TrigramIndex:
         keys = self.spark.createDataFrame([(g,) for g in grams], "gram long")
         buckets = [r["b"] for r in keys.select(self._bucket().alias("b")).distinct().collect()]
         found = self.postings().filter(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
-        # A chunk has at most a row a trigram, each of at most ``chunk`` documents.
+        # A chunk has few rows a trigram, of at most ``chunk`` documents in all, each in one of them.
         return found.select("chunk", "deltas").groupBy("chunk").applyInArrow(_intersect(len(grams), self.chunk), "num long")
 
     def matches(self, query: str) -> DataFrame:
