@@ -13,15 +13,19 @@ Documents and queries go through the same embedder (no prompt prefix).
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsift.functions.text import ascii_lower
 from docsift.session import ship_package
 from docsift.schema import NORM_EPS
 
 TOKEN_PATTERN = "[a-z0-9]+"
+# Rows and tokens that are counted at once.
+ROWS, TOKENS = 1024, 1 << 19
 
 
 def hashing_tokens(text_col, max_tokens: int | None = None) -> Column:
@@ -37,21 +41,22 @@ def hashing_buckets(tokens: Column, dim: int) -> Column:
     )
 
 
-def _bucket_unit_vectors(dim: int):
-    @F.pandas_udf("array<float>")
-    def unit(b: pd.Series) -> pd.Series:
-        import numpy as np
-
-        lens = b.map(len).to_numpy(dtype=np.int64)
-        flat = np.concatenate(b.to_numpy()).astype(np.int64) if lens.sum() else np.empty(0, np.int64)
-        rows = np.repeat(np.arange(len(b)), lens)
-        m = np.zeros((len(b), dim), dtype=np.float64)
-        np.add.at(m, (rows, flat), 1.0)
+def _unit_vectors(buckets: pa.ListArray, dim: int) -> pa.Array:
+    """Bucket counts of each row at unit length, a bounded number of tokens at a time."""
+    if buckets.null_count:
+        raise ValueError("a text to embed is null")
+    out = np.zeros((len(buckets), dim), dtype=np.float32)
+    ends = np.asarray(buckets.offsets, dtype=np.int64)  # of the rows in the values of the whole batch
+    values = buckets.values.to_numpy(zero_copy_only=False)
+    a = 0
+    while a < len(out):
+        b = max(a + 1, min(a + ROWS, int(np.searchsorted(ends, ends[a] + TOKENS, side="right")) - 1))
+        flat = np.repeat(np.arange(b - a) * dim, np.diff(ends[a : b + 1])) + values[ends[a] : ends[b]]
+        m = np.bincount(flat, minlength=(b - a) * dim).reshape(b - a, dim).astype(np.float64)
         n = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
-        u = (m / (n + NORM_EPS)).astype(np.float32)
-        return pd.Series(list(u))
-
-    return unit
+        out[a:b] = m / (n + NORM_EPS)
+        a = b
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
 
 
 class HashingEmbedder:
@@ -83,9 +88,17 @@ class HashingEmbedder:
         if self.engine == "numpy":
             ship_package(df.sparkSession)
             # Tokens and md5 buckets in the JVM; the histogram + normalisation
-            # of a whole Arrow batch in numpy (O(tokens + dim) per row).
+            # in numpy (O(tokens + dim) per row), a slice of an Arrow batch at a time.
             b = hashing_buckets(hashing_tokens(text, self.max_tokens), self.dim)
-            return df.select(F.col(key), *keep, _bucket_unit_vectors(self.dim)(b).alias("embedding"))
+            rows, dim = df.select(F.col(key), *keep, b.alias("_b")), self.dim
+            schema = T.StructType([*rows.schema.fields[:-1], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+            def run(batches):
+                for x in batches:
+                    if x.num_rows:
+                        yield pa.RecordBatch.from_arrays([*x.columns[:-1], _unit_vectors(x.column(x.num_columns - 1), dim)], schema.names)
+
+            return rows.mapInArrow(run, schema)
         counted = df.select(F.col(key), *keep, self.counts(text).alias("_c"))
         normed = counted.withColumn(
             "_n", F.sqrt(F.aggregate("_c", F.lit(0.0).cast("double"), lambda a, x: a + x * x))
