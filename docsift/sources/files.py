@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TASKS_PER = 4
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """[path, name, text]: one row per file, the whole file as text."""
     # text()'s own wholetext argument overrides a reader option of that name.
@@ -18,10 +21,13 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .text(path, wholetext=True)
     )
+    # Spark plans a few files a task, as opening one counts as megabytes: for small files that is a
+    # task for every few kilobytes, so tasks that open many are made of them.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     p = F.col("_metadata.file_path")
     base = F.regexp_extract(p, r"([^/]+)\.txt$", 1)
     name = F.concat(F.upper(F.substring(base, 1, 1)), F.lower(F.substring(base, 2, 1 << 30)))
-    return raw.select(p.alias("path"), name.alias("name"), F.col("value").alias("text"))
+    return raw.select(p.alias("path"), name.alias("name"), F.col("value").alias("text")).coalesce(TASKS_PER * tasks)
 
 
 def write_text_files(df: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
