@@ -37,6 +37,7 @@ from docsift.operators.knn import (
     TopK,
     _union,
     arrow_type,
+    block_rows,
     final_rank,
     knn,
     matrix_of,
@@ -53,6 +54,8 @@ from docsift.session import materialised, ship_package
 TRAIN_ROWS = 256
 # Rows that a task keeps for its queries, and queries that are routed at once.
 MOST_ROWS, ROUTE_ROWS = 2_000_000, 2048
+# Queries of a cell, while there are few.
+LEAST_QUERIES = 1024
 # Centroids up to this size travel to all executors; beyond it, quantise again (fewer lists).
 MAX_CENTROID_BYTES = 1 << 30
 
@@ -249,8 +252,14 @@ class ListGroups:
     rows: np.ndarray  # vectors of each group
 
     @staticmethod
-    def of(index: IvfIndex) -> ListGroups:
-        members = CentroidTree(index.centroids).members
+    def of(index: IvfIndex, rows: int = 0) -> ListGroups:
+        """The groups of the centroids' tree, put together while they have at most ``rows`` vectors."""
+        members: list[np.ndarray] = []
+        for m in CentroidTree(index.centroids).members:
+            if members and index.sizes[members[-1]].sum() + index.sizes[m].sum() <= rows:
+                members[-1] = np.concatenate([members[-1], m])
+            else:
+                members.append(m)
         of_list = np.empty(index.nlist, dtype=np.int32)
         for g, m in enumerate(members):
             of_list[m] = g
@@ -297,14 +306,17 @@ def in_cells(index: IvfIndex, queries: DataFrame, k: int, nprobe: int, ef_search
     for the vectors of ``index`` (its own, if not given), and ``decoded`` makes a matrix of a table of them."""
     spark, dim = index.vectors.sparkSession, index.centroids.shape[1]
     kind = queries.schema["query_id"].dataType
-    out, groups = arrow_type(kind), ListGroups.of(index)
+    cell_rows = cell_rows or rows_per_cell(dim)
+    # Few large groups: a query is in few cells, and each gives k rows of it. Many blocks of queries instead.
+    out, groups = arrow_type(kind), ListGroups.of(index, 0 if by_probe else cell_rows // 2)
     rows = index.vectors.select("id", "embedding", "list_id") if rows is None else rows
     decoded = decoded or (lambda t: matrix_of(t.column("embedding"), dim))
-    corpus_blocks = np.maximum(1, -(-groups.rows // (cell_rows or rows_per_cell(dim))))
+    corpus_blocks = np.maximum(1, -(-groups.rows // cell_rows))
     # A cell keeps k rows a state: a query, or a pair of a query and one of the group's lists.
     states = groups.lists if by_probe else np.ones(len(groups.lists), dtype=np.int64)
-    query_rows = np.maximum(1, np.minimum(rows_per_cell(dim), most_rows // (k * states)))
-    query_blocks_ = np.maximum(1, -(-queries.count() // query_rows))
+    n = queries.count()
+    query_rows = np.maximum(1, np.minimum(block_rows(n, LEAST_QUERIES, rows_per_cell(dim)), most_rows // (k * states)))
+    query_blocks_ = np.maximum(1, -(-n // query_rows))
     ints = lambda **columns: F.broadcast(spark.createDataFrame(pa.table({n: np.asarray(v, dtype=np.int32) for n, v in columns.items()})))
     numbers = np.arange(len(groups.rows))
     blocks = ints(_g=numbers, _cb=corpus_blocks, _qb=query_blocks_)
