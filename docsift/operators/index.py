@@ -43,16 +43,31 @@ def drift(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> Data
     return j.select("id", status.alias("status"))
 
 
-def sync(docs: DataFrame, vectors: DataFrame, embedder) -> DataFrame:
+def sync(docs: DataFrame, vectors: DataFrame, embedder, changed: DataFrame | None = None) -> DataFrame:
     """K2: keep the vectors that are still right, embed the rest.
 
     The drift compares ids and stored hashes only; its rows that aren't ok (few after an
-    edit) are materialised once. Texts are read for the documents to embed alone."""
+    edit) are materialised once. Texts are read for the documents to embed alone: from
+    ``changed [id, text, text_hash]`` (unique ids), if given, where it has them as ``docs`` do, and
+    from ``docs``, whose texts are shuffled, only if others drifted. Without vectors all are embedded."""
+    if vectors.isEmpty():
+        return embed_documents(docs.filter(F.col("id").isNotNull()), embedder)
     todo = materialised(drift(docs, vectors, embedder.model).filter(F.col("status") != "ok"))
     gone = todo.filter(F.col("status").isin("orphan", "stale")).select("id")
     fresh = todo.filter(F.col("status").isin("missing", "stale")).select("id")
     kept = vectors.select(*VEC_COLUMNS).join(gone, "id", "left_anti")
-    return kept.unionByName(embed_documents(docs.join(fresh, "id", "left_semi"), embedder))
+    embed = lambda some: embed_documents(some, embedder)
+    if changed is None:
+        return kept.unionByName(embed(docs.join(fresh, "id", "left_semi")))
+    # A row a document, as ids may repeat there.
+    ours = docs.select("id", "text_hash").join(fresh, "id", "left_semi")
+    known = materialised(ours.join(changed.select("id", "text", "text_hash"), ["id", "text_hash"]))
+    out = kept.unionByName(embed(known))
+    rest = ours.join(known, ["id", "text_hash"], "left_anti").select("id", F.col("text_hash").alias("_hash"))
+    if rest.isEmpty():
+        return out
+    same = (F.col("id") == F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    return out.unionByName(embed(docs.join(rest.withColumnRenamed("id", "_id"), same, "left_semi")))
 
 
 def health(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> DataFrame:
@@ -68,10 +83,20 @@ def health(docs: DataFrame, vectors: DataFrame, model: str | None = None) -> Dat
     return counts.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts.columns])
 
 
-def publish_in_step(store, head, documents: DataFrame | None, vectors: DataFrame, synced: bool, batch_id: int | None = None,
+def publish_synced(store, head, documents: DataFrame, embedder, changed: DataFrame | None = None, dealt: bool = False,
+                   batch_id: int | None = None, ordinals: DataFrame | None = None):
+    """Publish documents with their vectors, synced, and lists. The documents are written first and
+    the sync reads them back, so that they are computed once; ``changed`` as for ``sync``, ``dealt``
+    as for ``Store.stage``."""
+    staged = store.stage(documents, "documents", dealt)
+    vectors = sync(store.staged(staged), store.vectors(head), embedder, changed)
+    return publish_in_step(store, head, staged, vectors, synced=True, batch_id=batch_id, ordinals=ordinals)
+
+
+def publish_in_step(store, head, documents, vectors: DataFrame, synced: bool, batch_id: int | None = None,
                     ordinals: DataFrame | None = None):
-    """Publish tables with the coarse lists of the vectors, if the store keeps lists: unchanged
-    vectors keep their list, the others are assigned."""
+    """Publish tables (documents: a frame, a staged table or None) with the coarse lists of the
+    vectors, if the store keeps lists: unchanged vectors keep their list, the others are assigned."""
     from docsift.operators.ann import assign_lists, carry_lists
 
     lists = None

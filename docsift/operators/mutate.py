@@ -11,7 +11,7 @@ its size in bytes or shuffles it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.json import normalise_metadata_json
@@ -190,6 +190,28 @@ def _apply(docs: DataFrame, last: DataFrame, as_of, insert_missing: bool) -> Dat
     return updated.unionByName(_as_docs(fresh, as_of))
 
 
+def _merge(docs: DataFrame, last: DataFrame, as_of, deal) -> DataFrame:
+    """``_apply`` with inserts by one shuffle of the documents, the one that writing them takes anyway:
+    documents and changes are dealt out together by ``deal`` (see ``Store.deal``), whose columns are kept."""
+    rows = docs.select(*DOC_COLUMNS, F.lit(False).alias("_change"))
+    rows, keys = deal(rows.unionByName(_as_docs(last, as_of).withColumn("_change", F.lit(True))))
+    of_id = Window.partitionBy(*keys)
+    new = F.when(F.col("_change"), F.struct("text", "metadata", "text_hash"))
+    rows = rows.withColumn("_new", F.first(new, ignorenulls=True).over(of_id))
+    rows = rows.withColumn("_absent", F.min("_change").over(of_id))
+    hit = F.col("_new").isNotNull()
+    pick = lambda c: F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+    return rows.filter(~F.col("_change") | F.col("_absent")).select(
+        "id",
+        pick("text"),
+        pick("metadata"),
+        "created_at",
+        F.when(hit, _ts(as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
+        pick("text_hash"),
+        *[k for k in keys if k != "id"],
+    )
+
+
 def update(docs: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """M3: existing ids only (the last change of each); others reported not_found."""
     rows = prepare(changes, require_id=True)
@@ -206,11 +228,13 @@ def upsert(docs: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataF
     return table, report.drop("ordinal")
 
 
-def upsert_batch(docs: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+def upsert_batch(docs: DataFrame, changes: DataFrame, as_of, deal=None) -> tuple[DataFrame, DataFrame]:
     """M5: rows without an id or a text are rejected; of several rows per id the last wins
-    (largest ordinal, then input position); then M4. Report: [id, ordinal, status]."""
+    (largest ordinal, then input position); then M4. Report: [id, ordinal, status]. With ``deal``
+    (``Store.deal``) the table comes dealt out as the store writes it."""
     rows = prepare(changes, require_id=True)
-    table = _apply(docs, latest_per_id(rows), as_of, insert_missing=True)
+    last = latest_per_id(rows)
+    table = _apply(docs, last, as_of, insert_missing=True) if deal is None else _merge(docs, last, as_of, deal)
     done = rows.filter(F.col("error").isNull()).select("id", "ordinal", F.lit("upserted").alias("status"))
     return table, done.unionByName(_rejected(rows, "ordinal"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from docsift.operators import lookup, metadata as meta_ops, mutate
 from docsift.operators.ann import IvfIndex, build_ivf, fit_nprobe, lists_for
 from docsift.operators.index import health as health_op
-from docsift.operators.index import publish_in_step, sync
+from docsift.operators.index import publish_in_step, publish_synced
 from docsift.operators.index import rebuild as rebuild_op
 from docsift.operators.list_upkeep import balanced
 from docsift.operators.trigram_segments import SegmentedTrigrams
@@ -69,13 +69,14 @@ class SearchEngine:
             rows.append((d.get("id"), d.get("text"), None if m is None else json.dumps(m), i))
         return self.spark.createDataFrame(rows, REQUEST)
 
-    def mutate(self, fn) -> DataFrame:
+    def mutate(self, fn, changed: DataFrame | None = None, dealt: bool = False) -> DataFrame:
         """Run ``fn(documents) -> (table, report)`` on the head and publish the table with its
-        vectors and lists (``table=None``: no change, nothing published)."""
+        vectors and lists (``table=None``: no change, nothing published); ``changed`` and ``dealt``
+        as for ``publish_synced``."""
         head = self.store.head()
         table, report = fn(self.store.documents(head))
         if table is not None:
-            publish_in_step(self.store, head, table, sync(table, self.store.vectors(head), self.embedder), synced=True)
+            publish_synced(self.store, head, table, self.embedder, changed, dealt)
         return report
 
 
@@ -150,7 +151,8 @@ class Documents:
     def upsert_batch(self, documents) -> DataFrame:
         """M5: rows without id rejected; the last row per id wins."""
         rows = mutate.prepare(self.eng.requests(documents), require_id=True)
-        return self.eng.mutate(lambda docs: mutate.upsert_batch(docs, rows, self.eng.now()))
+        fn = lambda docs: mutate.upsert_batch(docs, rows, self.eng.now(), self.eng.store.deal)
+        return self.eng.mutate(fn, changed=mutate.latest_per_id(rows), dealt=True)
 
     def put_metadata(self, document_id: str, key: str, value: str) -> DataFrame:
         """M7 for one key; other keys kept; unknown id reported."""

@@ -15,7 +15,8 @@ A publish writes its tables to fresh folders, then the pointer to one, which is
 a version, and a publish that was killed leaves folders that no pointer names and nothing
 reads: it blocks nothing. A table that a publish doesn't give is inherited. The head is the
 largest version with a pointer. A publish names the version it started from and fails if
-another was published meanwhile. Documents published over a version with a trigram index are
+another was published meanwhile. A table may be staged first: it is written to its fresh folder
+and read from there while the rest of the version is made. Documents published over a version with a trigram index are
 compared with its documents by id, text hash and metadata, and the index follows what changed.
 ``retain`` removes old versions and what no pointer names.
 """
@@ -81,6 +82,14 @@ class Version:
         return tables | {s["name"] for s in self.trigrams or []} | {f"v={self.version}"}
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A table that is written, but that no version names yet."""
+
+    table: str
+    folder: str
+
+
 def changed_ids(before: DataFrame, after: DataFrame) -> DataFrame:
     """[id] of the documents that were inserted, deleted, or have another text or metadata; reads
     ids, text hashes and metadata. A document without a text hash counts as changed."""
@@ -114,11 +123,14 @@ class Store:
     # ------------------------------------------------------------ reading
 
     def _read(self, table: str, version: Version | None) -> DataFrame:
-        schema = TABLES[table]
         version = version or self.head()
         holder = getattr(version, table) if version else None
         if holder is None:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], TABLES[table])
+        return self._of(table, holder)
+
+    def _of(self, table: str, holder: str) -> DataFrame:
+        schema = TABLES[table]
         if table in BUCKETED:
             schema = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
         return self.spark.read.schema(schema).parquet(f"{self.root}/{holder}")
@@ -126,6 +138,9 @@ class Store:
     def _plain(self, table: str, version: Version | None) -> DataFrame:
         return self._read(table, version).select(*TABLES[table].names)
 
+    def staged(self, table: Staged) -> DataFrame:
+        return self._of(table.table, table.folder).select(*TABLES[table.table].names)
+
     def documents(self, version: Version | None = None) -> DataFrame:
         return self._plain("documents", version)
 
@@ -168,10 +183,25 @@ class Store:
 
     # ------------------------------------------------------------ writing
 
-    def _write(self, df: DataFrame, table: str) -> str:
+    def deal(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        """(rows with an id dealt as ``stage`` writes a bucketed table; the columns, the id among
+        them, that name an id's rows in their order). Ranges of an id's hash within its bucket: a
+        bucket may go to many tasks, and a task has near buckets, so it writes few files."""
+        rows = rows.withColumn("bucket", self._bucket(F.col("id"))).withColumn("_part", F.hash("id"))
+        return rows.repartitionByRange("bucket", "_part"), ["bucket", "id", "_part"]
+
+    def stage(self, df: DataFrame, table: str, dealt: bool = False) -> Staged:
+        """Writes a table that a later publish names; ``dealt``: its rows, with their bucket, come
+        from ``deal``, and aren't shuffled again."""
+        return Staged(table, self._write(df, table, dealt))
+
+    def _write(self, df: DataFrame, table: str, dealt: bool = False) -> str:
         """Writes a table to a fresh folder; its name."""
         folder = f"{table}-{uuid.uuid4().hex}"
         path = f"{self.root}/{folder}"
+        if dealt:
+            df.select(*TABLES[table].names, "bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(path)
+            return folder
         df = df.select(*TABLES[table].names)
         if table == "centroids":
             df.coalesce(1).write.parquet(path)
@@ -213,7 +243,7 @@ class Store:
             number += 1
         return number
 
-    def publish(self, documents: DataFrame | None = None, vectors: DataFrame | None = None, parent: Version | None = None,
+    def publish(self, documents: DataFrame | Staged | None = None, vectors: DataFrame | Staged | None = None, parent: Version | None = None,
                 lists: DataFrame | None = None, centroids: np.ndarray | None = None, batch_id: int | None = None,
                 synced: bool = False, keep_lists: bool = True, nprobe: int | None = None, ordinals: DataFrame | None = None,
                 trigrams: SegmentedTrigrams | None = None) -> Version:
@@ -236,7 +266,7 @@ class Store:
             new.lists = new.centroids = new.trigrams = None
         for table, df in (("documents", documents), ("vectors", vectors), ("lists", lists), ("ordinals", ordinals)):
             if df is not None:
-                setattr(new, table, self._write(df, table))
+                setattr(new, table, df.folder if isinstance(df, Staged) else self._write(df, table))
         if trigrams is None and documents is not None and new.trigrams:
             written = self.documents(new)
             trigrams = self.trigrams(parent).after(changed_ids(self.documents(parent), written), written)

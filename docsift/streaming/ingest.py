@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.operators.index import publish_in_step, sync
-from docsift.operators.mutate import prepare, upsert_batch
+from docsift.operators.index import publish_synced
+from docsift.operators.mutate import latest_per_id, prepare, upsert_batch
 from docsift.sources.json_docs import parse_json_documents
 from docsift.sources.store import Store
 
@@ -42,12 +42,11 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int, as_of, embedder=N
         return False
     changes = prepare(parse_json_documents(batch), require_id=True)
     changes, ordinals = in_time(changes, store.ordinals(head))
-    table, _ = upsert_batch(store.documents(head), changes, as_of)
+    table, _ = upsert_batch(store.documents(head), changes, as_of, deal=store.deal)
     if embedder is None:
-        store.publish(table, parent=head, batch_id=batch_id, ordinals=ordinals)
+        store.publish(store.stage(table, "documents", dealt=True), parent=head, batch_id=batch_id, ordinals=ordinals)
         return True
-    vectors = sync(table, store.vectors(head), embedder)
-    publish_in_step(store, head, table, vectors, synced=True, batch_id=batch_id, ordinals=ordinals)
+    publish_synced(store, head, table, embedder, latest_per_id(changes), dealt=True, batch_id=batch_id, ordinals=ordinals)
     return True
 
 
