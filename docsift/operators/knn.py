@@ -12,7 +12,9 @@ all candidates of a query.
 Queries beyond one block never pass the driver: ``knn_bounded`` keeps both sides distributed.
 Pass one gives each query an upper bound of its k-th distance from a bounded sample of the
 corpus. Both sides then lie in lists around pivots (``balls``), and a list of queries meets only
-corpus lists that are near enough for the largest of its bounds (triangle inequality).
+corpus lists that are near enough for the largest of its bounds (triangle inequality). Lists of queries that
+meet the same lists are cut into blocks together; a task sees the rows of a block's lists pass and keeps
+its k best (``nearest``), so a query gives k rows to the ranking, whatever the size of the corpus.
 
 ``knn_grid`` is the same for two distributed sides with a common key (J7): both are cut
 into bounded blocks per key, and each pair of blocks meets once.
@@ -33,6 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.operators.nearest import CHUNK, MOST_LENGTH, Nearest, block_count, most_queries, streamed
+from docsift.operators.nearest import places as _places
 from docsift.schema import check_k
 from docsift.session import ship_package
 
@@ -203,12 +207,6 @@ class TopK:
         return self.tag[np.isfinite(self.key)]
 
 
-def _places(ordered: np.ndarray) -> np.ndarray:
-    """The place of each entry in its run of equal entries."""
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, dtype=np.int64)
-    return np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
-
-
 def matrix_of(col: pa.Array, dim: int) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -323,6 +321,7 @@ def _upper_bounds(queries: DataFrame, sample: np.ndarray, k: int, metric: str) -
     ship_package(queries.sparkSession)
     schema = T.StructType([*queries.schema.fields, T.StructField("_most", T.DoubleType())])
     names = np.arange(len(sample)).astype(str).astype(object)
+    products = metric == "l2" and np.einsum("ij,ij->i", sample, sample).max(initial=0) < MOST_LENGTH
 
     def run(batches):
         for b in batches:
@@ -331,10 +330,17 @@ def _upper_bounds(queries: DataFrame, sample: np.ndarray, k: int, metric: str) -
             most = np.full(b.num_rows, np.inf)
             if len(sample) >= k:
                 q = matrix_of(b.column("embedding"), sample.shape[1])
-                q = unit_rows(q) if metric == "cosine" else q
-                best = TopK(k, len(q), metric)
-                best.add(sample, names, q, np.arange(len(q)))
-                most = best.key[:, k - 1]
+                for a in range(0, len(q), most_queries(k)):
+                    y = q[a : a + most_queries(k)]
+                    if products and np.einsum("ij,ij->i", y, y).max() < MOST_LENGTH:
+                        best = Nearest(y, k)
+                        best.start(lambda rows: sample[rows], names)
+                        best.add(sample)
+                        best.settle()
+                    else:
+                        best = TopK(k, len(y), metric)
+                        best.add(sample, names, unit_rows(y) if metric == "cosine" else y, np.arange(len(y)))
+                    most[a : a + most_queries(k)] = best.key[:, k - 1]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(most)], schema.names)
 
     return queries.mapInArrow(run, schema)
@@ -345,7 +351,7 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int, threshold: float
     """``knn`` with both sides distributed and list pairs pruned by bound; no query vector passes the
     driver but pivots. ``sample`` rows of least id hash give the bounds, ``lists`` rows the pivots. Blocks
     have ``max_block_rows`` rows while the tables are small, see ``block_rows``."""
-    from docsift.operators.balls import MAX_LISTS, Balls, assigned, gaps, join_cells, pivots, rows_per_cell
+    from docsift.operators.balls import MAX_LISTS, Balls, assigned, gaps, pivots, rows_per_cell
     from docsift.session import materialised
 
     k = check_k(k)
@@ -376,25 +382,55 @@ def knn_bounded(corpus: DataFrame, queries: DataFrame, k: int, threshold: float
     far = max_dist_of(threshold, metric)
     most = lb.extra + 1e-8 if far is None else np.minimum(lb.extra + 1e-8, far + 1e-8)
     keep = (lb.rows[:, None] > 0) & (rb.rows[None, :] > 0) & (near <= most[:, None])
-    out = arrow_type(kind)
-
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = TopK(k, q.num_rows, metric, far)
-        if q.num_rows and c.num_rows:
-            x, y = (matrix_of(t.column("embedding"), dim) for t in (c, q))
-            x, y = (unit_rows(x), unit_rows(y)) if unit else (x, y)
-            best.most = q.column("_most").to_numpy() + 1e-8
-            best.add(x, np.asarray(c.column("id").to_pylist(), dtype=object), y, np.arange(len(y)))
-        return pa.Table.from_batches([partial_batch(np.asarray(q.column("query_id").to_pylist(), dtype=object), best, out)])
-
-    # A cell holds k rows a query as well, so a block has fewer queries for a large k.
-    size = lambda balls: block_rows(int(balls.rows.sum()), max_block_rows or cell_rows, cell_rows)
-    query_rows = max(1, min(size(lb), (1 << 20) // k))
-    found = join_cells(
-        left, right, keep, lb.blocks(query_rows), rb.blocks(size(rb)), (["query_id", "embedding", "_most"], ["id", "embedding"]),
-        ("query_id", "id"), cell, partial_schema(kind),
+    out, products = pa.string(), not unit and max(lb.long.max(initial=0), rb.long.max(initial=0)) ** 2 < MOST_LENGTH
+
+    def begin(q: pa.Table):
+        y = matrix_of(q.column("embedding"), dim)
+        bound = q.column("_most").to_numpy() + 1e-8
+        names = np.asarray(q.column("name").to_pylist(), dtype=object)
+        if products:
+            return names, y, Nearest(y, k, bound if far is None else np.minimum(bound, far))
+        best = TopK(k, len(y), metric, far, bound)
+        return names, unit_rows(y) if unit else y, best
+
+    def chunk(state, c: pa.Table) -> None:
+        _, y, best = state
+        x, ids = matrix_of(c.column("embedding"), dim), np.asarray(c.column("name").to_pylist(), dtype=object)
+        if products:
+            best.start(lambda rows: x[rows], ids)
+            best.add(x)
+            best.settle()
+        else:
+            best.add(unit_rows(x) if unit else x, ids, y, np.arange(len(y)))
+
+    def end(state):
+        yield partial_batch(state[0], state[2], out)
+
+    # Lists of queries that meet the same lists share blocks, and so do lists that the same blocks meet.
+    full = np.flatnonzero(keep.any(axis=1))
+    if not len(full):
+        return final_rank(corpus.sparkSession.createDataFrame([], partial_schema(kind)), k, threshold, metric)
+    met, own = np.unique(keep[full], axis=0, return_inverse=True)
+    own = own.reshape(-1)
+    # A block holds k rows a query as well, so it has fewer queries for a large k.
+    size = block_rows(int(lb.rows.sum()), max_block_rows or 1, cell_rows)
+    size = max(1, min(size, most_queries(k) if products else (1 << 20) // k))
+    blocks = np.array([block_count(corpus.sparkSession, int(lb.rows[full[own == g]].sum()), size) for g in range(len(met))])
+    first = np.cumsum(blocks) - blocks
+    table = lambda **columns: F.broadcast(corpus.sparkSession.createDataFrame(pa.table({n: np.asarray(v, dtype=np.int32) for n, v in columns.items()})))
+    to, which = np.nonzero(met)
+    of_query = table(_list=full, _first=first[own], _n=blocks[own])
+    of_row = table(_list=which, _first=first[to], _n=blocks[to])
+    vector = "array<double>" if left.schema["embedding"].dataType != right.schema["embedding"].dataType else left.schema["embedding"].dataType
+    mine = left.join(of_query, "_list").select(
+        (F.col("_first") + F.pmod(F.xxhash64("query_id"), F.col("_n"))).cast("int").alias("_b"), F.col("query_id").cast("string").alias("name"),
+        F.col("embedding").cast(vector).alias("embedding"), "_most",
     )
-    return final_rank(found, k, threshold, metric)
+    theirs = right.join(of_row, "_list").select(
+        F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("_b"), F.col("id").alias("name"), F.col("embedding").cast(vector).alias("embedding")
+    )
+    found = streamed(mine, theirs, int(blocks.sum()), [], begin, chunk, end, partial_schema(T.StringType()), CHUNK)
+    return final_rank(found.withColumn("query_id", F.col("query_id").cast(kind)), k, threshold, metric)
 
 
 def knn_vector(corpus: DataFrame, vector, k: int, threshold: float = 0.0, query_id: str = "q") -> DataFrame:

@@ -5,7 +5,8 @@ first meets the centroids of its ``BEAM`` nearest groups, which bounds its m-th
 a group then is skipped for a row if its centre's distance less its radius is beyond that
 (triangle inequality). So the result is that of comparing with every centroid, while memory
 is a tile of rows times the larger of a group and the number of groups, whatever the number
-of centroids. Order is by squared distance rounded to 1e-9, then by number.
+of centroids. Order is by squared distance rounded to 1e-9, then by number. Up to ``FLAT`` centroids a
+tile of rows meets them all in one product, which the same bound on memory allows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 
 RANK_DECIMALS = 9
 TILE, BEAM, SPARE = 512, 3, 4
+FLAT = 2048
 # Numbers in a temporary array of differences.
 NUMBERS = 1 << 21
 
@@ -64,9 +66,25 @@ class CentroidTree:
         m = min(m, len(self.centroids))
         out = np.empty((len(x), m), dtype=np.int64)
         for a in range(0, len(x), TILE):
-            out[a : a + TILE] = self._tile(x[a : a + TILE], m)
+            out[a : a + TILE] = self._flat(x[a : a + TILE], m) if len(self.centroids) <= FLAT else self._tile(x[a : a + TILE], m)
         return out
 
+    def _flat(self, x: np.ndarray, m: int) -> np.ndarray:
+        c, keep = self.centroids, min(m + SPARE, len(self.centroids))
+        self.compared += len(x) * len(c)
+        d = np.round(squared(x, c), RANK_DECIMALS)
+        if keep < len(c):
+            name = np.sort(np.argpartition(d, keep - 1, axis=1)[:, :keep], axis=1)
+            last = np.take_along_axis(d, name, axis=1).max(axis=1)
+            tied = np.flatnonzero(np.count_nonzero(d <= last[:, None], axis=1) > keep)
+            if len(tied):  # the least numbers of those as far as the last
+                name[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :keep]
+        else:
+            name = np.broadcast_to(np.arange(len(c)), d.shape)
+        exact = np.round(by_differences(x, c, name), RANK_DECIMALS)
+        order = np.lexsort((name, exact), axis=1)[:, :m]
+        return np.take_along_axis(name, order, axis=1)
+
     def _tile(self, x: np.ndarray, m: int) -> np.ndarray:
         keep, n = min(m + SPARE, len(self.centroids)), len(x)
         to_centre = np.sqrt(squared(x, self.centres))
