@@ -114,7 +114,7 @@ def test_rows_of_one_id_are_all_ranked(spark):
 
 def test_blocks_fill_the_rounds_of_tasks(spark):
     tasks = spark.sparkContext.defaultParallelism
-    assert nearest.block_count(spark, 10, 5) == 1
+    assert nearest.block_count(spark, 10, 50) == 1 and nearest.block_count(spark, 10, 5) == 2
     for rows, most in ((100_000, 3000), (100_000, 100_000), (5_000, 400)):
         n = nearest.block_count(spark, rows, most)
         assert n % tasks == 0 and -(-rows // n) <= most
